@@ -196,27 +196,28 @@ def _kolmogorov_tail(lam: float) -> float:
 def _ks_exact(d: float, n1: int, n2: int) -> float:
     """Share of the lattice paths from (0, 0) to (n1, n2) that reach distance d.
 
-    ``stay[j]`` is the probability of being at (i, j) without having touched |i/n1 - j/n2| >= d
-    when the next step is drawn without replacement; one numpy row per i.
+    Paths staying closer than d to the diagonal are counted one numpy row at a time, only inside
+    that band and by their logarithms.
     """
     lcm = n1 // math.gcd(n1, n2) * n2
+    a, b = lcm // n1, lcm // n2
     limit = round(d * lcm)
     if limit <= 0:
         return 1.0
-    j = np.arange(n2 + 1)
-    # log of C(n1+n2-i-j, n2-j) / C(n1+n2, n2) is folded in by working with the
-    # hypergeometric recursion on anti-diagonals.
-    stay = np.zeros(n2 + 1)
-    stay[0] = 1.0
-    for step in range(1, n1 + n2 + 1):
-        i_new = step - j
-        left1 = n1 - (i_new - 1)  # ones left before an i-step into (i_new, j)
-        left2 = n2 - (j - 1)
-        remaining = n1 + n2 - step + 1
-        via_i = np.where((i_new >= 1) & (left1 > 0), stay * left1 / remaining, 0.0)
-        shifted = np.concatenate(([0.0], stay[:-1]))
-        via_j = np.where(left2 > 0, shifted * left2 / remaining, 0.0)
-        stay = via_i + via_j
-        inside = np.abs(i_new * (lcm // n1) - j * (lcm // n2)) < limit
-        stay = np.where(inside & (i_new >= 0) & (i_new <= n1), stay, 0.0)
-    return min(1.0, max(0.0, 1.0 - float(stay[n2])))
+    if d * math.sqrt(n1 * n2 / (n1 + n2)) > 6:  # below 1e-30
+        return _kolmogorov_tail(d * math.sqrt(n1 * n2 / (n1 + n2)))
+    start, row = 0, np.zeros(1)
+    for i in range(n1 + 1):
+        low = max(0, (i * a - limit) // b + 1)
+        high = min(n2, -((-i * a - limit) // b) - 1)
+        if high < low:
+            return 1.0
+        reached = np.full(high - low + 1, -np.inf)
+        left, right = max(low, start), min(high, start + len(row) - 1)
+        if left <= right:
+            reached[left - low : right - low + 1] = row[left - start : right - start + 1]
+        start, row = low, np.logaddexp.accumulate(reached)
+    if start + len(row) - 1 < n2 or row[-1] == -np.inf:
+        return 1.0
+    paths = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
+    return min(1.0, max(0.0, -math.expm1(row[-1] - paths)))

@@ -21,12 +21,11 @@ def bin_index(x: Column, edges: list[float]) -> Column:
     """
     last = len(edges) - 2
     guess = F.floor((x - edges[0]) / (edges[-1] - edges[0]) * (last + 1))
-    guess = F.greatest(F.lit(0), F.least(F.lit(last), guess)).cast("int")
+    guess = F.greatest(F.lit(0), F.least(F.lit(last), guess)).cast("bigint")
     table = F.array(*[F.lit(float(e)) for e in edges])
+    at, after = F.get(table, guess.cast("int")), F.get(table, guess.cast("int") + 1)
     settled = (
-        F.when(x < table[guess], guess - 1)
-        .when((guess < last) & (x >= table[F.least(guess + 1, F.lit(last))]), guess + 1)
-        .otherwise(guess)
+        F.when(x < at, guess - 1).when((guess < last) & (x >= after), guess + 1).otherwise(guess)
     )
     return F.when((x >= edges[0]) & (x <= edges[-1]), settled)
 
@@ -39,11 +38,15 @@ def histogram_counts(
 ) -> DataFrame:
     """(keys..., column, bin, one count per weight) over all columns in one shuffle of bin counts."""
     weights = weights or {"count": F.lit(1)}
+    names = [f"key{k}" for k in range(len(keys))]
+    if not columns:
+        found = [F.lit(None).cast("string").alias(n) for n in [*names, "column"]]
+        found += [F.lit(0).cast("bigint").alias("bin"), *[F.lit(0).cast("bigint").alias(n) for n in weights]]
+        return df.select(*found).where(F.lit(False))
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), bin_index(x, edges).alias("bin"))
         for c, (x, edges) in columns.items()
     ])
-    names = [f"key{k}" for k in range(len(keys))]
     return (
         df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)],
                   *[w.alias(n) for n, w in weights.items()], F.explode(cells).alias("cell"))
@@ -59,5 +62,5 @@ def edge_table(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
         (c, k, float(e[k]), float(e[k + 1])) for c, e in edges.items() for k in range(len(e) - 1)
     ]
     return df.sparkSession.createDataFrame(
-        rows, "column string, bin int, low double, high double"
+        rows, "column string, bin bigint, low double, high double"
     )

@@ -253,7 +253,7 @@ def target_grid(source: DataFrame | Profile, target: str, cells: int = GRID) ->
         out = part if out is None else out.unionByName(part)
     if out is None:
         return small_table(
-            p.spark, [], "feature string, x_bin int, y_bin int, x_low double, y_low double,"
+            p.spark, [], "feature string, x_bin bigint, y_bin bigint, x_low double, y_low double,"
             " count bigint",
         )
     return out
@@ -268,8 +268,8 @@ def grid_counts(pairs: DataFrame, x_edges: list[float], y_edges: list[float]) ->
         .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
     )
     return counts.select(
-        "x_bin", "y_bin", low_x[F.col("x_bin")].alias("x_low"),
-        low_y[F.col("y_bin")].alias("y_low"), "count",
+        "x_bin", "y_bin", F.get(low_x, F.col("x_bin").cast("int")).alias("x_low"),
+        F.get(low_y, F.col("y_bin").cast("int")).alias("y_low"), "count",
     )
 
 

@@ -144,7 +144,7 @@ def outlier_rows(
     """The first rows, by ``row_id``, that each column's fence flags."""
     p = Profile.of(source)
     usable = [c for c in p.numeric if p.moments[c].count >= MIN_VALUES and c != row_id]
-    schema = "column string, row_id bigint, value double, rank int"
+    schema = "column string, row_id bigint, value double, rank bigint"
     if not usable:
         return small_table(p.spark, [], schema)
     cells = [
@@ -160,4 +160,5 @@ def outlier_rows(
     # Spark keeps the first rows of every task before the exchange, so a column's outliers are
     # never gathered.
     order = Window.partitionBy("column").orderBy("row_id", "value")
-    return flagged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    ranked = flagged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
