@@ -114,9 +114,9 @@ def chunks(items: list, size: int) -> Iterable[list]:
         yield items[start : start + size]
 
 
-# One aggregate holds at most this many expressions; wider work takes further scans,
-# each of which reads only its own columns.
-MAX_EXPRESSIONS = 240
+# One aggregate holds at most this many expressions: beyond a hundred buffer fields Spark gives up
+# whole-stage code generation.  Wider work takes further scans, each reading only its own columns.
+MAX_EXPRESSIONS = 90
 
 
 def aggregate_once(df: DataFrame, exprs: dict[str, Column], at_once: int = MAX_EXPRESSIONS) -> dict:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeprofile.functions.columns import (
-    FOLD_BYTES, as_double, as_text, fold, is_number, is_text, text_key, value,
+    FOLD_BYTES, as_double, as_text, fold, is_text, text_key,
 )
 from lakeprofile.functions.text import parse_date, parses_as_number, reads_as_missing, strip
 from lakeprofile.operators.quantiles import group_number, values_at
@@ -18,51 +18,8 @@ from lakeprofile.operators.quantiles import group_number, values_at
 TOP_VALUES = 10
 # Columns with at most this many values are checked for spellings of one label.
 LABEL_VALUES = 200
-
-
-def _cell(df: DataFrame, name: str, checks: bool) -> Column:
-    """One value as (i, d, s): integers and doubles keep their type, the rest is a text key.
-
-    With ``checks``, long text also carries what its digest can no longer tell.
-    """
-    dtype = df.schema[name].dataType
-    i, d, s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-    number = hidden = F.lit(False)
-    if isinstance(dtype, T.IntegralType):
-        i = value(df, name).cast("bigint")
-    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        d = as_double(df, name)
-    else:
-        s = text_key(df, name)
-        if checks and is_text(dtype):
-            text = as_text(df, name)
-            long = F.octet_length(text) > FOLD_BYTES
-            number = F.coalesce(long & parses_as_number(text), F.lit(False))
-            hidden = F.coalesce(long & reads_as_missing(text), F.lit(False))
-    fields = [i.alias("i"), d.alias("d"), s.alias("s")]
-    if checks:
-        fields += [number.alias("long_number"), hidden.alias("long_hidden")]
-    return F.struct(*fields)
-
-
-def value_counts(df: DataFrame, columns: list[str], checks: bool = False) -> DataFrame:
-    """(c, i, d, s, n): how often each value occurs, c being the column's position in the list.
-
-    Partial aggregation counts a hot value inside every task before the shuffle, and long text
-    travels as a digest.
-    """
-    cells = df.select(*[_cell(df, c, checks).alias(str(k)) for k, c in enumerate(columns)])
-    melted = cells.unpivot([], cells.columns, "c", "v")
-    return (
-        melted.select(group_number("c"), "v.*")
-        .where("coalesce(i, d) is not null or s is not null")
-        .groupBy("c", "i", "d", "s", *(["long_number", "long_hidden"] if checks else []))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def shown_value() -> Column:
-    return F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("s"))
+# Whole numbers up to here are exact as doubles.
+EXACT_DOUBLE = 2.0**53
 
 
 @dataclass
@@ -89,61 +46,138 @@ class Frequencies:
     text: TextChecks = field(default_factory=TextChecks)
 
 
-def frequencies(
+def exact_as_double(dtype: T.DataType, limits: tuple[float, float] | None) -> bool:
+    """Whether a numeric column can be counted by its double values."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return True
+    if isinstance(dtype, T.LongType):
+        return limits is not None and max(abs(v) for v in limits) < EXACT_DOUBLE
+    return isinstance(dtype, T.IntegralType)
+
+
+def number_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, x, n): how often each number occurs, c being the column's position in the list."""
+    cells = df.select(*[as_double(df, c).alias(str(k)) for k, c in enumerate(columns)])
+    melted = cells.unpivot([], cells.columns, "c", "x").where("x is not null")
+    return (
+        melted.select(group_number("c"), "x").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def number_frequencies(
     df: DataFrame,
     columns: list[str],
     ranks: dict[str, list[int]] | None = None,
     limits: dict[str, tuple[float, float]] | None = None,
-    checks: bool = False,
 ) -> dict[str, Frequencies]:
-    """Distinct count, entropy and top values of every column.
+    """Distinct count, mode and requested order statistics of numeric columns.
 
-    ``ranks`` also asks for order statistics of numeric columns small enough for one window,
-    ``limits`` being their smallest and largest values; ``checks`` looks into text, once per
-    distinct value.  All branches of the union read the same frequency shuffle, which is why none
-    of them filters by column.  The top branch keeps a few rows per column and task before its own exchange, so no task sees a whole column.
+    ``ranks`` names order statistics of columns small enough for one window, ``limits`` their
+    smallest and largest values.  Every branch of the union reads the same frequency shuffle,
+    where partial aggregation has merged the copies of a hot value.
     """
     out = {c: Frequencies() for c in columns}
     if not columns:
         return out
-    counts = value_counts(df, columns, checks)
-    number = F.coalesce(F.col("i").cast("double"), F.col("d"), F.col("s").try_cast("double"))
-    parts = counts.groupBy("c").agg(
-        F.lit("summary").alias("part"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("n").alias("total"),
+    counts = number_counts(df, columns)
+    totals = counts.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.max("n").alias("top_n"), F.sum("n").alias("total"),
         F.sum(F.col("n") * F.log2("n")).alias("weighted_log"),
-    )
-    keep = LABEL_VALUES if checks else TOP_VALUES
-    order = Window.partitionBy("c").orderBy(F.desc("n"), "i", "d", "s")
-    top = (
-        counts.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= keep)
-        .select("c", F.lit("top").alias("part"), "n", "rank", number.alias("x"),
-                shown_value().alias("shown"))
     )
-    parts = parts.unionByName(top, allowMissingColumns=True)
+    parts = totals.withColumn("part", F.lit("summary"))
+    top = totals.select(group_number("c"), F.col("top_n"))
+    modes = (
+        counts.join(F.broadcast(top), "c")  # one row per column
+        .where(F.col("n") == F.col("top_n"))
+        .groupBy("c")
+        .agg(F.lit("mode").alias("part"), F.min("x").alias("x"))
+    )
+    parts = parts.unionByName(modes, allowMissingColumns=True)
     targets = {columns.index(c): r for c, r in (ranks or {}).items() if r}
     if targets:
-        numbers = counts.select("c", number.alias("x"), "n")
-        found = values_at(numbers, targets, {c: limits[columns[c]] for c in targets})
+        found = values_at(counts, targets, {c: limits[columns[c]] for c in targets})
         parts = parts.unionByName(found.withColumn("part", F.lit("rank")), allowMissingColumns=True)
-    if checks and any(is_text(df.schema[c].dataType) for c in columns):
+    for r in parts.collect():
+        f = out[columns[r["c"]]]
+        if r["part"] == "summary":
+            f.unique, f.top_count = r["n"], r["top_n"]
+            f.entropy_bits = _entropy(r["total"], r["weighted_log"])
+        elif r["part"] == "mode":
+            f.mode = r["x"]
+        else:
+            f.at_rank[r["rank"]] = r["x"]
+    for c, f in out.items():
+        if f.mode is not None:
+            whole = isinstance(df.schema[c].dataType, T.IntegralType)
+            f.top = [(str(int(f.mode)) if whole else str(f.mode), f.top_count)]
+    return out
+
+
+def _entropy(total: int, weighted_log: float) -> float:
+    return max(0.0, math.log2(total) - weighted_log / total)
+
+
+def text_counts(df: DataFrame, columns: list[str], checks: bool = False) -> DataFrame:
+    """(c, s, n): how often each value occurs as text; long text travels as a digest.
+
+    With ``checks``, long text also carries what its digest can no longer tell.
+    """
+    cells = []
+    for k, c in enumerate(columns):
+        s = text_key(df, c)
+        number = hidden = F.lit(False)
+        if checks and is_text(df.schema[c].dataType):
+            text = as_text(df, c)
+            long = F.octet_length(text) > FOLD_BYTES
+            number = F.coalesce(long & parses_as_number(text), F.lit(False))
+            hidden = F.coalesce(long & reads_as_missing(text), F.lit(False))
+        parts = [s.alias("s")]
+        if checks:
+            parts += [number.alias("long_number"), hidden.alias("long_hidden")]
+        cells.append((F.struct(*parts) if checks else s).alias(str(k)))
+    names = [str(k) for k in range(len(columns))]
+    melted = df.select(*cells).unpivot([], names, "c", "v" if checks else "s")
+    melted = melted.select(group_number("c"), "v.*" if checks else "s").where("s is not null")
+    keys = ["c", "s", *(["long_number", "long_hidden"] if checks else [])]
+    return melted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_frequencies(
+    df: DataFrame, columns: list[str], checks: bool = False
+) -> dict[str, Frequencies]:
+    """Distinct count, entropy and top values of columns compared as text.
+
+    ``checks`` looks into the text, once per distinct value.  Every branch of the union reads the
+    same frequency shuffle.  The top branch keeps a few rows per column and task before its own
+    exchange, so no task sees a whole column.
+    """
+    out = {c: Frequencies() for c in columns}
+    if not columns:
+        return out
+    counts = text_counts(df, columns, checks)
+    parts = counts.groupBy("c").agg(
+        F.lit("summary").alias("part"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"),
+        F.sum(F.col("n") * F.log2("n")).alias("weighted_log"),
+    )
+    order = Window.partitionBy("c").orderBy(F.desc("n"), "s")
+    top = (
+        counts.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= (LABEL_VALUES if checks else TOP_VALUES))
+        .select("c", F.lit("top").alias("part"), "n", "rank", F.col("s").alias("shown"))
+    )
+    parts = parts.unionByName(top, allowMissingColumns=True)
+    if checks:
         parts = parts.unionByName(_text_checks(counts), allowMissingColumns=True)
     for r in sorted(parts.collect(), key=lambda r: r["rank"] or 0):
         f = out[columns[r["c"]]]
         if r["part"] == "summary":
-            f.unique = r["n"]
-            bits = math.log2(r["total"]) - r["weighted_log"] / r["total"]
-            f.entropy_bits = max(0.0, bits)
-        elif r["part"] == "rank":
-            f.at_rank[r["rank"]] = r["x"]
+            f.unique, f.entropy_bits = r["n"], _entropy(r["total"], r["weighted_log"])
         elif r["part"] == "text":
             f.text = TextChecks(r["numbers"], r["dates"], r["hidden"], sorted(r["examples"]))
         else:
             f.top.append((r["shown"], r["n"]))
             if r["rank"] == 1:
-                f.top_count, f.mode = r["n"], r["x"]
+                f.top_count = r["n"]
     _unfold(df, out)
     return out
 
@@ -155,26 +189,23 @@ def _text_checks(counts: DataFrame) -> DataFrame:
     is_hidden = F.when(folded, F.col("long_hidden")).otherwise(reads_as_missing(text))
     # Spellings of ten short words without their padding: a bounded set.
     example = F.when(is_hidden & ~folded, strip(text))
-    return (
-        counts.groupBy("c").agg(
-            F.lit("text").alias("part"),
-            F.coalesce(F.sum(F.when(is_number, n)), F.lit(0)).alias("numbers"),
-            F.coalesce(F.sum(F.when(parse_date(text).isNotNull(), n)), F.lit(0)).alias("dates"),
-            F.coalesce(F.sum(F.when(is_hidden, n)), F.lit(0)).alias("hidden"),
-            F.collect_set(example).alias("examples"),
-        )
+    return counts.groupBy("c").agg(
+        F.lit("text").alias("part"),
+        F.coalesce(F.sum(F.when(is_number, n)), F.lit(0)).alias("numbers"),
+        F.coalesce(F.sum(F.when(parse_date(text).isNotNull(), n)), F.lit(0)).alias("dates"),
+        F.coalesce(F.sum(F.when(is_hidden, n)), F.lit(0)).alias("hidden"),
+        F.collect_set(example).alias("examples"),
     )
 
 
 def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
     """Replace the digests among reported values by the texts they stand for."""
     for f in found.values():
-        if f.unique > LABEL_VALUES or f.unique > len(f.top):
+        if f.unique > len(f.top):
             f.top = f.top[:TOP_VALUES]
     wanted = [
-        (c, v) for c, f in found.items()
-        if not is_number(df.schema[c].dataType)
-        for v, _ in f.top if len(v) == FOLD_BYTES + 1 and v.startswith("#")
+        (c, v) for c, f in found.items() for v, _ in f.top
+        if len(v) == FOLD_BYTES + 1 and v.startswith("#")
     ]
     if wanted:
         names = sorted({c for c, _ in wanted})
@@ -201,13 +232,20 @@ def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
 
 
 def value_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every value of every column with its count and share, as a distributed table."""
-    counts = value_counts(df, columns)
+    """Every value of every column, as text, with its count and share, as a distributed table."""
+    counts = text_counts(df, columns)
     names = F.array(*[F.lit(c) for c in columns])
     totals = counts.groupBy("c").agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(totals), "c").select(  # one row per column
         names[F.col("c")].alias("column"),
-        shown_value().alias("value"),
+        F.col("s").alias("value"),
         F.col("n").alias("count"),
         (F.col("n") / F.col("total")).alias("share"),
     )
+
+
+def rarest_value(df: DataFrame, column: str) -> tuple[str, int]:
+    """The least frequent value as text and its count; the lowest one on ties."""
+    r = text_counts(df, [column]).orderBy("n", "s").first()
+    return r["s"], r["n"]
+

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeprofile.functions.columns import col
+
 
 def linear_edges(low: float, high: float, bins: int) -> list[float]:
     """Bin edges; a single value gets a unit-wide range around it."""
@@ -14,20 +17,21 @@ def linear_edges(low: float, high: float, bins: int) -> list[float]:
     return [low + k * step for k in range(bins)] + [high]
 
 
-def bin_index(x: Column, edges: list[float]) -> Column:
-    """0-based bin of x, closed on the left, the last bin on both sides; NULL outside.
+def with_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Add column b_<name> with the 0-based bin of each double column; NULL for a missing value.
 
-    The index comes from one multiplication and is then settled by the edges themselves.
+    Bins are closed on the left, the last one on both sides; every value must lie in the range.
     """
-    last = len(edges) - 2
-    guess = F.floor((x - edges[0]) / (edges[-1] - edges[0]) * (last + 1))
-    guess = F.greatest(F.lit(0), F.least(F.lit(last), guess)).cast("bigint")
-    table = F.array(*[F.lit(float(e)) for e in edges])
-    at, after = F.get(table, guess.cast("int")), F.get(table, guess.cast("int") + 1)
-    settled = (
-        F.when(x < at, guess - 1).when((guess < last) & (x >= after), guess + 1).otherwise(guess)
-    )
-    return F.when((x >= edges[0]) & (x <= edges[-1]), settled)
+    names = list(edges)
+    binner = Bucketizer(
+        splitsArray=[edges[c] for c in names], inputCols=names,
+        outputCols=[f"b_{c}" for c in names], handleInvalid="keep",
+    )
+    binned = binner.transform(df)
+    return binned.withColumns({
+        f"b_{c}": F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`b_{c}`").cast("bigint"))
+        for c in names
+    })
 
 
 def histogram_counts(
@@ -36,24 +40,28 @@ def histogram_counts(
     weights: dict[str, Column] | None = None,
     keys: list[Column] = (),
 ) -> DataFrame:
-    """(keys..., column, bin, one count per weight) over all columns in one shuffle of bin counts."""
+    """(key0..., column, bin, one count per weight): all columns in one shuffle of bin counts."""
     weights = weights or {"count": F.lit(1)}
     names = [f"key{k}" for k in range(len(keys))]
     if not columns:
         found = [F.lit(None).cast("string").alias(n) for n in [*names, "column"]]
-        found += [F.lit(0).cast("bigint").alias("bin"), *[F.lit(0).cast("bigint").alias(n) for n in weights]]
+        found += [F.lit(0).cast("bigint").alias(n) for n in ("bin", *weights)]
         return df.select(*found).where(F.lit(False))
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), bin_index(x, edges).alias("bin"))
-        for c, (x, edges) in columns.items()
-    ])
+    data = df.select(
+        *[k.alias(n) for k, n in zip(keys, names, strict=True)],
+        *[w.alias(f"w_{n}") for n, w in weights.items()],
+        *[x.alias(str(k)) for k, (x, _) in enumerate(columns.values())],
+    )
+    binned = with_bins(data, {str(k): e for k, (_, e) in enumerate(columns.values())})
+    kept = [*names, *[f"w_{n}" for n in weights]]
+    bins = [F.col(f"b_{k}").alias(c) for k, c in enumerate(columns)]
     return (
-        df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)],
-                  *[w.alias(n) for n, w in weights.items()], F.explode(cells).alias("cell"))
-        .where("cell.bin is not null")
-        .groupBy(*names, "cell.column", "cell.bin")
-        .agg(*[F.sum(n).alias(n) for n in weights])
-    )
+        binned.select(*kept, *bins)
+        .unpivot(kept, [col(c) for c in columns], "column", "bin")
+        .where("bin is not null")
+        .groupBy(*names, "column", "bin")
+        .agg(*[F.sum(f"w_{n}").alias(n) for n in weights])
+    )
 
 
 def edge_table(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:

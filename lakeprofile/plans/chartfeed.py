@@ -9,7 +9,7 @@ from lakeprofile.functions.columns import (
     aggregate_once, as_double, col, numeric_columns, small_table, text_key,
 )
 from lakeprofile.operators.groups import class_quantiles
-from lakeprofile.operators.histogram import bin_index, edge_table, histogram_counts, linear_edges
+from lakeprofile.operators.histogram import edge_table, histogram_counts, linear_edges, with_bins
 from lakeprofile.plans import correlation, missing, outlier, target as targets
 from lakeprofile.plans.drift import Drift, category_counts
 from lakeprofile.plans.profile import Profile
@@ -260,16 +260,15 @@ def target_grid(source: DataFrame | Profile, target: str, cells: int = GRID) ->
 
 
 def grid_counts(pairs: DataFrame, x_edges: list[float], y_edges: list[float]) -> DataFrame:
-    low_x = F.array(*[F.lit(e) for e in x_edges])
-    low_y = F.array(*[F.lit(e) for e in y_edges])
+    binned = with_bins(pairs, {"x": x_edges, "y": y_edges})
     counts = (
-        pairs.select(bin_index(F.col("x"), x_edges).alias("x_bin"),
-                     bin_index(F.col("y"), y_edges).alias("y_bin"))
+        binned.select(F.col("b_x").alias("x_bin"), F.col("b_y").alias("y_bin"))
         .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
     )
+    x_low, y_low = (F.array(*[F.lit(e) for e in edges]) for edges in (x_edges, y_edges))
     return counts.select(
-        "x_bin", "y_bin", F.get(low_x, F.col("x_bin").cast("int")).alias("x_low"),
-        F.get(low_y, F.col("y_bin").cast("int")).alias("y_low"), "count",
+        "x_bin", "y_bin", F.get(x_low, F.col("x_bin").cast("int")).alias("x_low"),
+        F.get(y_low, F.col("y_bin").cast("int")).alias("y_low"), "count",
     )
 
 

@@ -14,7 +14,9 @@ from lakeprofile.functions.columns import (
 from lakeprofile.functions.text import parses_as_number
 from lakeprofile.operators.correlate import pearson_pairs, spearman_pairs, vif_values
 from lakeprofile.operators.duplicates import duplicate_columns, duplicate_rows
-from lakeprofile.operators.frequency import Frequencies, frequencies
+from lakeprofile.operators.frequency import (
+    Frequencies, exact_as_double, number_frequencies, text_frequencies,
+)
 from lakeprofile.operators.moments import Moments, numeric_moments, present_counts
 from lakeprofile.operators.quantiles import (
     WINDOW_VALUES, exact_quantiles, interpolated, wanted_ranks,
@@ -36,7 +38,7 @@ class Profile:
         self.df = df
         self.spark = df.sparkSession
         self.window_values = window_values
-        self._some_frequencies: dict[str, Frequencies] = {}
+        self._frequencies: dict[str, Frequencies] = {}
         self._checks = checks  # whether the frequency pass also looks into text
         self.columns = list(df.columns)
         self.numeric = numeric_columns(df)
@@ -80,25 +82,40 @@ class Profile:
         """Columns with any missing cell."""
         return [c for c in self.columns if self.missing(c) > 0]
 
-    @cached_property
+    @property
     def frequencies(self) -> dict[str, Frequencies]:
-        """Value frequencies, with the quantile ranks of the columns one window can sort."""
-        small = {c for c in self.numeric if self.moments[c].count <= self.window_values}
-        ranks = {c: wanted_ranks(self.moments[c].count, PROBABILITIES) for c in small}
-        return frequencies(self.df, self.columns, ranks, self._limits, self._checks)
+        return self.frequencies_of(self.columns)
+
+    def frequencies_of(self, columns: list[str]) -> dict[str, Frequencies]:
+        """Value frequencies of some columns; numbers and texts are one shuffle each.
+
+        The pass over numbers also reads off the quantile ranks of the columns one window can
+        sort.
+        """
+        new = [c for c in columns if c not in self._frequencies]
+        numbers = [
+            c for c in new
+            if c in self.moments_of(new)
+            and exact_as_double(self.df.schema[c].dataType, self._limits.get(c))
+        ]
+        ranks = {c: wanted_ranks(self.moments[c].count, PROBABILITIES) for c in numbers
+                 if self.moments[c].count <= self.window_values}
+        self._frequencies |= number_frequencies(self.df, numbers, ranks, self._limits)
+        texts = [c for c in new if c not in numbers]
+        self._frequencies |= text_frequencies(self.df, texts, self._checks)
+        for c in set(texts) & set(self.numeric):  # counted as text to keep every digit
+            f = self._frequencies[c]
+            f.mode = min((float(v) for v, n in f.top if n == f.top_count), default=None)
+        return {c: self._frequencies[c] for c in columns}
+
+    def moments_of(self, columns: list[str]) -> dict[str, Moments]:
+        """Moments, without a pass if none of the columns is numeric."""
+        return self.moments if set(columns) & set(self.numeric) else {}
 
     @property
     def _limits(self) -> dict[str, tuple[float, float]]:
         return {c: (m.minimum, m.maximum) for c, m in self.moments.items() if m.count > 0}
 
-    def frequencies_of(self, columns: list[str]) -> dict[str, Frequencies]:
-        """Frequencies of some columns only, unless all of them are known already."""
-        if "frequencies" in self.__dict__:
-            return {c: self.frequencies[c] for c in columns}
-        missing = [c for c in columns if c not in self._some_frequencies]
-        self._some_frequencies |= frequencies(self.df, missing)
-        return {c: self._some_frequencies[c] for c in columns}
-
     def binary_columns(self, columns: list[str]) -> dict[str, tuple[str, str]]:
         """Columns with exactly two values, and those values in order."""
         known = self.frequencies_of(columns)
@@ -114,14 +131,11 @@ class Profile:
     @cached_property
     def quantiles(self) -> dict[str, dict[float, float | None]]:
         counts = {c: m.count for c, m in self.moments.items()}
-        got, rest = {}, self.numeric
-        if "frequencies" in self.__dict__:
-            at_rank = {c: self.frequencies[c].at_rank for c in self.numeric}
-            got = {
-                c: interpolated(counts[c], PROBABILITIES, at_rank[c])
-                for c in self.numeric if counts[c] <= self.window_values
-            }
-            rest = [c for c in self.numeric if c not in got]
+        known = {c: f.at_rank for c, f in self._frequencies.items() if f.at_rank}
+        got = {
+            c: interpolated(counts[c], PROBABILITIES, at_rank) for c, at_rank in known.items()
+        }
+        rest = [c for c in self.numeric if c not in got]
         got |= exact_quantiles(
             self.df, {c: as_double(self.df, c) for c in rest}, PROBABILITIES, counts,
             self._limits, self.window_values,
@@ -152,7 +166,8 @@ class Profile:
     def number_cells(self) -> dict[str, int]:
         """Cells of each text column that parse as a number."""
         if self._checks:
-            return {c: self.frequencies[c].text.numbers for c in self.text}
+            known = self.frequencies_of(self.text)
+            return {c: known[c].text.numbers for c in self.text}
         return aggregate_once(
             self.df, {c: F.count_if(parses_as_number(as_text(self.df, c))) for c in self.text}
         )
