@@ -48,17 +48,19 @@ def parses_as_number(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Timestamp of the text under the first layout that fits, else NULL."""
-    short = F.when(F.length(text) <= _LONGEST_DATE, strip(text))
-    digit = F.when(short.rlike(r"\d"), short)
-    parsed = [
-        F.when(
-            digit.rlike(shape),
-            F.try_to_timestamp(digit) if layout is None
-            else F.try_to_timestamp(digit, F.lit(layout)),
-        )
-        for shape, layout in DATE_LAYOUTS
-    ]
-    return F.coalesce(*parsed)
+
+    def read(t: Column) -> Column:
+        return F.coalesce(*[
+            F.when(
+                t.rlike(shape),
+                F.try_to_timestamp(t) if layout is None else F.try_to_timestamp(t, F.lit(layout)),
+            )
+            for shape, layout in DATE_LAYOUTS
+        ])
+
+    may_be = (F.length(text) <= _LONGEST_DATE) & text.rlike(r"\d")
+    # The one-element array makes Spark strip the text once, not once per layout.
+    return F.when(may_be, F.get(F.transform(F.array(strip(text)), read), F.lit(0)))
 
 
 def reads_as_missing(text: Column) -> Column:

@@ -193,10 +193,10 @@ def values_at(
     Equal slices of each group's value range are counted first, and only the slices that hold a
     wanted rank are sorted.  Each group must be small enough to be sorted by one task.
     """
-    ids = list(targets)
-    wanted = _by_group(ids, [F.array(*[F.lit(r).cast("bigint") for r in targets[c]]) for c in ids])
-    low = _by_group(ids, [F.lit(float(limits[c][0])) for c in ids])
-    scale = _by_group(ids, [F.lit(_slices_per_unit(*limits[c])) for c in ids])
+    ranges = {c: _slicing(*limits[c]) for c in targets}
+    wanted = _by_group({c: f"array({', '.join(f'{r}L' for r in rs)})" for c, rs in targets.items()})
+    low = _by_group({c: f"{start!r}D" for c, (start, _) in ranges.items()})
+    scale = _by_group({c: f"{per_unit!r}D" for c, (_, per_unit) in ranges.items()})
     slice_ = F.least(F.lit(SLICES - 1), F.floor((F.col("x") - low) * scale)).cast("int")
     sliced = counts.withColumn("slice", F.coalesce(F.when(scale > 0, slice_), F.lit(0)))
 
@@ -220,13 +220,13 @@ def values_at(
     )
 
 
-def _by_group(ids: list[int], values: list[Column]) -> Column:
-    return F.create_map(*[e for c, v in zip(ids, values, strict=True) for e in (F.lit(c), v)])[
-        F.col("c")
-    ]
+def _by_group(literals: dict[int, str]) -> Column:
+    """The SQL literal that belongs to the row's group c."""
+    return F.expr(f"map({', '.join(f'{c}, {v}' for c, v in literals.items())})[c]")
 
 
-def _slices_per_unit(low: float, high: float) -> float:
+def _slicing(low: float, high: float) -> tuple[float, float]:
+    """Start of the range and slices per unit; 0 slices where equal parts make no sense."""
     width = high - low
     scale = SLICES / width if width > 0 and math.isfinite(width) else 0.0
-    return scale if math.isfinite(scale) else 0.0
+    return (float(low), scale) if math.isfinite(scale) and scale > 0 else (0.0, 0.0)

@@ -147,30 +147,32 @@ def infer_types(raw: DataFrame, parse_dates: list[str] = ()) -> DataFrame:
     cell = {c: F.when(~col(c).isin(NA_TOKENS), col(c)) for c in raw.columns}
     flags = {}
     for c, v in cell.items():
+        kind = (
+            F.when(_fits_long(v), WHOLE)
+            .when(parses_as_number(v), NUMBER)
+            .when(v.isin(TRUTH_VALUES), TRUTH)
+            .otherwise(TEXT)
+        )
+        kind = F.when(v.isNotNull(), kind)
         flags |= {
-            (c, "gaps"): F.count_if(v.isNull()),
-            (c, "present"): F.count(v),
-            (c, "number"): F.bool_and(F.when(v.isNotNull(), parses_as_number(v))),
-            (c, "whole"): F.bool_and(F.when(v.isNotNull(), _fits_long(v))),
-            (c, "bool"): F.bool_and(
-                F.when(v.isNotNull(), v.isin("True", "False", "TRUE", "FALSE", "true", "false"))
-            ),
-        }
+            (c, "gaps"): F.count_if(v.isNull()), (c, "least"): F.min(kind),
+            (c, "most"): F.max(kind),
+        }
         if c in parse_dates:
             flags[c, "date"] = F.bool_and(F.when(v.isNotNull(), parse_date(v).isNotNull()))
     got = aggregate_once(raw, flags, at_once=60) if flags else {}
     out = []
     for c, v in cell.items():
-        f = {k: got.get((c, k)) for k in ("gaps", "present", "number", "whole", "bool", "date")}
-        if c in parse_dates and f["present"] and f["date"]:
+        gaps, least, most = got[c, "gaps"], got[c, "least"], got[c, "most"]
+        if got.get((c, "date")):
             typed = parse_date(v)
-        elif not f["present"]:
+        elif least is None:
             typed = F.lit(None).cast("double")
-        elif f["whole"] and not f["gaps"]:
+        elif least == WHOLE and not gaps:
             typed = F.trim(v).cast("bigint")
-        elif f["number"]:
+        elif least >= NUMBER:
             typed = F.trim(v).cast("double")
-        elif f["bool"] and not f["gaps"]:
+        elif least == most == TRUTH and not gaps:
             typed = F.lower(v) == "true"
         else:
             typed = v
@@ -178,6 +180,13 @@ def infer_types(raw: DataFrame, parse_dates: list[str] = ()) -> DataFrame:
     return raw.select(*out)
 
 
+# What one cell can be read as, from the least to the most specific.
+TEXT, TRUTH, NUMBER, WHOLE = range(4)
+
+# Cells read as booleans.
+TRUTH_VALUES = ["True", "False", "TRUE", "FALSE", "true", "false"]
+
+
 def _fits_long(text: Column) -> Column:
     # Up to 18 digits always fit.
     return text.rlike(r"^\s*[+-]?\d{1,18}\s*$")
