@@ -14,7 +14,7 @@ def linear_edges(low: float, high: float, bins: int) -> list[float]:
     if low == high:
         low, high = low - 0.5, high + 0.5
     step = (high - low) / bins
-    return [low + k * step for k in range(bins)] + [high]
+    return sorted({*(low + k * step for k in range(bins)), high})
 
 
 def with_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
@@ -22,15 +22,18 @@ def with_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
 
     Bins are closed on the left, the last one on both sides; every value must lie in the range.
     """
-    names = list(edges)
-    binner = Bucketizer(
-        splitsArray=[edges[c] for c in names], inputCols=names,
-        outputCols=[f"b_{c}" for c in names], handleInvalid="keep",
-    )
-    binned = binner.transform(df)
+    several = [c for c, e in edges.items() if len(e) > 2]  # a single bin needs no search
+    binned = df
+    if several:
+        binned = Bucketizer(
+            splitsArray=[edges[c] for c in several], inputCols=several,
+            outputCols=[f"b_{c}" for c in several], handleInvalid="keep",
+        ).transform(df)
     return binned.withColumns({
-        f"b_{c}": F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`b_{c}`").cast("bigint"))
-        for c in names
+        f"b_{c}": F.when(
+            col(c).isNotNull(), col(f"b_{c}").cast("bigint") if c in several else F.lit(0)
+        ).cast("bigint")
+        for c in edges
     })
 
 

@@ -227,6 +227,6 @@ def _by_group(literals: dict[int, str]) -> Column:
 
 def _slicing(low: float, high: float) -> tuple[float, float]:
     """Start of the range and slices per unit; 0 slices where equal parts make no sense."""
-    width = high - low
+    width = float(high) - float(low)
     scale = SLICES / width if width > 0 and math.isfinite(width) else 0.0
     return (float(low), scale) if math.isfinite(scale) and scale > 0 else (0.0, 0.0)

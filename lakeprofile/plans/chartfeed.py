@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ def bin_numbers(p: Profile, columns: list[str], bins: int = BINS) -> dict[str, i
 
     A sketch tells which columns could have so few; only those are counted exactly.
     """
-    usable = [c for c in columns if p.moments[c].count]
+    usable = [
+        c for c in columns
+        if p.moments[c].count and math.isfinite(p.moments[c].maximum - p.moments[c].minimum)
+    ]
     sketch = aggregate_once(
         p.df, {c: F.approx_count_distinct(as_double(p.df, c)) for c in usable}
     ) if usable else {}

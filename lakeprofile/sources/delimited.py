@@ -25,9 +25,17 @@ _MARKS = [
     (codecs.BOM_UTF16_BE, "utf-16"),
 ]
 
-# Names of these encodings as Spark's reader knows them.
+# Names of these encodings as Spark's reader knows them.  It has no Windows Latin, which is read as
+# ISO Latin and then corrected.
 _SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32",
-                "cp1252": "windows-1252"}
+                "cp1252": "ISO-8859-1"}
+
+# The characters that Windows Latin has in place of ISO Latin's control codes.
+_WINDOWS_ONLY = {
+    chr(code): bytes([code]).decode("cp1252")
+    for code in range(0x80, 0xA0)
+    if bytes([code]).decode("cp1252", errors="ignore")
+}
 
 
 def detect_encoding(prefix: bytes) -> str:
@@ -101,6 +109,8 @@ def read_delimited(
         encoding = encoding or found["encoding"]
         delimiter = delimiter or found["delimiter"]
     name = _SPARK_NAMES.get(encoding, encoding)
+    if name in ("UTF-16", "UTF-32"):
+        multiline = True  # Spark splits lines by single bytes
     if multiline is None:
         lines = spark.read.text(path)
         open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
@@ -109,8 +119,12 @@ def read_delimited(
         path, header=True, sep=delimiter, encoding=name, inferSchema=False, multiLine=multiline,
         quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True,
     )
-    header = raw_header(spark, path, name, delimiter, multiline)
-    return infer_types(raw.toDF(*clean_names(header or raw.columns)), parse_dates or [])
+    header = raw_header(spark, path, name, delimiter, multiline) or raw.columns
+    if encoding == "cp1252":
+        wrong, right = "".join(_WINDOWS_ONLY), "".join(_WINDOWS_ONLY.values())
+        raw = raw.select(*[F.translate(col(c), wrong, right).alias(c) for c in raw.columns])
+        header = [c.translate(str.maketrans(_WINDOWS_ONLY)) for c in header]
+    return infer_types(raw.toDF(*clean_names(header)), parse_dates or [])
 
 
 def raw_header(
