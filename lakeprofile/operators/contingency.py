@@ -22,12 +22,14 @@ def cramers_v(df: DataFrame, pairs: list[Pair], unique: dict[str, int]) -> dict[
     if not pairs:
         return {}
     turned = [(a, b) if unique[a] >= unique[b] else (b, a) for a, b in pairs]
+    place = {c: f"k{i}" for i, c in enumerate(sorted({c for pair in turned for c in pair}))}
+    keys = df.select(*[text_key(df, c).alias(k) for c, k in place.items()])
     cells_of = F.array(*[
-        F.struct(F.lit(k).alias("pair"), text_key(df, a).alias("a"), text_key(df, b).alias("b"))
+        F.struct(F.lit(k).alias("pair"), F.col(place[a]).alias("a"), F.col(place[b]).alias("b"))
         for k, (a, b) in enumerate(turned)
     ])
     cells = (
-        df.select(F.explode(cells_of).alias("cell"))
+        keys.select(F.explode(cells_of).alias("cell"))
         .select("cell.pair", "cell.a", "cell.b")
         .where("a is not null and b is not null")
         .groupBy("pair", "a", "b")

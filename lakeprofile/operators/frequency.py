@@ -232,20 +232,27 @@ def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
 
 
 def value_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every value of every column, as text, with its count and share, as a distributed table."""
-    counts = text_counts(df, columns)
-    names = F.array(*[F.lit(c) for c in columns])
-    totals = counts.groupBy("c").agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(totals), "c").select(  # one row per column
-        names[F.col("c")].alias("column"),
-        F.col("s").alias("value"),
-        F.col("n").alias("count"),
-        (F.col("n") / F.col("total")).alias("share"),
+    """Every value of every column, as whole text, with its count and share, distributed.
+
+    The values are the result here, so they travel whole, once per task that holds them.
+    """
+    cells = df.select(*[as_text(df, c).alias(str(k)) for k, c in enumerate(columns)])
+    melted = cells.unpivot([], cells.columns, "c", "value").where("value is not null")
+    counts = (
+        melted.select(group_number("c"), "value")
+        .groupBy("c", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    totals = counts.groupBy("c").agg(F.sum("count").alias("total"))
+    totals = F.broadcast(totals.select(group_number("c"), "total"))  # one row per column
+    return counts.join(totals, "c").select(
+        names[F.col("c")].alias("column"), "value", "count",
+        (F.col("count") / F.col("total")).alias("share"),
+    )
 
 
 def rarest_value(df: DataFrame, column: str) -> tuple[str, int]:
     """The least frequent value as text and its count; the lowest one on ties."""
-    r = text_counts(df, [column]).orderBy("n", "s").first()
-    return r["s"], r["n"]
-
+    r = value_table(df, [column]).orderBy("count", "value").first()
+    return r["value"], r["count"]

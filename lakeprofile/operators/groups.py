@@ -99,15 +99,16 @@ def class_quantiles(
     quantiles = small.groupBy("key").agg(
         *[F.percentile(x, F.lit(probabilities)).alias(x) for x in names]
     )
-    rows = []
-    for r in large:
-        one = data.where(F.col("key") == r["key"])
-        got = exact_quantiles(
-            one, {x: F.col(x) for x in names}, probabilities, {x: r[x] for x in names},
-            {x: (r[f"{x}_min"], r[f"{x}_max"]) for x in names if r[x]}, window_values,
-        )
-        rows.append((r["key"], *[got[x] for x in names]))
-    if rows:
+    if large:
+        # Each large class is one masked column, so the classes share the scans.
+        masked, counts, limits = {}, {}, {}
+        for k, r in enumerate(large):
+            for x in names:
+                masked[k, x] = F.when(F.col("key") == r["key"], F.col(x))
+                counts[k, x] = r[x]
+                limits[k, x] = (r[f"{x}_min"], r[f"{x}_max"])
+        got = exact_quantiles(data, masked, probabilities, counts, limits, window_values)
+        rows = [(r["key"], *[got[k, x] for x in names]) for k, r in enumerate(large)]
         schema = "key string, " + ", ".join(f"{x} array<double>" for x in names)
         quantiles = quantiles.unionByName(df.sparkSession.createDataFrame(rows, schema))
     return quantiles.toDF("key", *columns)

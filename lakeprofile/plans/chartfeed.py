@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import (
-    aggregate_once, as_double, col, numeric_columns, small_table, text_key,
+    aggregate_once, as_double, as_text, col, numeric_columns, small_table,
 )
 from lakeprofile.operators.groups import class_quantiles
 from lakeprofile.operators.histogram import edge_table, histogram_counts, linear_edges, with_bins
@@ -184,8 +184,8 @@ def density_overlay(drift: Drift, drifted_only: bool = True, bins: int = BINS) -
 def category_overlay(
     drift: Drift, column: str, keep: int = OVERLAY_CATEGORIES
 ) -> DataFrame:
-    """Shares of both sides for the first categories in order; very long text shows its digest."""
-    counts = category_counts(drift.reference, drift.current, [column])
+    """Shares of both sides for the first categories in order."""
+    counts = category_counts(drift.reference, drift.current, [column], whole=True)
     totals = counts.groupBy("c").agg(F.sum("ref").alias("all_ref"), F.sum("cur").alias("all_cur"))
     first = counts.orderBy("key").limit(keep)
     return first.join(F.broadcast(totals), "c").select(  # a single row
@@ -206,7 +206,7 @@ def class_boxes(source: DataFrame | Profile, target: str) -> DataFrame:
     """Box statistics of the strongest numeric features for every target class."""
     p = Profile.of(source)
     features = top_numeric_features(p, target)
-    key = text_key(p.df, target)
+    key = as_text(p.df, target)
     x = {c: as_double(p.df, c) for c in features}
     points = class_quantiles(p.df, key, x, [0.0, 0.25, 0.5, 0.75, 1.0], p.window_values)
     boxes = F.array(*[
@@ -225,7 +225,7 @@ def class_histograms(source: DataFrame | Profile, target: str, bins: int = BINS)
     p = Profile.of(source)
     features = top_numeric_features(p, target)
     x = p.df.select(
-        text_key(p.df, target).alias("_class"), *[as_double(p.df, c).alias(c) for c in features]
+        as_text(p.df, target).alias("_class"), *[as_double(p.df, c).alias(c) for c in features]
     ).where("_class is not null")
     limits = _ranges(x, features)
     edges = {c: linear_edges(*limits[c], bins) for c in features if limits[c][0] is not None}

@@ -319,11 +319,17 @@ def ks_distances(
     return out
 
 
-def category_counts(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """(c, key, ref, cur): rows of both sides per category; long text is keyed by its digest."""
+def category_counts(
+    reference: DataFrame, current: DataFrame, columns: list[str], whole: bool = False
+) -> DataFrame:
+    """(c, key, ref, cur): rows of both sides per category.
+
+    Long text is keyed by its digest unless it is wanted ``whole``.
+    """
+    key = (lambda text: text) if whole else fold
 
     def melted(df: DataFrame, is_ref: int) -> DataFrame:
-        keys = df.select(*[fold(as_text(df, c)).alias(str(k)) for k, c in enumerate(columns)])
+        keys = df.select(*[key(as_text(df, c)).alias(str(k)) for k, c in enumerate(columns)])
         return (
             keys.unpivot([], keys.columns, "c", "key")
             .where("key is not null")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.functions.columns import group_key
+from lakeprofile.operators.quantiles import select_ranks
+from lakeprofile.session import ensure_checkpoint_dir
 from lakeprofile.sources.delimited import read_delimited
 from lakeprofile.sources.workbook import read_workbook
 
@@ -13,6 +16,7 @@ DELIMITED = (".csv", ".tsv", ".txt")
 WORKBOOKS = (".xlsx", ".xlsm")
 COLUMNAR = {".parquet": "parquet", ".orc": "orc"}
 SAMPLE_SEED = 42
+_DRAW = "_draw"
 
 
 def extension(path: str) -> str:
@@ -45,17 +49,27 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int | None, seed: int = SAMPLE_SEED) -> DataFrame:
-    """Exactly n rows in a random order that repeats; the whole table if it has no more.
+    """Exactly n random rows; the whole table if it has no more.
 
-    Rows are ordered by a seeded hash of their content, so the draw survives a lost task.  Spark
-    keeps the best n of every task, never a full sort.
+    A seeded draw keeps a little more than n rows.  It is checkpointed, so every later pass, and
+    a task that runs again, sees the same rows; the exact n-th smallest draw then sets the cut.
+    Nothing is sorted as a whole and no task holds the sample.
     """
     if not n:
         return df
-    key = F.xxhash64(F.lit(seed), *[group_key(df, c) for c in df.columns])
-    rest = [group_key(df, c).alias(f"_k{k}") for k, c in enumerate(df.columns[:1])]
-    keyed = df.select("*", key.alias("_h"), *rest)
-    return keyed.orderBy("_h", "_k0").limit(n).drop("_h", "_k0")
+    rows = df.count()
+    if rows <= n:
+        return df
+    share = min(1.0, (n + 10 * math.sqrt(n) + 10) / rows)
+    drawn = df.withColumn(_DRAW, F.rand(seed)).where(F.col(_DRAW) < share)
+    ensure_checkpoint_dir(df.sparkSession)
+    pool = drawn.checkpoint()
+    found = pool.agg(F.count(F.lit(1)), F.min(_DRAW), F.max(_DRAW)).first()
+    if found[0] < n:  # the draw came out short, which is next to impossible
+        return sample_rows(df, n, seed + 1)
+    x = {"draw": F.col(_DRAW)}
+    cut = select_ranks(pool, x, {"draw": [n - 1]}, {"draw": found[0]}, {"draw": found[1:]})
+    return pool.where(F.col(_DRAW) <= cut["draw"][n - 1]).drop(_DRAW)
 
 
 def prepare(

@@ -133,14 +133,19 @@ def test_preparation(spark, people, frame):
     df = frame(people)
     assert load.drop_columns(df, ["age", "nothing"]).columns == ["income", "score", "category", "flag"]
     first = load.sample_rows(df, 50)
-    assert first.count() == 50
-    again = load.sample_rows(df.repartition(5), 50)
-    assert sorted(r["income"] for r in first.collect()) == sorted(
-        r["income"] for r in again.collect()
-    )
+    assert first.columns == df.columns and first.count() == 50
+    assert first.distinct().join(df, df.columns, "left_semi").count() == 50
+    assert sorted(first.collect()) == sorted(first.collect())
     assert load.sample_rows(df, 500).count() == 200 and load.sample_rows(df, 0) is df
 
 
+def test_sample_of_copies_is_not_one_copy(spark):
+    """A third of the rows are one row, and so is about a third of the sample."""
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 0 else id end as x")
+    got = load.sample_rows(df, 600).where("x = 0").count()
+    assert 140 < got < 260
+
+
 def test_json_sections(spark, tmp_path):
     df = spark.createDataFrame(
         [("a", float("nan"), [1.0, float("inf")])], "k string, x double, l array<double>"
