@@ -36,45 +36,36 @@ def with_buckets(df: DataFrame, x: str, bucket: str, rows: int, bucket_rows: int
 
 
 def cumulative_counts(
-    df: DataFrame,
-    x: Column,
-    rows: int,
-    weights: dict[str, Column] | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, x: Column, rows: int, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """(x, n, before): each distinct present value, its count and the count of smaller values.
 
-    With ``weights`` the counts are one (name, name_before) pair per weight instead.  Copies of a
-    value are merged before anything is sorted, so a hot value is one row; the running sum is
-    taken inside value ranges and shifted by the totals of the ranges before.
+    Copies of a value are merged before anything is sorted, so a hot value is one row; the running
+    sum is taken inside value ranges and shifted by the totals of the ranges before.
     """
-    weights = weights or {"n": F.lit(1)}
-    names = list(weights)
-    data = df.select(x.alias("x"), *[w.cast("bigint").alias(k) for k, w in weights.items()])
-    data = with_buckets(data.where("x is not null"), "x", "bucket", rows, bucket_rows)
-    counts = data.groupBy("bucket", "x").agg(*[F.sum(k).alias(k) for k in names])
+    data = df.select(x.alias("x")).where("x is not null")
+    data = with_buckets(data, "x", "bucket", rows, bucket_rows)
+    counts = data.groupBy("bucket", "x").agg(F.count(F.lit(1)).alias("n"))
     inside = (
         Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = counts.select(
-        "*", *[F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"{k}_before") for k in names]
-    )
+    local = counts.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     if bucket_count(rows, bucket_rows) > 1:
-        totals = counts.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in names])
+        totals = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
         # At most MAX_BUCKETS rows, hence one window and one broadcast.
         across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         shifts = totals.select(
-            "bucket", *[F.coalesce(F.sum(k).over(across), F.lit(0)).alias(f"{k}_s") for k in names]
+            "bucket", F.coalesce(F.sum("total").over(across), F.lit(0)).alias("shift")
         )
-        local = local.join(F.broadcast(shifts), "bucket").select(
-            "x", *names, *[(F.col(f"{k}_before") + F.col(f"{k}_s")).alias(f"{k}_before") for k in names]
+        local = local.join(F.broadcast(shifts), "bucket").withColumn(
+            "before", F.col("before") + F.col("shift")
         )
-    return local.select("x", *names, *[f"{k}_before" for k in names])
+    return local.select("x", "n", "before")
 
 
 def average_ranks(
     df: DataFrame, x: Column, rows: int, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """(x, rank): every distinct value and the average 1-based rank of its copies."""
-    counts = cumulative_counts(df, x, rows, bucket_rows=bucket_rows)
-    return counts.select("x", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+    counts = cumulative_counts(df, x, rows, bucket_rows)
+    return counts.select("x", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))

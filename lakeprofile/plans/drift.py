@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeprofile.functions.columns import (
-    aggregate_once, as_double, as_text, chunks, fold, is_number, small_table,
+    aggregate_once, as_double, as_text, fold, is_number, small_table,
 )
 from lakeprofile.functions.pvalues import chi2_tail, ks_two_sample
+from lakeprofile.operators.ks import ks_distances
 from lakeprofile.operators.quantiles import WINDOW_VALUES, exact_quantiles, group_number
-from lakeprofile.operators.ranks import BUCKET_ROWS, cumulative_counts
 
 MODERATE_PSI = 0.1
 DEFAULT_THRESHOLD = 0.2
@@ -68,13 +68,12 @@ class Drift:
         psi_threshold: float = DEFAULT_THRESHOLD,
         open_ended: bool = False,
         window_values: int = WINDOW_VALUES,
-        bucket_rows: int = BUCKET_ROWS,
     ):
         self.reference, self.current = reference, current
         self.spark = reference.sparkSession
         self.threshold = psi_threshold
         self.open_ended = open_ended
-        self.window_values, self.bucket_rows = window_values, bucket_rows
+        self.window_values = window_values
         both = set(reference.columns) & set(current.columns)
         self.shared = sorted(both)
         self.missing = sorted(set(reference.columns) - both)
@@ -120,7 +119,7 @@ class Drift:
         psi = self._psi(usable, ref)
         distance = ks_distances(
             self.reference, self.current, usable, {c: ref[c].count for c in usable},
-            {c: cur[c].count for c in usable}, self.bucket_rows,
+            {c: cur[c].count for c in usable}, self.window_values,
         )
         for c in usable:
             a, b = ref[c], cur[c]
@@ -290,35 +289,6 @@ def psi_of(ref: list[int], cur: list[int]) -> float:
     return max(0.0, total)
 
 
-def ks_distances(
-    reference: DataFrame, current: DataFrame, columns: list[str], ref_rows: dict[str, int],
-    cur_rows: dict[str, int], bucket_rows: int = BUCKET_ROWS,
-) -> dict[str, float]:
-    """Largest gap between the two empirical distribution functions of each column."""
-    parts = []
-    for k, c in enumerate(columns):
-        both = reference.select(as_double(reference, c).alias("x"), F.lit(1).alias("r")).unionAll(
-            current.select(as_double(current, c).alias("x"), F.lit(0).alias("r"))
-        )
-        # 0.0 and -0.0 are the same value.
-        steps = cumulative_counts(
-            both, F.col("x") + F.lit(0.0), ref_rows[c] + cur_rows[c],
-            {"r": F.col("r"), "c": 1 - F.col("r")}, bucket_rows,
-        )
-        gap = F.abs(
-            (F.col("r") + F.col("r_before")) / ref_rows[c]
-            - (F.col("c") + F.col("c_before")) / cur_rows[c]
-        )
-        parts.append(steps.agg(F.lit(k).alias("k"), F.max(gap).alias("d")))
-    out = {}
-    for group in chunks(parts, 16):
-        union = group[0]
-        for part in group[1:]:
-            union = union.unionAll(part)
-        out |= {columns[r["k"]]: r["d"] for r in union.collect()}
-    return out
-
-
 def category_counts(
     reference: DataFrame, current: DataFrame, columns: list[str], whole: bool = False
 ) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import as_double
 from lakeprofile.operators import (
-    contingency, correlate, duplicates, frequency, groups, isolation, moments, quantiles, ranks,
+    contingency, correlate, duplicates, frequency, groups, isolation, ks, moments, quantiles, ranks,
 )
-from lakeprofile.plans import drift
 
 PROBABILITIES = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
 
@@ -185,17 +184,24 @@ def test_class_quantiles_split_large_classes(frame, window_values):
         assert r["x"] == pytest.approx(list(expected))
 
 
-@pytest.mark.parametrize("bucket_rows", [50, 1_000_000])
-def test_ks_distance_equals_sorted_search(frame, bucket_rows):
+@pytest.mark.parametrize("window_values", [20, 300, 1_000_000])
+@pytest.mark.parametrize("shift", [0.0, 0.1, 3.0])
+def test_ks_distance_equals_sorted_search(frame, monkeypatch, window_values, shift):
+    monkeypatch.setattr(ks, "PARTS", 8)
     rng = np.random.default_rng(4)
-    ref, cur = rng.normal(size=700), np.concatenate([rng.normal(0.2, 1, 500), np.zeros(300)])
-    both = np.sort(np.concatenate([ref, cur]))
-    f1 = np.searchsorted(np.sort(ref), both, side="right") / len(ref)
-    f2 = np.searchsorted(np.sort(cur), both, side="right") / len(cur)
-    got = drift.ks_distances(
-        frame({"x": ref}), frame({"x": cur}), ["x"], {"x": len(ref)}, {"x": len(cur)}, bucket_rows
-    )
-    assert got["x"] == pytest.approx(np.abs(f1 - f2).max(), abs=1e-12)
+    ref = {"x": rng.normal(size=1100), "t": rng.integers(0, 6, 1100).astype(float),
+           "i": np.r_[-np.inf, rng.normal(size=1098), np.inf]}
+    cur = {"x": np.r_[rng.normal(shift, 1, 500), np.zeros(300)],
+           "t": rng.integers(0, 7, 800).astype(float), "i": rng.normal(shift, 2, 800)}
+    got = ks.ks_distances(
+        frame(ref), frame(cur), list(ref), dict.fromkeys(ref, 1100), dict.fromkeys(ref, 800),
+        window_values,
+    )
+    for c in ref:
+        both = np.concatenate([ref[c], cur[c]])
+        f1 = np.searchsorted(np.sort(ref[c]), both, side="right") / 1100
+        f2 = np.searchsorted(np.sort(cur[c]), both, side="right") / 800
+        assert got[c] == pytest.approx(np.abs(f1 - f2).max(), abs=1e-12), c
 
 
 def test_isolation_forest_finds_planted_values(frame):
