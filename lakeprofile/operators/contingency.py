@@ -45,7 +45,10 @@ def cramers_v(df: DataFrame, pairs: list[Pair], unique: dict[str, int]) -> dict[
         F.sum("n_a").alias("n"), F.count(F.lit(1)).alias("values_a"),
         F.sum(F.col("s") / F.col("n_a")).alias("s"),
     )
-    by_column = columns.groupBy("pair").agg(F.count(F.lit(1)).alias("values_b"))
+    # The sum keeps this branch on the marginals' shuffle instead of a scan of its own.
+    by_column = columns.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("values_b"), F.sum("n_b").alias("total")
+    )
     out = dict.fromkeys(pairs, 0.0)
     for r in by_row.join(by_column, "pair").collect():
         k = min(r["values_a"], r["values_b"]) - 1
