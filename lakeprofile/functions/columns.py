@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,21 +118,35 @@ def chunks(items: list, size: int) -> Iterable[list]:
 # One aggregate holds at most this many expressions: beyond a hundred buffer fields Spark gives up
 # whole-stage code generation.  Wider work takes further scans, each reading only its own columns.
 MAX_EXPRESSIONS = 90
+# Scans of one table that run side by side.
+MAX_SCANS = 4
 
 
 def aggregate_once(df: DataFrame, exprs: dict[str, Column], at_once: int = MAX_EXPRESSIONS) -> dict:
     """Evaluate named global aggregates and return them as one dict.
 
-    Each chunk is one scan with map-side aggregation and a single row per task in the
-    shuffle; Parquet reads only the columns its chunk names.
+    Each chunk is one scan with map-side aggregation and a single row per task in the shuffle;
+    Parquet reads only the columns its chunk names.  Chunks run side by side.
     """
-    out: dict = {}
-    for part in chunks(list(exprs.items()), at_once):
+
+    def run(part: list) -> dict:
         row = df.agg(*[e.alias(str(i)) for i, (_, e) in enumerate(part)]).first()
-        out.update({name: row[i] for i, (name, _) in enumerate(part)})
+        return {name: row[i] for i, (name, _) in enumerate(part)}
+
+    parts = list(chunks(list(exprs.items()), at_once))
+    out: dict = {}
+    with ThreadPoolExecutor(MAX_SCANS) as pool:
+        for got in pool.map(run, parts):
+            out |= got
     return out
 
 
+def together(*work: Callable[[], object]) -> list:
+    """Run independent Spark jobs at the same time; Spark shares its executors among them."""
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        return [f.result() for f in [pool.submit(w) for w in work]]
+
+
 def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A result of at most columns-squared rows as a DataFrame; NaN becomes NULL."""
 

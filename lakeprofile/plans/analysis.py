@@ -27,7 +27,13 @@ def analyze(
     p = Profile.of(source)
     if target is not None:
         targets.ensure_target(p.df, target)
-    p.moments  # later counts come from the same scan  # noqa: B018
+    p.prepare("moments")  # everything below builds on this scan
+    if gate and not p.rows:
+        quality.issues(p)
+    p.prepare("frequencies", "duplicates", "number_cells")
+    p.prepare(
+        *([] if skip_correlation else ["vif", "spearman"]), *([] if skip_outlier else ["mad"])
+    )
     out = {
         "quality": quality.quality_issues(p, gate),
         "quality_status": quality.quality_status(p),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeprofile.functions.columns import (
-    aggregate_once, as_double, as_text, fold, is_number, small_table,
+    aggregate_once, as_double, as_text, fold, is_number, small_table, together,
 )
 from lakeprofile.functions.pvalues import chi2_tail, ks_two_sample
 from lakeprofile.operators.ks import ks_distances
@@ -93,7 +93,8 @@ class Drift:
     def columns(self) -> dict[str, ColumnDrift]:
         """Drift of every shared column, in name order."""
         if self._columns is None:
-            got = self._numeric_drift() | self._categorical_drift()
+            numbers, categories = together(self._numeric_drift, self._categorical_drift)
+            got = numbers | categories
             got |= {c: ColumnDrift(c, "type_mismatch") for c in self.mismatched}
             self._columns = {c: got[c] for c in self.shared}
         return self._columns
@@ -106,7 +107,10 @@ class Drift:
     # Numeric columns
 
     def _sides(self) -> tuple[dict[str, _Side], dict[str, _Side]]:
-        return _moments(self.reference, self.numeric), _moments(self.current, self.numeric)
+        return tuple(together(
+            lambda: _moments(self.reference, self.numeric),
+            lambda: _moments(self.current, self.numeric),
+        ))
 
     def _numeric_drift(self) -> dict[str, ColumnDrift]:
         out = {c: ColumnDrift(c, "numeric") for c in self.numeric}
@@ -116,10 +120,12 @@ class Drift:
         usable = [
             c for c in self.numeric if min(ref[c].count, cur[c].count) >= MIN_VALUES
         ]
-        psi = self._psi(usable, ref)
-        distance = ks_distances(
-            self.reference, self.current, usable, {c: ref[c].count for c in usable},
-            {c: cur[c].count for c in usable}, self.window_values,
+        psi, distance = together(
+            lambda: self._psi(usable, ref),
+            lambda: ks_distances(
+                self.reference, self.current, usable, {c: ref[c].count for c in usable},
+                {c: cur[c].count for c in usable}, self.window_values,
+            ),
         )
         for c in usable:
             a, b = ref[c], cur[c]
@@ -143,7 +149,9 @@ class Drift:
             if self.open_ended and len(edges[c]) > 1:
                 edges[c][0], edges[c][-1] = -math.inf, math.inf
         edges = {c: e for c, e in edges.items() if len(e) > 1}
-        counts = [bin_counts(df, edges) for df in (self.reference, self.current)]
+        counts = together(
+            lambda: bin_counts(self.reference, edges), lambda: bin_counts(self.current, edges)
+        )
         return {
             c: psi_of(counts[0][c], counts[1][c]) if c in edges else 0.0 for c in columns
         }

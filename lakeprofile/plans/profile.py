@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import (
-    aggregate_once, as_double, as_text, categorical_columns, is_text, numeric_columns,
+    aggregate_once, as_double, as_text, categorical_columns, is_text, numeric_columns, together,
 )
 from lakeprofile.functions.text import parses_as_number
 from lakeprofile.operators.correlate import pearson_pairs, spearman_pairs, vif_values
@@ -49,6 +49,10 @@ class Profile:
     def of(source: DataFrame | Profile, checks: bool = False) -> Profile:
         return source if isinstance(source, Profile) else Profile(source, checks)
 
+    def prepare(self, *fields: str) -> None:
+        """Compute independent fields at the same time."""
+        together(*[lambda name=name: getattr(self, name) for name in fields])
+
     @cached_property
     def _scan(self) -> tuple[int, dict[str, int], dict[str, Moments]]:
         return numeric_moments(self.df, self.numeric, self.categorical)
@@ -100,9 +104,13 @@ class Profile:
         ]
         ranks = {c: wanted_ranks(self.moments[c].count, PROBABILITIES) for c in numbers
                  if self.moments[c].count <= self.window_values}
-        self._frequencies |= number_frequencies(self.df, numbers, ranks, self._limits)
         texts = [c for c in new if c not in numbers]
-        self._frequencies |= text_frequencies(self.df, texts, self._checks)
+        limits = self._limits if numbers else {}
+        for found in together(
+            lambda: number_frequencies(self.df, numbers, ranks, limits),
+            lambda: text_frequencies(self.df, texts, self._checks),
+        ):
+            self._frequencies |= found
         for c in set(texts) & set(self.numeric):  # counted as text to keep every digit
             f = self._frequencies[c]
             f.mode = min((float(v) for v, n in f.top if n == f.top_count), default=None)
