@@ -272,6 +272,9 @@ SELECT * FROM ({union([
     f" FROM {T('gaps')}" for a, b in combinations(GAPS, 2)
 ])}) WHERE p_both >= 0.5"""
 
+ORACLE["shown_joint_missing_gaps"] = f"""
+SELECT * FROM ({ORACLE["joint_missing_gaps"]}) ORDER BY p_both DESC LIMIT 10"""
+
 # Outliers
 
 

@@ -524,6 +524,11 @@ def shown_missing_gaps(spark, sf_dir):
     return rounded(chartfeed.shown_missing(table(spark, sf_dir, "gaps")))
 
 
+@register
+def shown_joint_missing_gaps(spark, sf_dir):
+    return rounded(chartfeed.shown_joint_missing(table(spark, sf_dir, "gaps")))
+
+
 @register
 def shown_strong_pairs_related(spark, sf_dir):
     df = table(spark, sf_dir, "related").select("l_quantity", "cubed", "shifted", "mixture")
