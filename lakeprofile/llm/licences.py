@@ -180,7 +180,7 @@ spans as (
   where line + n_lines - 1 <= len(lines)),
 sets as (
   select doc_id, line, n_lines,
-         list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) grams
+         list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) grams
   from spans where len(words) > 1),
 scored as (
   select doc_id, line, n_lines, licence,
