@@ -89,34 +89,24 @@ def scan(
         for b in kinds.values()
         for g in sorted(b, key=lambda g: (-len(g), g))[: len(b) - bounds(len(b), least)[0] + 1]
     }
+    any_of = " (" + "|".join(sorted(needed)) + ") "
     padded = F.concat(F.lit(" "), normalised(F.col("text")), F.lit(" "))
-    hit = F.lit(False)
-    for g in sorted(needed):
-        hit = hit | F.contains(F.col("padded"), F.lit(f" {g} "))
-    found = (
-        docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-        .withColumn("padded", padded)
-        .where(hit)
-    )
-    lines = F.split(F.col("text"), "\n", -1)
-    starts = found.select("doc_id", lines.alias("lines")).select(
-        "doc_id", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("line")
-    )
-    spans = starts.select(
-        "doc_id",
-        "line",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_lines), F.size("lines") - F.col("line") + 1)),
-                lambda n: F.struct(
-                    n.alias("n_lines"),
-                    normalised(F.concat_ws("\n", F.slice("lines", F.col("line"), n))).alias("norm"),
-                ),
-            )
-        ).alias("span"),
-    )
+    found = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    lines = F.transform(F.split(F.col("text"), "\n", -1), normalised)
+    found = found.where(F.rlike(padded, F.lit(any_of))).select("doc_id", lines.alias("lines"))
+
+    def span(line: Column, n: Column) -> Column:
+        filled = F.filter(F.slice("lines", line, n), lambda x: x != "")
+        return F.struct(line.alias("line"), n.alias("n_lines"), F.concat_ws(" ", filled).alias("norm"))
+
+    def spans_from(line: Column) -> Column:
+        most = F.least(F.lit(max_lines), F.size("lines") - line + 1)
+        return F.transform(F.sequence(F.lit(1), most), lambda n: span(line, n))
+
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("lines")), spans_from))
     sets = (
-        spans.select("doc_id", "line", "span.n_lines", F.split("span.norm", " ").alias("words"))
+        found.select("doc_id", F.explode(spans).alias("span"))
+        .select("doc_id", "span.line", "span.n_lines", F.split("span.norm", " ").alias("words"))
         .where(F.size("words") > smallest)
         .withColumn("grams", _bigrams(F.col("words")))
         .where(F.size("grams").between(smallest, largest))
