@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import licences, mixing, rollups, shared
+from lakeprofile.llm import jaccard, licences, mixing, rollups, shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents inserted, recounted and in part deleted, one batch delivered twice.
 
@@ -55,6 +59,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_mixing": op6_mixing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_rollups": op9_token_rollups,
     "op10_licence_scan": op10_licence_scan,
 }
