@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprofile.llm import shared, textnp
@@ -291,16 +291,9 @@ def similar_sizes(a: str, b: str, percent: int):
     return F.lit(percent) * F.greatest(a, b) <= F.lit(100) * F.least(a, b)
 
 
-def linked(
-    docs: DataFrame,
-    k: int = K,
-    percent: int = PERCENT,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles and component_id for rows (doc_id, text)."""
+    spark = rows.sparkSession
     id_type = rows.schema["doc_id"].dataType.simpleString()
     hashed = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     signs = shared.cut(
@@ -391,6 +384,44 @@ def linked(
         "c", F.coalesce("component", "doc_id").alias("component_id")
     )
     return own.join(groups, "c", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "th", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def linked(
+    docs: DataFrame,
+    k: int = K,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return _linked(rows, k, percent).drop("th")
+
+
+def representatives(
+    docs: DataFrame,
+    k: int = K,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The rows of docs with one document of each component, that with the smallest id; texts without
+    words all stay. Of rows with this id the one with the smallest text hash stays."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    found = shared.cut(_linked(rows, k, percent), "linked")
+    first = found.where("n_shingles > 0 and doc_id = component_id").groupBy("component_id").agg(
+        F.min("th").alias("__th")
+    )
+    empty = found.where("n_shingles = 0").select("doc_id", "th").distinct()
+    stay = first.select(F.col("component_id").alias("__id"), "__th", F.lit(True).alias("__once"))
+    stay = stay.unionByName(
+        empty.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(False).alias("__once"))
+    )
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    same = (F.col(id_column).eqNullSafe(F.col("__id"))) & (F.col("__h") == F.col("__th"))
+    kept = hashed.join(stay, same)
+    order = Window.partitionBy("__id", "__th", "__once").orderBy("__h")
+    return kept.withColumn("__row", F.row_number().over(order)).where("not __once or __row = 1").select(*docs.columns)

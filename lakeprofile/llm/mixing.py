@@ -34,25 +34,6 @@ FAN = 64
 SEED = 20260
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Numbers the sources from 0 by code point, null last, without sorting them in one task."""
-    dealt = sources.withColumn("last", F.col("source").isNull())
-    dealt = dealt.repartitionByRange("last", "source").withColumn("part", F.spark_partition_id())
-    dealt = shared.cut(dealt, "sources")
-    own = F.row_number().over(Window.partitionBy("part").orderBy("last", "source"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    # One row per partition, whatever the number of sources.
-    offsets = dealt.groupBy("part").agg(F.count("*").alias("n")).select(
-        "part", F.coalesce(before, F.lit(0)).alias("offset")
-    )
-    return (
-        dealt.withColumn("own", own)
-        .join(offsets, "part")
-        .withColumn("rank", F.col("own") + F.col("offset") - 1)
-        .drop("part", "own", "offset", "last")
-    )
-
-
 def targets(
     sizes: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -67,7 +48,9 @@ def targets(
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     kind = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = shared.cut(_ranked(by).withColumn("weight", kind.cast("double")), "ranked")
+    table = by.withColumn("last", F.col("source").isNull())
+    table = shared.ranked(table, [F.col("last"), F.col("source")])
+    table = shared.cut(table.withColumn("weight", kind.cast("double")), "weights")
     most = cap * F.col("source_size")
     goal = (table.agg(F.sum("source_size")).first()[0] or 0) * min(share, cap)
     level = 0.0

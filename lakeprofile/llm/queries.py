@@ -5,18 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import jaccard, licences, mixing, rollups, shared
+from lakeprofile.llm import (
+    decontaminate,
+    hamming,
+    jaccard,
+    licences,
+    mixing,
+    quality,
+    rollups,
+    shared,
+    suffixes,
+    tokenfile,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(column: str):
+    """The remainder by 4 of an id's CRC-32, by which documents are held out."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 4
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_remainder("doc_id") != 2)
+    model = toxicity.fit(docs, labels)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (_remainder("doc_id") == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"), "entries", "restored",
+    )
+
+
+def tokenizer_json() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.fresh(spark, "tokens")
+    tokenfile.write(_table(spark, sf_dir, "documents"), tokenizer_json(), path)
+    return tokenfile.read_documents(spark, path)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.deduplicated(_table(spark, sf_dir, "documents"))
+    lengths = F.transform("spans", lambda s: s["stop"] - s["start"])
+    return rows.select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixture(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hamming.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_table(spark, sf_dir, "documents"))
 
@@ -58,12 +121,19 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_token_file": op2_token_file,
+    "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
+    "op7_hamming_topk": op7_hamming_topk,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_rollups": op9_token_rollups,
     "op10_licence_scan": op10_licence_scan,
 }
 ORACLE = {
+    "op7_hamming_topk": hamming.oracle(),
     "op9_token_rollups": _op9_sql(),
     "op10_licence_scan": licences.oracle(),
 }

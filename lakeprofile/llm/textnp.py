@@ -15,6 +15,12 @@ import pyarrow as pa
 CHUNK = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Letters are ASCII letters and every byte of other characters.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+#: Everything but letters and digits.
+SYMBOL = ~LETTER
+SYMBOL[48:58] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,11 +83,11 @@ def runs(texts: pa.Array, size: int = CHUNK) -> Iterator[Run]:
         i = j
 
 
-def words(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(run: Run, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each document the number of its first word (and the
-    total at the end)."""
+    total at the end). `space` tells for each byte whether it separates words."""
     inside = np.zeros(len(run.data) + 2, bool)
-    inside[1:-1] = ~SPACE[run.data]
+    inside[1:-1] = ~space[run.data]
     own = run.starts[:-1][np.diff(run.starts) > 0]  # a text always starts and ends a word
     begin = inside[1:-1] & ~inside[:-2]
     begin[own] = inside[1:-1][own]
@@ -111,9 +117,9 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingles(run: Run, k: int) -> list[np.ndarray]:
+def shingles(run: Run, k: int, space: np.ndarray = SPACE) -> list[np.ndarray]:
     """Of each document its shingles in order: k words each, or all words where there are fewer."""
-    starts, ends, first = words(run)
+    starts, ends, first = words(run, space)
     hashes = word_hashes(run, starts, ends)
     every = shingle_hashes(hashes, k)
     out = []
