@@ -6,7 +6,9 @@ a and b distinct bigrams, Dice is 2 * shared / (a + b); it reaches `least` only
 b * least / (2 - least) and b * (2 - least) / least. These size bounds choose the templates that a
 passage is compared with. They also mean that at least b * least / (2 - least) bigrams of the
 template are shared, so a document that has none of a few chosen bigrams of any template is passed
-over at once; nothing is lost by it. A passage names the one template it resembles most.
+over at once, and so is one that has none of these bigrams' longer words; nothing is lost by it.
+A passage names the one template it resembles most, and counts only where none of its lines belongs
+to a passage that resembles its template more.
 
 Defined results: null or empty text has no row. A document id that occurs in several rows is one
 document, the passages of its rows are pooled. Of equal passages the first line, then the fewest
@@ -89,11 +91,25 @@ def scan(
         for b in kinds.values()
         for g in sorted(b, key=lambda g: (-len(g), g))[: len(b) - bounds(len(b), least)[0] + 1]
     }
-    any_of = " (" + "|".join(sorted(needed)) + ") "
+    words = sorted({max(g.split(), key=len) for g in needed})
+
+    def any_in(text: Column, parts: list[str]) -> Column:
+        """Whether a text has any of these; it is made once, as the one element of an array."""
+
+        def test(t: Column) -> Column:
+            hit = F.lit(False)
+            for part in parts:
+                hit = hit | F.contains(t, F.lit(part))
+            return hit
+
+        return F.coalesce(F.exists(F.array(text), test), F.lit(False))
+
     padded = F.concat(F.lit(" "), normalised(F.col("text")), F.lit(" "))
     found = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    found = found.where(any_in(F.lower("text"), words))
+    found = found.where(any_in(padded, [f" {g} " for g in sorted(needed)]))
     lines = F.transform(F.split(F.col("text"), "\n", -1), normalised)
-    found = found.where(F.rlike(padded, F.lit(any_of))).select("doc_id", lines.alias("lines"))
+    found = found.select("doc_id", F.xxhash64("text").alias("th"), lines.alias("lines"))
 
     def span(line: Column, n: Column) -> Column:
         filled = F.filter(F.slice("lines", line, n), lambda x: x != "")
@@ -105,8 +121,8 @@ def scan(
 
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("lines")), spans_from))
     sets = (
-        found.select("doc_id", F.explode(spans).alias("span"))
-        .select("doc_id", "span.line", "span.n_lines", F.split("span.norm", " ").alias("words"))
+        found.select("doc_id", "th", F.explode(spans).alias("span"))
+        .select("doc_id", "th", "span.line", "span.n_lines", F.split("span.norm", " ").alias("words"))
         .where(F.size("words") > smallest)
         .withColumn("grams", _bigrams(F.col("words")))
         .where(F.size("grams").between(smallest, largest))
@@ -134,21 +150,30 @@ def scan(
             ).alias("dice"),
         ),
     )
-    return (
+    passages = (
         sets.withColumn("scored", F.filter(scored, lambda m: m["dice"] >= least))
         .where(F.size("scored") > 0)
         .withColumn("top", F.array_max(F.transform("scored", lambda m: m["dice"])))
         .withColumn("m", F.array_min(F.filter("scored", lambda m: m["dice"] == F.col("top"))))
-        .groupBy("doc_id", F.col("m.licence").alias("licence"))
-        .agg(F.max(F.struct("m.dice", -F.col("line"), -F.col("n_lines"))).alias("best"))
+        .select("doc_id", "th", F.struct(
+            F.col("top").alias("dice"), (-F.col("n_lines")).alias("n"), (-F.col("line")).alias("l"),
+            F.col("m.licence").alias("licence"),
+        ).alias("p"))
+    )
+    # Of the passages that cover a line the best; a passage stays if it is that for all its lines.
+    covered = passages.withColumn(
+        "at", F.explode(F.sequence(-F.col("p.l"), -F.col("p.l") - F.col("p.n") - 1))
+    )
+    best = covered.groupBy("doc_id", "th", "at").agg(F.max("p").alias("p"))
+    whole = best.groupBy("doc_id", "th", "p").agg(F.count("*").alias("lines")).where("lines = -p.n")
+    return (
+        whole.groupBy("doc_id", F.col("p.licence").alias("licence"))
+        .agg(F.max(F.struct("p.dice", "p.l", "p.n")).alias("b"))
         .select(
-            "doc_id",
-            "licence",
-            F.col("best.dice").alias("dice"),
-            (-F.col("best.col2")).cast("int").alias("line"),
-            (-F.col("best.col3")).cast("int").alias("n_lines"),
+            "doc_id", "licence", F.col("b.dice").alias("dice"),
+            (-F.col("b.l")).cast("int").alias("line"), (-F.col("b.n")).cast("int").alias("n_lines"),
         )
-    )
+    )
 
 
 def oracle(templates: Mapping[str, str] = TEMPLATES, least: float = LEAST,
@@ -181,8 +206,14 @@ scored as (
 named as (
   select *, row_number() over (partition by doc_id, line, n_lines order by dice desc, licence) k
   from scored where dice >= {least}::double),
+covered as (
+  select *, row_number() over (partition by doc_id, "at" order by dice desc, n_lines, line, licence desc) b
+  from (select *, unnest(range(line, line + n_lines)) "at" from named where k = 1)),
+whole as (
+  select doc_id, licence, dice, line, n_lines from covered where b = 1
+  group by all having count(*) = n_lines),
 best as (
   select *, row_number() over (partition by doc_id, licence order by dice desc, line, n_lines) r
-  from named where k = 1)
+  from whole)
 select doc_id, licence, dice, line::int as line, n_lines::int as n_lines from best where r = 1
 """

@@ -3,9 +3,11 @@
 1. Seven labellers (`LABELLERS`) look at each whole text and vote good, bad or nothing. Their votes
    form a pattern; the documents of each pattern are counted over all documents.
 2. Expectation-maximisation on these counts (at most 3 ** 7, whatever the corpus) estimates how
-   often each labeller votes what on good and on bad texts, taking votes as independent given the
-   truth, and the share of good texts. No true label is read. It starts from the view that any vote for bad holds,
-   since each labeller knows one kind of fault only.
+   often each labeller votes what on good texts and on bad ones, and the share of good texts. No true
+   label is read. A labeller knows one kind of fault and finds texts with another one good, so bad
+   texts are a class for each labeller, and votes are taken as independent within a class, no vote says nothing. It
+   starts from the view that complaints hold. What comes out is each labeller's accuracy, and for each
+   pattern the posterior of good.
 3. A linear scorer is trained on hashed features of words (shape, ending, whether a word repeats its
    neighbour or a passage of the document) with the posterior of the text's pattern as soft label,
    by gradient descent on a sample of at most SAMPLE documents, those with the smallest hashes.
@@ -43,6 +45,8 @@ LABELLERS = {
     "endings": (0.3, 2.0, -1.0, 0.05),
     "length": (0.5, 2.0, -1.0, 0.5),
 }
+#: Least share of the texts with a fault of which its labeller complains.
+COMPLAINS = 0.95
 #: Fewer words give no vote about repetition, fewer letters none about case.
 FEW_WORDS, FEW_LETTERS = 10, 20
 
@@ -180,47 +184,44 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS):
-    """Posterior of good for each pattern, share of good texts, and each labeller's rates of
-    (no vote, bad, good) on bad and on good texts."""
+    """Posterior of good for each pattern, share of good texts, and each labeller's accuracy: how
+    often it is right where it votes."""
     v = patterns[:, None] // _PLACES[None, :] % 3
-    # A labeller sees one kind of fault, so votes for good say little: any vote for bad decides.
-    bad = (v == 1).sum(1)
-    good = np.where(bad > 0, 0.1 / bad.clip(1), np.where((v == 2).any(1), 0.9, 0.5))
-    rates, prior = np.zeros((2, len(LABELLERS), 3)), 0.5
+    bad, each = v == 1, np.arange(len(LABELLERS))
+    complaints = bad.sum(1, keepdims=True)
+    good = np.where(complaints > 0, 0.1 / complaints.clip(1), np.where((v == 2).any(1, keepdims=True), 0.9, 0.5))
+    kinds = np.where(complaints > 0, bad / complaints.clip(1), 1 / len(LABELLERS))
+    share = np.concatenate((good, (1 - good) * kinds), axis=1)  # of the good class, and of the bad ones
     for _ in range(rounds):
-        prior = float((counts * good).sum() / counts.sum())
-        for truth, weight in enumerate((counts * (1 - good), counts * good)):
-            for vote in range(3):
-                rates[truth, :, vote] = ((v == vote) * weight[:, None]).sum(0) + 1
-            rates[truth] /= rates[truth].sum(1, keepdims=True)
-        log = np.log(rates)
-        each = np.arange(len(LABELLERS))
-        odds = np.log(max(prior, 1e-9)) - np.log(max(1 - prior, 1e-9))
-        odds = odds + (log[1, each, v] - log[0, each, v]).sum(1)
-        now = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        if np.abs(now - good).max() < 1e-9:
+        weight = counts[:, None] * share
+        prior = (weight.sum(0) + 0.01) / (weight.sum() + 0.01 * weight.shape[1])
+        complains = (weight.T @ bad + 0.1) / (weight.T @ (v > 0) + 0.2)  # of the votes, by class
+        # The labeller of a bad class complains of it nearly always.
+        complains[each + 1, each] = np.maximum(complains[each + 1, each], COMPLAINS)
+        odds = np.log(prior) + bad @ np.log(complains).T + (v == 2) @ np.log(1 - complains).T
+        odds = np.exp(odds - odds.max(1, keepdims=True))
+        now = odds / odds.sum(1, keepdims=True)
+        moved = np.abs(now - share).max()
+        share = now
+        if moved < 1e-9:
             break
-        good = now
-    return good, prior, rates
+    good = share[:, 0]
+    right = counts @ ((v == 2) * good[:, None] + bad * (1 - good[:, None]))
+    voted = counts @ (v > 0)
+    accuracy = dict(zip(LABELLERS, (right / np.maximum(voted, 1)).tolist()))
+    return good, float((counts * good).sum() / counts.sum()), accuracy
 
 
 @dataclass
 class Model:
-    """Posterior by vote pattern, share of good texts, labellers' rates, weights and their offset."""
+    """Posterior by vote pattern, share of good texts, labellers' accuracies, weights and offset."""
 
     posterior: dict[int, float]
     prior: float
-    rates: np.ndarray
+    accuracy: dict[str, float]
     weights: np.ndarray
     offset: float
 
-    def accuracies(self) -> dict[str, float]:
-        """How often a labeller that votes is right, by the fitted rates."""
-        bad, good = self.rates[0], self.rates[1]
-        right = self.prior * good[:, 2] + (1 - self.prior) * bad[:, 1]
-        any_vote = self.prior * good[:, 1:].sum(1) + (1 - self.prior) * bad[:, 1:].sum(1)
-        return dict(zip(LABELLERS, (right / any_vote).tolist()))
-
 
 def _trained(every: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam; both classes weigh alike."""
@@ -252,7 +253,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_c
     if not found:
         return None
     patterns, counts = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
-    good, prior, rates = expectation_maximisation(patterns, counts)
+    good, prior, accuracy = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist()))
     # Hashes are even, so this bound leaves about as many documents as wanted; the limit is exact.
     share = min(1.0, sample / counts.sum())
@@ -265,7 +266,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_c
         x[i, r["at"]] = np.array(r["times"]) / r["n"]
     y = np.array([posterior[r["pattern"]] for r in some], np.float32)
     weights, offset = _trained(x, y) if len(some) else (np.zeros(FEATURES), 0.0)
-    return Model(posterior, prior, rates, weights, offset)
+    return Model(posterior, prior, accuracy, weights, offset)
 
 
 def _scores(texts: pa.Array, model: Model):

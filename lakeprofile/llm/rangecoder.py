@@ -12,8 +12,8 @@ own, with models in common that learn from all of them. So numpy codes an id of
 and the loop in Python runs along a lane. Order 0 and the shares are brought up to date every
 REFRESH ids of a lane.
 
-A coded block: magic, number of ids, vocabulary, lanes, CRC-32 of what follows; then the number of
-16-bit words of each lane, and the words. A block whose checksum fails is refused.
+A coded block: magic, number of ids, vocabulary, lanes, CRC-32 of these and of what follows; then
+the number of 16-bit words of each lane, and the words. A block whose checksum fails is refused.
 """
 
 from __future__ import annotations
@@ -98,6 +98,10 @@ class _Model:
         self.heard.append(ids)
 
 
+def _crc(count: int, vocabulary: int, lanes: int, body: bytes) -> int:
+    return zlib.crc32(body, zlib.crc32(struct.pack("<III", count, vocabulary, lanes)))
+
+
 def _lanes(n: int) -> np.ndarray:
     """How long the lanes of a block of n ids are; longer ones first."""
     lanes = max(1, min(LANES, n // SHORTEST))
@@ -156,7 +160,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     body = pos.astype("<u4").tobytes() + b"".join(
         row[:k].astype("<u2").tobytes() for row, k in zip(out, pos.tolist())
     )
-    return HEAD.pack(MAGIC, len(ids), vocabulary, n, zlib.crc32(body)) + body
+    return HEAD.pack(MAGIC, len(ids), vocabulary, n, _crc(len(ids), vocabulary, n, body)) + body
 
 
 def decode(coded: bytes) -> np.ndarray:
@@ -165,7 +169,7 @@ def decode(coded: bytes) -> np.ndarray:
         raise ValueError("a block is cut short")
     magic, count, vocabulary, n, crc = HEAD.unpack_from(coded)
     body = coded[HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != crc:
+    if magic != MAGIC or _crc(count, vocabulary, n, body) != crc:
         raise ValueError("a block is damaged")
     lengths = _lanes(count)
     if not count:

@@ -9,7 +9,7 @@ a block and by a document.
 
 Words are tokenized once and remembered: the tokenizer splits at white space and between letters or
 digits and ASCII punctuation before anything else, so a text's ids are its words' ids in order.
-`word_ids` checks none of this; `safe_to_split` refuses tokenizers for which it does not hold.
+`safe_to_split` refuses tokenizers for which this does not hold.
 
 Defined results: null is an empty text, which is the end id alone; null ids come first; rows with
 equal ids are documents of their own, ordered by text; an empty table gives an empty file. Other
@@ -42,9 +42,9 @@ _NORMAL = {"NFC", "Lowercase"}
 
 
 def safe_to_split(text: str) -> None:
-    """Raises unless this tokenizer, as JSON, cuts words apart as `word_ids` does."""
+    """Raises unless this tokenizer, as JSON, cuts words apart as `Words` does."""
     made = json.loads(text)
-    normal = made.get("normalizer") or {}
+    normal = made.get("normalizer") or {"normalizers": []}
     steps = normal.get("normalizers", [normal])
     spaced = [s for s in steps if s.get("type") == "Replace" and s["pattern"].get("Regex") == r"\s+"]
     others = [s["type"] for s in steps if s not in spaced]
