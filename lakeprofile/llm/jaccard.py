@@ -15,9 +15,12 @@ size is counted over all documents first. It only steers the work; any table giv
    dealt into blocks, and every class that is not of the list's main component is searched for
    in every block.
 
-Steps 3 and 4 compare by T-occurrence search (`search`) in tasks: members of a block are indexed by
-shingle, each query merges its short lists and probes the long ones by binary search. Blocks hold
-at most BLOCK members, so neither a frequent shingle nor a group of copies gathers in one task.
+Steps 3 and 4 compare in tasks, in blocks of at most BLOCK members, so neither a frequent shingle nor
+a group of copies gathers in one task. First the smallest quarter of each set's hashes is compared:
+what two sets share of it and could share beyond it bounds their overlap, and most of those that
+have a passage in common drop out (`sifted`). For the others the texts are fetched: members of a
+block are indexed by shingle, and each query merges its short lists and probes the long ones by
+binary search (`search`).
 
 Defined results: null, empty or blank text has the empty set and is linked with nothing; a text of
 fewer than `k` words is one shingle; repeated rows and equal ids are documents of their own with the
@@ -42,7 +45,7 @@ from lakeprofile.llm.components import components
 K = 5
 PERCENT = 75
 #: A shingle of so many classes is frequent; the table of frequent ones keeps the first of them.
-FREQUENT = 64
+FREQUENT = 24
 FREQUENT_TABLE = 1 << 20
 #: Longest list that gives pairs; members of a block.
 SHORT = 64
@@ -95,7 +98,7 @@ def search(lists: np.ndarray, owner: np.ndarray, sizes: np.ndarray, query: np.nd
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 4096) for b in batches for i in range(0, len(b), 4096)):
+        for batch in (b.slice(i, 8192) for b in batches for i in range(0, len(b), 8192)):
             ids, texts, th = batch.column(0), batch.column(1), batch.column(2)
             found = [s for _, s in textnp.sets(texts, k)]
             size = np.array([len(s) for s in found], np.int32)
@@ -103,7 +106,7 @@ def _signatures(k: int):
             _, once = np.unique(own, return_index=True)  # copies count once
             every = np.concatenate([found[i] for i in once] or [np.zeros(0, np.uint64)])
             x, n = np.unique(every, return_counts=True)
-            x, n = x[n > 2], n[n > 2]
+            x, n = x[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([ids, pa.nulls(len(x), ids.type)]),
@@ -125,7 +128,7 @@ def _postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            xs, owners, sizes, hot = [], [], [], []
+            xs, owners, sizes, hot, many = [], [], [], [], 0
             for _, s in textnp.sets(batch.column(0), k):
                 c = class_of(s)
                 if not len(s) or c in seen:
@@ -141,10 +144,10 @@ def _postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
                 hot += [np.zeros(len(rare), bool), np.ones(len(rest), bool)]
                 owners.append(c)
                 sizes.append(len(s))
-                # Documents are packed by the hundred thousand postings, to bound what is held.
-                if sum(map(len, xs[-2:])) and sum(len(x) for x in xs) > 1 << 20:
+                many += keep
+                if many > 1 << 20:  # bounds what is held
                     yield from packed(xs, hot, owners, sizes)
-                    xs, owners, sizes, hot = [], [], [], []
+                    xs, owners, sizes, hot, many = [], [], [], [], 0
             yield from packed(xs, hot, owners, sizes)
 
     def packed(xs, hot, owners, sizes):
@@ -226,6 +229,97 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def low_part(found: np.ndarray, percent: int) -> np.ndarray:
+    """The upper halves of the smallest hashes of a set, one more than two linked sets may differ in."""
+    keep = len(found) - -(-percent * len(found) // 100) + 1
+    return (found[:keep] >> np.uint64(32)).astype(np.uint32)
+
+
+def _with_low_parts(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, len(b), 2048)):
+            texts = pa.array([unpack.decompress(z) for z in batch.column(1).to_pylist()], pa.binary())
+            found = [s for _, s in textnp.sets(texts, k)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int32()),
+                 pa.array([low_part(s, percent).tobytes() for s in found], pa.binary())],
+                ["c", "z", "n", "low"],
+            )
+
+    return run
+
+
+class Sieve:
+    """The low parts of a block's members, indexed by hash."""
+
+    def __init__(self, lows: list[np.ndarray], sizes: list[int], percent: int):
+        self.sizes, self.percent = np.array(sizes, np.int64), percent
+        every = np.concatenate(lows)
+        owner = np.repeat(np.arange(len(lows)), [len(x) for x in lows])
+        order = np.argsort(every, kind="stable")
+        self.lists, self.owner = every[order], owner[order]
+        self.last = np.array([x[-1] for x in lows], np.int64)
+        self.beyond = self.sizes - np.array([np.searchsorted(x, x[-1]) for x in lows])
+
+    def passes(self, low: np.ndarray, size: int) -> np.ndarray:
+        """Members that a query may link with.
+
+        All hashes of both sets below the smaller of the two last ones are in both low parts; what
+        is shared of them is counted (by upper halves, so rather too much), and of the rest no more
+        can be shared than the set with the smaller last one has left.
+        """
+        a, b = np.searchsorted(self.lists, low, "left"), np.searchsorted(self.lists, low, "right")
+        many = b - a
+        at = np.repeat(a - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        rest = size - int(np.searchsorted(low, low[-1]))
+        most = common + np.where(self.last <= int(low[-1]), self.beyond, rest)
+        large = np.maximum(self.sizes, size)
+        fits = self.percent * large <= 100 * np.minimum(self.sizes, size)
+        return np.flatnonzero(fits & (most >= required(size, self.sizes, self.percent)))
+
+
+def _sifted(percent: int):
+    """Of groups (g, salt), members first and then queries, the rows that may link with another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, alive, sieve = None, [], set(), None
+
+        def out(key, rows, query):
+            columns = list(zip(*[(*key, query, c, comp) for c, comp in rows])) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+            arrays = [pa.array(list(v), t) for v, t in zip(columns, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, ["g", "salt", "query", "c", "comp"])
+
+        for batch in batches:
+            g, salt, query, c, comp, n, low = (batch.column(i).to_pylist() for i in range(7))
+            done = []
+            for i in range(len(batch)):
+                if key != (g[i], salt[i]):
+                    if alive:
+                        done.append(out(key, [members[j][:2] for j in sorted(alive)], False))
+                    key, members, alive, sieve = (g[i], salt[i]), [], set(), None
+                part = np.frombuffer(low[i], np.uint32)
+                if not query[i]:
+                    members.append((c[i], comp[i], n[i], part))
+                    continue
+                if not members:
+                    continue
+                if sieve is None:
+                    sieve = Sieve([m[3] for m in members], [m[2] for m in members], percent)
+                found = [j for j in sieve.passes(part, n[i]).tolist() if members[j][1] != comp[i]]
+                if found:
+                    alive.update(found)
+                    done.append(out(key, [(c[i], comp[i])], True))
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if alive:
+            yield out(key, [members[j][:2] for j in sorted(alive)], False)
+
+    return run
+
+
 def _searched(k: int, percent: int):
     """Runs over groups (g, salt), members first and then queries; one link per query and component."""
 
@@ -265,11 +359,16 @@ def _searched(k: int, percent: int):
 
 def _search_in(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links from rows (g, salt, query, c, comp), whose texts are joined by class."""
-    rows = groups.join(texts.select("c", "z"), "c").select("g", "salt", "query", "c", "comp", "z")
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ("g", "salt")
+    rows = groups.join(texts.select("c", "n", "low"), "c").select(*by, "query", "c", "comp", "n", "low")
+    rows = rows.repartition(n, *by).sortWithinPartitions(*by, "query")
+    ddl = "g long, salt int, query boolean, c long, comp long"
+    left = shared.cut(rows.mapInArrow(_sifted(percent), ddl), "sifted")
+    rows = left.join(texts.select("c", "z"), "c").select(*by, "query", "c", "comp", "z")
     return (
-        rows.repartition(n, "g", "salt")
-        .sortWithinPartitions("g", "salt", "query")
+        rows.repartition(n, *by)
+        .sortWithinPartitions(*by, "query")
         .mapInArrow(_searched(k, percent), "u long, v long")
     )
 
@@ -321,7 +420,10 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     )
     wanted = lists.select("c").distinct().join(classes, "c")
     wanted = wanted.select("c", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
-    texts = shared.cut(packed.join(wanted, ["doc_id", "th"]).select("c", "z"), "texts")
+    texts = packed.join(wanted, ["doc_id", "th"]).select("c", "z")
+    texts = shared.cut(
+        texts.mapInArrow(_with_low_parts(k, percent), "c long, z binary, n int, low binary"), "texts"
+    )
 
     # Step 3: a sixteenth of the shingles, each class of a list against the first one.
     sampled = lists.where("pmod(x, 16) = 0")

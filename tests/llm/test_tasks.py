@@ -105,6 +105,19 @@ def test_t_occurrence_search_sets_long_lists_aside():
         assert got.tolist() == want
 
 
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=1, max_size=10),
+       st.sets(st.integers(0, 60), min_size=1, max_size=40), st.integers(0, 9))
+@settings(max_examples=150, deadline=None)
+def test_sieve_keeps_all_links(members, query, shift):
+    """Also where upper halves of different hashes agree."""
+    sets = [np.array(sorted(m), np.uint64) << np.uint64(32 - shift // 3) for m in members]
+    own = np.array(sorted(query), np.uint64) << np.uint64(32 - shift // 3)
+    sieve = jaccard.Sieve([jaccard.low_part(m, 75) for m in sets], [len(m) for m in sets], 75)
+    kept = sieve.passes(jaccard.low_part(own, 75), len(own)).tolist()
+    want = [i for i, m in enumerate(members) if 100 * len(m & query) >= 75 * len(m | query)]
+    assert set(want) <= set(kept)
+
+
 @given(st.lists(st.integers(0, 300), max_size=700), st.integers(1, 4))
 @settings(max_examples=40, deadline=None)
 def test_range_coder_round_trip(ids, repeat):
