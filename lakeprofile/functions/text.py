@@ -33,6 +33,7 @@ DATE_LAYOUTS = [
     (r"^\d{1,2}:\d{2}(:\d{2})?$", None),
 ]
 
+# No layout is longer once the padding is gone.
 _LONGEST_DATE = 40
 
 
@@ -58,9 +59,11 @@ def parse_date(text: Column) -> Column:
             for shape, layout in DATE_LAYOUTS
         ])
 
-    may_be = (F.length(text) <= _LONGEST_DATE) & text.rlike(r"\d")
+    def read_short(t: Column) -> Column:
+        return F.when(F.length(t) <= _LONGEST_DATE, read(t))
+
     # The one-element array makes Spark strip the text once, not once per layout.
-    return F.when(may_be, F.get(F.transform(F.array(strip(text)), read), F.lit(0)))
+    return F.when(text.rlike(r"\d"), F.get(F.transform(F.array(strip(text)), read_short), F.lit(0)))
 
 
 def reads_as_missing(text: Column) -> Column:

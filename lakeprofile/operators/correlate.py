@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from lakeprofile.functions.columns import aggregate_once, as_double
 from lakeprofile.operators.moments import Moments
 from lakeprofile.operators.ranks import BUCKET_ROWS, average_ranks
 
-# A rank table of at most this many values (16 bytes each) is broadcast.
-BROADCAST_VALUES = 100_000
+# More columns than this are correlated by products of whole batches of rows.
+GRAM_COLUMNS = 12
 
 Pair = tuple[str, str]
 
@@ -33,6 +34,8 @@ def pair_correlations(
     one row per task.  Pairs without gaps share their counts and squares.
     """
     pairs = list(pairs)
+    if len({c for pair in pairs for c in pair}) > GRAM_COLUMNS:
+        return _gram_correlations(df, x, centre, pairs)
     exprs: dict[tuple, Column] = {}
 
     def names(a: str, b: str) -> dict[str, tuple]:
@@ -65,6 +68,43 @@ def pair_correlations(
     return out
 
 
+def _gram_correlations(
+    df: DataFrame, x: dict[str, Column], centre: dict[str, float], pairs: list[Pair]
+) -> dict[Pair, tuple[int, float | None]]:
+    """The same sums for many columns, from one scan: every task adds up matrices of products, and
+    Spark adds up the tasks' matrices cell by cell."""
+    names = sorted({c for pair in pairs for c in pair})
+    k = len(names)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            there = ~np.isnan(values)
+            values = np.where(there, values, 0.0)
+            mask = there.astype(float)
+            n += mask.T @ mask
+            s += values.T @ mask  # sums of a row's column where the other one is present
+            q += (values * values).T @ mask
+            p += values.T @ values
+        columns = [np.arange(k * k), *(m.ravel() for m in (n, s, q, p))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "n", "s", "q", "p"])
+
+    data = df.select(*[(x[c] - F.lit(centre[c])).cast("double").alias(str(i)) for i, c in enumerate(names)])
+    cells = data.mapInArrow(sums, "cell long, n double, s double, q double, p double")
+    totals = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "nsqp"]).collect()
+    at = {r["cell"]: r for r in totals}
+    place, out = {c: i for i, c in enumerate(names)}, {}
+    for a, b in pairs:
+        one, two = (at.get(place[i] * k + place[j]) for i, j in ((a, b), (b, a)))
+        if one is None:
+            out[a, b] = (0, None)
+            continue
+        v = {"n": int(one["n"]), "sa": one["s"], "sb": two["s"], "qa": one["q"], "qb": two["q"], "ab": one["p"]}
+        out[a, b] = (v["n"], _r(v, centre[a], centre[b]))
+    return out
+
+
 def _r(v: dict, centre_a: float, centre_b: float) -> float | None:
     n = v["n"]
     if n < 2:
@@ -101,54 +141,43 @@ def spearman_pairs(
 ) -> dict[Pair, float | None]:
     """Spearman rho of every pair, ranked over the complete rows of that pair.
 
-    Columns without gaps have the same ranks in every pair, so they are ranked once together.
+    One table per column has the ranks of its values, once for every column with gaps: the counts
+    of smaller values among the rows where that column is present come from the same running sums.
+    The tables are joined to the rows, small ones by broadcast, and one aggregate sums all pairs.
     """
     out: dict[Pair, float | None] = dict.fromkeys(combinations(columns, 2))
     varying = [
         c for c in columns if moments[c].count > 1 and moments[c].minimum != moments[c].maximum
     ]
-    full = [c for c in varying if moments[c].count == rows]
-    out |= _rank_correlations(df, full, rows, bucket_rows)
-    for a, b in combinations(varying, 2):
-        if a in full and b in full:
-            continue
-        both = df.where(as_double(df, a).isNotNull() & as_double(df, b).isNotNull())
-        n = both.count() if a not in full and b not in full else min(
-            moments[a].count, moments[b].count
-        )
-        out |= _rank_correlations(both, [a, b], n, bucket_rows)
-    return out
-
-
-def _rank_correlations(
-    df: DataFrame, columns: list[str], rows: int, bucket_rows: int
-) -> dict[Pair, float | None]:
-    if len(columns) < 2 or rows < 2:
-        return {}
-    data = df.select(*[as_double(df, c).alias(f"x{k}") for k, c in enumerate(columns)])
+    if len(varying) < 2 or rows < 2:
+        return out
+    place = {c: k for k, c in enumerate(varying)}
+    gappy = [c for c in varying if moments[c].count < rows]
     # -0.0 and 0.0 are one value to a join but two to nobody else.
-    data = data.select(*[(F.col(f"x{k}") + F.lit(0.0)).alias(f"x{k}") for k in range(len(columns))])
-    distinct = aggregate_once(
-        data, {k: F.approx_count_distinct(f"x{k}", 0.02) for k in range(len(columns))}
-    )
+    data = df.select(*[(as_double(df, c) + 0.0).alias(f"x{k}") for c, k in place.items()])
     ranked = data
-    # Small rank tables first: they are broadcast and replace a value by its rank in place.  The
-    # others are joined on the value; adaptive execution splits the tasks of a hot value, whose
-    # rank table side is a single row.
-    for k in sorted(distinct, key=distinct.get):
-        table = average_ranks(data, F.col(f"x{k}"), rows, bucket_rows).select(
-            F.col("x").alias(f"x{k}"), F.col("rank").alias(f"r{k}")
-        )
-        if distinct[k] * 1.2 <= BROADCAST_VALUES:
-            table = F.broadcast(table)
-        ranked = ranked.join(table, f"x{k}").drop(f"x{k}")
-    middle = (rows + 1) / 2
-    names = {c: f"r{k}" for k, c in enumerate(columns)}
-    got = pair_correlations(
-        ranked, {c: F.col(r) for c, r in names.items()}, dict.fromkeys(columns, middle), set(),
-        combinations(columns, 2),
-    )
-    return {p: r for p, (_, r) in got.items()}
+    for a, k in place.items():
+        partners = {str(place[b]): F.col(f"x{place[b]}").isNotNull() for b in gappy if b != a}
+        table = average_ranks(data, F.col(f"x{k}"), rows, bucket_rows, partners)
+        named = [F.col("rank").alias(f"r{k}"), *[F.col(f"rank_{b}").alias(f"r{k}_{b}") for b in partners]]
+        ranked = ranked.join(table.select(F.col("x").alias(f"x{k}"), *named), f"x{k}", "left")
+    exprs: dict[tuple, Column] = {}
+    pairs = list(combinations(varying, 2))
+    for a, b in pairs:
+        one = F.col(f"r{place[a]}_{place[b]}" if b in gappy else f"r{place[a]}")
+        two = F.col(f"r{place[b]}_{place[a]}" if a in gappy else f"r{place[b]}")
+        both = F.col(f"x{place[a]}").isNotNull() & F.col(f"x{place[b]}").isNotNull()
+        middle = F.lit((min(moments[a].count, moments[b].count) + 1) / 2)
+        da, db = F.when(both, one - middle), F.when(both, two - middle)
+        exprs |= {(a, b, "n"): F.count(da), (a, b, "sa"): F.sum(da), (a, b, "sb"): F.sum(db),
+                  (a, b, "qa"): F.sum(da * da), (a, b, "qb"): F.sum(db * db),
+                  (a, b, "ab"): F.sum(da * db)}
+    # All in one pass, so that no rank table is joined twice.
+    got = aggregate_once(ranked, exprs, at_once=len(exprs))
+    for a, b in pairs:
+        sums = {k: got[a, b, k] for k in ("n", "sa", "sb", "qa", "qb", "ab")}
+        out[a, b] = _r(sums, 0.0, 0.0)
+    return out
 
 
 def vif_values(

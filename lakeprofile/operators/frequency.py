@@ -16,8 +16,6 @@ from lakeprofile.functions.text import parse_date, parses_as_number, reads_as_mi
 from lakeprofile.operators.quantiles import group_number, values_at
 
 TOP_VALUES = 10
-# Columns with at most this many values are checked for spellings of one label.
-LABEL_VALUES = 200
 # Whole numbers up to here are exact as doubles.
 EXACT_DOUBLE = 2.0**53
 
@@ -30,6 +28,8 @@ class TextChecks:
     dates: int = 0
     hidden: int = 0  # placeholders that read as missing
     examples: list[str] = field(default_factory=list)
+    spellings: int = 0  # labels that occur in several spellings
+    variants: list[str] = field(default_factory=list)  # the spellings of the first of them
 
 
 @dataclass
@@ -40,7 +40,6 @@ class Frequencies:
     top_count: int = 0
     entropy_bits: float = 0.0
     top: list[tuple[str, int]] = field(default_factory=list)  # (value, count), ties by value
-    labels: list[str] = field(default_factory=list)  # all values, if few enough to be labels
     mode: float | None = None  # lowest most frequent number
     at_rank: dict[int, float] = field(default_factory=dict)  # requested order statistics
     text: TextChecks = field(default_factory=TextChecks)
@@ -125,55 +124,75 @@ def text_counts(df: DataFrame, columns: list[str], checks: bool = False) -> Data
     cells = []
     for k, c in enumerate(columns):
         s = text_key(df, c)
-        number = hidden = F.lit(False)
+        number = hidden = date = F.lit(False)
         if checks and is_text(df.schema[c].dataType):
             text = as_text(df, c)
             long = F.octet_length(text) > FOLD_BYTES
             number = F.coalesce(long & parses_as_number(text), F.lit(False))
             hidden = F.coalesce(long & reads_as_missing(text), F.lit(False))
+            date = F.coalesce(long & parse_date(text).isNotNull(), F.lit(False))
         parts = [s.alias("s")]
         if checks:
-            parts += [number.alias("long_number"), hidden.alias("long_hidden")]
+            parts += [number.alias("long_number"), hidden.alias("long_hidden"), date.alias("long_date")]
         cells.append((F.struct(*parts) if checks else s).alias(str(k)))
     names = [str(k) for k in range(len(columns))]
     melted = df.select(*cells).unpivot([], names, "c", "v" if checks else "s")
     melted = melted.select(group_number("c"), "v.*" if checks else "s").where("s is not null")
-    keys = ["c", "s", *(["long_number", "long_hidden"] if checks else [])]
+    keys = ["c", "s", *(["long_number", "long_hidden", "long_date"] if checks else [])]
     return melted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_frequencies(
-    df: DataFrame, columns: list[str], checks: bool = False
+    df: DataFrame, columns: list[str], checks: bool = False, keep: int = TOP_VALUES
 ) -> dict[str, Frequencies]:
-    """Distinct count, entropy and top values of columns compared as text.
+    """Distinct count, entropy and the ``keep`` top values of columns compared as text.
 
     ``checks`` looks into the text, once per distinct value.  Every branch of the union reads the
     same frequency shuffle.  The top branch keeps a few rows per column and task before its own
-    exchange, so no task sees a whole column.
+    exchange, so no task sees a whole column.  Numeric columns, which come here to keep every
+    digit, also get their lowest most frequent number.
     """
     out = {c: Frequencies() for c in columns}
     if not columns:
         return out
     counts = text_counts(df, columns, checks)
-    parts = counts.groupBy("c").agg(
-        F.lit("summary").alias("part"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"),
+    totals = counts.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"), F.max("n").alias("top_n"),
         F.sum(F.col("n") * F.log2("n")).alias("weighted_log"),
     )
+    parts = totals.withColumn("part", F.lit("summary"))
     order = Window.partitionBy("c").orderBy(F.desc("n"), "s")
     top = (
         counts.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= (LABEL_VALUES if checks else TOP_VALUES))
+        .where(F.col("rank") <= keep)
         .select("c", F.lit("top").alias("part"), "n", "rank", F.col("s").alias("shown"))
     )
     parts = parts.unionByName(top, allowMissingColumns=True)
+    numbers = [k for k, c in enumerate(columns) if isinstance(df.schema[c].dataType, T.NumericType)]
+    if numbers:
+        most = totals.select(group_number("c"), F.col("top_n").alias("most"))
+        modes = (
+            counts.where(F.col("c").isin(numbers))
+            .join(F.broadcast(most), "c")  # one row per column
+            .where(F.col("n") == F.col("most"))
+            .groupBy("c")
+            .agg(F.lit("mode").alias("part"), F.min(F.expr("try_cast(s as double)")).alias("x"))
+        )
+        parts = parts.unionByName(modes, allowMissingColumns=True)
     if checks:
         parts = parts.unionByName(_text_checks(counts), allowMissingColumns=True)
+        parts = parts.unionByName(_spellings(counts), allowMissingColumns=True)
     for r in sorted(parts.collect(), key=lambda r: r["rank"] or 0):
         f = out[columns[r["c"]]]
         if r["part"] == "summary":
             f.unique, f.entropy_bits = r["n"], _entropy(r["total"], r["weighted_log"])
+        elif r["part"] == "mode":
+            f.mode = r["x"]
         elif r["part"] == "text":
-            f.text = TextChecks(r["numbers"], r["dates"], r["hidden"], sorted(r["examples"]))
+            f.text.numbers, f.text.dates, f.text.hidden = r["numbers"], r["dates"], r["hidden"]
+            f.text.examples = sorted(r["examples"])
+        elif r["part"] == "spellings":
+            f.text.spellings, f.text.variants = r["labels"], sorted(r["first"]["variants"])
         else:
             f.top.append((r["shown"], r["n"]))
             if r["rank"] == 1:
@@ -187,48 +206,61 @@ def _text_checks(counts: DataFrame) -> DataFrame:
     folded = F.octet_length(text) > FOLD_BYTES
     is_number = F.when(folded, F.col("long_number")).otherwise(parses_as_number(text))
     is_hidden = F.when(folded, F.col("long_hidden")).otherwise(reads_as_missing(text))
+    is_date = F.when(folded, F.col("long_date")).otherwise(parse_date(text).isNotNull())
     # Spellings of ten short words without their padding: a bounded set.
     example = F.when(is_hidden & ~folded, strip(text))
     return counts.groupBy("c").agg(
         F.lit("text").alias("part"),
         F.coalesce(F.sum(F.when(is_number, n)), F.lit(0)).alias("numbers"),
-        F.coalesce(F.sum(F.when(parse_date(text).isNotNull(), n)), F.lit(0)).alias("dates"),
+        F.coalesce(F.sum(F.when(is_date, n)), F.lit(0)).alias("dates"),
         F.coalesce(F.sum(F.when(is_hidden, n)), F.lit(0)).alias("hidden"),
         F.collect_set(example).alias("examples"),
     )
 
 
+def _spellings(counts: DataFrame) -> DataFrame:
+    """How many labels occur in spellings that differ in case or padding only, and the first one's.
+
+    Values of up to 64 bytes, however many a column has; both sums are merged in every task.
+    """
+    # Digests are counted as nothing; a filter would become a scan of its own.
+    short = F.when(F.octet_length("s") <= FOLD_BYTES, F.col("s"))
+    label = F.lower(strip(F.col("s")))
+    # Two are enough for an example, so no label gathers its spellings.
+    merged = counts.groupBy("c", label.alias("label")).agg(
+        F.count(short).alias("k"), F.min(short).alias("low"), F.max(short).alias("high")
+    )
+    first = F.struct("label", F.array("low", "high").alias("variants"))
+    return merged.where("k > 1").groupBy("c").agg(
+        F.lit("spellings").alias("part"), F.count(F.lit(1)).alias("labels"), F.min(first).alias("first")
+    )
+
+
 def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
     """Replace the digests among reported values by the texts they stand for."""
-    for f in found.values():
-        if f.unique > len(f.top):
-            f.top = f.top[:TOP_VALUES]
     wanted = [
         (c, v) for c, f in found.items() for v, _ in f.top
         if len(v) == FOLD_BYTES + 1 and v.startswith("#")
     ]
-    if wanted:
-        names = sorted({c for c, _ in wanted})
-        texts = df.select(*[as_text(df, c).alias(str(k)) for k, c in enumerate(names)])
-        keys = df.sparkSession.createDataFrame(
-            [(str(names.index(c)), v) for c, v in wanted], "c string, key string"
-        )
-        rows = (
-            texts.unpivot([], texts.columns, "c", "text")
-            .where(F.octet_length("text") > FOLD_BYTES)
-            .withColumn("key", fold(F.col("text")))
-            .join(F.broadcast(keys), ["c", "key"])  # a few keys per column
-            .groupBy("c", "key")
-            .agg(F.first("text").alias("text"))
-            .collect()
-        )
-        full = {(names[int(r["c"])], r["key"]): r["text"] for r in rows}
-        for c, f in found.items():
-            f.top = [(full.get((c, v), v), n) for v, n in f.top]
-    for f in found.values():
-        if 0 < f.unique <= LABEL_VALUES:
-            f.labels = [v for v, _ in f.top]
-        f.top = f.top[:TOP_VALUES]
+    if not wanted:
+        return
+    names = sorted({c for c, _ in wanted})
+    texts = df.select(*[as_text(df, c).alias(str(k)) for k, c in enumerate(names)])
+    keys = df.sparkSession.createDataFrame(
+        [(str(names.index(c)), v) for c, v in wanted], "c string, key string"
+    )
+    rows = (
+        texts.unpivot([], texts.columns, "c", "text")
+        .where(F.octet_length("text") > FOLD_BYTES)
+        .withColumn("key", fold(F.col("text")))
+        .join(F.broadcast(keys), ["c", "key"])  # a few keys per column
+        .groupBy("c", "key")
+        .agg(F.first("text").alias("text"))
+        .collect()
+    )
+    full = {(names[int(r["c"])], r["key"]): r["text"] for r in rows}
+    for c, f in found.items():
+        f.top = [(full.get((c, v), v), n) for v, n in f.top]
 
 
 def value_table(df: DataFrame, columns: list[str]) -> DataFrame:

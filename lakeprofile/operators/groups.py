@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import chunks
-from lakeprofile.operators.quantiles import WINDOW_VALUES, exact_quantiles
+from lakeprofile.operators.ranks import BUCKET_ROWS, range_number, value_ranges
 
 # A table of at most this many classes is broadcast.
 BROADCAST_CLASSES = 50_000
@@ -36,12 +36,19 @@ class OneWay:
 
 
 def one_way(
-    df: DataFrame, key: Column, columns: dict[str, Column], min_rows: int = 1
+    df: DataFrame,
+    key: Column,
+    columns: dict[str, Column],
+    min_rows: int = 1,
+    centre: dict[str, float] | None = None,
 ) -> dict[str, OneWay]:
     """Sums of squares of each expression between and within the classes of ``key``.
 
-    Per class only merged moments are shuffled; classes with fewer values are left out.
+    Per class only merged moments are shuffled; classes with fewer values are left out.  Values are
+    taken from ``centre``, a number near their mean: without it a column of large numbers that lie
+    close together would lose its differences when squares are subtracted.
     """
+    columns = {c: x - F.lit(centre[c]) if centre else x for c, x in columns.items()}
     out = {}
     for part in chunks(list(columns.items()), 12):
         stats = []
@@ -74,61 +81,81 @@ def class_quantiles(
     key: Column,
     columns: dict[str, Column],
     probabilities: list[float],
-    window_values: int = WINDOW_VALUES,
+    rows: int,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(key, one array of quantiles per column) for every class.
+    """(key, one array of quantiles per column) for every class, all classes in the same jobs.
 
-    Classes of up to ``window_values`` rows use the in-memory percentile of their group.  Larger
-    ones, of which there are at most rows / window_values, get the bracket search, so no task
-    holds the values of a large class.
+    Value ranges of each column are shared by its classes.  Rows are counted by class, column and
+    range; only ranges that hold a wanted rank are read again, merged by value and sorted, so no
+    task holds a large class and nothing is collected but the ranges' limits.
     """
-    data = df.select(key.alias("key"), *[x.alias(f"x{k}") for k, x in enumerate(columns.values())])
-    data = data.where("key is not null")
     names = [f"x{k}" for k in range(len(columns))]
-    large = (
-        data.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("rows"), *[F.count(x).alias(x) for x in names],
-             *[F.min(x).alias(f"{x}_min") for x in names],
-             *[F.max(x).alias(f"{x}_max") for x in names])
-        .where(F.col("rows") > window_values)
-        .collect()
-    )
-    small = data
-    if large:
-        small = data.where(~F.col("key").isin([r["key"] for r in large]))
-    quantiles = small.groupBy("key").agg(
-        *[F.percentile(x, F.lit(probabilities)).alias(x) for x in names]
+    data = df.select(key.alias("key"), *[(x + 0.0).alias(n) for n, x in zip(names, columns.values())])
+    data = data.where("key is not null")
+    limits = value_ranges(data, names, rows, bucket_rows)
+    cells = [
+        F.when(F.col(n).isNotNull(), F.struct(
+            F.lit(k).alias("c"), range_number(F.col(n), limits[n]).alias("b"), F.col(n).alias("x")
+        ))
+        for k, n in enumerate(names)
+    ]
+    melted = data.select("key", F.explode(F.array_compact(F.array(*cells))).alias("v")).select("key", "v.*")
+
+    group = Window.partitionBy("key", "c")
+    upto = group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = melted.groupBy("key", "c", "b").agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.select(
+        "*", F.sum("n").over(upto).alias("end"), F.sum("n").over(group).alias("total")
+    )
+    wanted = F.flatten(F.array(*[
+        F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p))
+        for p in probabilities
+    ]))
+    hits = F.array_distinct(
+        F.filter(wanted, lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))
+    )
+    needed = ranges.select(
+        "key", "c", "b", (F.col("end") - F.col("n")).alias("before"), hits.alias("ranks"), "total"
+    ).where(F.size("ranks") > 0)
+
+    counts = melted.join(needed.select("key", "c", "b"), ["key", "c", "b"])
+    counts = counts.groupBy("key", "c", "b", "x").agg(F.count(F.lit(1)).alias("n"))
+    inside = (
+        Window.partitionBy("key", "c", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     )
-    if large:
-        # Each large class is one masked column, so the classes share the scans.
-        masked, counts, limits = {}, {}, {}
-        for k, r in enumerate(large):
-            for x in names:
-                masked[k, x] = F.when(F.col("key") == r["key"], F.col(x))
-                counts[k, x] = r[x]
-                limits[k, x] = (r[f"{x}_min"], r[f"{x}_max"])
-        got = exact_quantiles(data, masked, probabilities, counts, limits, window_values)
-        rows = [(r["key"], *[got[k, x] for x in names]) for k, r in enumerate(large)]
-        schema = "key string, " + ", ".join(f"{x} array<double>" for x in names)
-        quantiles = quantiles.unionByName(df.sparkSession.createDataFrame(rows, schema))
-    return quantiles.toDF("key", *columns)
+    placed = counts.select("*", F.sum("n").over(inside).alias("upto")).join(needed, ["key", "c", "b"])
+    end = F.col("before") + F.col("upto")
+    here = F.filter("ranks", lambda r: (r >= end - F.col("n")) & (r < end))
+    at = placed.select("key", "c", "total", "x", F.explode(here).alias("rank"))
+    by_rank = at.groupBy("key", "c").agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"), F.max("total").alias("total")
+    )
+
+    def quantile(p: float) -> Column:
+        h = (F.col("total") - 1) * F.lit(p)
+        low, high = F.col("at")[F.floor(h)], F.col("at")[F.ceil(h)]
+        return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
+
+    found = by_rank.select("key", "c", F.array(*[quantile(p) for p in probabilities]).alias("q"))
+    wide = found.groupBy("key").agg(
+        *[F.max(F.when(F.col("c") == k, F.col("q"))).alias(n) for k, n in enumerate(names)]
+    )
+    return data.select("key").distinct().join(wide, "key", "left").toDF("key", *columns)
 
 
 def levene(
-    df: DataFrame, key: Column, columns: dict[str, Column], classes: int,
-    window_values: int = WINDOW_VALUES,
+    df: DataFrame, key: Column, columns: dict[str, Column], classes: int, rows: int,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> dict[str, OneWay]:
     """One-way layout of the distances to the class medians (Levene, median-centred)."""
-    out = {}
-    for part in chunks(list(columns.items()), 8):
-        named = dict(part)
-        medians = class_quantiles(df, key, named, [0.5], window_values)
-        if classes <= BROADCAST_CLASSES:
-            medians = F.broadcast(medians)
-        data = df.select(key.alias("key"), *[x.alias(f"x{k}") for k, x in enumerate(named.values())])
-        both = data.join(medians.toDF("key", *[f"med{k}" for k in range(len(named))]), "key")
-        away = {
-            c: F.abs(F.col(f"x{k}") - F.col(f"med{k}")[0]) for k, c in enumerate(named)
-        }
-        out |= one_way(both, F.col("key"), away, min_rows=2)
-    return out
+    if not columns:
+        return {}
+    names = [f"x{k}" for k in range(len(columns))]
+    medians = class_quantiles(df, key, columns, [0.5], rows, bucket_rows)
+    if classes <= BROADCAST_CLASSES:
+        medians = F.broadcast(medians)
+    data = df.select(key.alias("key"), *[x.alias(n) for n, x in zip(names, columns.values())])
+    both = data.join(medians.toDF("key", *[f"med{k}" for k in range(len(names))]), "key")
+    away = {c: F.abs(F.col(f"x{k}") - F.col(f"med{k}")[0]) for k, c in enumerate(columns)}
+    return one_way(both, F.col("key"), away, min_rows=2)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +16,38 @@ def linear_edges(low: float, high: float, bins: int) -> list[float]:
     return sorted({*(low + k * step for k in range(bins)), high})
 
 
+def _bin(x: Column, edges: list[float]) -> Column:
+    """Number of the bin of equal width that holds x, set right against the edges themselves."""
+    last = len(edges) - 2
+    if last <= 0:
+        return F.lit(0)
+    low, width = edges[0], (edges[-1] - edges[0]) / (last + 1)
+    guess = F.least(F.lit(last), F.greatest(F.lit(0), F.floor((x - F.lit(low)) / F.lit(width)).cast("int")))
+    table = F.lit([float(e) for e in edges])
+    return (
+        F.when(x < F.get(table, guess), guess - 1)
+        .when((guess < last) & (x >= F.get(table, guess + 1)), guess + 1)
+        .otherwise(guess)
+    )
+
+
 def with_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """Add column b_<name> with the 0-based bin of each double column; NULL for a missing value.
 
-    Bins are closed on the left, the last one on both sides; every value must lie in the range.
+    Bins are of equal width, closed on the left, the last one on both sides; every value must lie in
+    the range.  Where rounding has merged edges, the edges are counted instead.
     """
-    several = [c for c, e in edges.items() if len(e) > 2]  # a single bin needs no search
-    binned = df
-    if several:
-        binned = Bucketizer(
-            splitsArray=[edges[c] for c in several], inputCols=several,
-            outputCols=[f"b_{c}" for c in several], handleInvalid="keep",
-        ).transform(df)
-    return binned.withColumns({
-        f"b_{c}": F.when(
-            col(c).isNotNull(), col(f"b_{c}").cast("bigint") if c in several else F.lit(0)
-        ).cast("bigint")
-        for c in edges
-    })
+
+    def number(c: str, e: list[float]) -> Column:
+        even = len(e) < 3 or min(b - a for a, b in zip(e, e[1:])) > 0.5 * (e[-1] - e[0]) / (len(e) - 1)
+        if even:
+            return _bin(col(c), e)
+        inner = F.lit([float(v) for v in e[1:-1]])
+        return F.size(F.filter(inner, lambda v: v <= col(c)))
+
+    return df.withColumns({
+        f"b_{c}": F.when(col(c).isNotNull(), number(c, e)).cast("bigint") for c, e in edges.items()
+    })
 
 
 def histogram_counts(

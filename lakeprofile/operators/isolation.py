@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeprofile.functions.columns import group_key
+
 TREES = 100
 SAMPLE = 256
 SEED = 42
@@ -40,46 +42,56 @@ def grow(values: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -
     return left + grow(values[at:], rng, depth + 1, limit)
 
 
-def subsamples(df: DataFrame, x: Column, rows: int) -> DataFrame:
-    """(tree, x): for every tree up to 256 values drawn without replacement.
+def subsamples(
+    df: DataFrame, x: Column, rows: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
+) -> DataFrame:
+    """(tree, x): for every tree up to ``sample`` values drawn without replacement.
 
-    Work after the first draw does not grow with the table.
+    Rows are drawn by a hash of their cells, so the draw does not depend on how they are stored;
+    rows that are equal in every cell are drawn together.  Work after the first draw does not grow
+    with the table.
     """
-    pool = min(rows, 2 * TREES * SAMPLE)
-    values = df.select(x.alias("x")).where("x is not null")
+    pool = min(rows, 2 * trees * sample)
+    cells = [F.xxhash64(F.lit(seed), *[group_key(df, c) for c in df.columns]).alias("id")]
+    values = df.select(x.alias("x"), *cells).where("x is not null")
     if pool < rows:
-        values = values.sample(pool / rows, SEED)
-    keep = min(1.0, 2 * SAMPLE / pool)
+        values = values.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(pool / rows * (1 << 40)))
+    keep = min(1.0, 2 * sample / pool)
     draws = (
-        values.withColumn("id", F.monotonically_increasing_id())
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .withColumn("h", F.xxhash64(F.lit(SEED), "id", "tree"))
+        values.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        .withColumn("h", F.xxhash64(F.lit(seed), "id", "tree"))
         .where(F.pmod("h", F.lit(1_000_000)) < int(keep * 1_000_000))
     )
-    order = Window.partitionBy("tree").orderBy("h")
-    return draws.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE)
+    order = Window.partitionBy("tree").orderBy("h", "x")
+    return draws.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
 
 
 def isolated_count(
-    df: DataFrame, x: Column, rows: int, contamination: str | float = "auto"
+    df: DataFrame,
+    x: Column,
+    rows: int,
+    contamination: str | float = "auto",
+    trees: int = TREES,
+    sample: int = SAMPLE,
+    seed: int = SEED,
 ) -> int:
-    """Rows the forest finds anomalous.
+    """Rows that a forest of ``trees`` trees over ``sample`` values each finds anomalous.
 
     'auto' flags scores above 0.5; a share flags that share of the rows with the highest scores.
     """
-    size = min(SAMPLE, rows)
+    size = min(sample, rows)
     limit = math.ceil(math.log2(max(size, 2)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        rng = np.random.default_rng([SEED, tree])
+        rng = np.random.default_rng([seed, tree])
         leaves = grow(np.sort(group["x"].to_numpy()), rng, 0, limit)
         return pd.DataFrame({"tree": tree, "upto": [u for u, _ in leaves],
                              "path": [d for _, d in leaves]})
 
-    # At most 100 trees of 256 leaves come back.
+    # At most `trees` times `sample` leaves come back.
     leaves = (
-        subsamples(df, x, rows).select("tree", "x").groupBy("tree")
+        subsamples(df, x, rows, trees, sample, seed).select("tree", "x").groupBy("tree")
         .applyInPandas(build, "tree int, upto double, path double").toPandas()
     )
     cuts = np.unique(leaves["upto"][np.isfinite(leaves["upto"])])
@@ -87,11 +99,11 @@ def isolated_count(
         return 0
     inside = np.concatenate(([cuts[0] - 1], (cuts[:-1] + cuts[1:]) / 2, [cuts[-1] + 1]))
     path = np.zeros(len(inside))
-    trees = leaves.groupby("tree")
-    for _, tree in trees:
+    grown = leaves.groupby("tree")
+    for _, tree in grown:
         tree = tree.sort_values("upto")
         path += tree["path"].to_numpy()[np.searchsorted(tree["upto"].to_numpy(), inside)]
-    score = 2.0 ** (-path / len(trees) / average_path(size))
+    score = 2.0 ** (-path / len(grown) / average_path(size))
 
     splits = [-math.inf, *cuts.tolist(), math.inf]
     binned = Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(

@@ -1,44 +1,13 @@
-"""Exact two-sample Kolmogorov-Smirnov distance without sorting a column.
-
-The counts of both sides per value range bound the distance inside each range.  Ranges that cannot
-beat the largest gap seen at a range end are dropped; the rest are split again until they are small,
-and only their values are merged and sorted.
-"""
+"""Exact two-sample Kolmogorov-Smirnov distance from cumulative counts of both sides."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeprofile.functions.columns import aggregate_once, as_double, chunks
-from lakeprofile.operators.quantiles import WINDOW_VALUES
-
-# Parts of a range, and the accuracy of the sketch that proposes them.
-PARTS = 512
-_ACCURACY = 10_000
-
-
-@dataclass
-class _Range:
-    """An open value range of one column, with the rows of both sides below and inside it."""
-
-    column: str
-    below: tuple[int, int]
-    inside: tuple[int, int]
-    low: float = -math.inf
-    high: float = math.inf
-
-    @property
-    def whole(self) -> bool:
-        return self.low == -math.inf and self.high == math.inf
-
-    def values(self, x: Column) -> Column:
-        return x if self.whole else F.when((x > self.low) & (x < self.high), x)
+from lakeprofile.functions.columns import as_double
+from lakeprofile.operators.quantiles import group_number
+from lakeprofile.operators.ranks import BUCKET_ROWS, range_number, value_ranges
 
 
 def ks_distances(
@@ -47,129 +16,47 @@ def ks_distances(
     columns: list[str],
     ref_rows: dict[str, int],
     cur_rows: dict[str, int],
-    window_values: int = WINDOW_VALUES,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> dict[str, float]:
-    """Largest gap between the two empirical distribution functions of each column."""
-    place = {c: f"x{k}" for k, c in enumerate(columns)}
+    """Largest gap between the two empirical distribution functions of each column.
+
+    Both sides are merged by value, so a hot value is one row.  Running sums are taken inside value
+    ranges and shifted by the totals of the ranges before; all columns share the sketch that sets
+    the ranges and one job, whatever the data.
+    """
+    if not columns:
+        return {}
+    names = [str(k) for k in range(len(columns))]
     sides = [
         # 0.0 and -0.0 are the same value.
-        df.select(F.lit(r).alias("r"), *[(as_double(df, c) + 0.0).alias(x) for c, x in place.items()])
+        df.select(F.lit(r).alias("r"), *[(as_double(df, c) + 0.0).alias(k) for c, k in zip(columns, names)])
         for df, r in ((reference, 1), (current, 0))
     ]
     both = sides[0].unionByName(sides[1])
-    totals = {c: (ref_rows[c], cur_rows[c]) for c in columns}
-    best = dict.fromkeys(columns, 0.0)
-    open_ = [_Range(c, (0, 0), totals[c]) for c in columns]
-    small: list[_Range] = []
-    while open_:
-        wide = [r for r in open_ if sum(r.inside) > window_values]
-        small += [r for r in open_ if sum(r.inside) <= window_values]
-        open_ = []
-        for part in chunks(wide, 8):
-            open_ += _split(both, place, part, totals, best)
-    small = [r for r in small if _bound(r, totals[r.column]) > best[r.column]]
-    for part in chunks([c for c in columns if any(r.column == c for r in small)], 12):
-        for c, d in _finish(both, place, part, small, totals).items():
-            best[c] = max(best[c], d)
-    return best
-
-
-def _bound(r: _Range, total: tuple[int, int]) -> float:
-    """No gap inside the range is larger than this."""
-    start = [b / t for b, t in zip(r.below, total, strict=True)]
-    end = [(b + n) / t for b, n, t in zip(r.below, r.inside, total, strict=True)]
-    return max(end[0] - start[1], end[1] - start[0])
-
-
-def _split(
-    both: DataFrame,
-    place: dict[str, str],
-    ranges: list[_Range],
-    totals: dict[str, tuple[int, int]],
-    best: dict[str, float],
-) -> list[_Range]:
-    """The parts of each range that may still hold a larger gap; raises ``best`` on the way.
-
-    A limit forms a part of its own, so a hot value is settled at once and every other part is a
-    small share of its range.
-    """
-    masked = both.select("r", *[
-        r.values(F.col(place[r.column])).alias(str(k)) for k, r in enumerate(ranges)
-    ])
-    grid = F.lit([k / PARTS for k in range(1, PARTS)])
-    limits = aggregate_once(
-        masked, {k: F.percentile_approx(str(k), grid, F.lit(_ACCURACY)) for k in range(len(ranges))}
+    rows = max(ref_rows[c] + cur_rows[c] for c in columns)
+    limits = value_ranges(both, names, rows, bucket_rows)
+    cells = [
+        F.when(F.col(k).isNotNull(), F.struct(range_number(F.col(k), limits[k]).alias("b"), F.col(k).alias("x")))
+        for k in names
+    ]
+    melted = both.select("r", *[c.alias(k) for c, k in zip(cells, names)])
+    melted = melted.unpivot(["r"], names, "c", "v").where("v is not null")
+    counts = melted.select(group_number("c"), "v.b", "v.x", "r").groupBy("c", "b", "x").agg(
+        F.sum("r").alias("ref"), F.sum(1 - F.col("r")).alias("cur")
     )
-    edges = []
-    for k in range(len(ranges)):
-        inner = {e for v in limits[k] for e in (float(v), float(np.nextafter(v, math.inf)))}
-        edges.append([-math.inf, *sorted(inner - {-math.inf, math.inf}), math.inf])
-    names = [str(k) for k in range(len(ranges))]
-    binned = Bucketizer(
-        splitsArray=edges, inputCols=names, outputCols=[f"b{k}" for k in names],
-        handleInvalid="keep",
-    ).transform(masked)
-    bins = [F.when(F.col(k).isNotNull(), F.col(f"b{k}")).cast("int").alias(k) for k in names]
-    counts = (
-        binned.select("r", *bins).unpivot("r", names, "c", "b").where("b is not null")
-        .groupBy("c", "b").agg(F.sum("r").alias("ref"), F.sum(1 - F.col("r")).alias("cur"))
+    upto = Window.partitionBy("c", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.select("c", "b", *[F.sum(s).over(upto).alias(s) for s in ("ref", "cur")])
+    # One row per column and range.
+    before = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("c", "b").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    shifts = totals.select(
+        group_number("c"), "b",
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in ("ref", "cur")],
     )
-    inside = {(int(r["c"]), r["b"]): (r["ref"], r["cur"]) for r in counts.collect()}
-    parts = []
-    for k, r in enumerate(ranges):
-        total, below = totals[r.column], r.below
-        for b, (low, high) in enumerate(zip(edges[k], edges[k][1:], strict=False)):
-            n = inside.get((k, b), (0, 0))
-            after = (below[0] + n[0], below[1] + n[1])
-            gap = abs(after[0] / total[0] - after[1] / total[1])
-            best[r.column] = max(best[r.column], gap)
-            single = math.isfinite(low) and high == np.nextafter(low, math.inf)
-            if sum(n) and not single:
-                # The part starts at the successor of a limit, which has a part of its own.
-                start = r.low if low == -math.inf else float(np.nextafter(low, -math.inf))
-                parts.append(_Range(r.column, below, n, start, r.high if high == math.inf else high))
-            below = after
-    return [p for p in parts if _bound(p, totals[p.column]) > best[p.column]]
-
-
-def _finish(
-    both: DataFrame,
-    place: dict[str, str],
-    columns: list[str],
-    ranges: list[_Range],
-    totals: dict[str, tuple[int, int]],
-) -> dict[str, float]:
-    """Largest gap inside the small ranges of each column, their values merged and sorted."""
-    union = None
-    for k, c in enumerate(columns):
-        mine = sorted((r for r in ranges if r.column == c), key=lambda r: r.low)
-        x = F.col(place[c])
-        data = both.select("r", x.alias("x")).where("x is not null")
-        if mine[0].whole:
-            data = data.withColumn("b", F.lit(0))
-            below = {0: mine[0].below}
-        else:
-            starts = {
-                r.low if r.low == -math.inf else float(np.nextafter(r.low, math.inf)): r for r in mine
-            }
-            edges = sorted({-math.inf, math.inf, *starts, *[r.high for r in mine]})
-            below = {edges.index(s): r.below for s, r in starts.items()}
-            data = Bucketizer(
-                splits=edges, inputCol="x", outputCol="b", handleInvalid="keep"
-            ).transform(data)
-            data = data.withColumn("b", F.col("b").cast("int")).where(F.col("b").isin(list(below)))
-        counts = data.groupBy("b", "x").agg(
-            F.sum("r").alias("ref"), F.sum(1 - F.col("r")).alias("cur")
-        )
-        upto = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        shifts = [
-            F.expr(f"map({', '.join(f'{b}, {v[side]}L' for b, v in below.items())})[b]")
-            for side in (0, 1)
-        ]
-        gap = F.abs(
-            (F.sum("ref").over(upto) + shifts[0]) / totals[c][0]
-            - (F.sum("cur").over(upto) + shifts[1]) / totals[c][1]
-        )
-        part = counts.select(gap.alias("d")).agg(F.lit(k).alias("c"), F.max("d").alias("d"))
-        union = part if union is None else union.unionByName(part)
-    return {columns[r["c"]]: r["d"] for r in union.collect() if r["d"] is not None}
+    sizes = [F.array(*[F.lit(n[c]) for c in columns])[F.col("c")] for n in (ref_rows, cur_rows)]
+    gap = F.abs(
+        (F.col("ref") + F.col("ref_before")) / sizes[0] - (F.col("cur") + F.col("cur_before")) / sizes[1]
+    )
+    found = running.join(shifts, ["c", "b"]).groupBy("c").agg(F.max(gap).alias("d")).collect()
+    out = dict.fromkeys(columns, 0.0)
+    return out | {columns[r["c"]]: r["d"] for r in found}

@@ -102,8 +102,8 @@ def select_ranks(
         wide = [b for b in open_ if b.inside > window_values]
         small += [b for b in open_ if b.inside <= window_values]
         open_ = []
-        for part in chunks(wide, 8):
-            open_ += _narrow(df, columns, part, found)
+        if wide:
+            open_ = _narrow(df, columns, wide, found)
     for part in chunks(small, 16):
         _read_off(df, columns, part, limits, found)
     return found
@@ -126,13 +126,7 @@ def _narrow(
         x = b.values(columns[b.column])
         sketches[k] = F.percentile_approx(x, F.lit(at), F.lit(_SKETCH_ACCURACY))
     bounds = {k: sorted(set(v)) for k, v in aggregate_once(df, sketches).items()}
-    tallies = {}
-    for k, b in enumerate(brackets):
-        x = b.values(columns[b.column])
-        for bound in bounds[k]:
-            tallies[k, "lt", bound] = F.count_if(x < bound)
-            tallies[k, "le", bound] = F.count_if(x <= bound)
-    got = aggregate_once(df, tallies, at_once=80)
+    got = _tallies(df, columns, brackets, bounds)
     out = []
     for k, b in enumerate(brackets):
         edges = [b.low, *bounds[k], b.high]
@@ -149,6 +143,39 @@ def _narrow(
     return out
 
 
+def _tallies(
+    df: DataFrame, columns: dict[str, Column], brackets: list[_Bracket], bounds: dict[int, list]
+) -> dict[tuple, int]:
+    """Values of each bracket under, and at or under, each of its bounds, in one scan for all.
+
+    A value is counted by how many bounds lie below it and by whether it equals the next one.
+    """
+
+    def cell(k: int, b: _Bracket) -> Column:
+        x, table = b.values(columns[b.column]), F.lit([float(v) for v in bounds[k]])
+        place = F.struct(
+            F.lit(k).alias("k"), F.size(F.filter(table, lambda v: v < x)).alias("place"),
+            F.array_contains(table, x).alias("equal"),
+        )
+        return F.when(x.isNotNull(), place)
+
+    cells = [cell(k, b) for k, b in enumerate(brackets)]
+    counted = (
+        df.select(F.explode(F.array_compact(F.array(*cells))).alias("v")).select("v.*")
+        .groupBy("k", "place", "equal").agg(F.count(F.lit(1)).alias("n")).collect()
+    )
+    n = {(r["k"], r["place"], r["equal"]): r["n"] for r in counted}
+    out = {}
+    for k in range(len(brackets)):
+        below = 0
+        for j, bound in enumerate(bounds[k]):
+            below += n.get((k, j, False), 0)
+            out[k, "lt", bound] = below
+            below += n.get((k, j, True), 0)
+            out[k, "le", bound] = below
+    return out
+
+
 def _read_off(
     df: DataFrame,
     columns: dict[str, Column],

@@ -4,68 +4,107 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A window sorts one bucket of distinct values; buckets hold about this many rows.
+from lakeprofile.functions.columns import aggregate_once
+
+# A window sorts one range of distinct values; ranges hold about this many rows.
 BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 4096
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(rows / bucket_rows)))
+    return max(1, math.ceil(rows / bucket_rows))
 
 
-def with_buckets(df: DataFrame, x: str, bucket: str, rows: int, bucket_rows: int) -> DataFrame:
-    """Add the index of the value range that x falls into.
+def value_ranges(
+    df: DataFrame, columns: list[str], rows: int, bucket_rows: int = BUCKET_ROWS
+) -> dict[str, list[float]]:
+    """Upper limits of value ranges of about ``bucket_rows`` rows, for all columns in one scan.
 
     The limits are a sketch's quantiles.  They only steer the balance: any limits give exact
     results, and as plain values they stay the same when a lost task is run again.
     """
-    buckets = bucket_count(rows, bucket_rows)
-    if buckets == 1:
-        return df.withColumn(bucket, F.lit(0))
-    grid = [k / buckets for k in range(1, buckets)]
-    limits = df.agg(F.percentile_approx(x, F.lit(grid), F.lit(buckets * 20))).first()[0]
-    splits = [-math.inf, *sorted(set(limits or [])), math.inf]
-    if len(splits) < 3:
-        return df.withColumn(bucket, F.lit(0))
-    binner = Bucketizer(splits=splits, inputCol=x, outputCol=bucket, handleInvalid="keep")
-    return binner.transform(df)
+    ranges = bucket_count(rows, bucket_rows)
+    if ranges == 1 or not columns:
+        return {c: [] for c in columns}
+    grid = F.lit([k / ranges for k in range(1, ranges)])
+    got = aggregate_once(df, {c: F.percentile_approx(c, grid, F.lit(ranges * 20)) for c in columns})
+    return {c: sorted(set(got[c] or [])) for c in columns}
+
+
+def range_number(x: Column, limits: list[float]) -> Column:
+    """Number of the range that a value falls into: how many limits are at or below it.
+
+    Limits are searched in blocks of the square root of their number.
+    """
+    if not limits:
+        return F.lit(0)
+    size = math.isqrt(len(limits) - 1) + 1
+    blocks = [[float(v) for v in limits[i : i + size]] for i in range(0, len(limits), size)]
+
+    def upto(part: Column) -> Column:
+        return F.size(F.filter(part, lambda v: v <= x))
+
+    if len(blocks) < 3:
+        return upto(F.lit([float(v) for v in limits]))
+    block = upto(F.lit([b[0] for b in blocks])) - 1
+    table = F.array(*[F.lit(b) for b in blocks])
+    return F.when(block < 0, 0).otherwise(block * size + upto(F.get(table, block)))
 
 
 def cumulative_counts(
-    df: DataFrame, x: Column, rows: int, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame,
+    x: Column,
+    rows: int,
+    bucket_rows: int = BUCKET_ROWS,
+    partners: dict[str, Column] | None = None,
 ) -> DataFrame:
     """(x, n, before): each distinct present value, its count and the count of smaller values.
 
     Copies of a value are merged before anything is sorted, so a hot value is one row; the running
-    sum is taken inside value ranges and shifted by the totals of the ranges before.
+    sum is taken inside value ranges and shifted by the totals of the ranges before.  For every
+    partner, a condition, n_<name> and before_<name> count the rows that meet it.
     """
-    data = df.select(x.alias("x")).where("x is not null")
-    data = with_buckets(data, "x", "bucket", rows, bucket_rows)
-    counts = data.groupBy("bucket", "x").agg(F.count(F.lit(1)).alias("n"))
+    partners = partners or {}
+    flags = [p.cast("bigint").alias(f"n_{name}") for name, p in partners.items()]
+    data = df.select(x.alias("x"), F.lit(1).cast("bigint").alias("n"), *flags).where("x is not null")
+    names = ["n", *[f"n_{name}" for name in partners]]
+    limits = value_ranges(data, ["x"], rows, bucket_rows)["x"]
+    data = data.withColumn("bucket", range_number(F.col("x"), limits))
+    counts = data.groupBy("bucket", "x").agg(*[F.sum(n).alias(n) for n in names])
     inside = (
         Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = counts.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    if bucket_count(rows, bucket_rows) > 1:
-        totals = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
-        # At most MAX_BUCKETS rows, hence one window and one broadcast.
+    before = {n: "before" + n[1:] for n in names}
+    local = counts.select(
+        "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(b) for n, b in before.items()]
+    )
+    if limits:
+        totals = counts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+        # One row per range.
         across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         shifts = totals.select(
-            "bucket", F.coalesce(F.sum("total").over(across), F.lit(0)).alias("shift")
+            "bucket", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"shift_{n}") for n in names]
         )
-        local = local.join(F.broadcast(shifts), "bucket").withColumn(
-            "before", F.col("before") + F.col("shift")
+        local = local.join(shifts, "bucket").select(
+            "x", *names, *[(F.col(b) + F.col(f"shift_{n}")).alias(b) for n, b in before.items()]
         )
-    return local.select("x", "n", "before")
+    return local.select("x", *names, *before.values())
 
 
 def average_ranks(
-    df: DataFrame, x: Column, rows: int, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame,
+    x: Column,
+    rows: int,
+    bucket_rows: int = BUCKET_ROWS,
+    partners: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(x, rank): every distinct value and the average 1-based rank of its copies."""
-    counts = cumulative_counts(df, x, rows, bucket_rows)
-    return counts.select("x", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+    """(x, rank): every distinct value and the average 1-based rank of its copies; rank_<name> is
+    the rank among the rows that meet a partner's condition."""
+    counts = cumulative_counts(df, x, rows, bucket_rows, partners)
+    ranks = [
+        (F.col(f"before{end}") + (F.col(f"n{end}") + 1) / 2).alias(f"rank{end}")
+        for end in ("", *[f"_{name}" for name in partners or {}])
+    ]
+    return counts.select("x", *ranks)

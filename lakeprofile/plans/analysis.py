@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeprofile.functions.columns import small_table
 from lakeprofile.plans import correlation, distribution, missing, outlier, quality, target as targets
@@ -13,6 +17,8 @@ from lakeprofile.sources.load import load_table, prepare
 from lakeprofile.sources.sink import write_sections
 
 BATCH_EXTENSIONS = (".csv", ".xlsx", ".parquet")
+# Tables profiled at the same time.
+MAX_TABLES = 3
 
 
 def analyze(
@@ -70,25 +76,36 @@ def profile_many(
 
     A table that fails is recorded and does not stop the others.
     """
+    found = _side_by_side({n: lambda df=df: analyze(df, **options) for n, df in tables.items()})
     sections: dict[str, DataFrame] = {}
-    status = []
-    spark = None
-    for name, df in tables.items():
-        spark = df.sparkSession
-        try:
-            found = analyze(df, **options)
-        except Exception as e:  # noqa: BLE001 - one table's failure is a result
-            status.append((name, "failed", f"{type(e).__name__}: {e}"))
-            continue
-        status.append((name, "ok", None))
-        for section, part in found.items():
+    for name, (parts, _) in found.items():
+        for section, part in (parts or {}).items():
             tagged = part.withColumn("dataset", F.lit(name))
             sections[section] = (
                 sections[section].unionByName(tagged) if section in sections else tagged
             )
-    if spark is None:
+    if not tables:
         return {}, None
-    return sections, small_table(spark, status, "dataset string, status string, error string")
+    spark = next(iter(tables.values())).sparkSession
+    return sections, _status(spark, found)
+
+
+def _side_by_side(work: dict[str, Callable[[], object]]) -> dict[str, tuple]:
+    """(result, error) of every piece of work, a few at a time."""
+
+    def run(job: Callable[[], object]) -> tuple:
+        try:
+            return job(), None
+        except Exception as e:  # noqa: BLE001 - one table's failure is a result
+            return None, f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(MAX_TABLES) as pool:
+        return dict(zip(work, pool.map(run, work.values()), strict=True))
+
+
+def _status(spark: SparkSession, found: dict[str, tuple]) -> DataFrame:
+    rows = [(n, "ok" if error is None else "failed", error) for n, (_, error) in found.items()]
+    return small_table(spark, rows, "dataset string, status string, error string")
 
 
 def batch(
@@ -99,17 +116,41 @@ def batch(
     sample: int | None = None,
     **options,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Profile every file of a directory; with ``output`` the sections are written there."""
-    tables, broken = {}, []
-    for path in list_files(directory, BATCH_EXTENSIONS):
-        name = path.rsplit("/", 1)[-1]
-        try:
-            tables[name] = prepare(load_table(spark, path), drop, sample)
-        except Exception as e:  # noqa: BLE001 - an unreadable file is a result
-            broken.append((name, "failed", f"{type(e).__name__}: {e}"))
-    sections, status = profile_many(tables, **options)
-    failed = small_table(spark, broken, "dataset string, status string, error string")
-    status = failed if status is None else status.unionByName(failed)
-    if output:
-        write_sections(sections | {"status": status}, output)
+    """Profile every file of a directory.
+
+    With ``output`` each file's sections are written there as it is done, below dataset=<name>, and
+    read back as tables partitioned by dataset, so no plan grows with the number of files.
+    """
+    files = {p.rsplit("/", 1)[-1]: p for p in list_files(directory, BATCH_EXTENSIONS, spark)}
+
+    def profile(name: str) -> dict[str, DataFrame]:
+        sections = analyze(prepare(load_table(spark, files[name]), drop, sample), **options)
+        if output:
+            for section, df in sections.items():
+                write_sections({f"{section}/dataset={name}": df}, output)
+        return sections
+
+    if not output:
+        tables, broken = {}, {}
+        opened = _side_by_side({
+            n: lambda p=p: prepare(load_table(spark, p), drop, sample) for n, p in files.items()
+        })
+        for name, (df, error) in opened.items():
+            if error is None:
+                tables[name] = df
+            else:
+                broken[name] = (None, error)
+        sections, status = profile_many(tables, **options)
+        failed = _status(spark, broken)
+        return sections, failed if status is None else status.unionByName(failed)
+    found = _side_by_side({n: lambda n=n: profile(n) for n in files})
+    status = _status(spark, found)
+    write_sections({"status": status}, output)
+    schemas = {s: df.schema for parts, _ in found.values() for s, df in (parts or {}).items()}
+    base = output.rstrip("/")
+    sections = {
+        s: spark.read.schema(T.StructType([*schema.fields, T.StructField("dataset", T.StringType())]))
+        .json(f"{base}/{s}")
+        for s, schema in schemas.items()
+    }
     return sections, status

@@ -19,24 +19,26 @@ from lakeprofile.plans.profile import Profile
 BINS = 30
 OVERLAY_BINS = 25
 OVERLAY_CATEGORIES = 15
+FEATURES = 5
 GRID = 30
 
 
 def bin_numbers(p: Profile, columns: list[str], bins: int = BINS) -> dict[str, int]:
     """Bins per column: no more than it has values.
 
-    A sketch tells which columns could have so few; only those are counted exactly.
+    Of each column as many distinct values are asked for as there may be bins, so tasks stop early.
     """
     usable = [
         c for c in columns
         if p.moments[c].count and math.isfinite(p.moments[c].maximum - p.moments[c].minimum)
     ]
-    sketch = aggregate_once(
-        p.df, {c: F.approx_count_distinct(as_double(p.df, c)) for c in usable}
-    ) if usable else {}
-    few = [c for c in usable if sketch[c] <= 4 * bins]
-    exact = p.frequencies_of(few)
-    return {c: min(bins, exact[c].unique) if c in exact else bins for c in usable}
+    parts = None
+    for k, c in enumerate(usable):
+        part = p.df.select(F.lit(k).alias("c"), as_double(p.df, c).alias("x")).where("x is not null")
+        part = part.distinct().limit(bins)
+        parts = part if parts is None else parts.unionAll(part)
+    found = {r["c"]: r["n"] for r in parts.groupBy("c").agg(F.count("*").alias("n")).collect()} if usable else {}
+    return {c: found[k] for k, c in enumerate(usable)}
 
 
 def histograms(source: DataFrame | Profile, bins: int = BINS) -> DataFrame:
@@ -195,20 +197,22 @@ def category_overlay(
     )
 
 
-def top_numeric_features(p: Profile, target: str, keep: int = 5) -> list[str]:
-    """Numeric ones among the strongest features."""
+def top_numeric_features(p: Profile, target: str, keep: int | None = FEATURES) -> list[str]:
+    """Numeric ones among the ``keep`` strongest features, or among all."""
     numbers = set(numeric_columns(p.df, with_bool=True))
     best = targets.associations(p, target)[:keep]
     return [a.feature for a in best if a.feature in numbers]
 
 
-def class_boxes(source: DataFrame | Profile, target: str) -> DataFrame:
+def class_boxes(
+    source: DataFrame | Profile, target: str, features: int | None = FEATURES
+) -> DataFrame:
     """Box statistics of the strongest numeric features for every target class."""
     p = Profile.of(source)
-    features = top_numeric_features(p, target)
+    features = top_numeric_features(p, target, features)
     key = as_text(p.df, target)
     x = {c: as_double(p.df, c) for c in features}
-    points = class_quantiles(p.df, key, x, [0.0, 0.25, 0.5, 0.75, 1.0], p.window_values)
+    points = class_quantiles(p.df, key, x, [0.0, 0.25, 0.5, 0.75, 1.0], p.rows)
     boxes = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"q{k}").alias("q")) for k, c in enumerate(x)
     ])
@@ -220,10 +224,12 @@ def class_boxes(source: DataFrame | Profile, target: str) -> DataFrame:
     )
 
 
-def class_histograms(source: DataFrame | Profile, target: str, bins: int = BINS) -> DataFrame:
+def class_histograms(
+    source: DataFrame | Profile, target: str, bins: int = BINS, features: int | None = FEATURES
+) -> DataFrame:
     """Counts per class over shared bins of the strongest numeric features."""
     p = Profile.of(source)
-    features = top_numeric_features(p, target)
+    features = top_numeric_features(p, target, features)
     x = p.df.select(
         as_text(p.df, target).alias("_class"), *[as_double(p.df, c).alias(c) for c in features]
     ).where("_class is not null")
@@ -238,7 +244,9 @@ def class_histograms(source: DataFrame | Profile, target: str, bins: int = BINS)
     )
 
 
-def target_grid(source: DataFrame | Profile, target: str, cells: int = GRID) -> DataFrame:
+def target_grid(
+    source: DataFrame | Profile, target: str, cells: int = GRID, features: int | None = FEATURES
+) -> DataFrame:
     """Complete (feature, target) pairs of a numeric target counted on a grid.
 
     Stands in for a scatter plot of raw rows; features with fewer than five pairs are left out.
@@ -246,7 +254,7 @@ def target_grid(source: DataFrame | Profile, target: str, cells: int = GRID) ->
     p = Profile.of(source)
     y = as_double(p.df, target)
     out = None
-    for c in top_numeric_features(p, target):
+    for c in top_numeric_features(p, target, features):
         pairs = p.df.select(as_double(p.df, c).alias("x"), y.alias("y")).dropna()
         limits = _ranges(pairs, ["x", "y"])
         if limits["x"][0] is None or pairs.limit(targets.MIN_PAIRS).count() < targets.MIN_PAIRS:
@@ -283,12 +291,18 @@ PAIRS_SHOWN = 20
 JOINT_PAIRS_SHOWN = 10
 
 
-def shown_strong_pairs(source: DataFrame | Profile) -> DataFrame:
-    return correlation.strong_pairs(source).orderBy(F.desc(F.abs("r"))).limit(PAIRS_SHOWN)
+def shown_strong_pairs(source: DataFrame | Profile, keep: int | None = PAIRS_SHOWN) -> DataFrame:
+    """The ``keep`` strongest pairs, or all."""
+    pairs = correlation.strong_pairs(source).orderBy(F.desc(F.abs("r")))
+    return pairs if keep is None else pairs.limit(keep)
 
 
-def shown_joint_missing(source: DataFrame | Profile) -> DataFrame:
-    return missing.correlated_missing(source).orderBy(F.desc("p_both")).limit(JOINT_PAIRS_SHOWN)
+def shown_joint_missing(
+    source: DataFrame | Profile, keep: int | None = JOINT_PAIRS_SHOWN
+) -> DataFrame:
+    """The ``keep`` pairs most often missing together, or all."""
+    pairs = missing.correlated_missing(source).orderBy(F.desc("p_both"))
+    return pairs if keep is None else pairs.limit(keep)
 
 
 def shown_missing(source: DataFrame | Profile) -> DataFrame:

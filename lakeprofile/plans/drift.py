@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,10 @@ from lakeprofile.functions.columns import (
 )
 from lakeprofile.functions.pvalues import chi2_tail, ks_two_sample
 from lakeprofile.operators.ks import ks_distances
+from lakeprofile.operators.moments import present_counts
 from lakeprofile.operators.quantiles import WINDOW_VALUES, exact_quantiles, group_number
+from lakeprofile.sources.load import drop_columns, load_table
+from lakeprofile.sources.sink import write_sections
 
 MODERATE_PSI = 0.1
 DEFAULT_THRESHOLD = 0.2
@@ -124,7 +127,7 @@ class Drift:
             lambda: self._psi(usable, ref),
             lambda: ks_distances(
                 self.reference, self.current, usable, {c: ref[c].count for c in usable},
-                {c: cur[c].count for c in usable}, self.window_values,
+                {c: cur[c].count for c in usable},
             ),
         )
         for c in usable:
@@ -236,10 +239,17 @@ class Drift:
         )
 
     def column_changes(self) -> DataFrame:
-        """Columns on one side only."""
-        rows = [(c, "missing_in_current") for c in self.missing]
-        rows += [(c, "new_in_current") for c in self.new]
-        return small_table(self.spark, rows, "column string, change string")
+        """Columns on one side only, with the present cells and rows they have there."""
+        rows = []
+        for df, names, change in (
+            (self.reference, self.missing, "missing_in_current"),
+            (self.current, self.new, "new_in_current"),
+        ):
+            total, present = present_counts(df, names) if names else (0, {})
+            rows += [(c, change, present[c], total) for c in names]
+        return small_table(
+            self.spark, rows, "column string, change string, present bigint, rows bigint"
+        )
 
 
 def compare(
@@ -248,6 +258,24 @@ def compare(
     return Drift(reference, current, psi_threshold).table()
 
 
+def compare_paths(
+    spark: SparkSession, reference: str, current: str, output: str | None = None,
+    psi_threshold: float = DEFAULT_THRESHOLD, drop: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """Two files, folders or patterns compared: the column table, its order, the summary and the
+    columns on one side only, each saying what was compared; written below ``output`` if given."""
+    d = Drift(*[drop_columns(load_table(spark, p), drop or []) for p in (reference, current)], psi_threshold)
+    sides = [F.lit(reference).alias("reference"), F.lit(current).alias("current")]
+    out = {
+        name: df.select(*sides, "*")
+        for name, df in (("drift", d.table()), ("ranked", d.ranked()), ("summary", d.summary()),
+                         ("column_changes", d.column_changes()))
+    }
+    if output:
+        write_sections(out, output)
+    return out
+
+
 def _is_numeric(dtype: T.DataType) -> bool:
     return is_number(dtype) or isinstance(dtype, T.BooleanType)
 

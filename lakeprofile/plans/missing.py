@@ -44,8 +44,10 @@ def missing_summary(source: DataFrame | Profile) -> DataFrame:
     )
 
 
-def missing_patterns(source: DataFrame | Profile) -> DataFrame:
-    """Sets of columns missing together, among the ten most frequent row patterns.
+def missing_patterns(
+    source: DataFrame | Profile, keep: int | None = MAX_PATTERNS
+) -> DataFrame:
+    """Sets of columns missing together, among the ``keep`` most frequent row patterns, or all.
 
     The complete pattern takes part in the ranking and is dropped afterwards.
     """
@@ -57,13 +59,16 @@ def missing_patterns(source: DataFrame | Profile) -> DataFrame:
     gaps = F.array_compact(
         F.array(*[F.when(~present(p.df, c), F.lit(c)) for c in sorted(p.gappy)])
     )
-    return (
+    patterns = (
         p.df.select(gaps.alias("missing"))
         .groupBy("missing")
         .agg(F.count(F.lit(1)).alias("row_count"))
         .orderBy(F.desc("row_count"), "missing")
-        .limit(MAX_PATTERNS)
-        .where(F.size("missing") > 0)
+    )
+    if keep is not None:
+        patterns = patterns.limit(keep)
+    return (
+        patterns.where(F.size("missing") > 0)
         .withColumn("row_pct", F.col("row_count") / F.lit(float(p.rows)))
     )
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import aggregate_once, as_double, col, small_table
-from lakeprofile.operators.isolation import isolated_count
+from lakeprofile.operators.isolation import SAMPLE, SEED, TREES, isolated_count
 from lakeprofile.plans.profile import Profile
+from lakeprofile.plans.wording import say
 
 MIN_VALUES = 4
 # Makes a deviation in MADs comparable to one in standard deviations.
@@ -31,6 +32,9 @@ class Rules:
     mzscore_threshold: float = 3.5
     use_iforest: bool = False
     contamination: str | float = "auto"
+    iforest_trees: int = TREES
+    iforest_sample: int = SAMPLE
+    iforest_seed: int = SEED
 
 
 def fence(p: Profile, column: str, multiplier: float) -> tuple[float, float]:
@@ -68,7 +72,8 @@ def outlier_counts(
         out[c]["iforest"] = None
         if rules.use_iforest and c in usable:
             out[c]["iforest"] = isolated_count(
-                p.df, as_double(p.df, c), p.moments[c].count, rules.contamination
+                p.df, as_double(p.df, c), p.moments[c].count, rules.contamination,
+                rules.iforest_trees, rules.iforest_sample, rules.iforest_seed,
             )
     return out
 
@@ -76,35 +81,21 @@ def outlier_counts(
 def outlier_notes(
     n: int, skew: float | None, mad: float | None, counts: dict[str, int | None]
 ) -> list[tuple[str, str]]:
-    out = []
-    s = skew or 0.0
-    iqr, z, mz = counts["iqr"], counts["z"], counts["mz"]
-    if abs(s) > 1.5 and n >= 20:
-        out.append(("z_on_skew",
-                    f"Z-score assumes normality — this column is {'right' if s > 0 else 'left'}"
-                    f"-skewed (skew = {s:.2f}). Z-score may inflate the outlier count. Modified "
-                    f"Z-score (MAD-based) is the more reliable estimate here."))
-    if n >= 20 and mz > 0 and z > mz * 3:
-        out.append(("z_above_mz",
-                    f"Z-score ({z}) and Modified Z-score ({mz}) disagree substantially. This "
-                    f"typically indicates a skewed or heavy-tailed distribution. Prefer Modified "
-                    f"Z-score for non-symmetric data."))
-    elif n >= 20 and mz > 0 and z == 0:
-        out.append(("mz_only",
-                    f"Modified Z-score flags {mz} outlier(s) that Z-score misses. This can occur "
-                    f"when the distribution has a heavy tail on one side. Modified Z-score is "
-                    f"more sensitive to asymmetric outliers."))
-    if abs(s) > 2.0 and iqr > 0:
-        out.append(("iqr_on_skew",
-                    f"IQR fences may produce false positives for heavily skewed data (skew = "
-                    f"{s:.2f}). Some flagged values may be legitimate tail observations rather "
-                    f"than true anomalies."))
+    """(code, sentence) of what limits the counts."""
+    s, iqr, z, mz = skew or 0.0, counts["iqr"], counts["z"], counts["mz"]
+    found: dict[str, dict] = {}
+    if n >= 20:
+        if abs(s) > 1.5:
+            found["z_on_skew"] = {"skew": s}
+        if mz > 0 and z > 3 * mz:
+            found["z_above_mz"] = {"z": z, "mz": mz}
+        elif mz > 0 and z == 0:
+            found["mz_only"] = {"mz": mz}
+    if iqr > 0 and abs(s) > 2.0:
+        found["iqr_on_skew"] = {"skew": s, "iqr": iqr}
     if mad == 0.0:
-        out.append(("mad_zero",
-                    "MAD = 0: more than 50% of values are identical. Modified Z-score is "
-                    "undefined and returns no outliers. Consider inspecting the value "
-                    "distribution directly."))
-    return out
+        found["mad_zero"] = {}
+    return [(code, say(code, **numbers)) for code, numbers in found.items()]
 
 
 def column_notes(p: Profile, counts: dict[str, dict]) -> list[tuple[str, str, str]]:

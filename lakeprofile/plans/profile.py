@@ -15,7 +15,7 @@ from lakeprofile.functions.text import parses_as_number
 from lakeprofile.operators.correlate import pearson_pairs, spearman_pairs, vif_values
 from lakeprofile.operators.duplicates import duplicate_columns, duplicate_rows
 from lakeprofile.operators.frequency import (
-    Frequencies, exact_as_double, number_frequencies, text_frequencies,
+    TOP_VALUES, Frequencies, exact_as_double, number_frequencies, text_frequencies,
 )
 from lakeprofile.operators.moments import Moments, numeric_moments, present_counts
 from lakeprofile.operators.quantiles import (
@@ -33,12 +33,14 @@ class Profile:
     """
 
     def __init__(
-        self, df: DataFrame, checks: bool = False, window_values: int = WINDOW_VALUES
+        self, df: DataFrame, checks: bool = False, window_values: int = WINDOW_VALUES,
+        top: int = TOP_VALUES,
     ):
         self.df = df
         self.spark = df.sparkSession
         self.window_values = window_values
         self._frequencies: dict[str, Frequencies] = {}
+        self._top = max(2, top)  # values kept per column
         self._checks = checks  # whether the frequency pass also looks into text
         self.columns = list(df.columns)
         self.numeric = numeric_columns(df)
@@ -108,12 +110,9 @@ class Profile:
         limits = self._limits if numbers else {}
         for found in together(
             lambda: number_frequencies(self.df, numbers, ranks, limits),
-            lambda: text_frequencies(self.df, texts, self._checks),
+            lambda: text_frequencies(self.df, texts, self._checks, self._top),
         ):
             self._frequencies |= found
-        for c in set(texts) & set(self.numeric):  # counted as text to keep every digit
-            f = self._frequencies[c]
-            f.mode = min((float(v) for v, n in f.top if n == f.top_count), default=None)
         return {c: self._frequencies[c] for c in columns}
 
     def moments_of(self, columns: list[str]) -> dict[str, Moments]:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from lakeprofile.functions.columns import small_table
 from lakeprofile.operators.moments import stored_bytes
 from lakeprofile.plans.profile import Profile
+from lakeprofile.plans.wording import say
 
 OVERVIEW = "column string, dtype string, rows bigint, non_null bigint, null_pct double, bytes bigint"
-ISSUES = "check string, severity string, result string, recommendation string"
+ISSUES = "check string, severity string, column string, value double, note string"
 
-# Characters that a column name should not hold.
+# The names of the checks are those below in `issues`; characters that a column name
+# should not hold.
 SPECIAL_CHARACTERS = set("!@#$%^&*()[]{}<>?/\\|")
 
 HIGH_MISSING = 0.90
@@ -38,43 +42,43 @@ def overview(source: DataFrame | Profile) -> DataFrame:
     )
 
 
-def issues(source: DataFrame | Profile, gate: bool = True) -> list[tuple[str, str, str, str]]:
+@dataclass(frozen=True)
+class Issue:
+    """A broken check: its name, the column it names ('' for the table) and the number behind it."""
+
+    check: str
+    severity: str
+    column: str
+    value: float
+    code: str
+
+
+def issues(source: DataFrame | Profile, gate: bool = True) -> list[Issue]:
     """Quality issues in check order; an empty table raises unless the gate is off."""
     p = Profile.of(source)
-    out = []
-    if not p.columns or p.rows == 0:
-        if p.rows == 0:
-            out.append(("Empty rows", "FATAL", "Dataset has 0 rows",
-                        "Verify the file is not empty and the delimiter is correct"))
-        if not p.columns:
-            out.append(("Empty columns", "FATAL", "Dataset has 0 columns",
-                        "Check that the file has a valid header row"))
-        if gate:
-            raise DataQualityError(f"Data quality FATAL: {out[-1][2]}")
-    for c in p.columns:
-        share = p.missing_share(c)
-        if share > HIGH_MISSING:
-            out.append((f"High missing: {c}", "WARNING",
-                        f"{share:.1%} of values are missing in column '{c}'",
-                        f"Consider dropping or imputing '{c}' before analysis"))
+    empty = []
+    if p.rows == 0:
+        empty.append(Issue("Empty rows", "FATAL", "", 0.0, "rows"))
+    if not p.columns:
+        empty.append(Issue("Empty columns", "FATAL", "", 0.0, "columns"))
+    if empty and gate:
+        raise DataQualityError(", ".join(say(i.code, value=i.value) for i in empty))
+    out = empty
+    out += [
+        Issue(f"High missing: {c}", "WARNING", c, p.missing_share(c), "missing")
+        for c in p.columns if p.missing_share(c) > HIGH_MISSING
+    ]
     if p.rows and p.duplicates / p.rows > HIGH_DUPLICATES:
-        out.append(("High duplicates", "WARNING",
-                    f"{p.duplicates / p.rows:.1%} of rows are exact duplicates "
-                    f"({p.duplicates} rows)",
-                    "De-duplicate before analysis to avoid skewed statistics"))
-    if len(p.columns) > 1 and len(p.text) == len(p.columns):
-        out.append(("All-object dtypes", "WARNING",
-                    "All columns are dtype=object — numeric parsing may have failed",
-                    "Check the delimiter and decimal separator in the source file"))
+        out.append(Issue("High duplicates", "WARNING", "", p.duplicates / p.rows, "duplicates"))
+    if 1 < len(p.columns) == len(p.text):
+        out.append(Issue("All-object dtypes", "WARNING", "", float(len(p.text)), "text_only"))
     odd = [c for c in p.columns if SPECIAL_CHARACTERS & set(c)]
     if odd:
-        out.append(("Special chars in column names", "INFO",
-                    f"Columns with special characters: {odd}",
-                    "Column names have been stripped of leading/trailing whitespace"))
-    for c, share in mixed_columns(p).items():
-        out.append((f"Mixed types: {c}", "WARNING",
-                    f"Column '{c}' is {share:.1%} numeric — may be a mixed-type column",
-                    f"Inspect '{c}' for rogue non-numeric values or encoding issues"))
+        out.append(Issue("Special chars in column names", "INFO", "", float(len(odd)), "special_names"))
+    out += [
+        Issue(f"Mixed types: {c}", "WARNING", c, share, "mixed")
+        for c, share in mixed_columns(p).items()
+    ]
     return out
 
 
@@ -88,7 +92,8 @@ def mixed_columns(p: Profile) -> dict[str, float]:
 
 def quality_issues(source: DataFrame | Profile, gate: bool = True) -> DataFrame:
     p = Profile.of(source)
-    return small_table(p.spark, issues(p, gate), ISSUES)
+    rows = [(i.check, i.severity, i.column, i.value, say(i.code, value=i.value)) for i in issues(p, gate)]
+    return small_table(p.spark, rows, ISSUES)
 
 
 def status_of(severities: list[str]) -> str:
@@ -100,7 +105,7 @@ def status_of(severities: list[str]) -> str:
 def quality_status(source: DataFrame | Profile) -> DataFrame:
     """One row: the status and how many issues of each severity there are."""
     p = Profile.of(source)
-    severities = [i[1] for i in issues(p, gate=False)]
+    severities = [i.severity for i in issues(p, gate=False)]
     counts = [severities.count(s) for s in ("FATAL", "WARNING", "INFO")]
     return small_table(
         p.spark,

@@ -14,14 +14,16 @@ from lakeprofile.functions.columns import (
 from lakeprofile.functions.pvalues import f_tail
 from lakeprofile.operators.contingency import cramers_v
 from lakeprofile.operators.correlate import pair_correlations
-from lakeprofile.operators.frequency import LABEL_VALUES, value_table
+from lakeprofile.operators.frequency import value_table
 from lakeprofile.operators.groups import levene, one_way
 from lakeprofile.operators.moments import numeric_moments
 from lakeprofile.plans.correlation import encode
 from lakeprofile.plans.profile import Profile
+from lakeprofile.plans.wording import say
 
 MIN_PAIRS = 5
 SMALL_CLASS = 30
+UNEQUAL = 0.05
 FEATURES = "rank bigint, feature string, score double, method string, direction string"
 
 
@@ -35,7 +37,7 @@ class Association:
 
 def ensure_target(df: DataFrame, target: str) -> None:
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"no column {target!r} to be the target among {df.columns}")
 
 
 def target_type(df: DataFrame, target: str) -> str:
@@ -97,7 +99,8 @@ def _class_target(p: Profile, target: str) -> list[Association]:
         out += _linear(p, x, pairs, dict.fromkeys(numbers, "point_biserial"), target)
     elif numbers:
         x = {c: as_double(p.df, c) for c in numbers}
-        for c, layout in one_way(p.df, text_key(p.df, target), x).items():
+        centre = {c: p.centre(c) for c in x}
+        for c, layout in one_way(p.df, text_key(p.df, target), x, centre=centre).items():
             if layout.classes >= 2:
                 out.append(Association(c, layout.eta_squared, "eta_squared", "N/A"))
     unique = {c: f.unique for c, f in known.items()}
@@ -142,7 +145,7 @@ def levene_tests(p: Profile, target: str) -> dict[str, tuple]:
     if classes <= 2:
         return {}
     columns = {c: as_double(p.df, c) for c in p.numeric if c != target}
-    layouts = levene(p.df, text_key(p.df, target), columns, classes, p.window_values)
+    layouts = levene(p.df, text_key(p.df, target), columns, classes, p.rows)
     return {
         c: (o.f, o.classes, o.rows,
             None if o.f is None else f_tail(o.f, o.classes - 1, o.rows - o.classes))
@@ -151,27 +154,17 @@ def levene_tests(p: Profile, target: str) -> dict[str, tuple]:
 
 
 def note_list(p: Profile, target: str) -> list[tuple[str, str]]:
-    """(code, text) of what limits the scores."""
-    out = []
+    """(code, sentence) of what limits the scores; `levene_table` and `small_classes` have the rows."""
+    found: dict[str, dict] = {}
     if target_type(p.df, target) == "categorical":
-        unequal = [c for c, t in levene_tests(p, target).items() if t[3] is not None and t[3] < 0.05]
+        unequal = [
+            c for c, t in levene_tests(p, target).items() if t[3] is not None and t[3] < UNEQUAL
+        ]
         if unequal:
-            out.append(("unequal_variances",
-                        f"Levene's test rejects equal group variances (p < 0.05) for: "
-                        f"{', '.join(unequal[:5])}. ANOVA / eta-squared assumes homogeneity of "
-                        f"variances. For these columns, eta-squared scores may be inflated. "
-                        f"Consider Welch's ANOVA or a non-parametric alternative "
-                        f"(Kruskal-Wallis)."))
-        few = small_classes(p, target).orderBy(F.desc("count"), "class")
-        listed = few.limit(LABEL_VALUES + 1).collect()
-        if listed:
-            names = ", ".join(f"'{r['class']}' (n={r['count']})" for r in listed[:LABEL_VALUES])
-            if len(listed) > LABEL_VALUES:
-                names = f"{few.count():,} classes (see the class size table)"
-            out.append(("small_classes",
-                        f"Small group size(s): {names}. Correlation estimates for these classes "
-                        f"are unstable. Point-biserial and eta-squared require n ≥ 30 per group "
-                        f"for reliable inference."))
+            found["unequal_variances"] = {"count": len(unequal), "limit": UNEQUAL}
+        few = small_classes(p, target).count()
+        if few:
+            found["small_classes"] = {"count": few, "limit": SMALL_CLASS}
     else:
         if target in p.numeric:
             m = p.moments[target]
@@ -179,13 +172,8 @@ def note_list(p: Profile, target: str) -> list[tuple[str, str]]:
             number = p.df.select(as_double(p.df, target).alias("t"))
             m = numeric_moments(number, ["t"])[2]["t"]
         if m.skewness is not None and abs(m.skewness) > 2.0:
-            side = "right" if m.skewness > 0 else "left"
-            out.append(("skewed_target",
-                        f"Target column is heavily {side}-skewed (skew = {m.skewness:.2f}). "
-                        f"Pearson correlation (used for numeric features) assumes bivariate "
-                        f"normality. Scores may understate true associations. Consider "
-                        f"log-transforming the target before modelling."))
-    return out
+            found["skewed_target"] = {"skew": m.skewness}
+    return [(code, say(code, **numbers)) for code, numbers in found.items()]
 
 
 def target_notes(source: DataFrame | Profile, target: str) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Session helpers: a local one for tests and benchmarks, and the checkpoint folder."""
+"""A local session for tests and benchmarks."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,12 +24,3 @@ def local_session(cpus: int | str | None = None) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeprofile-"))

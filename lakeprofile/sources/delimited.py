@@ -1,28 +1,21 @@
-"""Delimited text: sniffing, reading as strings and typing the columns."""
+"""Delimited text: looking at all lines, reading cells as strings and typing the columns."""
 
 from __future__ import annotations
 
-import codecs
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeprofile.functions.columns import aggregate_once, col
+from lakeprofile.functions.columns import aggregate_once, col, together
 from lakeprofile.functions.text import NA_TOKENS, parse_date, parses_as_number
-from lakeprofile.sources.files import read_prefix
 
-# How much of a file is looked at, and the delimiters looked for.
-ENCODING_BYTES = 64 * 1024
-DELIMITER_BYTES = 4 * 1024
+# The delimiters looked for.
 DELIMITERS = [",", ";", "\t", "|"]
 
 # Byte order marks and the encodings they announce, longest first.
 _MARKS = [
-    (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"),
-    (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"),
-    (codecs.BOM_UTF16_BE, "utf-16"),
+    ("EFBBBF", "utf-8-sig"), ("FFFE0000", "utf-32"), ("0000FEFF", "utf-32"), ("FFFE", "utf-16"),
+    ("FEFF", "utf-16"),
 ]
 
 # Names of these encodings as Spark's reader knows them.  It has no Windows Latin, which is read as
@@ -37,58 +30,74 @@ _WINDOWS_ONLY = {
     if bytes([code]).decode("cp1252", errors="ignore")
 }
 
+_BAD = "__bad_record"
 
-def detect_encoding(prefix: bytes) -> str:
-    """Byte order mark, else UTF-8 if the bytes allow it, else Windows Latin."""
-    for mark, name in _MARKS:
-        if prefix.startswith(mark):
-            return name
-    try:
-        # The prefix may end inside a character.
-        codecs.getincrementaldecoder("utf-8")().decode(prefix, final=False)
-        return "utf-8"
-    except UnicodeDecodeError:
-        return "cp1252"
-
-
-def detect_delimiter(text: str) -> str:
-    """The candidate that splits most lines into the same number of fields; comma if none."""
-    lines = [line for line in text.splitlines() if line.strip()]
-    if len(lines) > 1 and not text.endswith(("\n", "\r")):
-        lines = lines[:-1]  # may be cut
-    best, best_key = ",", (0.0, 0)
-    for d in DELIMITERS:
-        counts = [_outside_quotes(line, d) for line in lines]
-        if not counts or not any(counts):
-            continue
-        usual = max(set(counts), key=lambda n: (counts.count(n), n))
-        if usual:
-            key = (counts.count(usual) / len(counts), usual)
-            if key > best_key:
-                best, best_key = d, key
-    return best
 
+def cells_in(line: Column, delimiter: str) -> Column:
+    """How many cells a line has; delimiters between quotes are text."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
-def _outside_quotes(line: str, delimiter: str) -> int:
-    return sum(part.count(delimiter) for part in line.split('"')[::2])
 
+def _open_quote(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
 
-def sniff(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, encoding, delimiter) of many files, each looked at by the task that holds its path."""
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                prefix = read_prefix(path, ENCODING_BYTES)
-                encoding = detect_encoding(prefix)
-                start = prefix[:DELIMITER_BYTES].decode(encoding, errors="replace")
-                rows.append((path, encoding, detect_delimiter(start)))
-            yield pd.DataFrame(rows, columns=["path", "encoding", "delimiter"])
+def delimiter_counts(lines: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys..., delimiter, cells, lines): how many lines, blank ones apart, have how many cells."""
+    each = F.array(*[
+        F.struct(F.lit(d).alias("delimiter"), cells_in(F.col("value"), d).alias("cells"))
+        for d in DELIMITERS
+    ])
+    counted = lines.where(F.trim("value") != "").select(*keys, F.explode(each).alias("e"))
+    return counted.select(*keys, "e.*").groupBy(*keys, "delimiter", "cells").agg(
+        F.count(F.lit(1)).alias("lines")
+    )
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    listed = listed.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
-    return listed.mapInPandas(look, "path string, encoding string, delimiter string")
+
+def best_delimiter(lines: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys..., delimiter): the candidate that splits most lines into one number of cells.
+
+    All lines count.  Of equals the one with more cells, then the first of DELIMITERS; comma where
+    no candidate occurs.
+    """
+    counts = delimiter_counts(lines, keys)
+    place = F.array_position(F.array(*map(F.lit, DELIMITERS)), F.col("delimiter"))
+    usual = F.max(F.struct("lines", "cells")).alias("usual")
+    by = counts.groupBy(*keys, "delimiter").agg(usual)
+    split = by.where("usual.cells > 1").groupBy(*keys).agg(
+        F.max(F.struct("usual.lines", "usual.cells", (-place).alias("place"), "delimiter")).alias("best")
+    )
+    return split.select(*keys, F.col("best.delimiter").alias("delimiter"))
+
+
+def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding, delimiter, open_quotes) of each file under a path, from all its lines.
+
+    A byte order mark names the encoding; otherwise text is UTF-8 if every line is, else Windows
+    Latin.  ``open_quotes`` counts lines with an odd number of quotes, which hold a line break.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = F.col("value").cast("binary")
+    marks = [
+        F.when(F.startswith(raw, F.unhex(F.lit(mark))), F.lit(len(_MARKS) - k))
+        for k, (mark, _) in enumerate(_MARKS)
+    ]
+    facts = lines.groupBy("path").agg(
+        F.max(F.coalesce(*marks)).alias("mark"),
+        F.count_if(~F.is_valid_utf8("value")).alias("broken"),
+        F.count_if(_open_quote(F.col("value"))).alias("open_quotes"),
+    )
+    named = F.array(*[F.lit(e) for _, e in reversed(_MARKS)])
+    encoding = (
+        F.when(F.col("mark").isNotNull(), F.get(named, F.col("mark") - 1))
+        .when(F.col("broken") > 0, "cp1252")
+        .otherwise("utf-8")
+    )
+    return facts.join(best_delimiter(lines, ["path"]), "path", "left").select(
+        "path", encoding.alias("encoding"), F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
+        "open_quotes",
+    )
 
 
 def read_delimited(
@@ -99,43 +108,111 @@ def read_delimited(
     delimiter: str | None = None,
     multiline: bool | None = None,
 ) -> DataFrame:
-    """A delimited file with a header as a typed table.
+    """Delimited files with a header as a typed table: a file, a folder or a pattern, plain or gzip.
 
-    What is not given is sniffed from the start of the file.  Quoted line breaks are looked for
-    over the whole file, as reading them keeps Spark from splitting it.
+    What is not given is found out from all lines of all files.  Files may differ in encoding, not
+    in delimiter or header.  A record with more cells than the header raises; `bad_records` shows
+    such records.  Other encodings than Unicode and Windows Latin are to be named.
     """
-    if encoding is None or delimiter is None:
-        found = sniff(spark, [path]).first()
-        encoding = encoding or found["encoding"]
-        delimiter = delimiter or found["delimiter"]
-    name = _SPARK_NAMES.get(encoding, encoding)
-    if name in ("UTF-16", "UTF-32"):
-        multiline = True  # Spark splits lines by single bytes
-    if multiline is None:
-        lines = spark.read.text(path)
-        open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-        multiline = not lines.where(open_quote).isEmpty()
-    raw = spark.read.csv(
-        path, header=True, sep=delimiter, encoding=name, inferSchema=False, multiLine=multiline,
-        quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True,
-    )
-    header = raw_header(spark, path, name, delimiter, multiline) or raw.columns
-    if encoding == "cp1252":
-        wrong, right = "".join(_WINDOWS_ONLY), "".join(_WINDOWS_ONLY.values())
-        raw = raw.select(*[F.translate(col(c), wrong, right).alias(c) for c in raw.columns])
-        header = [c.translate(str.maketrans(_WINDOWS_ONLY)) for c in header]
-    return infer_types(raw.toDF(*clean_names(header)), parse_dates or [])
+    parts, names = _raw_parts(spark, path, encoding, delimiter, multiline)
+    bad, typed = together(
+        lambda: _long_records(parts, names).limit(1).count(),
+        lambda: infer_types(_joined(parts, names), parse_dates or []),
+    )
+    if bad:
+        raise ValueError(f"{path} has records of more than {len(names)} cells, see bad_records")
+    return typed
+
+
+def bad_records(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(record): the records of more cells than the header has, as they were written."""
+    return _long_records(*_raw_parts(spark, path, **options))
 
 
-def raw_header(
-    spark: SparkSession, path: str, encoding: str, delimiter: str, multiline: bool
-) -> list[str]:
-    """The header cells as written; Spark itself renames repeated ones."""
-    first = spark.read.csv(
-        path, header=False, sep=delimiter, encoding=encoding, multiLine=multiline, quote='"',
-        escape='"',
-    ).first()
-    return [] if first is None else [c if c is not None else "" for c in first]
+def _raw_parts(
+    spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None,
+    multiline: bool | None = None,
+) -> tuple[list[tuple[DataFrame, str]], list[str]]:
+    """Tables of strings with their delimiter, one for each encoding, and the column names."""
+    found = sniff(spark, path).collect()  # one row per file
+    delimiters = {delimiter} if delimiter else {r["delimiter"] for r in found} or {","}
+    if len(delimiters) > 1:
+        raise ValueError(f"the files under {path} differ in delimiter: {sorted(delimiters)}")
+    mark = delimiters.pop()
+    by_encoding: dict[str, list] = {}
+    for r in found:
+        by_encoding.setdefault(encoding or r["encoding"], []).append(r)
+    parts, names = [], None
+    for kind, files in by_encoding.items():
+        paths = path if len(by_encoding) == 1 else [r["path"] for r in files]
+        name = _SPARK_NAMES.get(kind, kind)
+        wide = name in ("UTF-16", "UTF-32")  # Spark splits lines by single bytes
+        whole = wide or (any(r["open_quotes"] for r in files) if multiline is None else multiline)
+        options = {"sep": mark, "encoding": name, "multiLine": whole, "quote": '"', "escape": '"'}
+        head = spark.read.csv(paths, header=False, **options).first()
+        if head is None:
+            continue
+        header = [c if c is not None else "" for c in head]
+        if kind == "cp1252":
+            header = [c.translate(str.maketrans(_WINDOWS_ONLY)) for c in header]
+        header = clean_names(header)
+        if names is not None and header != names:
+            raise ValueError(f"the files under {path} differ in header")
+        names = header
+        fields = [T.StructField(f"c{k}", T.StringType()) for k in range(len(names))]
+        schema = T.StructType([*fields, T.StructField(_BAD, T.StringType())])
+        # Without pruning, so that records of the wrong length are noticed whatever is read.
+        raw = spark.read.options(**options, columnPruning=False).csv(
+            paths, schema=schema, header=True, mode="PERMISSIVE", enforceSchema=True,
+            columnNameOfCorruptRecord=_BAD,
+        )
+        if kind == "cp1252":
+            wrong, right = "".join(_WINDOWS_ONLY), "".join(_WINDOWS_ONLY.values())
+            raw = raw.select(*[F.translate(c, wrong, right).alias(c) for c in raw.columns])
+        parts.append((raw, mark))
+    return parts, names or []
+
+
+def _joined(parts: list[tuple[DataFrame, str]], names: list[str]) -> DataFrame:
+    if not parts:
+        raise ValueError("there is no header")
+    out = parts[0][0]
+    for raw, _ in parts[1:]:
+        out = out.unionByName(raw)
+    return out.drop(_BAD).toDF(*names)
+
+
+def _long_records(parts: list[tuple[DataFrame, str]], names: list[str]) -> DataFrame:
+    out = None
+    for raw, delimiter in parts:
+        long = F.col(_BAD).isNotNull() & (cells_in(F.col(_BAD), delimiter) > len(names))
+        # Bad records cannot be asked for alone.
+        asked = F.coalesce(F.length("c0"), F.lit(0)) >= 0
+        part = raw.where(long & asked).select(F.col(_BAD).alias("record"))
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        raise ValueError("there is no header")
+    return out
+
+
+def split_lines(lines: DataFrame, names: list[str], delimiter: str | None = None) -> DataFrame:
+    """A table of lines (value) as columns of strings; the delimiter is found from all lines."""
+    if delimiter is None:
+        found = best_delimiter(lines).first()
+        delimiter = found["delimiter"] if found else ","
+    fields = ", ".join(f"c{k} string" for k in range(len(names)))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parsed = lines.select(F.from_csv("value", F.lit(fields), options).alias("v")).select("v.*")
+    return parsed.toDF(*clean_names(names))
+
+
+def long_lines(lines: DataFrame, names: list[str], delimiter: str | None = None) -> DataFrame:
+    """(value, cells): the lines with more cells than there are names."""
+    if delimiter is None:
+        found = best_delimiter(lines).first()
+        delimiter = found["delimiter"] if found else ","
+    cells = cells_in(F.col("value"), delimiter)
+    return lines.select("value", cells.alias("cells")).where(F.col("cells") > len(names))
 
 
 def clean_names(names: list[str]) -> list[str]:
@@ -156,21 +233,27 @@ def infer_types(raw: DataFrame, parse_dates: list[str] = ()) -> DataFrame:
 
     One scan tests every cell of every column, so the type never depends on a sample.  As in a
     data frame library, gaps turn whole numbers into doubles and keep booleans as text, and a
-    column without any value is a double.
+    column without any value is a double; but whole numbers that a double cannot hold stay whole,
+    as BIGINT or DECIMAL(38,0), and as text beyond that.
     """
     cell = {c: F.when(~col(c).isin(NA_TOKENS), col(c)) for c in raw.columns}
     flags = {}
     for c, v in cell.items():
+        number = F.expr(f"try_cast(trim({_name(c)}) as bigint)")
+        whole = v.rlike(r"^\s*[+-]?\d+\s*$")
         kind = (
-            F.when(_fits_long(v), WHOLE)
-            .when(parses_as_number(v), NUMBER)
+            F.when(whole & number.isNotNull(), WHOLE)
+            .when(whole & F.expr(f"try_cast(trim({_name(c)}) as decimal(38,0))").isNotNull(), LARGE)
+            .when(whole, TEXT)
             .when(v.isin(TRUTH_VALUES), TRUTH)
+            .when(parses_as_number(v), NUMBER)
             .otherwise(TEXT)
         )
         kind = F.when(v.isNotNull(), kind)
         flags |= {
             (c, "gaps"): F.count_if(v.isNull()), (c, "least"): F.min(kind),
-            (c, "most"): F.max(kind),
+            (c, "most"): F.max(kind), (c, "fine"): F.count_if(kind == NUMBER),
+            (c, "size"): F.max(F.when(whole, F.abs(number.cast("double")))),
         }
         if c in parse_dates:
             flags[c, "date"] = F.bool_and(F.when(v.isNotNull(), parse_date(v).isNotNull()))
@@ -182,10 +265,12 @@ def infer_types(raw: DataFrame, parse_dates: list[str] = ()) -> DataFrame:
             typed = parse_date(v)
         elif least is None:
             typed = F.lit(None).cast("double")
-        elif least == WHOLE and not gaps:
-            typed = F.trim(v).cast("bigint")
         elif least >= NUMBER:
-            typed = F.trim(v).cast("double")
+            exact = (got[c, "size"] or 0) <= EXACT_DOUBLE and most != LARGE and least != LARGE
+            if got[c, "fine"] or (gaps and exact):
+                typed = F.trim(v).cast("double")
+            else:
+                typed = F.trim(v).cast("bigint" if least == WHOLE else "decimal(38,0)")
         elif least == most == TRUTH and not gaps:
             typed = F.lower(v) == "true"
         else:
@@ -194,13 +279,14 @@ def infer_types(raw: DataFrame, parse_dates: list[str] = ()) -> DataFrame:
     return raw.select(*out)
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 # What one cell can be read as, from the least to the most specific.
-TEXT, TRUTH, NUMBER, WHOLE = range(4)
+TEXT, TRUTH, NUMBER, LARGE, WHOLE = range(5)
+# Whole numbers up to here are exact as doubles.
+EXACT_DOUBLE = 2.0**53
 
 # Cells read as booleans.
 TRUTH_VALUES = ["True", "False", "TRUE", "FALSE", "true", "false"]
-
-
-def _fits_long(text: Column) -> Column:
-    # Up to 18 digits always fit.
-    return text.rlike(r"^\s*[+-]?\d{1,18}\s*$")

@@ -1,48 +1,48 @@
-"""Small files on any file system that Arrow reaches."""
+"""Small files on any file system that Spark itself reaches.
 
-from __future__ import annotations
+A path without a scheme is one of the session's default file system, as in Spark's readers.
+"""
 
-import os
+from __future__ import annotations
 
-from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:") and not path.startswith("file://"):
-            path = "file://" + path[len("file:"):]
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path)
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
-def read_prefix(path: str, size: int) -> bytes:
-    system, name = _open(path)
-    with system.open_input_stream(name, compression=None) as f:
-        return f.read(size)
+def _session() -> SparkSession:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("files are reached through a Spark session, and none is active")
+    return spark
 
 
-def read_text(path: str) -> str:
-    system, name = _open(path)
-    with system.open_input_stream(name, compression=None) as f:
-        return f.readall().decode("utf-8")
+def read_text(path: str, spark: SparkSession | None = None) -> str:
+    spark = spark or _session()
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()  # one small file
+    return bytes(rows[0]["content"]).decode("utf-8")
 
 
-def write_text(path: str, text: str) -> None:
-    system, name = _open(path)
-    parent = os.path.dirname(name)
-    if parent:
-        system.create_dir(parent, recursive=True)
-    with system.open_output_stream(name, compression=None) as f:
-        f.write(text.encode("utf-8"))
+def write_text(path: str, text: str, spark: SparkSession | None = None) -> None:
+    """Write a file, replacing one that is there; parents are made."""
+    system, at = _at(spark or _session(), path)
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
-def list_files(directory: str, extensions: tuple[str, ...]) -> list[str]:
+def list_files(
+    directory: str, extensions: tuple[str, ...], spark: SparkSession | None = None
+) -> list[str]:
     """Paths directly inside a directory with one of the extensions, in order."""
-    system, name = _open(directory)
-    info = system.get_file_info(name)
-    if info.type != fs.FileType.Directory:
+    system, at = _at(spark or _session(), directory)
+    if not system.exists(at) or not system.getFileStatus(at).isDirectory():
         raise NotADirectoryError(directory)
-    entries = system.get_file_info(fs.FileSelector(name))
-    found = [e.path for e in entries if e.path.lower().endswith(extensions)]
-    prefix = directory.split("://")[0] + "://" if "://" in directory else ""
-    return sorted(prefix + path for path in found)
+    base = directory.rstrip("/")
+    found = [s.getPath().getName() for s in system.listStatus(at)]
+    return sorted(f"{base}/{name}" for name in found if name.lower().endswith(extensions))

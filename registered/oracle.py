@@ -66,13 +66,11 @@ def number_share(column: str, per: str = "count(*)") -> str:
 
 ORACLE["quality_issues_messy"] = f"""
 SELECT * FROM (
-SELECT 'High missing: ' || "column" AS "check", 'WARNING' AS severity,
-       printf('%.1f', 100.0 * nulls / total) || '% of values are missing in column '''
-       || "column" || '''' AS result
+SELECT 'High missing: ' || "column" AS "check", 'WARNING' AS severity, "column",
+       round(nulls / total, 6) AS value
 FROM ({missing_of("messy", MESSY)}) WHERE nulls > 0.9 * total
 UNION ALL
-SELECT 'Mixed types: ' || "column", 'WARNING', 'Column ''' || "column" || ''' is '
-       || printf('%.1f', 100 * share) || '% numeric — may be a mixed-type column'
+SELECT 'Mixed types: ' || "column", 'WARNING', "column", round(share, 6)
 FROM ({union([f'''SELECT '{c}' AS "column", {number_share(c)} AS share FROM {T("messy")}'''
               for c in MESSY_TEXTS])})
 WHERE share > 0.01 AND share < 0.99)"""
@@ -80,13 +78,12 @@ WHERE share > 0.01 AND share < 0.99)"""
 ORACLE["quality_issues_all_text"] = """
 WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
      d AS (SELECT sum(n - 1) AS copies, sum(n) AS total FROM g)
-SELECT 'All-object dtypes' AS "check", 'WARNING' AS severity,
-       'All columns are dtype=object — numeric parsing may have failed' AS result
+SELECT 'All-object dtypes' AS "check", 'WARNING' AS severity, '' AS "column",
+       CAST(2 AS DOUBLE) AS value
 UNION ALL
-SELECT 'Special chars in column names', 'INFO', 'Columns with special characters: [''priority?'']'
+SELECT 'Special chars in column names', 'INFO', '', 1
 UNION ALL
-SELECT 'High duplicates', 'WARNING', printf('%.1f', 100.0 * copies / total)
-       || '% of rows are exact duplicates (' || copies || ' rows)'
+SELECT 'High duplicates', 'WARNING', '', round(copies / total, 6)
 FROM d WHERE copies > 0.5 * total"""
 
 ORACLE["quality_status_messy"] = f"""
@@ -164,6 +161,11 @@ FROM ({with_normality(moments(table, columns))})"""
 
 ORACLE["numeric_stats_lineitem"] = numeric_stats("lineitem", LINEITEM)
 ORACLE["numeric_stats_gaps"] = numeric_stats("gaps", GAP_NUMBERS)
+# Decimals: the mode is the lowest of the most frequent values, of which there are many.
+ORACLE["numeric_stats_money"] = numeric_stats("money", ["price", "fee"])
+ORACLE["normality_supplier"] = f"""
+SELECT "column", 'D''Agostino-Pearson' AS normality_test, round(p, 6) AS normality_pvalue
+FROM ({with_normality(moments("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]))})"""
 ORACLE["numeric_stats_events"] = numeric_stats("events", ["value", "user_id"])
 
 
@@ -210,6 +212,8 @@ SELECT '{c}' AS "column", CAST(sum(k) AS BIGINT) AS count,
        round((any_value(total) - sum(k)) / any_value(total), 6) AS null_pct,
        count(*) AS unique_count, round(count(*) / sum(k), 6) AS unique_pct,
        arg_max(v, (k, -pos)) AS mode, max(k) AS mode_frequency,
+       list_aggregate(list_transform(list_slice(list_sort(list((-k, pos, v || '=' || k))), 1, 10),
+                      lambda t: t[3]), 'string_agg', ',') AS top_values,
        round(-sum(k / m * log2(k / m)) / log2(count(*)), 6) AS entropy
 FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS k,
              row_number() OVER (ORDER BY CAST({c} AS VARCHAR)) AS pos,
@@ -379,10 +383,20 @@ SELECT sqrt(sum((o - e) * (o - e) / e) / (SELECT count(*) FROM t)
        / (least((SELECT count(*) FROM ra), (SELECT count(*) FROM rb)) - 1)) FROM e"""
 
 
+def wide_pearson() -> str:
+    """The constant column has no correlation, not even with itself."""
+    body = pairs_table(list("abcdefghijkln"), pearson("wide"))
+    parts = [f"SELECT 'm' AS row, '{c}' AS col, CAST(NULL AS DOUBLE) AS value" for c in "abcdefghijklmn"]
+    parts += [f"SELECT '{c}', 'm', NULL" for c in "abcdefghijkln"]
+    return f"SELECT * FROM ({body})\nUNION ALL\n" + union(parts)
+
+
 ORACLE["pearson_lineitem"] = pairs_table(LINEITEM, pearson("lineitem"))
 ORACLE["pearson_gaps"] = pairs_table(GAP_NUMBERS, pearson("gaps"))
 ORACLE["spearman_lineitem"] = pairs_table(LINEITEM, spearman("lineitem"))
 ORACLE["spearman_gaps"] = pairs_table(GAP_NUMBERS, spearman("gaps"))
+ORACLE["spearman_holes"] = pairs_table(list("abcdef"), spearman("holes"))
+ORACLE["pearson_wide"] = wide_pearson()
 ORACLE["heatmap_related"] = pairs_table(RELATED, pearson("related"))
 ORACLE["cramers_v_orders"] = pairs_table(
     ["o_orderstatus", "o_orderdate", "o_orderpriority"], cramers("orders")
@@ -498,6 +512,13 @@ ORACLE["target_classes_lineitem"] = ranked_features(union(
                                                 " 'N/A' AS direction") for c in LINEITEM]
     + [nominal("lineitem", "l_linestatus", "l_returnflag")]
 ), 9)
+ORACLE["target_classes_shifted"] = ranked_features(union([
+    eta("lineitem", c, "l_returnflag")
+    .replace(f"SELECT '{c}' AS feature", f"SELECT '{name}' AS feature")
+    .replace(",\n       'eta_squared', 'N/A'",
+             " AS score, 'eta_squared' AS method, 'N/A' AS direction")
+    for c, name in (("l_quantity", "late"), ("l_partkey", "key"))
+]))
 ORACLE["target_top_orders"] = f"""SELECT * FROM ({ranked_features(union(
     [eta("orders", c, "o_orderpriority").replace(",\n       'eta_squared', 'N/A'",
                                                  " AS score, 'eta_squared' AS method,"
@@ -591,14 +612,31 @@ FROM {T(then)}"""
     ])
 
 
+# Kolmogorov's series at the argument with the finite-sample terms; for small arguments its other
+# form, which converges there.
+_KS_P = """
+       round(least(1.0, greatest(0.0, CASE WHEN l < 0.05 THEN 1.0 WHEN l < 1 THEN
+         1 - sqrt(2 * pi()) / l * list_sum(list_transform(range(1, 20),
+               lambda j: exp(-(2 * j - 1) * (2 * j - 1) * pi() * pi() / (8 * l * l))))
+         ELSE 2 * list_sum(list_transform(range(1, 200),
+               lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * l * l))) END)),
+       6)"""
+
+
+def ks_argument(source: str) -> str:
+    return f"""
+SELECT *, d * sqrt(n) + 1 / (6 * sqrt(n)) + (d * sqrt(n) - 1) / (4 * n) AS l
+FROM (SELECT *, n1 * n2 / (n1 + n2) AS n FROM ({source}))"""
+
+
 _ORDER_NUMBERS = drift_numeric(["bucket", "even", "o_custkey", "o_totalprice"], *_THEN_NOW)
 _SEVERITY = "CASE WHEN psi < 0.1 THEN 'none' WHEN psi < 0.2 THEN 'moderate' ELSE 'high' END"
 ORACLE["drift_numeric_orders"] = f"""
 SELECT "column", 'numeric' AS col_type, round(m1, 4) AS mean_ref, round(m2, 4) AS mean_cur,
        round(abs(m1 - m2) / abs(m1) * 100, 6) AS mean_shift_pct, round(s1, 4) AS std_ref,
-       round(s2, 4) AS std_cur, round(d, 6) AS ks_statistic, round(psi, 6) AS psi,
-       psi >= 0.1 AS drift_detected, {_SEVERITY} AS drift_severity
-FROM ({_ORDER_NUMBERS})"""
+       round(s2, 4) AS std_cur, round(d, 6) AS ks_statistic, {_KS_P} AS ks_pvalue,
+       round(psi, 6) AS psi, psi >= 0.1 AS drift_detected, {_SEVERITY} AS drift_severity
+FROM ({ks_argument(_ORDER_NUMBERS)})"""
 ORACLE["drift_ranked_items"] = f"""
 SELECT rank, "column", round(psi, 6) AS psi, {_SEVERITY} AS drift_severity
 FROM (SELECT *, row_number() OVER (ORDER BY coalesce(psi, 0) DESC, "column") AS rank
@@ -606,15 +644,10 @@ FROM (SELECT *, row_number() OVER (ORDER BY coalesce(psi, 0) DESC, "column") AS
             UNION ALL SELECT unnest(['channel', 'o_orderpriority', 'o_orderstatus']), NULL))
 WHERE psi IS NOT NULL"""
 
-# Kolmogorov's series at the argument with the finite-sample terms.
 ORACLE["drift_ks_lineitem"] = f"""
-SELECT "column", round(d, 6) AS ks_statistic, round(psi, 6) AS psi,
-       round(least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 2001),
-         lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * l * l))))), 6)
-         AS ks_pvalue
-FROM (SELECT *, d * sqrt(n) + 1 / (6 * sqrt(n)) + (d * sqrt(n) - 1) / (4 * n) AS l
-      FROM (SELECT *, n1 * n2 / (n1 + n2) AS n FROM ({drift_numeric(
-          ["l_quantity", "l_extendedprice", "l_discount"], "items_then", "items_now")})))"""
+SELECT "column", round(d, 6) AS ks_statistic, round(psi, 6) AS psi, {_KS_P} AS ks_pvalue
+FROM ({ks_argument(drift_numeric(["l_quantity", "l_extendedprice", "l_discount"],
+                                 "items_then", "items_now"))})"""
 
 
 def chi_square(c: str) -> str:
@@ -631,10 +664,14 @@ FROM (SELECT *, (a + b) * sa / (sa + sb) AS ea, (a + b) * sb / (sa + sb) AS eb F
           SELECT {c}, 0 FROM {T("orders_now")}) WHERE {c} IS NOT NULL GROUP BY {c})))"""
 
 
-# Even degrees of freedom have a closed form; 3.841459 is the 5 % point for one degree.
+# Even degrees of freedom have a closed form; for one degree the error function is summed as
+# exp(-z²) 2/√π Σ 2^i z^(2i+1) / (2i+1)!!, whose terms are all positive.
 _CHI = f"""
-SELECT *, CASE k WHEN 3 THEN exp(-chi2 / 2) WHEN 5 THEN exp(-chi2 / 2) * (1 + chi2 / 2) END AS p,
-       CASE k WHEN 2 THEN chi2 > 3.841459 ELSE p < 0.05 END AS drifted
+SELECT *, CASE k WHEN 3 THEN exp(-chi2 / 2) WHEN 5 THEN exp(-chi2 / 2) * (1 + chi2 / 2)
+          WHEN 2 THEN CASE WHEN chi2 > 60 THEN 0 ELSE greatest(0.0, 1 - list_sum(list_transform(
+            range(0, 200), lambda i: exp(-chi2 / 2 + (2 * i + 1) * ln(greatest(1e-300, sqrt(chi2 / 2)))
+              + (2 * i + 1) * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2)))) * 2 / sqrt(pi()) / 2) END END AS p,
+       p < 0.05 AS drifted
 FROM ({union([chi_square(c) for c in ("channel", "o_orderpriority", "o_orderstatus")])})"""
 ORACLE["drift_categorical_orders"] = f"""
 SELECT "column", round(chi2, 6) AS chi2_statistic, round(p, 6) AS chi2_pvalue,
@@ -651,9 +688,10 @@ SELECT coalesce(string_agg("column", ',' ORDER BY "column") FILTER (drifted), ''
        (SELECT count(*) FROM {T("orders_now")}) AS cur_rows, CAST(8 AS BIGINT) AS cur_columns,
        'o_orderkey' AS missing_in_current, 'o_orderdate' AS new_in_current, CAST(0.2 AS DOUBLE) AS psi_threshold
 FROM d"""
-ORACLE["drift_column_changes"] = """
-SELECT 'o_orderkey' AS "column", 'missing_in_current' AS change
-UNION ALL SELECT 'o_orderdate', 'new_in_current'"""
+ORACLE["drift_column_changes"] = f"""
+SELECT 'o_orderkey' AS "column", 'missing_in_current' AS change, count(o_orderkey) AS present,
+       count(*) AS rows FROM {T("orders_then")}
+UNION ALL SELECT 'o_orderdate', 'new_in_current', count(o_orderdate), count(*) FROM {T("orders_now")}"""
 
 # Health audit and summary
 
@@ -698,54 +736,66 @@ WITH gaps AS ({missing_of(table, order)}),
      r AS ({union(r_parts)}),
      joint AS ({union(joint)}),
      outs AS ({outlier_counts(table, numbers)}),
-     ids AS (SELECT c FROM numbers WHERE n >= 50 AND uniq / n > 0.95 AND whole
-             UNION ALL SELECT c FROM texts WHERE n >= 20 AND uniq / n >= 0.98)
+     ids AS (SELECT c, n, uniq FROM numbers WHERE n >= 50 AND uniq / n > 0.95 AND whole
+             UNION ALL SELECT c, n, uniq FROM texts WHERE n >= 20 AND uniq / n >= 0.98)
 SELECT CASE WHEN nulls = total THEN 'Empty column' WHEN nulls >= 0.5 * total
             THEN 'Severe missingness' ELSE 'High missingness' END AS "check",
        'Completeness' AS category,
        CASE WHEN nulls >= 0.5 * total THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
-       "column" AS columns FROM gaps WHERE nulls >= 0.1 * total
+       "column" AS columns, round(nulls / total, 6) AS value FROM gaps WHERE nulls >= 0.1 * total
 UNION ALL
-SELECT 'Correlated missingness', 'Completeness', 'INFO', a || ',' || b FROM joint WHERE p >= 0.5
+SELECT 'Correlated missingness', 'Completeness', 'INFO', a || ',' || b, round(p, 6)
+FROM joint WHERE p >= 0.5
 UNION ALL
-SELECT 'Duplicate columns', 'Duplication', 'CRITICAL', a || ',' || b FROM r WHERE same
+SELECT 'Duplicate columns', 'Duplication', 'CRITICAL', a || ',' || b, 1 FROM r WHERE same
 UNION ALL
-SELECT 'Mixed types', 'Type Integrity', 'WARNING', c FROM texts
+SELECT 'Mixed types', 'Type Integrity', 'WARNING', c, round(all_share, 6) FROM texts
 WHERE all_share > 0.01 AND all_share < 0.99
 UNION ALL
-SELECT 'Numeric stored as text', 'Type Integrity', 'WARNING', c FROM texts
+SELECT 'Numeric stored as text', 'Type Integrity', 'WARNING', c, round(numeric_share, 6) FROM texts
 WHERE numeric_share >= 0.99
 UNION ALL
-SELECT 'Dates stored as text', 'Type Integrity', 'INFO', c FROM texts
+SELECT 'Dates stored as text', 'Type Integrity', 'INFO', c, round(date_share, 6) FROM texts
 WHERE numeric_share < 0.5 AND n >= 5 AND date_share >= 0.95
 UNION ALL
-SELECT 'Disguised missing values', 'Type Integrity', 'WARNING', c FROM texts WHERE hidden > 0
+SELECT 'Disguised missing values', 'Type Integrity', 'WARNING', c, hidden FROM texts WHERE hidden > 0
 UNION ALL
-SELECT 'Inconsistent category labels', 'Type Integrity', 'WARNING', c FROM texts
-WHERE uniq > 1 AND uniq <= 200 AND variants > 0
+SELECT 'Inconsistent category labels', 'Type Integrity', 'WARNING', c, variants FROM texts
+WHERE variants > 0
 UNION ALL
-SELECT 'Constant column', 'Feature Quality', 'CRITICAL', c FROM
+SELECT 'Constant column', 'Feature Quality', 'CRITICAL', c, 1 FROM
   (SELECT c, uniq FROM numbers UNION ALL SELECT c, uniq FROM texts) WHERE uniq = 1
 UNION ALL
-SELECT 'Near-constant column', 'Feature Quality', 'WARNING', c FROM
+SELECT 'Near-constant column', 'Feature Quality', 'WARNING', c, round(top / n, 6) FROM
   (SELECT c, n, uniq, top FROM numbers UNION ALL SELECT c, n, uniq, top FROM texts)
 WHERE n >= 20 AND uniq > 1 AND top / n >= 0.99
 UNION ALL
-SELECT 'Identifier column', 'Feature Quality', 'WARNING', c FROM ids
+SELECT 'Identifier column', 'Feature Quality', 'WARNING', c, round(uniq / n, 6) FROM ids
 UNION ALL
-SELECT 'High-cardinality column', 'Feature Quality', 'INFO', c FROM texts
+SELECT 'High-cardinality column', 'Feature Quality', 'INFO', c, uniq FROM texts
 WHERE uniq > 50 AND c NOT IN (SELECT c FROM ids)
 UNION ALL
-SELECT 'Extreme outliers', 'Feature Quality', 'WARNING', "column" FROM outs
+SELECT 'Extreme outliers', 'Feature Quality', 'WARNING', "column", round(extreme / n, 6) FROM outs
 WHERE n > 0 AND extreme / n >= 0.05 AND "column" NOT IN (SELECT c FROM ids)
 UNION ALL
-SELECT 'Near-duplicate features', 'Redundancy', 'WARNING', a || ',' || b FROM r
+SELECT 'Near-duplicate features', 'Redundancy', 'WARNING', a || ',' || b, round(r, 6) FROM r
 WHERE abs(r) >= 0.95 AND NOT same"""
 
 
 # No row of the messy table is complete, so it has no inflation factors.
 _MESSY = findings("messy", MESSY_NUMBERS, MESSY_TEXTS, MESSY)
 ORACLE["health_findings_messy"] = _MESSY
+ORACLE["health_findings_copies"] = f"""
+SELECT 'Duplicate rows' AS "check", 'Duplication' AS category,
+       CASE WHEN copies >= 0.2 * total THEN 'CRITICAL' WHEN copies >= 0.01 * total THEN 'WARNING'
+            ELSE 'INFO' END AS severity, '' AS columns, round(copies / total, 6) AS value
+FROM (SELECT sum(n - 1) AS copies, sum(n) AS total FROM
+      (SELECT *, count(*) AS n FROM {T("copies")} GROUP BY ALL)) WHERE copies > 0"""
+ORACLE["health_findings_region"] = """
+SELECT 'Few rows per column' AS "check", 'Structure' AS category, 'WARNING' AS severity,
+       '' AS columns, count(*) / 2 AS value FROM region HAVING count(*) < 10
+UNION ALL SELECT 'Special characters in column names', 'Structure', 'INFO', '', 1
+UNION ALL SELECT 'All-text columns', 'Type Integrity', 'WARNING', '', 2"""
 _ORDER = """['Structure', 'Completeness', 'Duplication', 'Type Integrity', 'Feature Quality',
              'Redundancy', 'Target Risks']"""
 ORACLE["health_categories_messy"] = f"""
@@ -760,7 +810,7 @@ ORACLE["health_score_messy"] = f"""
 WITH f AS ({_MESSY}),
      p AS (SELECT category, least(25, sum(CASE severity WHEN 'CRITICAL' THEN 15 WHEN 'WARNING'
                                           THEN 5 ELSE 0 END)) AS lost FROM f GROUP BY category),
-     t AS (SELECT string_agg(category, ' and ') AS worst FROM (
+     t AS (SELECT string_agg(category, ',') AS worst FROM (
              SELECT category FROM p ORDER BY lost DESC, list_position({_ORDER}, category) LIMIT 2)),
      s AS (SELECT CAST(greatest(0, 100 - (SELECT sum(lost) FROM p)) AS BIGINT) AS score,
                   count(*) FILTER (severity = 'CRITICAL') AS critical,
@@ -769,8 +819,7 @@ WITH f AS ({_MESSY}),
 SELECT score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good'
                    WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Poor'
                    ELSE 'Critical' END AS band, critical, warnings, infos,
-       band || ' — ' || critical || ' critical issues and ' || warnings
-         || ' warnings, concentrated in ' || worst || '.' AS assessment
+       worst AS worst_categories
 FROM s, t"""
 
 # The dependent columns of the related table, where the factor is above 10 by construction:
@@ -840,12 +889,28 @@ SELECT CAST(tier AS BIGINT) AS tier, round(magnitude, 4) AS magnitude, "column"
 FROM ({candidates("messy", MESSY_NUMBERS, MESSY_TEXTS, MESSY)})"""
 ORACLE["key_issues_gaps"] = f"""
 SELECT rank, CAST(tier AS BIGINT) AS tier, round(magnitude, 6) AS magnitude, "column",
-       CASE tier WHEN 3 THEN printf('%.1f', 100 * magnitude) || '% missing values detected in '
-                             || "column" || '.'
-                 WHEN 6 THEN "column" || ' appears to be an identifier.' END AS message
+       CASE tier WHEN 3 THEN 'missing_share' WHEN 6 THEN 'key_like' END AS code
 FROM (SELECT *, row_number() OVER (ORDER BY tier, magnitude DESC) AS rank
       FROM ({candidates("gaps", GAP_NUMBERS, ["priority", "status", "o_orderdate"], GAPS)}))
 WHERE rank <= 5"""
+_SHIFTED = ["l_quantity", "cubed", "shifted"]
+_SHIFTED_VIF = vif3("related", _SHIFTED, 9)
+ORACLE["key_issues_shifted"] = f"""
+WITH inflated AS (SELECT "column" AS c, vif FROM ({_SHIFTED_VIF}) WHERE vif > 10),
+r AS ({union([f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM {T('related')}"
+              for a, b in combinations(_SHIFTED, 2)])}),
+f AS (
+  SELECT 2 AS tier, CAST(sum(n - 1) AS DOUBLE) AS magnitude, '' AS "column", 'repeated_rows' AS code
+  FROM (SELECT l_quantity, cubed, shifted, count(*) AS n FROM {T("related")} GROUP BY ALL)
+  UNION ALL SELECT 4, vif, c, 'vif' FROM inflated
+  UNION ALL SELECT 5, r, a || ',' || b, 'strong_pair' FROM r
+  WHERE r >= 0.7 AND a NOT IN (SELECT c FROM inflated) AND b NOT IN (SELECT c FROM inflated)
+  UNION ALL SELECT 7, abs(skew), "column", 'skewed' FROM ({moments("related", _SHIFTED)})
+  WHERE abs(skew) > 2
+  UNION ALL SELECT 8, iqr / n, "column", 'outliers' FROM ({outlier_counts("related", _SHIFTED)})
+  WHERE iqr / n >= 0.1)
+SELECT row_number() OVER (ORDER BY tier, magnitude DESC) AS rank, CAST(tier AS BIGINT) AS tier,
+       round(magnitude, 4) AS magnitude, "column", code FROM f"""
 ORACLE["at_a_glance_copies"] = f"""
 SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns,
        CAST(0 AS DOUBLE) AS missing_share, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
@@ -888,30 +953,56 @@ SELECT 'copies' AS name, '1.0' AS version, CAST(floor(0.8 * sum(n)) AS BIGINT) A
        'warn' AS extra_columns
 FROM (SELECT *, count(*) AS n FROM {T("copies")} GROUP BY ALL)"""
 
-# The changed customers: half the rows, a column less and one more, a retyped name, shifted
+# The changed customers: too few for the rule, a column less and one more, a retyped name, shifted
 # numbers, gaps and new segments.
+
+
+def bound(column: str, low: bool) -> str:
+    edge = f"min({column})" if low else f"max({column})"
+    sign = "-" if low else "+"
+    return f"(SELECT round({edge} {sign} abs({edge}) * 0.1, 6) FROM customer)"
+
+
 _BROKEN = f"""
 SELECT 1 AS seq, '__global__' AS "column", 'min_rows' AS "check", 'error' AS severity,
+       '>= ' || (SELECT 2 * CAST(floor(0.8 * count(*)) AS BIGINT) FROM customer) AS expected,
        CAST(count(*) AS VARCHAR) AS actual FROM {T("customer_now")}
-HAVING count(*) < floor(0.8 * (SELECT count(*) FROM customer))
-UNION ALL SELECT 2, 'c_phone', 'required', 'error', 'missing'
-UNION ALL SELECT 3, 'c_extra', 'extra_column', 'warning', 'present'
-UNION ALL SELECT 4, 'c_name', 'dtype', 'error', 'categorical'
-UNION ALL SELECT 5, 'c_nationkey', 'max', 'error', CAST(CAST(max(c_nationkey) AS DOUBLE) AS VARCHAR)
-FROM {T("customer_now")} HAVING max(c_nationkey) > (SELECT max(c_nationkey) * 1.1 FROM customer)
-UNION ALL SELECT 6, 'c_acctbal', 'max_missing_pct', 'error',
+HAVING count(*) < (SELECT 2 * CAST(floor(0.8 * count(*)) AS BIGINT) FROM customer)
+UNION ALL SELECT 2, 'c_phone', 'required', 'error', 'present', 'missing'
+UNION ALL SELECT 3, 'c_extra', 'extra_column', 'warning', 'not present', 'present'
+UNION ALL SELECT 4, 'c_name', 'dtype', 'error', 'numeric', 'categorical'
+UNION ALL SELECT 5, 'c_nationkey', 'max', 'error', '<= ' || {bound("c_nationkey", False)},
+       CAST(CAST(max(c_nationkey) AS DOUBLE) AS VARCHAR)
+FROM {T("customer_now")} HAVING max(c_nationkey) > {bound("c_nationkey", False)}
+UNION ALL SELECT 6, 'c_acctbal', 'max_missing_pct', 'error', '<= 0.0%',
        printf('%.1f', 100.0 * (count(*) - count(c_acctbal)) / count(*)) || '%'
 FROM {T("customer_now")} HAVING count(*) > count(c_acctbal)
-UNION ALL SELECT 7, 'c_acctbal', 'min', 'error', CAST(min(c_acctbal) AS VARCHAR)
-FROM {T("customer_now")} HAVING min(c_acctbal) < (SELECT min(c_acctbal) * 1.1 FROM customer)
+UNION ALL SELECT 7, 'c_acctbal', 'min', 'error', '>= ' || {bound("c_acctbal", True)},
+       CAST(min(c_acctbal) AS VARCHAR)
+FROM {T("customer_now")} HAVING min(c_acctbal) < {bound("c_acctbal", True)}
 UNION ALL SELECT 8, 'c_mktsegment', 'allowed_values', 'warning',
-       'unexpected: [''' || string_agg(DISTINCT c_mktsegment, ''', ''' ORDER BY c_mktsegment)
-       || ''']'
+       (SELECT 'subset of [\'\'' || string_agg(DISTINCT c_mktsegment, '\'\', \'\'' ORDER BY c_mktsegment)
+               || '\'\']' FROM customer),
+       count(DISTINCT c_mktsegment) || ' other values'
 FROM {T("customer_now")} WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer)
 HAVING count(*) > 0"""
 ORACLE["contract_violations_customer"] = f"""
-SELECT row_number() OVER (ORDER BY seq) AS position, "column", "check", severity, actual
+SELECT row_number() OVER (ORDER BY seq) AS position, "column", "check", severity, expected, actual
 FROM ({_BROKEN})"""
+ORACLE["contract_violations_copies"] = f"""
+WITH o AS (SELECT sum(n - 1) AS d, sum(n) AS t FROM
+           (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus, o_totalprice)),
+     c AS (SELECT sum(n - 1) AS d, sum(n) AS t FROM
+           (SELECT *, count(*) AS n FROM {T("copies")} GROUP BY ALL)),
+     b AS (SELECT round(min(o_totalprice) * 0.9, 6) AS low FROM orders)
+SELECT row_number() OVER (ORDER BY seq) AS position, * EXCLUDE (seq) FROM (
+SELECT 1 AS seq, '__global__' AS "column", 'max_duplicate_pct' AS "check", '<= ' || round(least(100,
+       150.0 * o.d / o.t + 1), 1) || '%' AS expected, printf('%.1f', 100.0 * c.d / c.t) || '%' AS actual,
+       'error' AS severity FROM o, c
+UNION ALL SELECT 2, 'o_orderstatus', 'allowed_values',
+       (SELECT 'subset of [\'\'' || string_agg(DISTINCT o_orderstatus, '\'\', \'\'' ORDER BY o_orderstatus)
+               || '\'\']' FROM orders), '1 other values', 'warning'
+UNION ALL SELECT 3, 'o_totalprice', 'min', '>= ' || low, '2.5', 'error' FROM b)"""
 ORACLE["contract_verdict_strict"] = f"""
 SELECT count(*) = 0 AS passed, false AS has_warnings, count(*) AS errors, CAST(0 AS BIGINT) AS warnings
 FROM ({_BROKEN})"""
@@ -1083,6 +1174,13 @@ SELECT unnest(['whole', 'gappy', 'decimal', 'flag', 'gappy_flag', 'label', 'blan
          AS "column",
        unnest(['bigint', 'double', 'double', 'boolean', 'string', 'string', 'double',
                'timestamp']) AS type"""
+ORACLE["parsed_lines_orders"] = """
+SELECT 9007199254740990000 + o_orderkey AS key, o_orderpriority || '; ' || o_orderstatus AS label,
+       round(o_totalprice, 6) AS price, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders"""
+ORACLE["line_delimiters_orders"] = """
+SELECT DISTINCT o_orderkey % 3 AS part, ';' AS delimiter FROM orders"""
+ORACLE["long_lines_orders"] = f"""
+SELECT value, CAST(5 AS INTEGER) AS cells FROM {T("ragged")} WHERE value LIKE '%|more'"""
 ORACLE["drop_columns_orders"] = """
 SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"""
 ORACLE["sample_rows_orders"] = """

@@ -13,6 +13,7 @@ from lakeprofile.plans import (
     quality, summary, target,
 )
 from lakeprofile.plans.profile import Profile
+from lakeprofile.sources import delimited
 from lakeprofile.sources.delimited import infer_types
 from lakeprofile.sources.load import drop_columns, sample_rows
 from lakeprofile.sources.sink import json_safe
@@ -51,7 +52,7 @@ def overview_gaps(spark, sf_dir):
 
 @register
 def quality_issues_messy(spark, sf_dir):
-    return quality.quality_issues(table(spark, sf_dir, "messy")).select("check", "severity", "result")
+    return rounded(quality.quality_issues(table(spark, sf_dir, "messy")).drop("note"))
 
 
 @register
@@ -59,7 +60,7 @@ def quality_issues_all_text(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(
         "o_orderstatus", F.col("o_orderpriority").alias("priority?")
     )
-    return quality.quality_issues(df).select("check", "severity", "result")
+    return rounded(quality.quality_issues(df).drop("note"))
 
 
 @register
@@ -110,27 +111,34 @@ def distribution_notes_events(spark, sf_dir):
 @register
 def distribution_notes_customer(spark, sf_dir):
     df = table(spark, sf_dir, "customer").withColumn("c_debt", F.col("c_acctbal") - 9000)
-    return distribution.distribution_notes(df.drop("c_custkey")).where(
-        "code <> 'large_sample'"
-    ).select("column", "code")
+    return distribution.distribution_notes(df.drop("c_custkey")).select("column", "code")
 
 
 @register
 def normality_supplier(spark, sf_dir):
-    """Shapiro-Wilk up to 5000 rows, D'Agostino-Pearson beyond."""
-    return distribution.shapiro_table(table(spark, sf_dir, "supplier"))
+    return rounded(distribution.normality_table(table(spark, sf_dir, "supplier")))
+
+
+@register
+def numeric_stats_money(spark, sf_dir):
+    """Decimals, with ties for the mode."""
+    return _numeric(table(spark, sf_dir, "money"))
+
+
+def _categorical(df: DataFrame) -> DataFrame:
+    stats = distribution.categorical_stats(df).drop("notes")
+    top = F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["count"].cast("string")))
+    return rounded(stats.withColumn("top_values", F.array_join(top, ",")))
 
 
 @register
 def categorical_stats_orders(spark, sf_dir):
-    stats = distribution.categorical_stats(table(spark, sf_dir, "orders"))
-    return rounded(stats.drop("top_values", "notes"))
+    return _categorical(table(spark, sf_dir, "orders"))
 
 
 @register
 def categorical_stats_gaps(spark, sf_dir):
-    stats = distribution.categorical_stats(table(spark, sf_dir, "gaps"))
-    return rounded(stats.drop("top_values", "notes"))
+    return _categorical(table(spark, sf_dir, "gaps"))
 
 
 @register
@@ -233,6 +241,18 @@ def strong_pairs_related(spark, sf_dir):
     return rounded(correlation.strong_pairs(table(spark, sf_dir, "related")))
 
 
+@register
+def spearman_holes(spark, sf_dir):
+    """Six columns with gaps: every pair has ranks of its own."""
+    return rounded(correlation.spearman_matrix(table(spark, sf_dir, "holes")))
+
+
+@register
+def pearson_wide(spark, sf_dir):
+    """More columns than one aggregate takes."""
+    return rounded(correlation.pearson_matrix(table(spark, sf_dir, "wide")))
+
+
 @register
 def cramers_v_orders(spark, sf_dir):
     return rounded(correlation.cramers_matrix(table(spark, sf_dir, "orders")))
@@ -286,6 +306,15 @@ def target_classes_lineitem(spark, sf_dir):
     return rounded(target.feature_table(df, "l_returnflag"), 9)
 
 
+@register
+def target_classes_shifted(spark, sf_dir):
+    """Large numbers that lie close together, as times and keys do."""
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", (F.col("l_quantity") + 1.7e9).alias("late"), (F.col("l_partkey") + 1.7e9).alias("key")
+    )
+    return rounded(target.feature_table(df, "l_returnflag"), 6)
+
+
 @register
 def target_top_orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
@@ -332,7 +361,7 @@ def _items_drift(spark, sf_dir) -> drift.Drift:
 @register
 def drift_numeric_orders(spark, sf_dir):
     found = _orders_drift(spark, sf_dir).table().where("col_type = 'numeric'")
-    found = found.drop("ks_pvalue", "chi2_statistic", "chi2_pvalue")
+    found = found.drop("chi2_statistic", "chi2_pvalue")
     return rounded(found, 6, mean_ref=4, mean_cur=4, std_ref=4, std_cur=4)
 
 
@@ -345,10 +374,7 @@ def drift_ks_lineitem(spark, sf_dir):
 @register
 def drift_categorical_orders(spark, sf_dir):
     found = _orders_drift(spark, sf_dir).table().where("col_type = 'categorical'")
-    found = found.select("column", "chi2_statistic", "chi2_pvalue", "drift_detected")
-    return rounded(found.withColumn(
-        "chi2_pvalue", F.when(F.col("column") != "channel", F.col("chi2_pvalue"))
-    ))
+    return rounded(found.select("column", "chi2_statistic", "chi2_pvalue", "drift_detected"))
 
 
 @register
@@ -380,12 +406,28 @@ def drift_column_changes(spark, sf_dir):
 @register
 def health_findings_messy(spark, sf_dir):
     found = health.Audit(table(spark, sf_dir, "messy")).table()
-    return health.by_column(found).drop("rank", "message")
+    return rounded(health.by_column(found).drop("rank", "note"))
 
 
 @register
 def health_score_messy(spark, sf_dir):
-    return health.Audit(table(spark, sf_dir, "messy")).score()
+    found = health.Audit(table(spark, sf_dir, "messy")).score()
+    return found.withColumn("worst_categories", F.array_join("worst_categories", ","))
+
+
+@register
+def health_findings_copies(spark, sf_dir):
+    found = health.Audit(table(spark, sf_dir, "copies")).table()
+    return rounded(health.by_column(found).drop("rank", "note"))
+
+
+@register
+def health_findings_region(spark, sf_dir):
+    """Few rows, text only, and a name with a special character."""
+    df = table(spark, sf_dir, "region")
+    df = df.select(F.col("r_name").alias("name?"), F.substring("r_name", 1, 2).alias("short"))
+    found = health.Audit(df).table()
+    return rounded(health.by_column(found).drop("rank", "note"))
 
 
 @register
@@ -415,13 +457,20 @@ def health_target_risks(spark, sf_dir):
 
 @register
 def key_issues_gaps(spark, sf_dir):
-    return rounded(summary.key_issues(table(spark, sf_dir, "gaps")))
+    return rounded(summary.key_issues(table(spark, sf_dir, "gaps")).drop("note"))
+
+
+@register
+def key_issues_shifted(spark, sf_dir):
+    """Repeated rows and inflated variances."""
+    df = table(spark, sf_dir, "related").select("l_quantity", "cubed", "shifted")
+    return rounded(summary.key_issues(df, keep=None).drop("note"), 4)
 
 
 @register
 def key_issue_candidates_messy(spark, sf_dir):
     df = table(spark, sf_dir, "messy")
-    rows = [(tier, size, name) for tier, size, name, _ in summary.issue_list(df)]
+    rows = [issue[:3] for issue in summary.issue_list(df)]
     return rounded(small_table(spark, rows, "tier bigint, magnitude double, column string"), 4)
 
 
@@ -455,6 +504,7 @@ def _customer_contract(spark, sf_dir) -> contract.Contract:
     rules = contract.infer(table(spark, sf_dir, "customer"))
     rules.columns["c_phone"] = contract.ColumnRule("categorical")
     rules.columns["c_name"].dtype = "numeric"
+    rules.min_rows = 2 * rules.min_rows
     return rules
 
 
@@ -463,7 +513,14 @@ def contract_violations_customer(spark, sf_dir):
     found = contract.validate(
         table(spark, sf_dir, "customer_now"), _customer_contract(spark, sf_dir)
     )
-    return found.select("position", "column", "check", "severity", "actual")
+    return found.select("position", "column", "check", "severity", "expected", "actual")
+
+
+@register
+def contract_violations_copies(spark, sf_dir):
+    """Too many repeated rows, a new label and a number below its bound."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
+    return contract.validate(table(spark, sf_dir, "copies"), contract.infer(orders))
 
 
 @register
@@ -589,6 +646,29 @@ def typed_cells(spark, sf_dir):
     return typed.withColumn("day", F.col("day").cast("date").cast("string"))
 
 
+LINE_NAMES = ["key", "label", "price", "day"]
+
+
+@register
+def parsed_lines_orders(spark, sf_dir):
+    """Lines with a key of 19 digits and quoted delimiters, whose delimiter is found out."""
+    lines = table(spark, sf_dir, "lines").select("value")
+    typed = delimited.infer_types(delimited.split_lines(lines, LINE_NAMES), ["day"])
+    return rounded(typed.withColumn("day", F.col("day").cast("date").cast("string")))
+
+
+@register
+def line_delimiters_orders(spark, sf_dir):
+    return delimited.best_delimiter(table(spark, sf_dir, "lines"), ["part"])
+
+
+@register
+def long_lines_orders(spark, sf_dir):
+    """Lines with a cell too many."""
+    lines = table(spark, sf_dir, "ragged").select("value")
+    return delimited.long_lines(lines, LINE_NAMES)
+
+
 @register
 def typed_cells_schema(spark, sf_dir):
     typed = infer_types(table(spark, sf_dir, "cells"), ["day"])
@@ -604,9 +684,10 @@ def drop_columns_orders(spark, sf_dir):
 
 @register
 def sample_rows_orders(spark, sf_dir):
-    """An exact-size sample; every sampled row is a row of the table."""
+    """An exact-size sample; every sampled row is a row of the table, and a new layout changes
+    nothing."""
     orders = table(spark, sf_dir, "orders")
-    picked = sample_rows(orders, 500)
+    picked = sample_rows(orders, 500).intersect(sample_rows(orders.repartition(3), 500))
     return picked.join(orders.select("o_orderkey"), "o_orderkey", "left_semi").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("keys")
     )

@@ -113,7 +113,42 @@ DERIVED = {
                CASE WHEN c_custkey % 10 = 0 THEN 'SPACE' WHEN c_custkey % 10 = 1 THEN 'FARM'
                     ELSE c_mktsegment END AS c_mktsegment,
                c_custkey AS c_extra
-        FROM {customer} WHERE c_custkey % 2 = 0""",
+        FROM {customer}""",
+    # Orders' prices as decimals, and decimals with few values that are about as frequent.
+    "money": """
+        SELECT CAST(o_totalprice AS DECIMAL(15, 2)) AS price,
+               CAST(o_orderkey % 40 AS DECIMAL(15, 2)) + CAST(0.25 AS DECIMAL(15, 2)) AS fee
+        FROM {orders}""",
+    # Orders with a sixth of the cells left out, another sixth in every column.
+    "holes": """
+        SELECT CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice END AS a,
+               CASE WHEN o_orderkey % 6 <> 1 THEN o_custkey END AS b,
+               CASE WHEN o_orderkey % 6 <> 2 THEN o_totalprice + 100 * o_custkey END AS c,
+               CASE WHEN o_custkey % 6 <> 3 THEN o_custkey % 17 END AS d,
+               CASE WHEN o_custkey % 6 <> 4 THEN o_orderkey - 3 * o_custkey END AS e,
+               CASE WHEN o_custkey % 6 <> 5 THEN o_totalprice * o_custkey END AS f
+        FROM {orders}""",
+    # Fourteen columns, some with gaps.
+    "wide": """
+        SELECT o_orderkey AS a, o_custkey AS b, o_totalprice AS c, o_orderkey % 7 AS d,
+               o_custkey % 11 AS e, o_totalprice * o_custkey AS f,
+               CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS g,
+               CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + o_orderkey END AS h,
+               o_orderkey % 13 - o_custkey % 13 AS i, o_totalprice + 1700000000 AS j,
+               o_custkey * o_custkey AS k, CASE WHEN o_custkey % 4 = 0 THEN o_orderkey END AS l,
+               7 AS m, o_orderkey * 2 - o_custkey AS n
+        FROM {orders}""",
+    # Orders as lines of text: a key of 19 digits, a label with a delimiter inside quotes.
+    "lines": """
+        SELECT o_orderkey % 3 AS part,
+               CAST(9007199254740990000 + o_orderkey AS STRING) || ';"' || o_orderpriority || '; '
+               || o_orderstatus || '";' || CAST(o_totalprice AS STRING) || ';'
+               || CAST(CAST(o_orderdate AS DATE) AS STRING) AS value
+        FROM {orders}""",
+    "ragged": """
+        SELECT CAST(o_orderkey AS STRING) || '|x|1|2024-01-05'
+               || CASE WHEN o_orderkey % 50 = 0 THEN '|more' ELSE '' END AS value
+        FROM {orders}""",
 }
 
 

@@ -48,10 +48,61 @@ def test_encodings(spark, tmp_path, encoding):
     assert list(got["name €"]) == ["Müller “x”", "Étoile"]
 
 
-def test_many_files_are_sniffed_together(spark, tmp_path):
-    paths = [write(tmp_path, f"f{k}.csv", f"a{d}b\n1{d}2\n") for k, d in enumerate(",;|")]
-    got = {r["path"]: r["delimiter"] for r in rows(delimited.sniff(spark, paths))}
-    assert [got[p] for p in paths] == [",", ";", "|"]
+def test_files_are_looked_at_as_a_whole(spark, tmp_path):
+    """What only shows far into a file counts: a letter, a delimiter, a quoted line break."""
+    for k, d in enumerate(",;|"):
+        write(tmp_path, f"f{k}.csv", f"a{d}b\n" + f"1{d}2\n" * 9)
+    write(tmp_path, "late.csv", "a,b\n" + "plain;,1\n" * 20_000 + "caf\xe9,2\n", "cp1252")
+    write(tmp_path, "quote.csv", "a,b\n" + "x,1\n" * 20_000 + '"two\nlines",2\n')
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in rows(delimited.sniff(spark, str(tmp_path)))}
+    assert [got[f"f{k}.csv"]["delimiter"] for k in range(3)] == [",", ";", "|"]
+    assert got["late.csv"]["encoding"] == "cp1252" and got["f0.csv"]["encoding"] == "utf-8"
+    assert got["quote.csv"]["open_quotes"] == 2
+    late = load.load_table(spark, str(tmp_path / "late.csv"))
+    assert late.where("b = 2").first()["a"] == "café" and late.count() == 20_001
+    assert load.load_table(spark, str(tmp_path / "quote.csv")).where("b = 2").first()["a"] == "two\nlines"
+
+
+def test_folders_patterns_and_compression(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    write(folder, "a.csv", "k,v\n1,x\n2,ä\n")
+    write(folder, "b.csv", "k,v\n3,ü\n", "cp1252")
+    (folder / "c.csv.gz").write_bytes(gzip.compress(b"k,v\n4,z\n"))
+    want = [(1, "x"), (2, "ä"), (3, "ü"), (4, "z")]
+    for path in (folder, folder / "*.csv*"):
+        assert sorted(map(tuple, load.load_table(spark, str(path)).collect())) == want
+    assert load.load_table(spark, str(folder / "c.csv.gz")).count() == 1
+    write(folder, "d.csv", "k;v\n5;w\n")
+    with pytest.raises(ValueError, match="differ in delimiter"):
+        load.load_table(spark, str(folder))
+
+
+def test_records_with_too_many_cells(spark, tmp_path):
+    path = write(tmp_path, "r.csv", 'a,b\n1,2\n3,4,5\n6\n"7,8",9\n')
+    with pytest.raises(ValueError, match="more than 2 cells"):
+        load.load_table(spark, path)
+    assert [r["record"] for r in rows(delimited.bad_records(spark, path))] == ["3,4,5"]
+    short = load.load_table(spark, write(tmp_path, "s.csv", 'a,b\n1,2\n6\n"7,8",9\n'))
+    assert sorted(map(tuple, short.collect())) == [("1", 2.0), ("6", None), ("7,8", 9.0)]
+
+
+def test_large_whole_numbers_stay_exact(spark, tmp_path):
+    text = "long,gap,huge,longer,mixed\n" + "".join(
+        f"900719925474099300{k},{'' if k == 3 else 900719925474099300 + k},{k}{'9' * 29},{'8' * 45},{k}.5\n"
+        for k in range(1, 5)
+    )
+    df = load.load_table(spark, write(tmp_path, "w.csv", text))
+    assert dict(df.dtypes) == {
+        "long": "bigint", "gap": "bigint", "huge": "decimal(38,0)", "longer": "string", "mixed": "double",
+    }
+    assert df.select("long").distinct().count() == 4
+
+
+def test_names(spark):
+    assert delimited.clean_names([" a", "a", "", "a.1", None]) == ["a", "a.1", "Unnamed: 2", "a.1.1", "None"]
 
 
 def test_cell_types(spark, tmp_path):
@@ -76,7 +127,7 @@ def test_quotes_and_line_breaks(spark, tmp_path):
 
 
 def test_unknown_extension(spark):
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no reader"):
         load.load_table(spark, "data.xyz")
 
 
@@ -129,14 +180,25 @@ def test_workbook(spark, tmp_path):
     assert listed == [(0, "First"), (1, "Second")]
 
 
-def test_preparation(spark, people, frame):
-    df = frame(people)
-    assert load.drop_columns(df, ["age", "nothing"]).columns == ["income", "score", "category", "flag"]
+def test_preparation(spark, beds, frame):
+    df = frame(beds)
+    assert load.drop_columns(df, ["height", "nothing"]).columns == ["weight", "shade", "soil", "fenced"]
     first = load.sample_rows(df, 50)
     assert first.columns == df.columns and first.count() == 50
     assert first.distinct().join(df, df.columns, "left_semi").count() == 50
     assert sorted(first.collect()) == sorted(first.collect())
-    assert load.sample_rows(df, 500).count() == 200 and load.sample_rows(df, 0) is df
+    assert load.sample_rows(df, 500).count() == 240 and load.sample_rows(df, 0) is df
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    df = spark.range(5000).selectExpr("id", "cast(id % 7 as string) as s", "nullif(id % 3, 0) as n")
+    first = sorted(map(tuple, load.sample_rows(df, 120).collect()))
+    assert first == sorted(map(tuple, load.sample_rows(df.repartition(11, "s"), 120).collect()))
+    assert len(first) == 120 and first != sorted(map(tuple, load.sample_rows(df, 120, seed=7).collect()))
+    many = spark.range(900).selectExpr("id % 4 as x").unionAll(spark.range(50).selectExpr("id + 10"))
+    got = load.sample_rows(many, 300)
+    assert got.count() == 300
+    assert sorted(got.collect()) == sorted(load.sample_rows(many.repartition(5), 300).collect())
 
 
 def test_sample_of_copies_is_not_one_copy(spark):
@@ -155,10 +217,10 @@ def test_json_sections(spark, tmp_path):
     assert json.loads("".join(lines)) == {"k": "a", "x": None, "l": [1.0, None]}
 
 
-def test_analysis_sections(spark, frame, people):
-    sections = analysis.analyze(frame(people), target="flag")
+def test_analysis_sections(spark, frame, beds):
+    sections = analysis.analyze(frame(beds), target="fenced")
     assert set(sections) >= {"quality", "outlier", "correlation_spearman", "target"}
-    short = analysis.analyze(frame(people), skip_correlation=True, skip_outlier=True)
+    short = analysis.analyze(frame(beds), skip_correlation=True, skip_outlier=True)
     assert not [s for s in short if s.startswith(("correlation", "outlier", "target"))]
 
 
