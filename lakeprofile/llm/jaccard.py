@@ -11,8 +11,8 @@ size is counted over all documents first. It only steers the work; any table giv
 2. One scan: the shingles to be merged, packed by hash range; lists with one class are dropped.
 3. Classes that share a sampled shingle are compared with one class of its list. What links is
    grouped into components; a list all of whose classes are in one component is done.
-4. Of the other lists, short ones give the pairs of classes of different components. Long ones are
-   dealt into blocks, and every class that is not of the list's main component is searched for
+4. Of the other lists, short ones give the pairs of classes of different components, and those that
+   meet in as many of them as a link needs are compared. Long ones are dealt into blocks, and every class that is not of the list's main component is searched for
    in every block.
 
 Steps 3 and 4 compare in tasks, in blocks of at most BLOCK members, so neither a frequent shingle nor
@@ -98,7 +98,7 @@ def search(lists: np.ndarray, owner: np.ndarray, sizes: np.ndarray, query: np.nd
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 8192) for b in batches for i in range(0, len(b), 8192)):
+        for batch in shared.sliced(batches, 4096):
             ids, texts, th = batch.column(0), batch.column(1), batch.column(2)
             found = [s for _, s in textnp.sets(texts, k)]
             size = np.array([len(s) for s in found], np.int32)
@@ -222,7 +222,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in shared.sliced(batches):
         z = [pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["doc_id", "th", "z"]
@@ -238,7 +238,7 @@ def low_part(found: np.ndarray, percent: int) -> np.ndarray:
 def _with_low_parts(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in (b.slice(i, 2048) for b in batches for i in range(0, len(b), 2048)):
+        for batch in shared.sliced(batches):
             texts = pa.array([unpack.decompress(z) for z in batch.column(1).to_pylist()], pa.binary())
             found = [s for _, s in textnp.sets(texts, k)]
             yield pa.RecordBatch.from_arrays(
@@ -326,7 +326,7 @@ def _searched(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         key, members, index = None, [], None
-        for batch in batches:
+        for batch in shared.sliced(batches):
             g, salt, query, c, comp = (batch.column(i).to_pylist() for i in range(5))
             texts = pa.array([unpack.decompress(z) for z in batch.column(5).to_pylist()], pa.binary())
             links = []
@@ -454,11 +454,25 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
                     lambda b: (b["comp"] != a["comp"])
                     & (F.lit(percent) * F.greatest(a["n"], b["n"]) <= F.lit(100) * F.least(a["n"], b["n"])),
                 ),
-                lambda b: F.struct(a["c"].alias("a"), b["c"].alias("b")),
+                lambda b: F.struct(
+                    a["c"].alias("a"), b["c"].alias("b"), a["n"].alias("na"), b["n"].alias("nb")
+                ),
             ),
         )
     )
-    pairs = short.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    # T-occurrence: a pair that links shares so many of the merged shingles, less those in the long
+    # lists of either, which are not merged here.
+    long_lists = left.where(F.col("m") > SHORT).groupBy("c").agg(F.count("*").alias("long"))
+    pairs = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(
+        F.count("*").alias("common")
+    )
+    for end in ("a", "b"):
+        lists_of = long_lists.select(F.col("c").alias(end), F.col("long").alias(f"long_{end}"))
+        pairs = pairs.join(lists_of, end, "left").fillna(0, [f"long_{end}"])
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    spare = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
+    aside = F.least("long_a", "long_b")
+    pairs = pairs.where(F.col("common") >= need - spare - aside).select("a", "b")
     more = _compare(shared.cut(pairs, "pairs"), texts, k, percent)
 
     long = left.where(F.col("m") > SHORT)

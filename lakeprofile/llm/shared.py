@@ -90,12 +90,19 @@ def ranked(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
     )
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, to bound what a task holds beside them."""
+    for batch in batches:
+        for i in range(0, max(1, len(batch)), rows):
+            yield batch.slice(i, rows)
+
+
 def packed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, z): the texts compressed one by one, to halve what a shuffle moves; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches):
             z = [pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], [key, "z"])
 
