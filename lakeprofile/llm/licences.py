@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +62,12 @@ def bounds(size: int, least: float) -> tuple[int, int]:
     return math.ceil(size * least / (2 - least) - 1e-9), math.floor(size * (2 - least) / least + 1e-9)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is made once, however often the expression names it: as the
+    one element of an array.  Spark copies plain expressions into filters and functions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _bigrams(words: Column) -> Column:
     pairs = F.transform(
         F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2))
@@ -94,7 +100,7 @@ def scan(
     words = sorted({max(g.split(), key=len) for g in needed})
 
     def any_in(text: Column, parts: list[str]) -> Column:
-        """Whether a text has any of these; it is made once, as the one element of an array."""
+        """Whether a text has any of these."""
 
         def test(t: Column) -> Column:
             hit = F.lit(False)
@@ -102,7 +108,7 @@ def scan(
                 hit = hit | F.contains(t, F.lit(part))
             return hit
 
-        return F.coalesce(F.exists(F.array(text), test), F.lit(False))
+        return F.coalesce(_once(text, test), F.lit(False))
 
     padded = F.concat(F.lit(" "), normalised(F.col("text")), F.lit(" "))
     found = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -122,9 +128,10 @@ def scan(
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("lines")), spans_from))
     sets = (
         found.select("doc_id", "th", F.explode(spans).alias("span"))
-        .select("doc_id", "th", "span.line", "span.n_lines", F.split("span.norm", " ").alias("words"))
-        .where(F.size("words") > smallest)
-        .withColumn("grams", _bigrams(F.col("words")))
+        .select(
+            "doc_id", "th", "span.line", "span.n_lines",
+            _once(F.split("span.norm", " "), _bigrams).alias("grams"),
+        )
         .where(F.size("grams").between(smallest, largest))
     )
     table = F.array(
@@ -138,20 +145,22 @@ def scan(
             for name, b in kinds.items()
         )
     )
-    near = F.filter(table, lambda t: F.size("grams").between(t["low"], t["high"]))
-    scored = F.transform(
-        near,
-        lambda t: F.struct(
-            t["licence"].alias("licence"),
-            (
-                2.0
-                * F.size(F.array_intersect(t["grams"], F.col("grams")))
-                / (F.size(t["grams"]) + F.size("grams"))
-            ).alias("dice"),
-        ),
-    )
+
+    def alike(grams: Column) -> Column:
+        """The templates of a fitting size that these bigrams resemble, with their coefficients."""
+        size = F.size(grams)
+
+        def dice(t: Column) -> Column:
+            shared = F.size(F.array_intersect(t["grams"], grams))
+            return F.struct(
+                t["licence"].alias("licence"), (2.0 * shared / (F.size(t["grams"]) + size)).alias("dice")
+            )
+
+        near = F.filter(table, lambda t: size.between(t["low"], t["high"]))
+        return F.filter(F.transform(near, dice), lambda m: m["dice"] >= least)
+
     passages = (
-        sets.withColumn("scored", F.filter(scored, lambda m: m["dice"] >= least))
+        sets.select("doc_id", "th", "line", "n_lines", _once(F.col("grams"), alike).alias("scored"))
         .where(F.size("scored") > 0)
         .withColumn("top", F.array_max(F.transform("scored", lambda m: m["dice"])))
         .withColumn("m", F.array_min(F.filter("scored", lambda m: m["dice"] == F.col("top"))))
