@@ -223,17 +223,19 @@ def _spellings(counts: DataFrame) -> DataFrame:
 
     Values of up to 64 bytes, however many a column has; both sums are merged in every task.
     """
-    # Digests are counted as nothing; a filter would become a scan of its own.
+    # Digests are counted as nothing; filtered out, they would cost a scan of their own.
     short = F.when(F.octet_length("s") <= FOLD_BYTES, F.col("s"))
     label = F.lower(strip(F.col("s")))
     # Two are enough for an example, so no label gathers its spellings.
     merged = counts.groupBy("c", label.alias("label")).agg(
-        F.count(short).alias("k"), F.min(short).alias("low"), F.max(short).alias("high")
-    )
+        F.count(short).alias("k"), F.min(short).alias("low"), F.max(short).alias("high"),
+        F.sum("n").alias("rows"),
+    )
     first = F.struct("label", F.array("low", "high").alias("variants"))
     return merged.where("k > 1").groupBy("c").agg(
-        F.lit("spellings").alias("part"), F.count(F.lit(1)).alias("labels"), F.min(first).alias("first")
-    )
+        F.lit("spellings").alias("part"), F.count(F.lit(1)).alias("labels"), F.min(first).alias("first"),
+        F.sum("rows").alias("n"),  # asked for by every branch, or this one would scan by itself
+    )
 
 
 def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
