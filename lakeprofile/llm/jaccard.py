@@ -537,7 +537,9 @@ def representatives(
         empty.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(False).alias("__once"))
     )
     hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    hashed = shared.packed(hashed, text_column)
     same = (F.col(id_column).eqNullSafe(F.col("__id"))) & (F.col("__h") == F.col("__th"))
     kept = hashed.join(stay, same)
     order = Window.partitionBy("__id", "__th", "__once").orderBy("__h")
-    return kept.withColumn("__row", F.row_number().over(order)).where("not __once or __row = 1").select(*docs.columns)
+    kept = kept.withColumn("__row", F.row_number().over(order)).where("not __once or __row = 1")
+    return shared.unpacked(kept.select(*docs.columns), text_column, docs.schema)
