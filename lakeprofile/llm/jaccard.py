@@ -50,6 +50,8 @@ FREQUENT_TABLE = 1 << 20
 #: Longest list that gives pairs; members of a block.
 SHORT = 64
 BLOCK = 256
+#: Rows of a few numbers up to which a table is broadcast to the texts; beyond, both are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def class_of(found: np.ndarray) -> int:
@@ -321,11 +323,23 @@ def _sifted(percent: int):
 
 
 def _searched(k: int, percent: int):
-    """Runs over groups (g, salt), members first and then queries; one link per query and component."""
+    """Runs over groups (g, salt), members first and then queries.
+
+    Of the links those come back that join components which no link of the group joined before, so
+    a group gives fewer links than it has components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         key, members, index = None, [], None
+        above: dict[int, int] = {}
+
+        def root(a: int) -> int:
+            while above.get(a, a) != a:
+                above[a] = above.get(above[a], above[a])
+                a = above[a]
+            return a
+
         for batch in shared.sliced(batches):
             g, salt, query, c, comp = (batch.column(i).to_pylist() for i in range(5))
             texts = pa.array([unpack.decompress(z) for z in batch.column(5).to_pylist()], pa.binary())
@@ -333,6 +347,7 @@ def _searched(k: int, percent: int):
             for i, s in textnp.sets(texts, k):
                 if key != (g[i], salt[i]):
                     key, members, index = (g[i], salt[i]), [], None
+                    above.clear()
                 if not query[i]:
                     members.append((c[i], comp[i], s))
                     continue
@@ -344,12 +359,12 @@ def _searched(k: int, percent: int):
                     owner = np.repeat(np.arange(len(members)), sizes)
                     order = np.argsort(every, kind="stable")
                     index = every[order], owner[order], sizes
-                best: dict[int, int] = {}
                 for j in search(*index, s, percent).tolist():
                     other, group, _ = members[j]
-                    if group != comp[i]:
-                        best[group] = min(best.get(group, other), other)
-                links += [(c[i], other) for other in best.values()]
+                    a, b = root(comp[i]), root(group)
+                    if a != b:
+                        above[max(a, b)] = min(a, b)
+                        links.append((c[i], other))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["u", "v"]
             )
@@ -361,11 +376,13 @@ def _search_in(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     """Links from rows (g, salt, query, c, comp), whose texts are joined by class."""
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ("g", "salt")
-    rows = groups.join(texts.select("c", "n", "low"), "c").select(*by, "query", "c", "comp", "n", "low")
+    groups = shared.cut(groups, "groups")
+    rows = texts.select("c", "n", "low").join(_small(groups), "c")
+    rows = rows.select(*by, "query", "c", "comp", "n", "low")
     rows = rows.repartition(n, *by).sortWithinPartitions(*by, "query")
     ddl = "g long, salt int, query boolean, c long, comp long"
     left = shared.cut(rows.mapInArrow(_sifted(percent), ddl), "sifted")
-    rows = left.join(texts.select("c", "z"), "c").select(*by, "query", "c", "comp", "z")
+    rows = texts.select("c", "z").join(_small(left), "c").select(*by, "query", "c", "comp", "z")
     return (
         rows.repartition(n, *by)
         .sortWithinPartitions(*by, "query")
@@ -373,6 +390,11 @@ def _search_in(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     )
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Which pairs (a, b) of classes link; partners of one class are dealt into blocks."""
     many = pairs.groupBy(F.col("a").alias("g")).agg(F.count("*").alias("many"))
