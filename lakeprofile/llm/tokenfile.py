@@ -83,8 +83,6 @@ class Words:
         return (core, low[len(core) :]) if core and core[-1].isalnum() else (low, "")
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         if len(self.cores) > REMEMBERED:
             self.cores.clear()
         halves = [self.split(w) for w in new]
@@ -101,6 +99,8 @@ class Words:
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         for text in texts:
+            if len(self.words) > REMEMBERED:  # between texts, as a text's words are needed together
+                self.words.clear()
             words = (text or "").replace("\n", " ").split(" ")
             found = list(map(self.words.get, words))
             if None in found:

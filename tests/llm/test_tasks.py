@@ -147,6 +147,20 @@ def test_every_id_can_be_coded_at_any_time():
     assert (rangecoder.decode(rangecoder.encode(ids, 49408)) == ids).all()
 
 
+def test_words_are_forgotten_between_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from lakeprofile.llm import queries
+
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 20)
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(60)}{rng.choice(['', '.', '!!'])}" for _ in range(n))
+             for n in (5, 40, 90, 3, 70, 70)]
+    text = queries.tokenizer_json()
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokenfile.Words(text).ids(texts)]
+    assert got == [e.ids for e in Tokenizer.from_str(text).encode_batch(texts, add_special_tokens=False)]
+
+
 @given(st.binary(max_size=50), st.binary(max_size=300))
 def test_crc_of_both(a, b):
     import zlib
