@@ -34,7 +34,7 @@ BLOCK = 1 << 20
 #: Documents to a task.
 EACH = 5000
 #: Words and cores remembered by a worker.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 TAIL = ".,!?"
 
 #: What a tokenizer may do to a text if its words can be tokenized one by one.
