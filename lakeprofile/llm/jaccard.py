@@ -24,8 +24,9 @@ binary search (`search`).
 
 Defined results: null, empty or blank text has the empty set and is linked with nothing; a text of
 fewer than `k` words is one shingle; repeated rows and equal ids are documents of their own with the
-same component where their texts agree. Shingles are 64-bit hashes, classes 64-bit hashes of sorted
-sets. Other columns are not read.
+same component where their texts agree; null ids are documents like others, and a component's id is
+the smallest one that is not null, so null only where none of its documents has an id. Shingles are
+64-bit hashes, classes 64-bit hashes of sorted sets. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -223,8 +224,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts (doc_id, th, text) compressed; copies without an id come once a task."""
     pack = zstandard.ZstdCompressor(level=3)
+    seen: set[int] = set()
     for batch in shared.sliced(batches):
+        if batch.column(0).null_count:
+            keep = []
+            for key, th in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist()):
+                keep.append(key or th not in seen)
+                if not key:
+                    seen.add(th)
+            batch = batch.filter(pa.array(keep, pa.bool_()))
         z = [pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["doc_id", "th", "z"]
@@ -412,8 +422,14 @@ def similar_sizes(a: str, b: str, percent: int):
     return F.lit(percent) * F.greatest(a, b) <= F.lit(100) * F.least(a, b)
 
 
+def smallest_id():
+    """(gone, doc_id, th): its minimum is the row with the smallest id, null coming last."""
+    return F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "th")
+
+
 def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles and component_id for rows (doc_id, text)."""
+    """doc_id, th (hash of the text), n_shingles, component (a class of it; null for the empty set)
+    and component_id for rows (doc_id, text)."""
     spark = rows.sparkSession
     id_type = rows.schema["doc_id"].dataType.simpleString()
     hashed = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -425,7 +441,7 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     )
     own = signs.where("not counts").select("doc_id", "th", "n", F.col("key").alias("c"))
     classes = shared.cut(
-        own.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n").alias("n")),
+        own.where("n > 0").groupBy("c").agg(F.min(smallest_id()).alias("rep"), F.max("n").alias("n")),
         "classes",
     )
     top = (
@@ -437,12 +453,16 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     packs = rows.select("text").mapInArrow(_postings(k, percent, frequent, buckets), PACK_DDL)
     lists = shared.cut(packs.repartition(buckets, "bucket").mapInArrow(_lists, LIST_DDL), "lists")
 
-    packed = hashed.select("doc_id", "th", "text").mapInArrow(
-        _compressed, f"doc_id {id_type}, th long, z binary"
-    )
+    def packed(which: str) -> DataFrame:
+        found = hashed.where(which).select("doc_id", "th", "text")
+        return found.mapInArrow(_compressed, f"doc_id {id_type}, th long, z binary")
+
     wanted = lists.select("c").distinct().join(classes, "c")
     wanted = wanted.select("c", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
-    texts = packed.join(wanted, ["doc_id", "th"]).select("c", "z")
+    texts = packed("doc_id is not null").join(wanted, ["doc_id", "th"]).select("c", "z")
+    # Classes none of whose documents has an id.
+    bare = packed("doc_id is null").drop("doc_id").join(wanted.where("doc_id is null").drop("doc_id"), "th")
+    texts = texts.unionByName(bare.groupBy("c").agg(F.first("z").alias("z")))
     texts = shared.cut(
         texts.mapInArrow(_with_low_parts(k, percent), "c long, z binary, n int, low binary"), "texts"
     )
@@ -514,15 +534,16 @@ def _linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     rest = _search_in(blocks.unionByName(queries), texts, k, percent)
 
     named = classes.select("c", F.col("rep.doc_id").alias("doc_id"))
-    every = links.unionByName(more).unionByName(rest).distinct()
-    for end in ("u", "v"):
-        every = every.join(named.select(F.col("c").alias(end), F.col("doc_id").alias(f"{end}_id")), end)
-    found = components(every.select(F.col("u_id").alias("u"), F.col("v_id").alias("v")))
-    groups = named.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "c", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    found = components(links.unionByName(more).unionByName(rest).distinct())
+    joined = shared.cut(found.join(named, F.col("node") == F.col("c")).drop("node"), "joined")
+    ids = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = joined.join(ids, "component").select("c", "component", "component_id")
+    groups = named.join(joined, "c", "left").select(
+        "c", F.coalesce("component", "c").alias("component"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
     return own.join(groups, "c", "left").select(
-        "doc_id", "th", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
@@ -534,9 +555,12 @@ def linked(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links).
+
+    Equal component_ids are one component unless ids repeat or are null.
+    """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return _linked(rows, k, percent).drop("th")
+    return _linked(rows, k, percent).drop("th", "component")
 
 
 def representatives(
@@ -547,14 +571,15 @@ def representatives(
     text_column: str = "text",
 ) -> DataFrame:
     """The rows of docs with one document of each component, that with the smallest id; texts without
-    words all stay. Of rows with this id the one with the smallest text hash stays."""
+    words all stay. A null id counts as the largest. Of rows with this id the one with the smallest text
+    hash stays."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     found = shared.cut(_linked(rows, k, percent), "linked")
-    first = found.where("n_shingles > 0 and doc_id = component_id").groupBy("component_id").agg(
-        F.min("th").alias("__th")
-    )
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(smallest_id()).alias("rep"))
     empty = found.where("n_shingles = 0").select("doc_id", "th").distinct()
-    stay = first.select(F.col("component_id").alias("__id"), "__th", F.lit(True).alias("__once"))
+    stay = first.select(
+        F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"), F.lit(True).alias("__once")
+    )
     stay = stay.unionByName(
         empty.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(False).alias("__once"))
     )

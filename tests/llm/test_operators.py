@@ -95,6 +95,31 @@ def test_jaccard_without_frequent_table_and_short_lists(spark, monkeypatch):
     assert got == plain_components(texts)
 
 
+def test_jaccard_null_ids(spark):
+    """Documents without an id are linked like others, as bridges too, and one of a group stays."""
+    rng = random.Random(8)
+    words = [f"n{i}" for i in range(100)]
+    bridge = " ".join(words)
+    ends = " ".join(["x"] * 13 + words[13:]), " ".join(words[:87] + ["y"] * 13)  # too far apart to link
+    copies, alone, repeated = sentence(rng, 60), sentence(rng, 50), [sentence(rng, 40) for _ in range(2)]
+    docs = [
+        (1, ends[0]), (2, ends[1]), (None, bridge), (None, bridge),
+        (5, copies), (None, copies), (4, copies.upper()), (None, copies + " more"),
+        (None, alone), (None, alone), (None, alone + " more"),
+        (7, repeated[0]), (7, repeated[1]), (None, ""), (None, None),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["component_id"]) for r in rows(jaccard.linked(df))) == Counter(
+        [(1, 1), (2, 1), (None, 1), (None, 1), (5, 4), (None, 4), (4, 4), (None, 4), (None, None), (None, None),
+         (None, None), (7, 7), (7, 7), (None, None), (None, None)]
+    )
+    stay = Counter((r["doc_id"], (r["text"] or "")[:20].lower()) for r in rows(jaccard.representatives(df)))
+    assert stay == Counter(
+        [(1, ends[0][:20]), (4, copies[:20]), (None, alone[:20]), (7, repeated[0][:20]), (7, repeated[1][:20]),
+         (None, ""), (None, "")]
+    )
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)]
@@ -545,6 +570,13 @@ def test_disorder(disorder, odd_rows):
     assert sum(r["documents"] for r in disorder["totals"]) == n
 
 
+def test_disorder_keeps_one_of_a_group_with_a_null_id(disorder):
+    linked = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in disorder["linked"]}
+    assert linked[9, 56] == linked[9, 57] == linked[None, 56] == 9
+    ids = Counter(r["doc_id"] for r in disorder["one of each"])
+    assert ids[9] == 1 and ids[None] == 1  # the latter has no text
+
+
 def test_nothing(spark, empty):
     items = spark.createDataFrame([(1, "some words of an item that is here")], "item_id long, text string")
     for name, df in _every(spark, empty, items).items():
