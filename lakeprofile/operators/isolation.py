@@ -15,8 +15,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeprofile.functions.columns import group_key
-
 TREES = 100
 SAMPLE = 256
 SEED = 42
@@ -47,22 +45,28 @@ def subsamples(
 ) -> DataFrame:
     """(tree, x): for every tree up to ``sample`` values drawn without replacement.
 
-    Rows are drawn by a hash of their cells, so the draw does not depend on how they are stored;
-    rows that are equal in every cell are drawn together.  Work after the first draw does not grow
-    with the table.
+    Equal values are counted, and their m copies drawn one by one: into the pool by draws
+    (j + u) / m, u a hash of the value, and into the trees by a hash of value and copy.  So a value
+    has its share of rows in every tree's sample, and the draw does not depend on how rows are
+    stored.  Work after the count does not grow with the table.
     """
     pool = min(rows, 2 * trees * sample)
-    cells = [F.xxhash64(F.lit(seed), *[group_key(df, c) for c in df.columns]).alias("id")]
-    values = df.select(x.alias("x"), *cells).where("x is not null")
-    if pool < rows:
-        values = values.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(pool / rows * (1 << 40)))
+    copies = df.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("m"))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "x"), 11).cast("double") * 2.0**-53
+    taken = F.ceil(F.col("m") * F.lit(pool / rows) - unit)  # draws below the pool's share
+    taken = F.least(F.greatest(taken, F.lit(0)), F.col("m")).cast("int")
+    values = (
+        copies.withColumn("taken", taken).where("taken > 0")
+        .select("x", F.explode(F.sequence(F.lit(1), "taken")).alias("copy"))
+        .withColumn("id", F.xxhash64(F.lit(seed), "x", "copy"))
+    )
     keep = min(1.0, 2 * sample / pool)
     draws = (
         values.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("h", F.xxhash64(F.lit(seed), "id", "tree"))
         .where(F.pmod("h", F.lit(1_000_000)) < int(keep * 1_000_000))
     )
-    order = Window.partitionBy("tree").orderBy("h", "x")
+    order = Window.partitionBy("tree").orderBy("h", "x", "copy")
     return draws.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
 
 

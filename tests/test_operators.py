@@ -226,3 +226,16 @@ def test_isolation_forest_finds_planted_values(frame):
     assert 1 <= found <= 4
     auto = isolation.isolated_count(df, F.col("x"), len(x))
     assert 2 <= auto < len(x) / 2
+
+
+def test_isolation_forest_samples_copies_one_by_one(frame):
+    """A value that a third of the rows hold has about a third of every tree's sample."""
+    x = np.concatenate([np.full(30_000, 5.0), np.random.default_rng(7).normal(0, 1, 60_000)])
+    df = frame({"x": x})
+    drawn = isolation.subsamples(df, F.col("x"), len(x)).select("tree", "x").toPandas()
+    each = drawn.groupby("tree")["x"]
+    assert (each.size() == isolation.SAMPLE).all() and len(each) == isolation.TREES
+    share = each.apply(lambda s: (s == 5.0).mean())
+    assert share.between(0.15, 0.52).all() and abs(share.mean() - 1 / 3) < 0.02
+    again = isolation.subsamples(df.repartition(3), F.col("x"), len(x)).select("tree", "x").toPandas()
+    assert sorted(map(tuple, again.to_numpy())) == sorted(map(tuple, drawn.to_numpy()))
