@@ -12,8 +12,8 @@ digits and ASCII punctuation before anything else, so a text's ids are its words
 `safe_to_split` refuses tokenizers for which this does not hold.
 
 Defined results: null is an empty text, which is the end id alone; null ids come first; rows with
-equal ids are documents of their own, ordered by text; an empty table gives an empty file. Other
-columns are not read.
+equal ids are documents of their own, ordered by the 64-bit hash (Spark's xxhash64) of their text, which
+keeps texts out of the range bounds; an empty table gives an empty file. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -177,8 +177,10 @@ def write(
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = shared.parts(docs.sparkSession, rows.count(), EACH)
-    by = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
-    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    # Bounds of the ranges are sampled to the driver, so texts are no part of them.
+    by = [F.asc_nulls_first("doc_id"), F.asc("th")]
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by, F.asc_nulls_first("text"))
     placed = placed.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     coded = placed.mapInArrow(
         _coded(tokenizer, end_id, max(used) + 1, block),

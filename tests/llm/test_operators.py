@@ -199,6 +199,17 @@ def test_token_file(spark, sf):
     assert sum(len(r["ids"]) for r in stream) == at
 
 
+def test_token_file_orders_equal_ids_by_hash(spark):
+    """Texts are no sort key, so that the range bounds hold none of them."""
+    docs = [(i % 3 if i % 4 else None, "word " * (i + 1)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    path = shared.fresh(spark, "tokens")
+    tokenfile.write(df, queries.tokenizer_json(), path, block=100)
+    got = [r["n_tokens"] for r in sorted(rows(tokenfile.read_documents(spark, path)), key=lambda r: r["start"])]
+    order = df.selectExpr("doc_id", "xxhash64(text) th", "length(text) div 5 + 1 n").orderBy("doc_id", "th")
+    assert got == [r["n"] for r in order.collect()]
+
+
 def test_token_file_refuses_other_tokenizers():
     with pytest.raises(ValueError):
         tokenfile.safe_to_split('{"normalizer": null, "pre_tokenizer": {"type": "Whitespace"}, "model": {}}')
