@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index search, exact similarity.
 
-Words are runs of letters and digits, lowered; shingles are `k` of them in a row (the whole item,
+Words are runs of letters and digits (by Unicode class), lowered; shingles are `k` of them in a row (the whole item,
 where it has fewer words), and the similarity of a window and an item is the weighted Jaccard
 coefficient of their shingles, each weighing as often as it occurs: sum of minima over sum of
 maxima. A window is laid wherever a document's shingle also stands in an item, so that the two stand
@@ -76,7 +76,7 @@ def prepared(rows: list[tuple], k: int = K, radius: int = RADIUS) -> Items | Non
     """A block of items, from (id, text) rows; items without words are left out."""
     texts = pa.array([t for _, t in rows], pa.string())
     ids, words, found = [], [], []
-    for run in textnp.runs(texts):
+    for run in textnp.plain_runs(texts):
         starts, _, first = textnp.words(run, textnp.SYMBOL)
         for i, s in enumerate(_item_shingles(run, k)):
             if len(s):
@@ -138,7 +138,7 @@ def _windows(items: Items, hashes: np.ndarray, first: np.ndarray, k: int):
 
 def matches(texts: pa.Array, items: Items, k: int, least: float, radius: int) -> Iterator[tuple]:
     """(row, item, similarity, distance, first word, words), best window of each row and item."""
-    for run in textnp.runs(texts):
+    for run in textnp.plain_runs(texts):
         starts, ends, first = textnp.words(run, textnp.SYMBOL)
         if not len(starts):
             continue

@@ -6,8 +6,10 @@ small; one very long text is a run of its own.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,8 @@ import pyarrow as pa
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Letters are ASCII letters and every byte of other characters.
+#: Letters are ASCII letters and every byte of other characters; `plain_runs` leaves no others that
+#: are no letters, marks or digits.
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 #: Everything but letters and digits.
@@ -83,6 +86,41 @@ def runs(texts: pa.Array, size: int = CHUNK) -> Iterator[Run]:
         i = j
 
 
+@cache
+def _separators() -> np.ndarray:
+    """For each code point whether it is white space, punctuation, a symbol, a control or format sign."""
+    kinds = (unicodedata.category(chr(c)) for c in range(0x110000))
+    return np.fromiter((k[0] in "ZPS" or k in ("Cc", "Cf") for k in kinds), bool, 0x110000)
+
+
+def plain(run: Run) -> Run:
+    """The same documents, where each separator beyond ASCII is one space."""
+    data = np.concatenate((run.data, np.zeros(3, np.uint8)))
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xF4))
+    if not len(lead):
+        return run
+    length = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int32) & (0xFF >> (length + 1))
+    valid = np.ones(len(lead), bool)
+    for i in (1, 2, 3):
+        more = length > i
+        code[more] = code[more] << 6 | data[lead[more] + i] & 0x3F
+        valid[more] &= data[lead[more] + i] & 0xC0 == 0x80
+    hit = valid & _separators()[np.minimum(code, 0x10FFFF)]
+    lead, length = lead[hit], length[hit]
+    keep = np.ones(len(data), bool)
+    keep[len(run.data) :] = False
+    for i in (1, 2, 3):
+        keep[lead[length > i] + i] = False
+    data[lead] = 0x20
+    return Run(run.first, data[keep], np.concatenate(([0], np.cumsum(keep)))[run.starts])
+
+
+def plain_runs(texts: pa.Array, size: int = CHUNK) -> Iterator[Run]:
+    """Runs for words told apart by Unicode's classes, not by bytes alone."""
+    return map(plain, runs(texts, size))
+
+
 def words(run: Run, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each document the number of its first word (and the
     total at the end). `space` tells for each byte whether it separates words."""

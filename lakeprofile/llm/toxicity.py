@@ -17,7 +17,8 @@
 
 Defined results: null and empty texts have no entry and score `rest`, as every text without one;
 without labels, or with labels of one kind, nothing is learned and every text scores the share of
-toxic labels (0 without any). Labels that repeat count once, toxic if any says so; labels of null
+toxic labels (0 without any). White space, punctuation and symbols beyond ASCII, such as curly quotes
+and no-break spaces, are spaces. Labels that repeat count once, toxic if any says so; labels of null
 are left out. Rows that repeat are scored alike. Other columns are not read; scoring sees text only.
 """
 
@@ -99,7 +100,7 @@ class Language:
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(_N**3, np.int64)
     for batch in batches:
-        for run in textnp.runs(batch.column(0)):
+        for run in textnp.plain_runs(batch.column(0)):
             codes = np.zeros(len(run.data) + 3, np.int64)
             codes[2:-1] = _CODES[run.data]
             cells = (codes[:-2] * _N + codes[1:-1]) * _N + codes[2:]
@@ -234,7 +235,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text the distinct hashes of its words and beginnings."""
     for batch in batches:
         out = []
-        for run in textnp.runs(batch.column(1)):
+        for run in textnp.plain_runs(batch.column(1)):
             h, doc = _hashes(run)
             order = np.argsort(doc, kind="stable")
             h, ends = h[order], np.searchsorted(doc[order], np.arange(len(run) + 1))
@@ -246,7 +247,7 @@ def _named(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa
     """The spelling of wanted hashes."""
     for batch in batches:
         names: dict[int, str] = {}
-        for run in textnp.runs(batch.column(1)):
+        for run in textnp.plain_runs(batch.column(1)):
             starts, ends, _ = textnp.words(run, _NOT_LETTER)
             if not len(starts):
                 continue
@@ -372,7 +373,7 @@ def evidence(texts: pa.Array, model: Model) -> Iterator[tuple[int, set[int], lis
     """Row, entries found in the restored text, and what was restored, where there is either."""
     language = model.language
     known: dict[str, str] = {}
-    for run in textnp.runs(texts):
+    for run in textnp.plain_runs(texts):
         h, doc = _hashes(run)
         entry = _found(h, model.hashes)
         hits: dict[int, set[int]] = {}
@@ -394,7 +395,7 @@ def evidence(texts: pa.Array, model: Model) -> Iterator[tuple[int, set[int], lis
             if spans:
                 # A disguised word may go on after an entry: its beginnings count as words too.
                 read = [" ".join([s, *(w[:n] for w in s.split() for n in range(4, len(w)))]) for s in spans]
-                for again in textnp.runs(pa.array(read)):
+                for again in textnp.plain_runs(pa.array(read)):
                     h, at = _hashes(again)
                     entry = _found(h, model.hashes)
                     for i, e in set(zip(at[entry >= 0].tolist(), entry[entry >= 0].tolist())):

@@ -12,7 +12,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeprofile.llm import hamming, jaccard, rangecoder, suffixes, textnp, tokenfile, windows
+from lakeprofile.llm import (
+    decontaminate, hamming, jaccard, rangecoder, suffixes, textnp, tokenfile, toxicity, windows,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -180,3 +182,29 @@ def test_hamming_index(seed, n, k, width):
     limit = np.sort(every)[min(k, n) - 1]
     assert sorted(found.tolist()) == np.flatnonzero(every <= limit).tolist()
     assert (every[found] == apart).all()
+
+
+SIGNS = ["\u00a0", "\u201c", "\u2019", "\u2014", "\u2026", "\u200b", "\u3000", "\u300c", "\u00ab", "\U0001f600"]
+
+
+@pytest.mark.parametrize("sign", SIGNS)
+def test_separators_beyond_ascii_are_spaces(sign):
+    texts = [f"{sign}naïve{sign}", "", f"a{sign}日本語 e\u0301x²", sign, "plain"]
+    (run,) = textnp.plain_runs(pa.array(texts))
+    got = [run.data[a:b].tobytes().decode() for a, b in zip(run.starts[:-1], run.starts[1:])]
+    assert got == [t.replace(sign, " ") for t in texts]
+
+
+@pytest.mark.parametrize("sign", SIGNS)
+def test_toxic_words_and_items_next_to_such_signs(sign):
+    (word,) = textnp.plain_runs(pa.array(["vilething"]))
+    whole = toxicity._hashes(word)[0][:1]
+    language = toxicity.Language(np.zeros((28, 28, 28)))
+    model = toxicity.Model(["vilething"], whole, np.array([0.9]), 0.0, language)
+    text = f"so {sign}vilething{sign} and{sign}vilething"
+    assert [(i, e) for i, e, _ in toxicity.evidence(pa.array([text, "a fine thing"]), model)] == [(0, {0})]
+    item = "one two three four five six seven eight nine ten"
+    items = decontaminate.prepared([(1, item)])
+    leak = f"before {sign}{item.replace(' ', sign)}{sign} after"
+    found = list(decontaminate.matches(pa.array([leak]), items, 5, 0.75, 23))
+    assert [(m[0], m[2]) for m in found] == [(0, 1.0)]
