@@ -19,6 +19,7 @@ keeps texts out of the range bounds; an empty table gives an empty file. Other c
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -65,6 +66,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
+        added = [re.escape(t["content"]) for t in json.loads(text).get("added_tokens") or []]
+        #: Added tokens match raw text only, so a word that holds one in any case is not lowered.
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -75,10 +79,9 @@ class Words:
             cls.made[key] = cls(text)
         return cls.made[key]
 
-    @staticmethod
-    def split(word: str) -> tuple[str, str]:
+    def split(self, word: str) -> tuple[str, str]:
         """A word as a core and punctuation at its end, where the tokenizer cuts between them."""
-        low = word.lower() if word.isascii() else word
+        low = word.lower() if word.isascii() and not self.added.search(word) else word
         core = low.rstrip(TAIL)
         return (core, low[len(core) :]) if core and core[-1].isalnum() else (low, "")
 

@@ -208,3 +208,16 @@ def test_toxic_words_and_items_next_to_such_signs(sign):
     leak = f"before {sign}{item.replace(' ', sign)}{sign} after"
     found = list(decontaminate.matches(pa.array([leak]), items, 5, 0.75, 23))
     assert [(m[0], m[2]) for m in found] == [(0, 1.0)]
+
+
+def test_added_tokens_match_raw_text_only():
+    from tokenizers import Tokenizer
+
+    from lakeprofile.llm import queries
+
+    text = queries.tokenizer_json()
+    own = Tokenizer.from_str(text)
+    texts = ["a <|EndOfText|> b", "<|ENDOFTEXT|>", "X<|endoftext|>Y", "Word<|StartOfText|>Word!", "<|startoftext|>Q.",
+             "<|EndOfText|><|endoftext|>", "PLAIN Words <|endof"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokenfile.Words(text).ids(texts)]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
