@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprofile.llm import (
+    bytebpe,
     decontaminate,
     hamming,
     jaccard,
@@ -120,6 +121,21 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def byte_ranks() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
+        return f.read()
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_ranks()
+    encoded = bytebpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bytebpe.digests(bytebpe.decode(encoded, ranks))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
@@ -131,6 +147,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_rollups": op9_token_rollups,
     "op10_licence_scan": op10_licence_scan,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLE = {
     "op7_hamming_topk": hamming.oracle(),
