@@ -335,10 +335,10 @@ def encode(
     docs: DataFrame, ranks: str, pattern: str = PATTERN, key: str = "doc_id", text: str = "text",
     chunk: int = CHUNK, overlap: int = OVERLAP,
 ) -> DataFrame:
-    """(doc_id, doc, copies, part, ids): ids as little-endian 32-bit numbers, in order of `part`.
+    """(doc_id, doc, copies, part, ids, chunked): ids as little-endian 32-bit numbers, in order of `part`.
 
-    A text of one chunk is one row, with `doc` null. The parts of a longer one share `doc`, and
-    `copies` tells how many rows of the input they stand for. `ranks` is the text of a rank file.
+    A text of one chunk is one row, with `doc` null. The parts of a longer one (`chunked`) share `doc`,
+    and `copies` tells how many rows of the input they stand for. `ranks` is the text of a rank file.
     """
     if pattern != PATTERN:
         raise ValueError(f"pre-tokens are cut by {PATTERN} only")
@@ -348,10 +348,10 @@ def encode(
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     short = _short(docs.where(size <= chunk), ranks).select(
         "doc_id", F.lit(None).cast("string").alias("doc"), F.lit(1).cast("long").alias("copies"),
-        F.lit(0).alias("part"), "ids",
+        F.lit(0).alias("part"), "ids", F.lit(False).alias("chunked"),
     )
     tokens = shared.cut(_pretokenised(_chunks(docs.where(size > chunk), chunk, overlap), overlap), "pretokens")
-    return short.unionByName(_parts(tokens, ranks))
+    return short.unionByName(_parts(tokens, ranks).withColumn("chunked", F.lit(True)))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -368,14 +368,15 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): a row for each document, its parts in order.
 
-    A digest runs over the parts one by one; no long document is put together for it.
+    A digest runs over the parts one by one; no long document is put together for it. Either side is
+    chosen before it is decoded, where `chunked` is a constant, so that neither is made for the other.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     count = (F.octet_length("ids") / 4).cast("long")
-    short = decoded.where("doc is null").select(
+    short = decode(encoded.where("not chunked"), ranks).select(
         "doc_id", count.alias(names[1]), F.sha2("ids", 256).alias(names[2]), F.sha2("bytes", 256).alias(names[3])
     )
 
@@ -401,10 +402,9 @@ def digests(decoded: DataFrame) -> DataFrame:
         if first is not None:
             yield made()
 
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    rows = decoded.where("doc is not null").select("doc", "copies", "doc_id", "part", "ids", "bytes")
-    long = rows.repartition("doc").sortWithinPartitions("doc", "part").mapInArrow(
-        run, f"copies long, doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    dealt = encoded.where("chunked").repartition("doc").sortWithinPartitions("doc", "part")
+    rows = decode(dealt, ranks).select("doc", "copies", "doc_id", "part", "ids", "bytes")
+    long = rows.mapInArrow(run, f"copies long, doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     every = long.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return short.unionByName(every.select(*names))

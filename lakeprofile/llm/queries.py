@@ -133,7 +133,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = byte_ranks()
     encoded = bytebpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bytebpe.digests(bytebpe.decode(encoded, ranks))
+    return bytebpe.digests(encoded, ranks)
 
 
 QUERIES = {

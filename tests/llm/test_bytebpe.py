@@ -40,7 +40,7 @@ def digest(text: str) -> tuple:
 
 
 @given(st.lists(TEXTS, max_size=8))
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=200, deadline=None)
 def test_ids_are_those_of_the_library(texts):
     coder = bytebpe.Encoder(RANKS)
     found = [np.frombuffer(ids, "<u4").tolist() for ids in bytebpe.ids_of(pa.array(texts, pa.string()), coder)]
@@ -62,7 +62,7 @@ def places(text: str) -> list[int]:
 
 
 @given(st.lists(PIECES, min_size=10, max_size=120).map("".join), st.integers(16, 60))
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=200, deadline=None)
 def test_stitches_are_boundaries_of_the_whole(text, chunk):
     """Whatever two neighbours agree on is a boundary of the text."""
     data, true = text.encode(), set(places(text))
@@ -89,12 +89,12 @@ def corpus() -> list[tuple]:
     return docs
 
 
-@pytest.mark.parametrize("chunk, overlap", [(64, 16), (128, 100), (1000, 40), (1 << 15, 1 << 10)])
+@pytest.mark.parametrize("chunk, overlap", [(64, 16), (1000, 100), (1 << 15, 1 << 10)])
 def test_documents_in_chunks(spark, chunk, overlap):
     docs = corpus()
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, doc string, ids int").repartition(3)
     encoded = bytebpe.encode(df, RANKS, chunk=chunk, overlap=overlap)
-    got = Counter(tuple(r.values()) for r in rows(bytebpe.digests(bytebpe.decode(encoded, RANKS))))
+    got = Counter(tuple(r.values()) for r in rows(bytebpe.digests(encoded, RANKS)))
     assert got == Counter((i, *digest(t or "")) for i, t in docs)
     if chunk == 64:
         assert encoded.where("doc is not null").select("part").distinct().count() > 20
@@ -104,13 +104,13 @@ def test_one_very_long_text_of_one_pretoken(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("ACGT") for _ in range(300_000)), "日" * 100_000, "word " * 60_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r.values())[1:] for r in rows(bytebpe.digests(bytebpe.decode(bytebpe.encode(df, RANKS), RANKS)))}
+    got = {r["doc_id"]: tuple(r.values())[1:] for r in rows(bytebpe.digests(bytebpe.encode(df, RANKS), RANKS))}
     assert got == {i: digest(t) for i, t in enumerate(texts)}
 
 
 def test_empty_table_and_refusals(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert rows(bytebpe.digests(bytebpe.decode(bytebpe.encode(df, RANKS), RANKS))) == []
+    assert rows(bytebpe.digests(bytebpe.encode(df, RANKS), RANKS)) == []
     with pytest.raises(ValueError):
         bytebpe.encode(df, RANKS, pattern=r"\w+")
     with pytest.raises(ValueError):
