@@ -11,6 +11,7 @@ from lakeprofile.llm import (
     hamming,
     jaccard,
     licences,
+    merkle,
     mixing,
     quality,
     rollups,
@@ -136,6 +137,22 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(encoded, ranks)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs for all documents, checked against a table where some texts were tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in merkle.FIELDS]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle.leaf([*fields[:-1], F.translate("text", upper, upper.lower())])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", merkle.leaf(fields).alias("leaf"), F.when(hit, tampered).alias("tampered"))
+    rows = merkle.proofs(leaves, "source", "doc_id", "leaf", "tampered")
+    end = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        end.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
@@ -148,9 +165,11 @@ QUERIES = {
     "op9_token_rollups": op9_token_rollups,
     "op10_licence_scan": op10_licence_scan,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE = {
     "op7_hamming_topk": hamming.oracle(),
     "op9_token_rollups": _op9_sql(),
     "op10_licence_scan": licences.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
 }
