@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeprofile.llm import (
     bytebpe,
     decontaminate,
+    dialogue,
     hamming,
     jaccard,
     licences,
@@ -153,6 +154,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return dialogue.report(conversations, dialogue.damaged(conversations))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
@@ -166,10 +172,12 @@ QUERIES = {
     "op10_licence_scan": op10_licence_scan,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
     "op7_hamming_topk": hamming.oracle(),
     "op9_token_rollups": _op9_sql(),
     "op10_licence_scan": licences.oracle(),
     "op12_merkle_manifest": merkle.oracle(),
+    "op13_conversation_repair": dialogue.oracle(),
 }
