@@ -15,6 +15,10 @@ from lakeprofile.functions.columns import aggregate_once, as_double
 from lakeprofile.operators.moments import Moments
 from lakeprofile.operators.ranks import BUCKET_ROWS, average_ranks
 
+# A value of more than this share of the rows has its rank brought to them; there are no more of them
+# than the inverse.
+HOT_SHARE = 1 / 1000
+
 # More columns than this are correlated by products of whole batches of rows.
 GRAM_COLUMNS = 12
 
@@ -143,7 +147,7 @@ def spearman_pairs(
 
     One table per column has the ranks of its values, once for every column with gaps: the counts
     of smaller values among the rows where that column is present come from the same running sums.
-    The tables are joined to the rows, small ones by broadcast, and one aggregate sums all pairs.
+    The tables are joined to the rows (`_with_ranks`), and one aggregate sums all pairs.
     """
     out: dict[Pair, float | None] = dict.fromkeys(combinations(columns, 2))
     varying = [
@@ -153,14 +157,7 @@ def spearman_pairs(
         return out
     place = {c: k for k, c in enumerate(varying)}
     gappy = [c for c in varying if moments[c].count < rows]
-    # -0.0 and 0.0 are one value to a join but two to nobody else.
-    data = df.select(*[(as_double(df, c) + 0.0).alias(f"x{k}") for c, k in place.items()])
-    ranked = data
-    for a, k in place.items():
-        partners = {str(place[b]): F.col(f"x{place[b]}").isNotNull() for b in gappy if b != a}
-        table = average_ranks(data, F.col(f"x{k}"), rows, bucket_rows, partners)
-        named = [F.col("rank").alias(f"r{k}"), *[F.col(f"rank_{b}").alias(f"r{k}_{b}") for b in partners]]
-        ranked = ranked.join(table.select(F.col("x").alias(f"x{k}"), *named), f"x{k}", "left")
+    ranked = _with_ranks(df, place, gappy, rows, bucket_rows)
     exprs: dict[tuple, Column] = {}
     pairs = list(combinations(varying, 2))
     for a, b in pairs:
@@ -180,6 +177,53 @@ def spearman_pairs(
     return out
 
 
+def _parity(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(2).cast("bigint"))
+
+
+def _with_ranks(
+    df: DataFrame, place: dict[str, int], gappy: list[str], rows: int, bucket_rows: int
+) -> DataFrame:
+    """The rows with x<k> and the ranks r<k>, r<k>_<b> of each column.
+
+    On a table of more than ``bucket_rows`` rows, the ranks of values that many rows hold are
+    broadcast, and rows that hold one, or a gap, are spread by a hash of the row and its input task,
+    so that no task of the join gets all of them.
+    """
+    # -0.0 and 0.0 are one value to a join but two to nobody else.
+    values = [(as_double(df, c) + 0.0).alias(f"x{k}") for c, k in place.items()]
+    data = df.select(*values)
+    large = rows > bucket_rows
+    ranked = data
+    if large:
+        spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"x{k}") for k in place.values()]), F.lit(1 << 20))
+        ranked = data.withColumn("spread", spread + 1)
+    for a, k in place.items():
+        partners = {str(place[b]): F.col(f"x{place[b]}").isNotNull() for b in gappy if b != a}
+        table = average_ranks(data, F.col(f"x{k}"), rows, bucket_rows, partners)
+        names = ["rank", *[f"rank_{b}" for b in partners]]
+        ends = {n: f"r{k}{n[4:]}" for n in names}
+        if not large:
+            own = table.select(F.col("x").alias(f"x{k}"), *[F.col(n).alias(e) for n, e in ends.items()])
+            ranked = ranked.join(own, f"x{k}", "left")
+            continue
+        most = rows * HOT_SHARE
+        hot, cold = (
+            table.where(f"n {sign} {most!r}").select(F.col("x").alias(f"{side}_x"), *[F.col(n).alias(f"{side}_{n}") for n in names])
+            for side, sign in (("hot", ">"), ("cold", "<="))
+        )
+        ranked = ranked.join(F.broadcast(hot), F.col(f"x{k}") == F.col("hot_x"), "left")
+        key = F.when(F.col("hot_x").isNull(), F.col(f"x{k}"))
+        # Not a constant for the other rows, or the join would be dealt by its key alone.
+        deal = F.when(key.isNull(), F.col("spread")).otherwise(_parity(key))
+        ranked = ranked.withColumn("key", key).withColumn("deal", deal)
+        cold = cold.withColumn("cold_deal", _parity(F.col("cold_x")))
+        ranked = ranked.join(cold, (F.col("key") == F.col("cold_x")) & (F.col("deal") == F.col("cold_deal")), "left")
+        kept = [c for c in ranked.columns if not c.startswith(("hot_", "cold_")) and c not in ("key", "deal")]
+        ranked = ranked.select(*kept, *[F.coalesce(f"hot_{n}", f"cold_{n}").alias(e) for n, e in ends.items()])
+    return ranked
+
+
 def vif_values(
     df: DataFrame,
     columns: list[str],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import chunks
-from lakeprofile.operators.ranks import BUCKET_ROWS, range_number, value_ranges
+from lakeprofile.operators.ranks import BUCKET_ROWS, bucket_count, in_ranges
 
 # A table of at most this many classes is broadcast.
 BROADCAST_CLASSES = 50_000
@@ -86,62 +86,83 @@ def class_quantiles(
 ) -> DataFrame:
     """(key, one array of quantiles per column) for every class, all classes in the same jobs.
 
-    Value ranges of each column are shared by its classes.  Rows are counted by class, column and
-    range; only ranges that hold a wanted rank are read again, merged by value and sorted, so no
+    Up to ``bucket_rows`` rows, cells are merged by class, column and value and read off in one window.
+    Beyond, value ranges of each column are shared by its classes.  Rows are counted by class, column
+    and range; only ranges that hold a wanted rank are read again, merged by value and sorted, so no
     task holds a large class and nothing is collected but the ranges' limits.
     """
     names = [f"x{k}" for k in range(len(columns))]
     data = df.select(key.alias("key"), *[(x + 0.0).alias(n) for n, x in zip(names, columns.values())])
     data = data.where("key is not null")
-    limits = value_ranges(data, names, rows, bucket_rows)
     cells = [
-        F.when(F.col(n).isNotNull(), F.struct(
-            F.lit(k).alias("c"), range_number(F.col(n), limits[n]).alias("b"), F.col(n).alias("x")
-        ))
+        F.when(F.col(n).isNotNull(), F.struct(F.lit(k).alias("c"), F.col(n).alias("x")))
         for k, n in enumerate(names)
     ]
-    melted = data.select("key", F.explode(F.array_compact(F.array(*cells))).alias("v")).select("key", "v.*")
-
+    present = F.array_compact(F.array(*cells))
+    # A row without values stays, as one cell without column, for its class to be known.
+    nothing = F.array(F.lit(None).cast("struct<c:int,x:double>"))
+    melted = data.select("key", F.explode(F.when(F.size(present) > 0, present).otherwise(nothing)).alias("v"))
+    melted = melted.select("key", "v.*")
     group = Window.partitionBy("key", "c")
-    upto = group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = melted.groupBy("key", "c", "b").agg(F.count(F.lit(1)).alias("n"))
-    ranges = ranges.select(
-        "*", F.sum("n").over(upto).alias("end"), F.sum("n").over(group).alias("total")
-    )
-    wanted = F.flatten(F.array(*[
-        F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p))
-        for p in probabilities
-    ]))
-    hits = F.array_distinct(
-        F.filter(wanted, lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))
-    )
-    needed = ranges.select(
-        "key", "c", "b", (F.col("end") - F.col("n")).alias("before"), hits.alias("ranks"), "total"
-    ).where(F.size("ranks") > 0)
-
-    counts = melted.join(needed.select("key", "c", "b"), ["key", "c", "b"])
-    counts = counts.groupBy("key", "c", "b", "x").agg(F.count(F.lit(1)).alias("n"))
-    inside = (
-        Window.partitionBy("key", "c", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    placed = counts.select("*", F.sum("n").over(inside).alias("upto")).join(needed, ["key", "c", "b"])
-    end = F.col("before") + F.col("upto")
-    here = F.filter("ranks", lambda r: (r >= end - F.col("n")) & (r < end))
-    at = placed.select("key", "c", "total", "x", F.explode(here).alias("rank"))
-    by_rank = at.groupBy("key", "c").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"), F.max("total").alias("total")
-    )
-
-    def quantile(p: float) -> Column:
-        h = (F.col("total") - 1) * F.lit(p)
-        low, high = F.col("at")[F.floor(h)], F.col("at")[F.ceil(h)]
+
+    def ranks_in(end: Column, n: Column) -> Column:
+        wanted = F.flatten(F.array(*[
+            F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p))
+            for p in probabilities
+        ]))
+        return F.array_distinct(F.filter(wanted, lambda r: (r >= end - n) & (r < end)))
+
+    def merged(rows_: DataFrame, *by: str) -> DataFrame:
+        return rows_.groupBy("key", "c", *by).agg(F.count(F.lit(1)).alias("n"))
+
+    def summed(counts: DataFrame, window: Window, order: str) -> Column:
+        return F.sum("n").over(window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    if bucket_count(rows, bucket_rows) == 1:
+        counts = merged(melted, "x")
+        placed = counts.select(
+            "*", summed(counts, group, "x").alias("end"), F.sum("n").over(group).alias("total")
+        )
+        at = placed.select("key", "c", "total", "x", F.explode_outer(ranks_in(F.col("end"), F.col("n"))).alias("rank"))
+        at = at.where("rank is not null or c is null")
+    else:
+        melted = in_ranges(melted, len(names), rows, bucket_rows)
+        ranges = merged(melted, "b")
+        ranges = ranges.select(
+            "*", summed(ranges, group, "b").alias("end"), F.sum("n").over(group).alias("total")
+        )
+        needed = ranges.where("c is not null").select(
+            "key", "c", "b", (F.col("end") - F.col("n")).alias("before"),
+            ranks_in(F.col("end"), F.col("n")).alias("ranks"), "total",
+        ).where(F.size("ranks") > 0)
+        counts = merged(melted.join(needed.select("key", "c", "b"), ["key", "c", "b"]), "b", "x")
+        inside = Window.partitionBy("key", "c", "b")
+        placed = counts.select("*", summed(counts, inside, "x").alias("upto")).join(needed, ["key", "c", "b"])
+        end = F.col("before") + F.col("upto")
+        here = F.filter("ranks", lambda r: (r >= end - F.col("n")) & (r < end))
+        at = placed.select("key", "c", "total", "x", F.explode(here).alias("rank"))
+        empty = ranges.where("c is null").select("key", "c", "total", *[
+            F.lit(None).cast(kind).alias(n) for n, kind in (("x", "double"), ("rank", "bigint"))
+        ])
+        at = at.unionByName(empty)
+    # A few ranks of each class and column.
+    place = F.when(F.col("rank").isNotNull(), F.struct("rank", "x"))
+    wide = at.groupBy("key").agg(*[
+        f for k, n in enumerate(names) for f in (
+            F.map_from_entries(F.collect_list(F.when(F.col("c") == k, place))).alias(n),
+            F.max(F.when(F.col("c") == k, F.col("total"))).alias(f"n_{n}"),
+        )
+    ])
+
+    def quantile(name: str, p: float) -> Column:
+        h = (F.col(f"n_{name}") - 1) * F.lit(p)
+        low, high = F.col(name)[F.floor(h)], F.col(name)[F.ceil(h)]
         return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
 
-    found = by_rank.select("key", "c", F.array(*[quantile(p) for p in probabilities]).alias("q"))
-    wide = found.groupBy("key").agg(
-        *[F.max(F.when(F.col("c") == k, F.col("q"))).alias(n) for k, n in enumerate(names)]
-    )
-    return data.select("key").distinct().join(wide, "key", "left").toDF("key", *columns)
+    found = [
+        F.when(F.col(f"n_{n}").isNotNull(), F.array(*[quantile(n, p) for p in probabilities])).alias(n) for n in names
+    ]
+    return wide.select("key", *found).toDF("key", *columns)
 
 
 def levene(

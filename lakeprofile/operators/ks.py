@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import as_double
 from lakeprofile.operators.quantiles import group_number
-from lakeprofile.operators.ranks import BUCKET_ROWS, range_number, value_ranges
+from lakeprofile.operators.ranks import BUCKET_ROWS, in_ranges
 
 
 def ks_distances(
@@ -34,14 +34,8 @@ def ks_distances(
     ]
     both = sides[0].unionByName(sides[1])
     rows = max(ref_rows[c] + cur_rows[c] for c in columns)
-    limits = value_ranges(both, names, rows, bucket_rows)
-    cells = [
-        F.when(F.col(k).isNotNull(), F.struct(range_number(F.col(k), limits[k]).alias("b"), F.col(k).alias("x")))
-        for k in names
-    ]
-    melted = both.select("r", *[c.alias(k) for c, k in zip(cells, names)])
-    melted = melted.unpivot(["r"], names, "c", "v").where("v is not null")
-    counts = melted.select(group_number("c"), "v.b", "v.x", "r").groupBy("c", "b", "x").agg(
+    melted = both.unpivot(["r"], names, "c", "x").where("x is not null").select(group_number("c"), "x", "r")
+    counts = in_ranges(melted, len(names), rows, bucket_rows).groupBy("c", "b", "x").agg(
         F.sum("r").alias("ref"), F.sum(1 - F.col("r")).alias("cur")
     )
     upto = Window.partitionBy("c", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)

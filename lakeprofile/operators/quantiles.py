@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeprofile.functions.columns import aggregate_once, chunks
+from lakeprofile.functions.columns import chunks
+from lakeprofile.operators.sketch import sketched_quantiles
 
 # At most this many values are sorted by one window task.
 WINDOW_VALUES = 1_000_000
@@ -16,7 +17,9 @@ WINDOW_VALUES = 1_000_000
 # Equal slices of the value range that narrow the sort of a window.
 SLICES = 256
 
-_SKETCH_ACCURACY = 10_000
+# Size of a sketch, and how far off it may well be, as a share of the values.
+_SKETCH = 32_768
+_SLACK = 4e-4
 
 
 def wanted_ranks(count: int, probabilities: list[float]) -> list[int]:
@@ -89,8 +92,8 @@ def select_ranks(
 ) -> dict[str, dict[int, float]]:
     """Exact order statistics (0-based ranks) by narrowing brackets.
 
-    A round is two scans that shuffle one row per task: a sketch of each bracket proposes bounds
-    around its ranks, then exact counts against the bounds say between which two each rank lies.
+    A round is two scans that shuffle one row per task: a sketch of each bracket (the tasks' sketches are
+    merged in groups, then the groups') proposes bounds around its ranks, then exact counts against the bounds say between which two each rank lies.
     A bound that equals the answer ends the search, so a hot value never has to fit into a
     bracket.  A bracket of at most ``window_values`` values is merged by value and read off.  The
     sketch only steers; the counts decide, and a round shrinks a bracket some thousandfold.
@@ -115,17 +118,15 @@ def _narrow(
     brackets: list[_Bracket],
     found: dict[str, dict[int, float]],
 ) -> list[_Bracket]:
-    slack = 2.0 / _SKETCH_ACCURACY
-    sketches = {}
+    wanted = {}
     for k, b in enumerate(brackets):
         at = sorted(
             min(1.0, max(0.0, (r - b.below) / max(1, b.inside - 1) + d))
             for r in b.ranks
-            for d in (-slack, slack)
+            for d in (-_SLACK, _SLACK)
         )
-        x = b.values(columns[b.column])
-        sketches[k] = F.percentile_approx(x, F.lit(at), F.lit(_SKETCH_ACCURACY))
-    bounds = {k: sorted(set(v)) for k, v in aggregate_once(df, sketches).items()}
+        wanted[k] = b.values(columns[b.column]), at
+    bounds = {k: sorted(set(v)) for k, v in sketched_quantiles(df, wanted, _SKETCH).items()}
     got = _tallies(df, columns, brackets, bounds)
     out = []
     for k, b in enumerate(brackets):

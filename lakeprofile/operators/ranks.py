@@ -3,54 +3,84 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lakeprofile.functions.columns import aggregate_once
+from lakeprofile.operators.sketch import quantiles_of, sketches
 
 # A window sorts one range of distinct values; ranges hold about this many rows.
 BUCKET_ROWS = 1_000_000
+# Ranges that a column is cut into at once, and again where one is too large.
+CUTS = 1024
+# Limits of all ranges of a table, 8 bytes each: beyond, ranges hold more rows.
+MOST_LIMITS = 2_000_000
+_SKETCH = 16_384
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     return max(1, math.ceil(rows / bucket_rows))
 
 
-def value_ranges(
-    df: DataFrame, columns: list[str], rows: int, bucket_rows: int = BUCKET_ROWS
-) -> dict[str, list[float]]:
-    """Upper limits of value ranges of about ``bucket_rows`` rows, for all columns in one scan.
+def _cut(cells: DataFrame, limits: dict[int, np.ndarray]) -> DataFrame:
+    """Adds the number of the range that a cell falls into: how many limits of its column are at or below it.
 
-    The limits are a sketch's quantiles.  They only steer the balance: any limits give exact
-    results, and as plain values they stay the same when a lost task is run again.
-    """
-    ranges = bucket_count(rows, bucket_rows)
-    if ranges == 1 or not columns:
-        return {c: [] for c in columns}
-    grid = F.lit([k / ranges for k in range(1, ranges)])
-    got = aggregate_once(df, {c: F.percentile_approx(c, grid, F.lit(ranges * 20)) for c in columns})
-    return {c: sorted(set(got[c] or [])) for c in columns}
+    The limits, MOST_LIMITS at most, are broadcast and searched a batch at a time."""
+    held = cells.sparkSession.sparkContext.broadcast(limits)
+    at = cells.columns.index("c"), cells.columns.index("x")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, x = (batch.column(i) for i in at)
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            x, c = x.to_numpy(zero_copy_only=False), c.fill_null(-1).to_numpy()
+            number = np.zeros(len(x), np.int64)
+            for k, own in held.value.items():
+                here = there & (c == k)
+                number[here] = np.searchsorted(own, x[here], "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, "b"])
 
-def range_number(x: Column, limits: list[float]) -> Column:
-    """Number of the range that a value falls into: how many limits are at or below it.
+    return cells.mapInArrow(run, StructType([*cells.schema.fields, StructField("b", LongType())]))
 
-    Limits are searched in blocks of the square root of their number.
-    """
-    if not limits:
-        return F.lit(0)
-    size = math.isqrt(len(limits) - 1) + 1
-    blocks = [[float(v) for v in limits[i : i + size]] for i in range(0, len(limits), size)]
 
-    def upto(part: Column) -> Column:
-        return F.size(F.filter(part, lambda v: v <= x))
+def in_ranges(
+    cells: DataFrame, columns: int, rows: int, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Adds b to the cells (c, x, ...) of some columns: ranges of about ``bucket_rows`` rows, in order.
 
-    if len(blocks) < 3:
-        return upto(F.lit([float(v) for v in limits]))
-    block = upto(F.lit([b[0] for b in blocks])) - 1
-    table = F.array(*[F.lit(b) for b in blocks])
-    return F.when(block < 0, 0).otherwise(block * size + upto(F.get(table, block)))
+    A sketch of fixed size cuts each column into at most CUTS ranges; where more are wanted, exact
+    counts show which of these are too large, and only those are sketched and cut again, so that
+    neither a sketch nor the plan grows with the table.  The limits, MOST_LIMITS at most, only steer the balance: any limits give exact
+    results, and as stored values they stay the same when a lost task is run again.
+    """
+    bucket_rows = max(bucket_rows, math.ceil(rows * columns / MOST_LIMITS))
+    ranges = bucket_count(rows, bucket_rows)
+    if ranges == 1 or not columns:
+        return cells.withColumn("b", F.lit(0).cast("bigint"))
+    first = min(ranges, CUTS)
+    found = sketches(cells.select("c", "x"), ["c"], _SKETCH)
+    found = found.select("c", quantiles_of("sketch", [k / first for k in range(1, first)])).collect()
+    limits = {c: np.unique(np.array(q, float)) for c, q in found}
+    if ranges == first:
+        return _cut(cells, limits)
+
+    values = _cut(cells.select("c", "x").where("x is not null"), limits)
+    large = values.groupBy("c", "b").agg(F.count("*").alias("n")).where(F.col("n") > 2 * bucket_rows)
+    again = values.join(F.broadcast(large.select("c", "b")), ["c", "b"])  # CUTS rows a column
+    parts = F.least(F.lit(CUTS), F.ceil(F.col("n") / bucket_rows))
+    grid = F.posexplode(quantiles_of("sketch", [k / CUTS for k in range(1, CUTS)])).alias("k", "limit")
+    # Of the grid as many limits as parts are wanted, evenly.
+    every = sketches(again, ["c", "b"], _SKETCH).select("c", "b", parts.alias("parts"), grid)
+    place = [F.floor((F.col("k") + up) * F.col("parts") / CUTS) for up in (0, 1)]
+    picked = every.where(place[1] > place[0]).groupBy("c", "b").agg(F.collect_set("limit").alias("limits"))
+    more: dict[int, list] = {}
+    for c, got in picked.select("c", "limits").collect():
+        more.setdefault(c, [limits[c]]).append(np.array(got, float))
+    return _cut(cells, limits | {c: np.unique(np.concatenate(parts)) for c, parts in more.items()})
 
 
 def cumulative_counts(
@@ -68,10 +98,10 @@ def cumulative_counts(
     """
     partners = partners or {}
     flags = [p.cast("bigint").alias(f"n_{name}") for name, p in partners.items()]
-    data = df.select(x.alias("x"), F.lit(1).cast("bigint").alias("n"), *flags).where("x is not null")
+    one = F.lit(1).cast("bigint").alias("n")
+    data = df.select(F.lit(0).alias("c"), x.alias("x"), one, *flags).where("x is not null")
     names = ["n", *[f"n_{name}" for name in partners]]
-    limits = value_ranges(data, ["x"], rows, bucket_rows)["x"]
-    data = data.withColumn("bucket", range_number(F.col("x"), limits))
+    data = in_ranges(data, 1, rows, bucket_rows).withColumnRenamed("b", "bucket")
     counts = data.groupBy("bucket", "x").agg(*[F.sum(n).alias(n) for n in names])
     inside = (
         Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +110,7 @@ def cumulative_counts(
     local = counts.select(
         "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(b) for n, b in before.items()]
     )
-    if limits:
+    if bucket_count(rows, bucket_rows) > 1:
         totals = counts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
         # One row per range.
         across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,11 +130,11 @@ def average_ranks(
     bucket_rows: int = BUCKET_ROWS,
     partners: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(x, rank): every distinct value and the average 1-based rank of its copies; rank_<name> is
-    the rank among the rows that meet a partner's condition."""
+    """(x, n, rank): every distinct value, its count and the average 1-based rank of its copies;
+    rank_<name> is the rank among the rows that meet a partner's condition."""
     counts = cumulative_counts(df, x, rows, bucket_rows, partners)
     ranks = [
         (F.col(f"before{end}") + (F.col(f"n{end}") + 1) / 2).alias(f"rank{end}")
         for end in ("", *[f"_{name}" for name in partners or {}])
     ]
-    return counts.select("x", *ranks)
+    return counts.select("x", "n", *ranks)

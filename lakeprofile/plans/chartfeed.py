@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeprofile.functions.columns import (
     aggregate_once, as_double, as_text, col, numeric_columns, small_table,
 )
+from lakeprofile.operators.distinct import few_values
 from lakeprofile.operators.groups import class_quantiles
 from lakeprofile.operators.histogram import edge_table, histogram_counts, linear_edges, with_bins
 from lakeprofile.plans import correlation, missing, outlier, target as targets
@@ -24,21 +25,13 @@ GRID = 30
 
 
 def bin_numbers(p: Profile, columns: list[str], bins: int = BINS) -> dict[str, int]:
-    """Bins per column: no more than it has values.
-
-    Of each column as many distinct values are asked for as there may be bins, so tasks stop early.
-    """
+    """Bins per column: no more than it has values."""
     usable = [
         c for c in columns
         if p.moments[c].count and math.isfinite(p.moments[c].maximum - p.moments[c].minimum)
     ]
-    parts = None
-    for k, c in enumerate(usable):
-        part = p.df.select(F.lit(k).alias("c"), as_double(p.df, c).alias("x")).where("x is not null")
-        part = part.distinct().limit(bins)
-        parts = part if parts is None else parts.unionAll(part)
-    found = {r["c"]: r["n"] for r in parts.groupBy("c").agg(F.count("*").alias("n")).collect()} if usable else {}
-    return {c: found[k] for k, c in enumerate(usable)}
+    found = few_values(p.df, {c: as_double(p.df, c) for c in usable}, bins)
+    return {c: bins if v is None else len(v) for c, v in found.items()}
 
 
 def histograms(source: DataFrame | Profile, bins: int = BINS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import as_double
 from lakeprofile.operators import (
-    contingency, correlate, duplicates, frequency, groups, isolation, ks, moments, quantiles, ranks,
+    contingency, correlate, distinct, duplicates, frequency, groups, isolation, ks, moments, quantiles, ranks,
 )
 
 PROBABILITIES = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
@@ -64,6 +64,28 @@ def test_ranks_equal_pandas(frame, numbers, bucket_rows):
         assert np.allclose(found.dropna(), expected.dropna()), c
 
 
+def test_ranges_cut_twice_keep_ranks(frame, numbers, monkeypatch):
+    """Eight ranges at first, of which the large ones are cut again."""
+    monkeypatch.setattr(ranks, "CUTS", 8)
+    df = frame(numbers)
+    for c in ("hot", "ties", "tail", "gaps"):
+        table = ranks.average_ranks(df, as_double(df, c), len(numbers), 60).toPandas()
+        expected = numbers[c].rank()
+        found = numbers[c].map(dict(zip(table["x"], table["rank"], strict=True)))
+        assert np.allclose(found.dropna(), expected.dropna()), c
+    got = groups.class_quantiles(df, F.col("ties"), {"h": F.col("hot"), "t": F.col("tail")}, [0.5], 3000, 60)
+    for r in got.collect():
+        own = numbers[numbers["ties"] == r["key"]]
+        assert r["h"] == pytest.approx([own["hot"].median()]) and r["t"] == pytest.approx([own["tail"].median()])
+
+
+@pytest.mark.parametrize("bucket_rows", [2, 1_000_000])
+def test_class_quantiles_keep_classes_without_values(spark, bucket_rows):
+    df = spark.createDataFrame([("a", 1.0, None), ("b", None, None), ("a", 3.0, 5.0), (None, 2.0, 2.0)], "k string, x double, y double")
+    got = groups.class_quantiles(df, F.col("k"), {"x": F.col("x"), "y": F.col("y")}, [0.5], 4, bucket_rows)
+    assert {r["key"]: (r["x"], r["y"]) for r in got.collect()} == {"a": ([2.0], [5.0]), "b": (None, None)}
+
+
 def test_correlations_equal_pandas(frame, numbers):
     df = frame(numbers)
     columns = list(numbers)
@@ -239,3 +261,25 @@ def test_isolation_forest_samples_copies_one_by_one(frame):
     assert share.between(0.15, 0.52).all() and abs(share.mean() - 1 / 3) < 0.02
     again = isolation.subsamples(df.repartition(3), F.col("x"), len(x)).select("tree", "x").toPandas()
     assert sorted(map(tuple, again.to_numpy())) == sorted(map(tuple, drawn.to_numpy()))
+
+
+def test_few_values_moves_no_column_of_many(spark, monkeypatch):
+    """Columns at, below and above the limit; one of unique values is not read again."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.range(0, 20_000, 1, 8).selectExpr(
+        "id % 30 as at", "id % 31 as above", "cast(id as double) as each", "id * 0 + 7 as one",
+        "cast(null as double) as none", "if(id % 3 = 0, null, cast(id % 5 as string)) as text",
+        "concat(repeat('long ', 2000), id % 2) as long", "uuid() as words",
+    )
+    plans = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (plans.append(self), collect(self))[1])
+    got = distinct.few_values(df, {c: F.col(c) for c in df.columns}, 30)
+    assert {c: v if v is None else len(v) for c, v in got.items()} == {
+        "at": 30, "above": None, "each": None, "one": 1, "none": 0, "text": 5, "long": 2, "words": None,
+    }
+    second = " ".join(p._jdf.queryExecution().optimizedPlan().toString() for p in plans[1:])
+    assert "uuid" not in second and "each" not in second and plans[1:]
+    with pytest.raises(ValueError):
+        distinct.few_values(df, {"at": F.col("at")}, 1000)

@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import as_double
-from lakeprofile.operators import frequency, groups, ks, moments, quantiles
+from lakeprofile.operators import (
+    correlate, frequency, groups, ks, moments, quantiles, ranks, sketch,
+)
 from lakeprofile.plans import chartfeed, correlation, drift, health, missing, target
 from lakeprofile.plans.profile import Profile
 
@@ -76,17 +78,69 @@ def test_frequency_branches_share_one_shuffle(stored, executed):
 
 
 def test_bracket_search_shuffles_no_values_until_the_end(stored, executed, monkeypatch):
-    monkeypatch.setattr(quantiles, "_SKETCH_ACCURACY", 50)
+    monkeypatch.setattr(quantiles, "_SKETCH", 64)
+    monkeypatch.setattr(quantiles, "_SLACK", 0.05)
     quantiles.exact_quantiles(
         stored, {"a": as_double(stored, "a")}, [0.1, 0.5], {"a": 4000}, {"a": (-5.0, 5.0)}, 100
     )
     *rounds, last = executed
-    # A round shuffles counts by bracket and bound, never values.
+    # A round shuffles sketches by group of tasks and counts by bracket and bound, never values.
     keys = [k for plan in rounds for k in re.findall(r"hashpartitioning\((\w+)#", plan)]
-    assert rounds and set(keys) <= {"k"}, keys
+    assert rounds and set(keys) <= {"k", "__group"}, keys
     assert "hashpartitioning" in last
 
 
+def test_sketches_of_tasks_meet_in_groups(stored, monkeypatch):
+    """However many tasks there are, the last one merges at most GROUPS sketches of a column."""
+    monkeypatch.setattr(sketch, "GROUPS", 3)
+    cells = stored.repartition(20).selectExpr("b % 2 as c", "a as x")
+    plan = sketch.sketches(cells, ["c"], 256)._jdf.queryExecution().executedPlan().toString()
+    last, first = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert "__group" in first and "__group" not in last
+    got = sketch.sketched_quantiles(stored.repartition(20), {"a": (F.col("a"), [0.1, 0.5]), "none": (F.lit(None).cast("double"), [0.5])}, 1024)
+    want = np.quantile(stored.toPandas()["a"], [0.1, 0.5])
+    assert got["none"] == [] and np.abs(np.array(got["a"]) - want).max() < 0.1
+
+
+def test_ranges_do_not_grow_the_plan(spark):
+    """Ten and twenty thousand ranges of a million rows, in plans of one size; no range is too large."""
+    rows = 1_000_000
+    cells = spark.range(rows).selectExpr("0 as c", "pow(rand(3), 9) as x")
+    sizes = []
+    for each in (100, 50):
+        placed = ranks.in_ranges(cells, 1, rows, each)
+        sizes.append(len(placed._jdf.queryExecution().optimizedPlan().toString()))
+        counts = placed.groupBy("b").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
+        assert len(counts) > 0.4 * rows / each and counts["n"].max() < 12 * each
+        counts = counts.sort_values("b")
+        assert (counts["high"].to_numpy()[:-1] < counts["low"].to_numpy()[1:]).all()
+    assert abs(sizes[0] - sizes[1]) < 50 and sizes[0] < 20_000
+
+
+def test_rank_joins_spread_gaps_and_hot_values(spark):
+    """No task of a rank join gets all rows with a gap, nor all rows of a value that many hold."""
+    rng = np.random.default_rng(10)
+    n = 8000
+    gap, hot, both = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)
+    gap[: n // 2] = np.nan
+    hot[n // 3 :] = 4.0
+    both[: n // 2], both[n // 2 :] = np.nan, 1.5  # equal rows but for the others
+    pdf = pd.DataFrame({"gap": gap, "hot": hot, "both": both}).sample(frac=1, random_state=2)
+    df = spark.createDataFrame(pdf).repartition(48)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        for order in (["gap", "hot"], ["hot", "both"]):  # the last join deals the rows
+            joined = correlate._with_ranks(df, {c: k for k, c in enumerate(order)}, [c for c in order if c != "hot"], n, 1000)
+            tasks = joined.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+            assert tasks.sum() == n and tasks.max() < 3 * n / 16, order
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.fixture
 def jobs(spark, request):
     """Number of Spark jobs a piece of work starts."""
