@@ -41,6 +41,8 @@ GRAM = 20
 #: A gram in so many different segments is frequent; its table keeps the most frequent ones.
 FREQUENT = 256
 FREQUENT_TABLE = 1 << 18
+#: Bytes of whole buckets that a task refines at once.
+GROUP = 1 << 20
 
 REMOVED, OPEN, OPEN_FREQUENT = 0, 1, 2
 FOUND = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()),
@@ -278,6 +280,18 @@ def _merged(key: np.ndarray, start: np.ndarray, out) -> Iterator[pa.RecordBatch]
         yield out(key[at], start[at].astype(np.int32), np.diff(at, append=len(key)).astype(np.int32))
 
 
+def _groups(segments: list[tuple]) -> Iterator[list[tuple]]:
+    """Whole buckets of segments, of about GROUP bytes together: equal windows lie in one bucket, and
+    refinement takes many times the bytes that it works on. Given segments are forgotten."""
+    segments.sort(key=lambda s: s[0], reverse=True)
+    while segments:
+        group, size = [], 0
+        while segments and (size < GROUP or segments[-1][0] == group[-1][0]):
+            group.append(segments.pop())
+            size += len(group[-1][4])
+        yield group
+
+
 def _refined(window: int, gram: int):
     def removed(k, s, n):
         return _batch(FOUND, np.zeros(len(k), np.int64), k, s, n, np.zeros(len(k), np.int8))
@@ -285,20 +299,19 @@ def _refined(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, hashed = [], []
         for batch in batches:
-            for kind, _, key, start, n, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for kind, g, key, start, n, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if kind == REMOVED:
                     yield removed(*(np.array([x]) for x in (key, start, n)))
                 elif kind == OPEN:
-                    segments.append((key, start, n, data))
+                    segments.append((g, key, start, n, data))
                 else:
                     parts = [np.frombuffer(data, t, n, 8 * n * i)
                              for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64))]
                     hashed.append(parts)
-        if segments:
-            data = np.frombuffer(b"".join(s[3] for s in segments), np.uint8)
-            lengths = np.array([len(s[3]) for s in segments])
-            key, start, n = (np.array([s[i] for s in segments], np.int64) for i in range(3))
-            segments.clear()
+        for group in _groups(segments):
+            data = np.frombuffer(b"".join(s[4] for s in group), np.uint8)
+            lengths = np.array([len(s[4]) for s in group])
+            key, start, n = (np.array([s[i] for s in group], np.int64) for i in (1, 2, 3))
             at, own = _window_starts(n, lengths)
             which, pointer = refined(data, at, window, gram)
             own = own[which]

@@ -221,3 +221,15 @@ def test_added_tokens_match_raw_text_only():
              "<|EndOfText|><|endoftext|>", "PLAIN Words <|endof"]
     got = [np.frombuffer(b, "<u4").tolist() for b in tokenfile.Words(text).ids(texts)]
     assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_groups_hold_whole_buckets(monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP", 50)
+    rng = random.Random(4)
+    segments = [(rng.randrange(40), i, 0, 1, bytes(rng.randrange(1, 30))) for i in range(300)]
+    groups = list(suffixes._groups(list(segments)))
+    assert sorted(s for g in groups for s in g) == sorted(segments) and len(groups) > 10
+    of = [{s[0] for s in g} for g in groups]
+    assert sum(map(len, of)) == len({s[0] for s in segments})
+    assert all(sum(len(s[4]) for s in g if s[0] != g[-1][0]) < 50 for g in groups)
+    assert list(suffixes._groups([])) == []
