@@ -33,8 +33,8 @@ DATE_LAYOUTS = [
     (r"^\d{1,2}:\d{2}(:\d{2})?$", None),
 ]
 
-# No layout is longer once the padding is gone.
-_LONGEST_DATE = 40
+# No layout is longer once the padding is gone, not even a time with the longest name of a zone.
+_LONGEST_DATE = 80
 
 
 def strip(text: Column) -> Column:

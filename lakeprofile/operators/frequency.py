@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,11 @@ def _entropy(total: int, weighted_log: float) -> float:
     return max(0.0, math.log2(total) - weighted_log / total)
 
 
+def plain_label(text: Column) -> Column:
+    """What all spellings of a label share, whatever their case and padding; long ones as a digest."""
+    return fold(F.lower(strip(text)))
+
+
 def text_counts(df: DataFrame, columns: list[str], checks: bool = False) -> DataFrame:
     """(c, s, n): how often each value occurs as text; long text travels as a digest.
 
@@ -125,20 +130,23 @@ def text_counts(df: DataFrame, columns: list[str], checks: bool = False) -> Data
     for k, c in enumerate(columns):
         s = text_key(df, c)
         number = hidden = date = F.lit(False)
+        label = F.lit(None).cast("string")
         if checks and is_text(df.schema[c].dataType):
             text = as_text(df, c)
             long = F.octet_length(text) > FOLD_BYTES
             number = F.coalesce(long & parses_as_number(text), F.lit(False))
             hidden = F.coalesce(long & reads_as_missing(text), F.lit(False))
             date = F.coalesce(long & parse_date(text).isNotNull(), F.lit(False))
+            label = F.when(long, plain_label(text))
         parts = [s.alias("s")]
         if checks:
-            parts += [number.alias("long_number"), hidden.alias("long_hidden"), date.alias("long_date")]
+            parts += [number.alias("long_number"), hidden.alias("long_hidden"), date.alias("long_date"),
+                      label.alias("long_label")]
         cells.append((F.struct(*parts) if checks else s).alias(str(k)))
     names = [str(k) for k in range(len(columns))]
     melted = df.select(*cells).unpivot([], names, "c", "v" if checks else "s")
     melted = melted.select(group_number("c"), "v.*" if checks else "s").where("s is not null")
-    keys = ["c", "s", *(["long_number", "long_hidden", "long_date"] if checks else [])]
+    keys = ["c", "s", *(["long_number", "long_hidden", "long_date", "long_label"] if checks else [])]
     return melted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -221,14 +229,12 @@ def _text_checks(counts: DataFrame) -> DataFrame:
 def _spellings(counts: DataFrame) -> DataFrame:
     """How many labels occur in spellings that differ in case or padding only, and the first one's.
 
-    Values of up to 64 bytes, however many a column has; both sums are merged in every task.
+    Labels of any length, however many a column has; both sums are merged in every task.
     """
-    # Digests are counted as nothing; filtered out, they would cost a scan of their own.
-    short = F.when(F.octet_length("s") <= FOLD_BYTES, F.col("s"))
-    label = F.lower(strip(F.col("s")))
+    label = F.coalesce(F.col("long_label"), plain_label(F.col("s")))
     # Two are enough for an example, so no label gathers its spellings.
     merged = counts.groupBy("c", label.alias("label")).agg(
-        F.count(short).alias("k"), F.min(short).alias("low"), F.max(short).alias("high"),
+        F.count("s").alias("k"), F.min("s").alias("low"), F.max("s").alias("high"),
         F.sum("n").alias("rows"),
     )
     first = F.struct("label", F.array("low", "high").alias("variants"))
@@ -241,7 +247,7 @@ def _spellings(counts: DataFrame) -> DataFrame:
 def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
     """Replace the digests among reported values by the texts they stand for."""
     wanted = [
-        (c, v) for c, f in found.items() for v, _ in f.top
+        (c, v) for c, f in found.items() for v in [v for v, _ in f.top] + f.text.variants
         if len(v) == FOLD_BYTES + 1 and v.startswith("#")
     ]
     if not wanted:
@@ -263,6 +269,7 @@ def _unfold(df: DataFrame, found: dict[str, Frequencies]) -> None:
     full = {(names[int(r["c"])], r["key"]): r["text"] for r in rows}
     for c, f in found.items():
         f.top = [(full.get((c, v), v), n) for v, n in f.top]
+        f.text.variants = sorted(full.get((c, v), v) for v in f.text.variants)
 
 
 def value_table(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -283,3 +283,11 @@ def test_few_values_moves_no_column_of_many(spark, monkeypatch):
     assert "uuid" not in second and "each" not in second and plans[1:]
     with pytest.raises(ValueError):
         distinct.few_values(df, {"at": F.col("at")}, 1000)
+
+
+def test_times_with_a_named_zone_are_dates(spark):
+    from lakeprofile.functions.text import parse_date
+
+    texts = ["2024-01-01 10:00:00.123456 America/Argentina/ComodRivadavia", "2024-01-01", "2024 things to do"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_date(F.col("t")).isNotNull()).collect()
+    assert [r[0] for r in got] == [True, True, False]
