@@ -573,6 +573,9 @@ def representatives(
     """The rows of docs with one document of each component, that with the smallest id; texts without
     words all stay. A null id counts as the largest. Of rows with this id the one with the smallest text
     hash stays."""
+    names = docs.columns
+    id_column, text_column = (f"c{names.index(c)}" for c in (id_column, text_column))
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever they are called
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     found = shared.cut(_linked(rows, k, percent), "linked")
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(smallest_id()).alias("rep"))
@@ -589,4 +592,4 @@ def representatives(
     kept = hashed.join(stay, same)
     order = Window.partitionBy("__id", "__th", "__once").orderBy("__h")
     kept = kept.withColumn("__row", F.row_number().over(order)).where("not __once or __row = 1")
-    return shared.unpacked(kept.select(*docs.columns), text_column, docs.schema)
+    return shared.unpacked(kept.select(*docs.columns), text_column, docs.schema).toDF(*names)

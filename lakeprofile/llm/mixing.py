@@ -40,13 +40,13 @@ def targets(
     share: float = SHARE,
     cap: float = CAP,
 ) -> DataFrame:
-    """source, source_size, n, target from rows (source, size).
+    """source, source_size, n, target from rows (source, size, m), of which m are alike.
 
     Weights repeat along the ranked sources. A level is raised until the targets, weight * level
     but at most cap * size, sum to share * all sizes; each pass over the table of sources caps
     more of them, and only two sums reach the driver.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
     kind = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     table = by.withColumn("last", F.col("source").isNull())
     table = shared.ranked(table, [F.col("last"), F.col("source")])
@@ -124,8 +124,7 @@ def decide(
     )
     units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     units = shared.cut(units, "units")
-    per_row = units.select("source", F.explode(F.array_repeat("size", F.col("m").cast("int"))).alias("size"))
-    goals = shared.cut(targets(per_row, weights, share, cap), "targets")
+    goals = shared.cut(targets(units.select("source", "size", "m"), weights, share, cap), "targets")
     id_type = units.schema["doc_id"].dataType.simpleString()
     unit = UNIT.format(id=id_type)
     done = f"struct<doc_id:{id_type},size:bigint,m:bigint,total:bigint>"
@@ -198,8 +197,15 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 
 def copies_of(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with docs' columns."""
+    """The mix itself: every row of docs as often as it is taken, with docs' columns.
+
+    Of rows that share a decision, those with the smaller hashes of their texts are taken more often.
+    """
+    names = docs.columns
     by = [options.get(f"{c}_column", c if c != "id" else "doc_id") for c in ("id", "source", "text")]
+    by = [f"c{names.index(c)}" for c in by]
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever they are called
+    options |= {f"{c}_column": own for c, own in zip(("id", "source", "text"), by)}
     chosen = decide(docs, **options)
     plan = chosen.where("total > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
@@ -213,7 +219,7 @@ def copies_of(docs: DataFrame, **options) -> DataFrame:
         & (F.col("__words") == F.col("__size")),
     )
     one = joined.where("__m = 1").withColumn("__copies", F.col("__total"))
-    order = Window.partitionBy("__id", "__source", "__size").orderBy("__m")
+    order = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(by[2]))
     many = joined.where("__m > 1").withColumn("__i", F.row_number().over(order))
     many = many.withColumn(
         "__copies",
@@ -223,4 +229,4 @@ def copies_of(docs: DataFrame, **options) -> DataFrame:
     rows = one.unionByName(many).where("__copies > 0")
     return rows.withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    ).select(*docs.columns)
+    ).select(*docs.columns).toDF(*names)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lakeprofile.llm import (
     components, decontaminate, hamming, jaccard, licences, mixing, quality, queries, rollups, shared,
@@ -595,3 +596,29 @@ def test_nothing(spark, empty):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hamming.nearest(none, none).count() == 0
     assert decontaminate.leaks(empty, items.limit(0)).count() == 0
+
+
+RESERVED_NAMES = ["__id", "__source", "__size", "__total", "__once", "__h", "c0"]
+
+
+def test_mix_of_rows_without_ids_does_not_depend_on_layout(spark):
+    rng = random.Random(12)
+    docs = [(None, sentence(rng, 20), "a") for _ in range(10)] + [(i, sentence(rng, 30), "b") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    df = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(RESERVED_NAMES)])
+    found = []
+    for n in (1, 7):
+        mix = mixing.copies_of(df.repartition(n))
+        assert mix.columns == df.columns
+        found.append(Counter((r["doc_id"], r["text"], r["__total"]) for r in rows(mix)))
+    assert found[0] == found[1] and found[0]
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rng = random.Random(13)
+    text = sentence(rng, 40)
+    df = spark.createDataFrame([(3, text), (2, text), (5, sentence(rng, 30))], "doc_id long, text string")
+    df = df.select(*[F.lit(i).alias(c) for i, c in enumerate(RESERVED_NAMES)], "*")
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["c0"]) for r in rows(kept)) == [(2, 6), (5, 6)]
