@@ -17,8 +17,8 @@
 
 Defined results: null and empty texts have no entry and score `rest`, as every text without one;
 without labels, or with labels of one kind, nothing is learned and every text scores the share of
-toxic labels (0 without any). White space, punctuation and symbols beyond ASCII, such as curly quotes
-and no-break spaces, are spaces. Labels that repeat count once, toxic if any says so; labels of null
+toxic labels (0 without any). Texts and words of any length take time in proportion to it. White space,
+punctuation and symbols beyond ASCII, such as curly quotes and no-break spaces, are spaces. Labels that repeat count once, toxic if any says so; labels of null
 are left out. Rows that repeat are scored alike. Other columns are not read; scoring sees text only.
 """
 
@@ -67,9 +67,13 @@ _SIGNS = re.escape("".join(LEET))
 _APART = re.compile(
     rf"(?<![^\W_])(?:[^\W\d_]|[{_SIGNS}])(?:[{re.escape(GAPS)}](?:[^\W\d_]|[{_SIGNS}])){{3,}}(?![^\W_])"
 )
-_MIXED = re.compile(rf"[^\W_{_SIGNS}]*(?:[^\W\d_][{_SIGNS}]{{1,2}}(?=[^\W\d_]|\b|\s|$)|[{_SIGNS}]{{1,2}}(?=[^\W\d_]))"
-                    rf"[\w{_SIGNS}]*")
-_REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*", re.IGNORECASE)
+# A letter with signs after it, or signs before a letter; the rest of the word is found from there.
+_MIXED = re.compile(rf"[^\W\d_][{_SIGNS}]{{1,2}}(?=[^\W\d_]|\b|\s|$)|[{_SIGNS}]{{1,2}}(?=[^\W\d_])")
+_MIXED_BEFORE, _MIXED_AFTER = re.compile(rf"[^\W_{_SIGNS}]"), re.compile(rf"[\w{_SIGNS}]*")
+_REPEATED = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
+_REPEATED_BEFORE, _REPEATED_AFTER = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]*")
+#: Longer spans are not remembered, so that what a worker remembers stays small.
+REMEMBERED = 64
 
 
 @dataclass
@@ -119,10 +123,12 @@ def language_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     return counts.reshape(_N, _N, _N)
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """For each character of a span its readings and their costs; '' is nothing, '#' a word's end."""
+def lattice(span: str, apart: bool | None = None) -> list[list[tuple[str, float]]]:
+    """For each character of a span its readings and their costs; '' is nothing, '#' a word's end.
+    Whether its letters are set apart one by one is given where the span is a piece of one."""
     low = span.lower()
-    apart = bool(_APART.fullmatch(low))
+    if apart is None:
+        apart = bool(_APART.fullmatch(low))
     out, before, run = [], "", 0
     for i, c in enumerate(low):
         run = run + 1 if c == before else 1
@@ -145,33 +151,82 @@ def _code(letter: str) -> int:
 
 
 def restored(span: str, language: Language) -> str:
-    """The likeliest reading of a span, words separated by spaces."""
+    """The likeliest reading of a span, words separated by spaces.
+
+    Two letters in a row that can only be themselves leave one state of the language model, whatever
+    was read before. The lattice is cut there: pieces are decoded one by one, equal ones once, and
+    what is certain between them is copied, so that the work grows with the span's length. Of
+    readings that cost the same, the one whose last different letter is less.
+    """
+    low = span.lower()
+    apart = bool(_APART.fullmatch(low))
+    unsure = [i for i, (a, c) in enumerate(zip("\0" + low, low)) if a == c or not c.isalpha()]
+    known: dict[tuple[int, int, str, bool], str] = {}
+    out, done, i = [], 0, 0
+    while i < len(unsure):
+        first = last = unsure[i]
+        while i < len(unsure) and unsure[i] - last <= 2:
+            last = unsure[i]
+            i += 1
+        stop = min(last + 3, len(low))
+        ends = stop == len(low)
+        before = [0, 0, *map(_code, low[max(0, first - 2) : first])]
+        key = (before[-2], before[-1], low[max(0, first - 1) : stop], ends)
+        text = known.get(key)
+        if text is None:
+            readings = lattice(key[2], apart)[min(first, 1) :]
+            text = _decoded(readings, before[-2:], ends, language)
+            if len(key[2]) <= REMEMBERED and len(known) < 100_000:
+                known[key] = text
+        out += [low[done:first], text]
+        done = stop
+    out.append(low[done:])
+    return " ".join("".join(out).replace("#", " ").split())
+
+
+def _decoded(readings: list[list[tuple[str, float]]], before: list[int], ends: bool, language: Language) -> str:
+    """Viterbi over a lattice, from the codes of the two letters before it; the end of a word follows
+    if it `ends`. A path's letters are linked from the last one back, so paths share what they share."""
     logs = language.logs
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in [*lattice(span), [("#", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in paths.items():
-            for letter, paid in readings:
-                if not letter:
-                    state, total, now = (a, b), cost + paid, text
+    paths: dict[tuple[int, int], tuple] = {(before[0], before[1]): (0.0, "", None)}
+    for choices in [*readings, [("#", 0.0)]] if ends else readings:
+        after: dict[tuple[int, int], tuple] = {}
+        for (a, b), path in paths.items():
+            for letter, paid in choices:
+                c = _code(letter) if letter else 0
+                if c == 0 and (b == 0 or not letter):
+                    state, total, now = (a, b), path[0] + paid, path
                 else:
-                    c = _code(letter)
-                    if c == 0 and b == 0:
-                        state, total, now = (a, b), cost + paid, text
-                    else:
-                        state = (0, 0) if c == 0 else (b, c)
-                        total, now = cost + paid - logs[a, b, c], text + letter
-                if state not in after or (total, now) < after[state]:
-                    after[state] = (total, now)
+                    state, total, now = (0, 0) if c == 0 else (b, c), path[0] + paid - logs[a, b, c], None
+                best = after.get(state)
+                if best is not None and (best[0], best[1]) <= (total, letter if now is None else path[1]):
+                    continue
+                after[state] = (total, letter, path) if now is None else (total, path[1], path[2])
         paths = after
-    return " ".join(min(paths.values())[1].replace("#", " ").split())
+    path = min(paths.values(), key=lambda p: p[:2])
+    letters = []
+    while path[2] is not None:
+        letters.append(path[1])
+        path = path[2]
+    return "".join(reversed(letters))
+
+
+def _around(text: str, core: re.Pattern, before: re.Pattern, after: re.Pattern) -> Iterator[str]:
+    """Each match of a short pattern with all that fits before and after it; in linear time."""
+    at = 0
+    while m := core.search(text, at):
+        start, end = m.start(), after.match(text, m.end()).end()
+        while start > at and before.match(text, start - 1):
+            start -= 1
+        yield text[start:end]
+        at = end
 
 
 def disguised(text: str) -> list[str]:
     """Spans of a text that look disguised, each once."""
     spans = [m.group() for m in _APART.finditer(text)]
-    for pattern in (_MIXED, _REPEATED):
-        spans += [m.group() for m in pattern.finditer(text)]
+    spans += _around(text, _MIXED, _MIXED_BEFORE, _MIXED_AFTER)
+    spans += _around(text, _REPEATED, _REPEATED_BEFORE, _REPEATED_AFTER)
     return [s for s in dict.fromkeys(spans) if any(c.isalpha() for c in s)]
 
 
@@ -243,6 +298,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "hashes"])
 
 
+def _each_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of `_features`, a row each."""
+    for batch in _features(batches):
+        for hashes in batch.column(1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes.as_py(), np.int64))], ["h"])
+
+
 def _named(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The spelling of wanted hashes."""
     for batch in batches:
@@ -333,12 +395,15 @@ def fit(
     # At most 5 * sample ids, by the limits above.
     some = shared.cut(rows.join(F.broadcast(chosen), "id").select("toxic", "text").distinct(), "labelled")
     texts = {0: [], 1: []}
-    for r in some.mapInArrow(_features, "toxic int, hashes binary").where("toxic = 1").collect():
-        texts[1].append(np.frombuffer(r["hashes"], np.uint64))
-    if not texts[1] or not sum(map(len, texts[1])):
+    # Counted in Spark: the driver sees what enough toxic texts share, not whole texts. What fewer
+    # share can't become an entry (`cover` takes those that explain 0.98 of the best one's texts).
+    toxic = some.where("toxic = 1")
+    least = max(SUPPORT, int(0.98 * SHARE * toxic.count()))
+    counted = toxic.mapInArrow(_each_feature, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    often = np.array([r["h"] for r in counted.where(F.col("n") >= least).select("h").collect()], np.int64)
+    often = np.sort(often.view(np.uint64))
+    if not len(often):
         return model
-    often, n = np.unique(np.concatenate(texts[1]), return_counts=True)
-    often = often[n >= SUPPORT]
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _features(batches):
@@ -346,9 +411,9 @@ def fit(
             kept = [np.intersect1d(h, often, assume_unique=True).tobytes() for h in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["toxic", "hashes"])
 
-    for r in some.where("toxic = 0").mapInArrow(wanted, "toxic int, hashes binary").collect():
-        texts[0].append(np.frombuffer(r["hashes"], np.uint64))
-    if not texts[0]:
+    for r in some.mapInArrow(wanted, "toxic int, hashes binary").collect():
+        texts[r["toxic"]].append(np.frombuffer(r["hashes"], np.uint64))
+    if not texts[0] or not texts[1]:
         return model
     hashes, precisions, rest = cover(texts[1], texts[0], share)
     named = some.where("toxic = 1").mapInArrow(lambda b: _named(b, hashes), "h long, name string")
@@ -373,6 +438,8 @@ def evidence(texts: pa.Array, model: Model) -> Iterator[tuple[int, set[int], lis
     """Row, entries found in the restored text, and what was restored, where there is either."""
     language = model.language
     known: dict[str, str] = {}
+    # No beginning longer than the longest entry can be one.
+    longest = max(map(len, model.entries), default=0)
     for run in textnp.plain_runs(texts):
         h, doc = _hashes(run)
         entry = _found(h, model.hashes)
@@ -385,16 +452,22 @@ def evidence(texts: pa.Array, model: Model) -> Iterator[tuple[int, set[int], lis
             for d in _suspects(run).tolist():
                 text = run.data[run.starts[d] : run.starts[d + 1]].tobytes().decode(errors="replace")
                 for span in disguised(text):
-                    if span not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[span] = restored(span, language)
-                    if known[span] and known[span] != span.lower():
+                    reading = known.get(span)
+                    if reading is None:
+                        reading = restored(span, language)
+                        if len(span) <= REMEMBERED:
+                            if len(known) > 100_000:
+                                known.clear()
+                            known[span] = reading
+                    if reading and reading != span.lower():
                         owners.append(d)
-                        spans.append(known[span])
+                        spans.append(reading)
             if spans:
                 # A disguised word may go on after an entry: its beginnings count as words too.
-                read = [" ".join([s, *(w[:n] for w in s.split() for n in range(4, len(w)))]) for s in spans]
+                read = [
+                    " ".join([s, *(w[:n] for w in s.split() for n in range(4, min(len(w), longest + 1)))])
+                    for s in spans
+                ]
                 for again in textnp.plain_runs(pa.array(read)):
                     h, at = _hashes(again)
                     entry = _found(h, model.hashes)

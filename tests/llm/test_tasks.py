@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -233,3 +235,33 @@ def test_groups_hold_whole_buckets(monkeypatch):
     assert sum(map(len, of)) == len({s[0] for s in segments})
     assert all(sum(len(s[4]) for s in g if s[0] != g[-1][0]) < 50 for g in groups)
     assert list(suffixes._groups([])) == []
+
+
+@pytest.mark.parametrize("span", ["v1le", "b@@d", "w o r d", "niiice", "*x*1", "a!!b", "ab1cd|ef", "3éé"])
+def test_decoding_finds_the_cheapest_of_all_readings(span):
+    counts = np.random.default_rng(5).integers(0, 99, (28, 28, 28))
+    language = toxicity.Language.of(counts, ["vile", "word"])
+    best = None
+    for readings in itertools.product(*toxicity.lattice(span)):
+        cost, a, b, text = 0.0, 0, 0, ""
+        for letter, paid in (*readings, ("#", 0.0)):
+            cost += paid
+            c = toxicity._code(letter) if letter else 0
+            if letter and (c or b):
+                cost -= language.logs[a, b, c]
+                a, b, text = (b, c, text + letter) if c else (0, 0, text + " ")
+        if best is None or cost < best[0]:
+            best = (cost, text.strip())
+    assert toxicity.restored(span, language) == best[1]
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "".join(map(chr, range(0xE01, 0xE2F))), "一二三四五六七"])
+def test_long_runs_of_letters_take_time_in_proportion(letters):
+    word = next(textnp.plain_runs(pa.array(["vilething"])))
+    language = toxicity.Language.of(np.ones((28, 28, 28)), ["vilething"])
+    model = toxicity.Model(["vilething"], toxicity._hashes(word)[0][:1], np.array([0.9]), 0.0, language)
+    drawn = np.random.default_rng(2).choice(list(letters), 1_000_000 // len(letters[0].encode()))
+    start = time.process_time()
+    found = list(toxicity.evidence(pa.array(["".join(drawn) + " v!lething"]), model))
+    assert [(i, e) for i, e, _ in found] == [(0, {0})]
+    assert time.process_time() - start < 10  # patterns that try each start take hours
