@@ -18,8 +18,8 @@
 Defined results: null and empty texts have no entry and score `rest`, as every text without one;
 without labels, or with labels of one kind, nothing is learned and every text scores the share of
 toxic labels (0 without any). Texts and words of any length take time in proportion to it. White space,
-punctuation and symbols beyond ASCII, such as curly quotes and no-break spaces, are spaces. Labels that repeat count once, toxic if any says so; labels of null
-are left out. Rows that repeat are scored alike. Other columns are not read; scoring sees text only.
+punctuation and symbols beyond ASCII, such as curly quotes and no-break spaces, are spaces. Labels that repeat count once,
+toxic if any says so; labels of null are left out. Rows that repeat are scored alike. Other columns are not read; scoring sees text only.
 """
 
 from __future__ import annotations
