@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeprofile.functions.columns import aggregate_once, col, together
+from lakeprofile.functions.columns import aggregate_once, col, small_table, together
 from lakeprofile.functions.text import NA_TOKENS, parse_date, parses_as_number
+from lakeprofile.sources import encodings
 
 # The delimiters looked for.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -18,17 +23,38 @@ _MARKS = [
     ("FEFF", "utf-16"),
 ]
 
-# Names of these encodings as Spark's reader knows them.  It has no Windows Latin, which is read as
-# ISO Latin and then corrected.
-_SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32",
-                "cp1252": "ISO-8859-1"}
+# Names of these encodings as Spark's reader knows them.
+_SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32"}
+
+# The others that can be found out are read as ISO Latin, a character for each byte, and corrected.
+_BYTES = "ISO-8859-1"
+_CORRECTED = {c.name for c in encodings.CANDIDATES}
+
+
+def _replaced(encoding: str) -> tuple[str, str]:
+    """The characters of ISO Latin that stand for others in an encoding of single bytes, and those."""
+    pairs = {chr(b): bytes([b]).decode(encoding, errors="ignore") for b in range(0x80, 0x100)}
+    wrong = "".join(c for c, right in pairs.items() if right and right != c)
+    return wrong, "".join(pairs[c] for c in wrong)
+
+
+def _corrected(raw: DataFrame, encoding: str) -> DataFrame:
+    """Cells that were read a character for each byte, in the encoding that they have."""
+    if encoding not in encodings.WIDE:
+        wrong, right = _replaced(encoding)
+        return raw.select(*[F.translate(c, wrong, right).alias(c) for c in raw.columns])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [
+                [v if v is None else v.encode("latin-1").decode(encoding, errors="replace") for v in c.to_pylist()]
+                for c in batch.columns
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells], names)
+
+    names = raw.columns
+    return raw.mapInArrow(decoded, raw.schema)
 
-# The characters that Windows Latin has in place of ISO Latin's control codes.
-_WINDOWS_ONLY = {
-    chr(code): bytes([code]).decode("cp1252")
-    for code in range(0x80, 0xA0)
-    if bytes([code]).decode("cp1252", errors="ignore")
-}
 
 _BAD = "__bad_record"
 
@@ -74,8 +100,9 @@ def best_delimiter(lines: DataFrame, keys: list[str] = ()) -> DataFrame:
 def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, encoding, delimiter, open_quotes) of each file under a path, from all its lines.
 
-    A byte order mark names the encoding; otherwise text is UTF-8 if every line is, else Windows
-    Latin.  ``open_quotes`` counts lines with an odd number of quotes, which hold a line break.
+    A byte order mark names the encoding; otherwise text is UTF-8 if every line is, else what all
+    lines that are not make likeliest (see `encodings`).  ``open_quotes`` counts lines with an odd
+    number of quotes, which hold a line break.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     raw = F.col("value").cast("binary")
@@ -88,16 +115,22 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.count_if(~F.is_valid_utf8("value")).alias("broken"),
         F.count_if(_open_quote(F.col("value"))).alias("open_quotes"),
     )
-    named = F.array(*[F.lit(e) for _, e in reversed(_MARKS)])
-    encoding = (
-        F.when(F.col("mark").isNotNull(), F.get(named, F.col("mark") - 1))
-        .when(F.col("broken") > 0, "cp1252")
-        .otherwise("utf-8")
-    )
-    return facts.join(best_delimiter(lines, ["path"]), "path", "left").select(
-        "path", encoding.alias("encoding"), F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
-        "open_quotes",
-    )
+    found = facts.join(best_delimiter(lines, ["path"]), "path", "left").collect()  # one row per file
+    # Only files that are neither marked nor UTF-8 are read again.
+    unknown = [r["path"] for r in found if r["mark"] is None and r["broken"]]
+    likely = {}
+    if unknown:
+        again = spark.read.text(unknown).select(F.col("_metadata.file_path").alias("path"), "value")
+        strange = again.where(~F.is_valid_utf8("value")).select("path", F.col("value").cast("binary").alias("value"))
+        likely = {r["path"]: r["encoding"] for r in encodings.best_encodings(strange).collect()}
+
+    def encoding(r) -> str:
+        if r["mark"] is not None:
+            return _MARKS[len(_MARKS) - r["mark"]][1]
+        return likely.get(r["path"], "utf-8")
+
+    rows = [(r["path"], encoding(r), r["delimiter"] or ",", r["open_quotes"]) for r in found]
+    return small_table(spark, rows, "path string, encoding string, delimiter string, open_quotes bigint")
 
 
 def read_delimited(
@@ -112,7 +145,8 @@ def read_delimited(
 
     What is not given is found out from all lines of all files.  Files may differ in encoding, not
     in delimiter or header.  A record with more cells than the header raises; `bad_records` shows
-    such records.  Other encodings than Unicode and Windows Latin are to be named.
+    such records.  A file whose encoding stays undecided raises, and so does a decision that does not
+    allow the delimiter; then, or for encodings that are not looked for, name it.
     """
     parts, names = _raw_parts(spark, path, encoding, delimiter, multiline)
     bad, typed = together(
@@ -139,13 +173,19 @@ def _raw_parts(
     if len(delimiters) > 1:
         raise ValueError(f"the files under {path} differ in delimiter: {sorted(delimiters)}")
     mark = delimiters.pop()
+    if encoding and codecs.lookup(encoding).name in _CORRECTED:
+        encoding = codecs.lookup(encoding).name
     by_encoding: dict[str, list] = {}
     for r in found:
         by_encoding.setdefault(encoding or r["encoding"], []).append(r)
     parts, names = [], None
     for kind, files in by_encoding.items():
         paths = path if len(by_encoding) == 1 else [r["path"] for r in files]
-        name = _SPARK_NAMES.get(kind, kind)
+        if kind == encodings.UNDECIDED:
+            raise ValueError(f"name the encoding of {sorted(r['path'] for r in files)[:5]}")
+        if kind in encodings.WIDE and mark == "|":
+            raise ValueError(f"{kind} has bytes like | inside its characters, convert {path} first")
+        name = _BYTES if kind in _CORRECTED else _SPARK_NAMES.get(kind, kind)
         wide = name in ("UTF-16", "UTF-32")  # Spark splits lines by single bytes
         whole = wide or (any(r["open_quotes"] for r in files) if multiline is None else multiline)
         options = {"sep": mark, "encoding": name, "multiLine": whole, "quote": '"', "escape": '"'}
@@ -153,8 +193,10 @@ def _raw_parts(
         if head is None:
             continue
         header = [c if c is not None else "" for c in head]
-        if kind == "cp1252":
-            header = [c.translate(str.maketrans(_WINDOWS_ONLY)) for c in header]
+        if kind in encodings.WIDE:
+            header = [c.encode("latin-1").decode(kind, errors="replace") for c in header]
+        elif kind in _CORRECTED:
+            header = [c.translate(str.maketrans(*_replaced(kind))) for c in header]
         header = clean_names(header)
         if names is not None and header != names:
             raise ValueError(f"the files under {path} differ in header")
@@ -166,9 +208,8 @@ def _raw_parts(
             paths, schema=schema, header=True, mode="PERMISSIVE", enforceSchema=True,
             columnNameOfCorruptRecord=_BAD,
         )
-        if kind == "cp1252":
-            wrong, right = "".join(_WINDOWS_ONLY), "".join(_WINDOWS_ONLY.values())
-            raw = raw.select(*[F.translate(c, wrong, right).alias(c) for c in raw.columns])
+        if kind in _CORRECTED:
+            raw = _corrected(raw, kind)
         parts.append((raw, mark))
     return parts, names or []
 

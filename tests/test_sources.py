@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 
 from lakeprofile.plans import analysis
-from lakeprofile.sources import delimited, load, sink, workbook
+from lakeprofile.sources import delimited, encodings, load, sink, workbook
 
 
 def write(tmp_path, name: str, text: str, encoding: str = "utf-8") -> str:
@@ -48,6 +48,61 @@ def test_encodings(spark, tmp_path, encoding):
     assert list(got["name €"]) == ["Müller “x”", "Étoile"]
 
 
+WRITTEN = {
+    "cp1250": "miasto,kraj\nŁódź,Polska\nWrocław,śląskie\nČeské Budějovice,Česko\n“Plzeň”,Česko\n",
+    "iso8859-2": "miasto,kraj\nŁódź,śląskie\nWrocław,Polska\nŠumava,žluťoučký kůň\n",
+    "cp1251": "город,страна\nМосква,Россия\nСАНКТ-ПЕТЕРБУРГ,Россия\n№ 1,Новосибирск\n",
+    "koi8-r": "город,страна\nМосква,Россия\nСанкт-Петербург,Россия\n",
+    "iso8859-15": "nom,prix\nœuvre,12 €\ncafé,3 €\nÉtoile,5 €\n",
+    "cp1253": "πόλη,χώρα\nΑθήνα,Ελλάδα\nΘεσσαλονίκη,Ελλάδα\n",
+    "cp1254": "şehir,ülke\nİstanbul,Türkiye\nDiyarbakır,Türkiye\nEskişehir,Türkiye\nMuğla,Türkiye\n",
+    "cp932": "都市,国\n東京,日本\nさっぽろ,ほっかいどう\nコーヒー,表示ソフト\n",
+    "euc_jp": "都市,国\n東京,日本\nさっぽろ,ほっかいどう\nコーヒー,飲み物\n",
+    "gb18030": "城市,国家\n北京,中国\n上海,中国\n广州,中国\n𠀀,中国\n",
+    "big5": "城市,國家\n臺北,臺灣\n高雄,臺灣\n新竹,臺灣\n",
+    "cp949": "도시,나라\n서울,대한민국\n부산,대한민국\n인천,대한민국\n",
+}
+
+
+@pytest.mark.parametrize("encoding", WRITTEN)
+def test_encodings_are_told_apart(spark, tmp_path, encoding):
+    head, *lines = [tuple(line.split(",")) for line in WRITTEN[encoding].splitlines()]
+    path = write(tmp_path, "e.csv", WRITTEN[encoding], encoding)
+    got = load.load_table(spark, path)
+    assert tuple(got.columns) == head and [tuple(r) for r in got.collect()] == lines
+    assert delimited.sniff(spark, path).first()["encoding"] == encoding
+
+
+def test_encodings_of_many_files_at_once(spark, tmp_path):
+    chosen = ["cp1250", "cp1251", "cp949"]
+    for encoding in chosen:
+        lines = WRITTEN[encoding].splitlines()
+        write(tmp_path, f"{encoding}.csv", "\n".join(["a,b", *lines[1:], "plain,text"]), encoding)
+    got = {tuple(r) for r in load.load_table(spark, str(tmp_path), "csv").collect()}
+    assert got >= {tuple(x.split(",")) for e in chosen for x in WRITTEN[e].splitlines()[1:]}
+
+
+def test_undecided_encodings_raise(spark, tmp_path):
+    path = write(tmp_path, "u.csv", "a,b\nGyőr,Magyarország\nKőszeg,Szűcs\n", "cp1250")
+    with pytest.raises(ValueError, match="name the encoding"):
+        load.load_table(spark, path)
+    named = delimited.read_delimited(spark, path, encoding="windows-1250")
+    assert named.first()["a"] == "Győr"
+    bars = write(tmp_path, "bars.csv", WRITTEN["cp932"].replace(",", "|"), "cp932")
+    with pytest.raises(ValueError, match="convert"):
+        load.load_table(spark, bars)
+
+
+def test_scores_do_not_depend_on_how_lines_are_dealt(spark):
+    lines = [("p", x.encode("cp1251")) for x in WRITTEN["cp1251"].splitlines()] * 50
+    df = spark.createDataFrame(lines, "path string, value binary")
+    found = [
+        {r["encoding"]: round(r["score"], 3) for r in encodings.encoding_scores(df.repartition(n)).collect()}
+        for n in (1, 5)
+    ]
+    assert found[0] == found[1] and max(found[0], key=found[0].get) == "cp1251"
+
+
 def test_files_are_looked_at_as_a_whole(spark, tmp_path):
     """What only shows far into a file counts: a letter, a delimiter, a quoted line break."""
     for k, d in enumerate(",;|"):
