@@ -130,41 +130,72 @@ _LARGE_LOG_SD = [0.0030302, -0.082676, -0.4803]
 _SMALL_GAMMA = [0.459, -2.273]
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk W and p for 8 to 5000 values."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    centred = x - x.mean()
-    total = float(centred @ centred)
-    if x[-1] - x[0] < 1e-19 or total == 0:
-        return 1.0, 1.0
-    m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    norm2 = float(m @ m)
+# Coefficients of Wichura's 1988 normal quantile (AS 241), above and below the
+# fraction, highest power first: for the centre, the tails and the far tails.
+NORMAL_CENTRE = (
+    [2509.0809287301227, 33430.57558358813, 67265.7709270087, 45921.95393154987,
+     13731.69376550946, 1971.5909503065513, 133.14166789178438, 3.3871328727963665],
+    [5226.495278852854, 28729.085735721943, 39307.89580009271, 21213.794301586597,
+     5394.196021424751, 687.1870074920579, 42.31333070160091, 1.0],
+)
+NORMAL_TAIL = (
+    [0.0007745450142783414, 0.022723844989269184, 0.2417807251774506, 1.2704582524523684,
+     3.6478483247632045, 5.769497221460691, 4.630337846156546, 1.4234371107496835],
+    [1.0507500716444169e-09, 0.0005475938084995345, 0.015198666563616457, 0.14810397642748008,
+     0.6897673349851, 1.6763848301838038, 2.053191626637759, 1.0],
+)
+NORMAL_FAR = (
+    [2.0103343992922881e-07, 2.7115555687434876e-05, 0.0012426609473880784, 0.026532189526576124,
+     0.29656057182850487, 1.7848265399172913, 5.463784911164114, 6.657904643501103],
+    [2.0442631033899397e-15, 1.421511758316446e-07, 1.8463183175100548e-05, 0.0007868691311456133,
+     0.014875361290850615, 0.1369298809227358, 0.599832206555888, 1.0],
+)
+
+
+def shapiro_end_weights(n: int, norm2: float, m_last: float, m_before: float) -> tuple[float, float, float]:
+    """Weights of the largest value and of the one before, and what the others' normal scores are
+    divided by. ``norm2`` is the sum of all squared scores."""
     u = 1 / math.sqrt(n)
-    last = float(np.polyval(_FIRST_WEIGHT, u)) + m[-1] / math.sqrt(norm2)
-    if n > 5:
-        before = float(np.polyval(_SECOND_WEIGHT, u)) + m[-2] / math.sqrt(norm2)
-        fac = (norm2 - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-        weights = m / math.sqrt(fac)
-        weights[[-2, 1]] = before, -before
-    else:
-        fac = (norm2 - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        weights = m / math.sqrt(fac)
-    weights[[-1, 0]] = last, -last
-    w = min(1.0, float(weights @ centred) ** 2 / total)
+    last = float(np.polyval(_FIRST_WEIGHT, u)) + m_last / math.sqrt(norm2)
+    before = float(np.polyval(_SECOND_WEIGHT, u)) + m_before / math.sqrt(norm2)
+    scale = (norm2 - 2 * m_last**2 - 2 * m_before**2) / (1 - 2 * last**2 - 2 * before**2)
+    return last, before, math.sqrt(scale)
+
+
+def shapiro_pvalue(w: float, n: int) -> float | None:
+    """p of W for 8 to 5000 values; the approximation holds for no others."""
+    if not 8 <= n <= 5000:
+        return None
     if w >= 1.0:
-        return 1.0, 1.0
+        return 1.0
     y = math.log(1 - w)
     if n <= 11:
         gamma = float(np.polyval(_SMALL_GAMMA, n))
         if y >= gamma:
-            return w, 0.0
+            return 0.0
         y = -math.log(gamma - y)
         mean, sd = np.polyval(_SMALL_MEAN, n), math.exp(np.polyval(_SMALL_LOG_SD, n))
     else:
         mean = np.polyval(_LARGE_MEAN, math.log(n))
         sd = math.exp(np.polyval(_LARGE_LOG_SD, math.log(n)))
-    return w, 0.5 * math.erfc((y - float(mean)) / sd / math.sqrt(2))
+    return 0.5 * math.erfc((y - float(mean)) / sd / math.sqrt(2))
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """Shapiro-Wilk W and p for 8 to 5000 values."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    centred = x - x.mean()
+    total = float(centred @ centred)
+    if x[-1] - x[0] < 1e-19 or total == 0:
+        return 1.0, 1.0
+    m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    last, before, scale = shapiro_end_weights(n, float(m @ m), m[-1], m[-2])
+    weights = m / scale
+    weights[[-2, 1]] = before, -before
+    weights[[-1, 0]] = last, -last
+    w = min(1.0, float(weights @ centred) ** 2 / total)
+    return w, shapiro_pvalue(w, n)
 
 
 def ks_two_sample(d: float, n1: int, n2: int, exact: bool = False) -> float:

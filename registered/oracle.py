@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from lakeprofile.functions.pvalues import NORMAL_CENTRE, NORMAL_FAR, NORMAL_TAIL
 from registered.tables import oracle_table as T
 
 ORACLE: dict[str, str] = {}
@@ -160,6 +161,55 @@ FROM ({with_normality(moments(table, columns))})"""
 
 
 ORACLE["numeric_stats_lineitem"] = numeric_stats("lineitem", LINEITEM)
+
+
+def polynomial(coefficients: list[float], x: str) -> str:
+    """Horner's scheme, highest power first."""
+    out = f"{coefficients[0]!r}::double"
+    for a in coefficients[1:]:
+        out = f"({out} * {x} + {a!r}::double)"
+    return out
+
+
+def normal_score(p: str) -> str:
+    """Wichura's normal quantile (AS 241) of a column."""
+    centre, tail, far = (
+        f"{polynomial(above, 'r')} / {polynomial(below, 'r')}"
+        for above, below in (NORMAL_CENTRE, NORMAL_TAIL, NORMAL_FAR)
+    )
+    root = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"""CASE WHEN abs({p} - 0.5) <= 0.425
+       THEN list_transform([0.180625 - ({p} - 0.5) * ({p} - 0.5)], lambda r: ({p} - 0.5) * {centre})[1]
+       WHEN {root} <= 5 THEN list_transform([{root} - 1.6], lambda r: sign({p} - 0.5) * {tail})[1]
+       ELSE list_transform([{root} - 5], lambda r: sign({p} - 0.5) * {far})[1] END"""
+
+
+def shapiro(table: str, columns: list[str]) -> str:
+    """W from sorted values and Royston's weights of the two values at either end."""
+    first = polynomial([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0], "u")
+    second = polynomial([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], "u")
+    return union([
+        f"""
+SELECT '{c}' AS "column",
+       round(least(1, pow(a1 * (y1 - x1) + a2 * (y2 - x2) + "inner" / sqrt((norm - 2 * m1 * m1 - 2 * m2 * m2)
+             / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / total), 8) AS w
+FROM (SELECT *, {first} + m1 / sqrt(norm) AS a1, {second} + m2 / sqrt(norm) AS a2
+FROM (SELECT 1 / sqrt(any_value(n)) AS u, sum(d * d) AS total, sum(m * m) AS norm,
+             sum(m * d) FILTER (i > 2 AND i < n - 1) AS "inner",
+             max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2,
+             max(d) FILTER (i = 1) AS x1, max(d) FILTER (i = 2) AS x2,
+             max(d) FILTER (i = n - 1) AS y2, max(d) FILTER (i = n) AS y1
+FROM (SELECT i, n, d, {normal_score("p")} AS m
+FROM (SELECT i, n, x - mu AS d, (i - 0.375::double) / (n + 0.25::double) AS p
+FROM (SELECT CAST({c} AS DOUBLE) AS x, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n,
+             avg(CAST({c} AS DOUBLE)) OVER () AS mu
+      FROM {T(table)} WHERE {c} IS NOT NULL)))))"""
+        for c in columns
+    ])
+
+
+ORACLE["shapiro_lineitem"] = shapiro("lineitem", LINEITEM)
+ORACLE["shapiro_gaps"] = shapiro("gaps", GAP_NUMBERS)
 ORACLE["numeric_stats_gaps"] = numeric_stats("gaps", GAP_NUMBERS)
 # Decimals: the mode is the lowest of the most frequent values, of which there are many.
 ORACLE["numeric_stats_money"] = numeric_stats("money", ["price", "fee"])

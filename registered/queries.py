@@ -92,6 +92,20 @@ def numeric_stats_lineitem(spark, sf_dir):
     return _numeric(table(spark, sf_dir, "lineitem"))
 
 
+def _shapiro(df: DataFrame) -> DataFrame:
+    return rounded(distribution.shapiro(df, max_rows=None).drop("pvalue"), 8)
+
+
+@register
+def shapiro_lineitem(spark, sf_dir):
+    return _shapiro(table(spark, sf_dir, "lineitem"))
+
+
+@register
+def shapiro_gaps(spark, sf_dir):
+    return _shapiro(table(spark, sf_dir, "gaps"))
+
+
 @register
 def numeric_stats_gaps(spark, sf_dir):
     return _numeric(table(spark, sf_dir, "gaps"))

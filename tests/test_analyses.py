@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import statistics
+
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import by, rows
+from pyspark.sql import functions as F
 
+from lakeprofile.functions.pvalues import shapiro_wilk
+from lakeprofile.operators.normality import normal_quantile, shapiro_w
 from lakeprofile.plans import (
     chartfeed, correlation, distribution, drift, missing, outlier, quality, summary, target,
 )
@@ -104,6 +109,32 @@ def test_shapiro_is_asked_for(frame, beds):
     assert got["weight"]["pvalue"] < 1e-6 < got["height"]["w"] <= 1
 
 
+def test_shapiro_w_has_no_row_limit(frame):
+    rng = np.random.default_rng(4)
+    few = {"hot": [3.0] * 700 + list(rng.normal(size=300)), "even": list(rng.normal(size=990)) + [None] * 10,
+           "one": [2.0] * 1000, "scant": [1.0, 2.0] + [None] * 998}
+    got = by(distribution.shapiro(frame(few)))
+    assert set(got) == {"hot", "even", "one"} and got["one"]["w"] == 1.0
+    for c in ("hot", "even"):
+        w, p = shapiro_wilk(np.array([v for v in few[c] if v is not None]))
+        assert got[c]["w"] == pytest.approx(w, abs=1e-10) and got[c]["pvalue"] == pytest.approx(p, abs=1e-8)
+    many = frame({"x": np.exp(rng.normal(size=6000)).round(1)})
+    found = by(distribution.shapiro(many, max_rows=None))["x"]
+    assert found["w"] == pytest.approx(shapiro_wilk(many.toPandas()["x"].to_numpy())[0], abs=1e-10)
+    assert found["pvalue"] is None
+    # Ranges and parts of copies of any size give the same W.
+    means = {"x": float(many.toPandas()["x"].mean())}
+    again = shapiro_w(many, ["x"], {"x": 6000}, means, bucket_rows=100, copies=7)
+    assert again["x"] == pytest.approx(found["w"], abs=1e-10)
+
+
+def test_normal_quantile(spark):
+    p = [1e-300, 1e-12, 1e-5, 0.01, 0.075, 0.3, 0.5, 0.7, 0.93, 0.99999]
+    df = spark.createDataFrame([(v,) for v in p], "p double").select("p", normal_quantile(F.col("p")).alias("z"))
+    for r in df.collect():
+        assert r["z"] == pytest.approx(statistics.NormalDist().inv_cdf(r["p"]), rel=1e-12, abs=1e-15)
+
+
 def test_categories(frame):
     df = frame({"c": ["x"] * 5 + ["y"] * 5 + [None] * 2, "b": [True] * 12,
                 "d": pd.date_range("2024-01-01", periods=12)})
