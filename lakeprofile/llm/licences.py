@@ -1,18 +1,19 @@
-"""Licence scan: lines of a text against licence templates, by Dice coefficient over word bigrams.
+"""Licence scan: windows of a text against licence templates, by Dice coefficient over word bigrams.
 
 Only SQL functions run. Text is normalised (ASCII lower case, every run of other characters than
-letters and digits is one space). A passage is one line, or up to `max_lines` lines in a row. With
-a and b distinct bigrams, Dice is 2 * shared / (a + b); it reaches `least` only if a lies between
-b * least / (2 - least) and b * (2 - least) / least. These size bounds choose the templates that a
-passage is compared with. They also mean that at least b * least / (2 - least) bigrams of the
-template are shared, so a document that has none of a few chosen bigrams of any template is passed
-over at once, and so is one that has none of these bigrams' longer words; nothing is lost by it.
-A passage names the one template it resembles most, and counts only where none of its lines belongs
-to a passage that resembles its template more.
+letters and digits is one space), so line breaks and punctuation don't count. With a and b distinct
+bigrams of a window and a template, Dice is 2 * shared / (a + b); it reaches `least` only if a lies
+between b * least / (2 - least) and b * (2 - least) / least. These size bounds choose the windows that
+a template is compared with: all that start and end with one of its bigrams (a window with another one
+at an end resembles it less than without) and hold at most b * (2 - least) / least bigrams, repeats
+counted. The bounds also mean that at least b * least / (2 - least) bigrams of the template are shared,
+so a document that has none of a few chosen bigrams of any template is passed over at once, and so is
+one that has none of these bigrams' longer words; nothing is lost by it. Of the windows that share a
+bigram's place the most similar one stands (then the longer, the earlier, the lesser template).
 
 Defined results: null or empty text has no row. A document id that occurs in several rows is one
-document, the passages of its rows are pooled. Of equal passages the first line, then the fewest
-lines count, of equal templates the first name. Templates shorter than two words are refused. Other columns are not read.
+document, the windows of its rows are pooled. Of equal windows the first, then the shortest counts.
+Templates shorter than two words are refused. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,9 +42,25 @@ TEMPLATES = {
     "of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "all-rights-reserved": "All rights reserved",
+    "Apache-2.0-name": "Apache License 2.0",
+    "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may "
+    "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" "
+    "AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "CC-BY-4.0-name": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "GPL-2.0-name": "GNU General Public License version 2",
+    "GPL-2.0-notice": "under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "GPL-3.0-name": "GNU General Public License version 3",
+    "GPL-3.0-notice": "under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "LGPL-3.0-name": "GNU Lesser General Public License version 3",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+    "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY",
+    "MPL-2.0-name": "Mozilla Public License 2.0",
 }
 LEAST = 0.8
-MAX_LINES = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,28 +86,25 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.transform(
+    return F.transform(
         F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2))
     )
-    return F.when(F.size(words) > 1, F.array_distinct(pairs))
 
 
 def scan(
     docs: DataFrame,
     templates: Mapping[str, str] = TEMPLATES,
     least: float = LEAST,
-    max_lines: int = MAX_LINES,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per document and licence found: doc_id, licence, dice, line (from 1), n_lines."""
+    """One row per document and licence found: doc_id, licence, dice, word (its first,
+    from 1), n_words."""
     kinds = {name: template_bigrams(text) for name, text in templates.items()}
     if short := [name for name, found in kinds.items() if not found]:
         raise ValueError(f"templates of fewer than two words: {short}")
     if not 0 < least <= 1 or not kinds:
         raise ValueError("give templates, and a least coefficient above 0 and up to 1")
-    smallest = min(bounds(len(b), least)[0] for b in kinds.values())
-    largest = max(bounds(len(b), least)[1] for b in kinds.values())
     # Of each template so many bigrams that a match must have one of them; the longest are rarest.
     needed = {
         g
@@ -114,26 +128,16 @@ def scan(
     found = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     found = found.where(any_in(F.lower("text"), words))
     found = found.where(any_in(padded, [f" {g} " for g in sorted(needed)]))
-    lines = F.transform(F.split(F.col("text"), "\n", -1), normalised)
-    found = found.select("doc_id", F.xxhash64("text").alias("th"), lines.alias("lines"))
+    words_of = F.split(normalised(F.col("text")), " ")
+    found = found.select("doc_id", F.xxhash64("text").alias("th"), words_of.alias("words"))
+    found = found.where(F.size("words") > 1)
+    every = sorted({g for b in kinds.values() for g in b})
 
-    def span(line: Column, n: Column) -> Column:
-        filled = F.filter(F.slice("lines", line, n), lambda x: x != "")
-        return F.struct(line.alias("line"), n.alias("n_lines"), F.concat_ws(" ", filled).alias("norm"))
+    def hits_in(grams: Column) -> Column:
+        """The bigrams of a text, and which of them are in some template, with their places."""
+        placed = F.transform(grams, lambda g, i: F.struct((i + 1).alias("i"), g.alias("g")))
+        return F.struct(grams.alias("grams"), F.filter(placed, lambda h: h["g"].isin(every)).alias("hits"))
 
-    def spans_from(line: Column) -> Column:
-        most = F.least(F.lit(max_lines), F.size("lines") - line + 1)
-        return F.transform(F.sequence(F.lit(1), most), lambda n: span(line, n))
-
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("lines")), spans_from))
-    sets = (
-        found.select("doc_id", "th", F.explode(spans).alias("span"))
-        .select(
-            "doc_id", "th", "span.line", "span.n_lines",
-            _once(F.split("span.norm", " "), _bigrams).alias("grams"),
-        )
-        .where(F.size("grams").between(smallest, largest))
-    )
     table = F.array(
         *(
             F.struct(
@@ -146,83 +150,84 @@ def scan(
         )
     )
 
-    def alike(grams: Column) -> Column:
-        """The templates of a fitting size that these bigrams resemble, with their coefficients."""
-        size = F.size(grams)
+    def windows(t: Column, own: Column, grams: Column) -> Column:
+        """Windows from one of the template's bigrams to another one, and their coefficients."""
 
-        def dice(t: Column) -> Column:
-            shared = F.size(F.array_intersect(t["grams"], grams))
-            return F.struct(
-                t["licence"].alias("licence"), (2.0 * shared / (F.size(t["grams"]) + size)).alias("dice")
-            )
+        def from_hit(h: Column, k: Column) -> Column:
+            def upto(after: Column) -> Column:
+                def window(e: Column, m: Column) -> Column:
+                    n = e["i"] - h["i"] + 1
+                    size = F.size(F.array_distinct(F.slice(grams, h["i"], n)))
+                    shared = F.size(F.array_distinct(F.transform(F.slice(after, 1, m + 1), lambda x: x["g"])))
+                    dice = F.when(size.between(t["low"], t["high"]), 2.0 * shared / (F.size(t["grams"]) + size))
+                    return F.struct(
+                        (-dice).alias("far"), (-n).alias("less"), h["i"].alias("start"), t["licence"].alias("licence")
+                    )
 
-        near = F.filter(table, lambda t: size.between(t["low"], t["high"]))
-        return F.filter(F.transform(near, dice), lambda m: m["dice"] >= least)
-
-    passages = (
-        sets.select("doc_id", "th", "line", "n_lines", _once(F.col("grams"), alike).alias("scored"))
-        .where(F.size("scored") > 0)
-        .withColumn("top", F.array_max(F.transform("scored", lambda m: m["dice"])))
-        .withColumn("m", F.array_min(F.filter("scored", lambda m: m["dice"] == F.col("top"))))
-        .select("doc_id", "th", F.struct(
-            F.col("top").alias("dice"), (-F.col("n_lines")).alias("n"), (-F.col("line")).alias("l"),
-            F.col("m.licence").alias("licence"),
-        ).alias("p"))
-    )
-    # Of the passages that cover a line the best; a passage stays if it is that for all its lines.
+                # Fewer hits than the lower bound can't be alike.
+                near = F.transform(after, lambda e, m: F.when(m + 1 >= t["low"], window(e, m)))
+                return F.filter(near, lambda w: w["far"] <= -least)
+
+            ahead = F.filter(F.slice(own, k + 1, t["high"]), lambda e: e["i"] < h["i"] + t["high"])
+            return _once(ahead, upto)
+
+        return F.flatten(F.transform(own, from_hit))
+
+    def alike(text: Column) -> Column:
+        def with_template(t: Column) -> Column:
+            own = F.filter(text["hits"], lambda h: F.array_contains(t["grams"], h["g"]))
+            return _once(own, lambda o: windows(t, o, text["grams"]))
+
+        return F.flatten(F.transform(table, with_template))
+
+    scored = _once(_once(F.col("words"), _bigrams), lambda grams: _once(hits_in(grams), alike))
+    passages = found.select("doc_id", "th", F.explode(scored).alias("p")).distinct()
+    # Of the windows that cover a place the best; a window stays if it is that for all its places.
     covered = passages.withColumn(
-        "at", F.explode(F.sequence(-F.col("p.l"), -F.col("p.l") - F.col("p.n") - 1))
+        "at", F.explode(F.sequence(F.col("p.start"), F.col("p.start") - F.col("p.less") - 1))
     )
-    best = covered.groupBy("doc_id", "th", "at").agg(F.max("p").alias("p"))
-    whole = best.groupBy("doc_id", "th", "p").agg(F.count("*").alias("lines")).where("lines = -p.n")
+    best = covered.groupBy("doc_id", "th", "at").agg(F.min("p").alias("p"))
+    whole = best.groupBy("doc_id", "th", "p").agg(F.count("*").alias("places")).where("places = -p.less")
     return (
         whole.groupBy("doc_id", F.col("p.licence").alias("licence"))
-        .agg(F.max(F.struct("p.dice", "p.l", "p.n")).alias("b"))
+        .agg(F.min(F.struct("p.far", "p.start", (-F.col("p.less")).alias("n"))).alias("b"))
         .select(
-            "doc_id", "licence", F.col("b.dice").alias("dice"),
-            (-F.col("b.l")).cast("int").alias("line"), (-F.col("b.n")).cast("int").alias("n_lines"),
+            "doc_id", "licence", (-F.col("b.far")).alias("dice"),
+            F.col("b.start").cast("int").alias("word"), (F.col("b.n") + 1).cast("int").alias("n_words"),
         )
     )
 
 
-def oracle(templates: Mapping[str, str] = TEMPLATES, least: float = LEAST,
-           max_lines: int = MAX_LINES) -> str:
-    """The same scan in DuckDB: every passage against every template of a fitting size."""
+def oracle(templates: Mapping[str, str] = TEMPLATES, least: float = LEAST) -> str:
+    """The same scan in DuckDB: every window between two bigrams of every template."""
     values = ", ".join(
         "('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in template_bigrams(text)))
         for name, text in templates.items()
     )
-    norm = "trim(regexp_replace(translate({}, '%s', '%s'), '[^a-z0-9]+', ' ', 'g'))" % (UPPER, LOWER)
+    norm = "trim(regexp_replace(translate(text, '%s', '%s'), '[^a-z0-9]+', ' ', 'g'))" % (UPPER, LOWER)
     return f"""
-with templates(licence, grams) as (values {values}),
-cut as (select doc_id, string_split(text, chr(10)) lines from documents where text is not null),
-spans as (
-  select doc_id, line, n_lines,
-         string_split({norm.format("array_to_string(lines[line:line + n_lines - 1], chr(10))")}, ' ') words
-  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) line from cut),
-       (select unnest(range(1, {max_lines} + 1)) n_lines)
-  where line + n_lines - 1 <= len(lines)),
-sets as (
-  select doc_id, line, n_lines,
-         list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) grams
-  from spans where len(words) > 1),
+with templates(licence, own) as (values {values}),
+sized as (
+  select *, ceil(len(own) * {least} / (2 - {least}) - 1e-9) low,
+         floor(len(own) * (2 - {least}) / {least} + 1e-9) high from templates),
+cut as (select doc_id, string_split({norm}, ' ') words from documents where text is not null),
+texts as (
+  select doc_id, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) grams
+  from cut where len(words) > 1),
+placed as (select doc_id, unnest(grams) g, unnest(range(1, len(grams) + 1)) i from texts),
+wanted as (select licence, low, high, own, unnest(own) g from sized),
+hits as (select doc_id, i, licence, low, high, own from placed join wanted using (g)),
+pairs as (
+  select a.doc_id, a.licence, a.i start, b.i - a.i + 1 n, a.own, a.low, a.high
+  from hits a join hits b on a.doc_id = b.doc_id and a.licence = b.licence and b.i between a.i and a.i + a.high - 1),
+spans as (select p.*, list_distinct(t.grams[start:start + n - 1]) grams from pairs p join texts t using (doc_id)),
 scored as (
-  select doc_id, line, n_lines, licence,
-         2.0::double * len(list_intersect(t.grams, s.grams)) / (len(t.grams) + len(s.grams)) dice
-  from sets s, templates t
-  where len(s.grams) between ceil(len(t.grams) * {least} / (2 - {least}) - 1e-9)
-                         and floor(len(t.grams) * (2 - {least}) / {least} + 1e-9)),
-named as (
-  select *, row_number() over (partition by doc_id, line, n_lines order by dice desc, licence) k
-  from scored where dice >= {least}::double),
+  select doc_id, licence, start, n, 2.0::double * len(list_intersect(own, grams)) / (len(own) + len(grams)) dice
+  from spans where len(grams) between low and high),
 covered as (
-  select *, row_number() over (partition by doc_id, "at" order by dice desc, n_lines, line, licence desc) b
-  from (select *, unnest(range(line, line + n_lines)) "at" from named where k = 1)),
-whole as (
-  select doc_id, licence, dice, line, n_lines from covered where b = 1
-  group by all having count(*) = n_lines),
-best as (
-  select *, row_number() over (partition by doc_id, licence order by dice desc, line, n_lines) r
-  from whole)
-select doc_id, licence, dice, line::int as line, n_lines::int as n_lines from best where r = 1
+  select *, row_number() over (partition by doc_id, "at" order by dice desc, n desc, start, licence) b
+  from (select *, unnest(range(start, start + n)) "at" from scored where dice >= {least}::double)),
+whole as (select doc_id, licence, dice, start, n from covered where b = 1 group by all having count(*) = n),
+best as (select *, row_number() over (partition by doc_id, licence order by dice desc, start, n) r from whole)
+select doc_id, licence, dice, start::int as word, (n + 1)::int as n_words from best where r = 1
 """

@@ -466,19 +466,55 @@ def test_licence_scan(spark):
         (4, "all rights were reserved"), (5, "All rights reserved.\nall Rights reserved"), (6, None), (7, ""),
         (8, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and"
             " associated documentation files (the"),
-        (5, "Released under the MIT License."),
+        (5, "Released under the MIT License."), (9, "Copyright 2024 Acme Inc. All rights reserved."),
+        (10, "This project is released under the MIT License. See the file."),
+        (11, "you may use it under the terms of the GNU General Public License version 3 as published"),
+        (12, "Licensed\nunder the\nApache\nLicense, Version\n2.0"), (13, "word " * 50_000 + "all rights reserved"),
+        (14, "all rights"), (15, "x"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"], r["licence"]): (round(r["dice"], 3), r["line"], r["n_lines"]) for r in rows(licences.scan(df))}
+    got = {(r["doc_id"], r["licence"]): (round(r["dice"], 3), r["word"], r["n_words"]) for r in rows(licences.scan(df))}
     assert got == {
-        (1, "Apache-2.0"): (1.0, 2, 1), (2, "MIT"): (1.0, 1, 1), (3, "GPL-3.0"): (1.0, 1, 3),
-        (5, "all-rights-reserved"): (1.0, 1, 1), (5, "MIT"): (1.0, 1, 1),
-        (8, "MIT-grant"): (pytest.approx(0.976, abs=0.02), 1, 2),
+        (1, "Apache-2.0"): (1.0, 3, 8), (2, "MIT"): (1.0, 1, 5), (3, "GPL-3.0"): (1.0, 1, 12),
+        (5, "all-rights-reserved"): (1.0, 1, 3), (5, "MIT"): (1.0, 1, 5), (8, "MIT-grant"): (1.0, 1, 20),
+        (9, "all-rights-reserved"): (1.0, 5, 3), (10, "MIT"): (1.0, 4, 5), (11, "GPL-3.0-name"): (1.0, 10, 6),
+        (12, "Apache-2.0"): (1.0, 1, 8), (13, "all-rights-reserved"): (1.0, 50_001, 3),
     }
     with pytest.raises(ValueError):
         licences.scan(df, {"x": "one"})
 
 
+def test_licence_windows_against_brute_force(spark):
+    """Every window of every length against every template, over texts of few words."""
+    rng = random.Random(6)
+    templates = {"p": "a b c d e f", "q": "c d", "r": "b a d c", "s": "f e d c b a f"}
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))) for _ in range(200)]
+    least = 0.6
+    expected = {}
+    for doc, text in enumerate(texts):
+        words, marked = text.split(), []
+        for name, t in templates.items():
+            own = set(licences.template_bigrams(t))
+            low, high = licences.bounds(len(own), least)
+            for i in range(len(words) - 1):
+                for n in range(1, min(high, len(words) - 1 - i) + 1):
+                    grams = [f"{a} {b}" for a, b in zip(words[i : i + n], words[i + 1 : i + n + 1])]
+                    dice = 2 * len(own & set(grams)) / (len(own) + len(set(grams)))
+                    if grams[0] in own and grams[-1] in own and low <= len(set(grams)) and dice >= least:
+                        marked.append((-dice, -n, i + 1, name))
+        first = {}
+        for m in sorted(marked, reverse=True):
+            first |= dict.fromkeys(range(m[2], m[2] - m[1]), m)
+        for m in set(marked):
+            if all(first[k] == m for k in range(m[2], m[2] - m[1])):
+                here = (m[0], m[2], 1 - m[1])
+                expected[doc, m[3]] = min(expected.get((doc, m[3]), here), here)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows(licences.scan(df, templates, least))
+    got = {(r["doc_id"], r["licence"]): (-r["dice"], r["word"], r["n_words"]) for r in found}
+    assert got == expected and len(got) > 100
+
+
 # Every operator on disorder and on nothing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, c string, key int, size int"
