@@ -488,7 +488,7 @@ def test_licence_windows_against_brute_force(spark):
     """Every window of every length against every template, over texts of few words."""
     rng = random.Random(6)
     templates = {"p": "a b c d e f", "q": "c d", "r": "b a d c", "s": "f e d c b a f"}
-    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))) for _ in range(200)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))) for _ in range(600)]
     least = 0.6
     expected = {}
     for doc, text in enumerate(texts):
