@@ -8,16 +8,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import aggregate_once, as_double
 from lakeprofile.operators.moments import Moments
-from lakeprofile.operators.ranks import BUCKET_ROWS, average_ranks
-
-# A value of more than this share of the rows has its rank brought to them; there are no more of them
-# than the inverse.
-HOT_SHARE = 1 / 1000
+from lakeprofile.operators.ranks import (
+    BLOCK_ROWS, BUCKET_ROWS, blocks, numbers, own_ranges, range_counts, range_limits,
+)
 
 # More columns than this are correlated by products of whole batches of rows.
 GRAM_COLUMNS = 12
@@ -145,9 +144,8 @@ def spearman_pairs(
 ) -> dict[Pair, float | None]:
     """Spearman rho of every pair, ranked over the complete rows of that pair.
 
-    One table per column has the ranks of its values, once for every column with gaps: the counts
-    of smaller values among the rows where that column is present come from the same running sums.
-    The tables are joined to the rows (`_with_ranks`), and one aggregate sums all pairs.
+    Each value has a rank for every column with gaps, among the rows where that column is present; the
+    ranks come from the same running sums (`_with_ranks`), and one aggregate sums all pairs.
     """
     out: dict[Pair, float | None] = dict.fromkeys(combinations(columns, 2))
     varying = [
@@ -163,13 +161,13 @@ def spearman_pairs(
     for a, b in pairs:
         one = F.col(f"r{place[a]}_{place[b]}" if b in gappy else f"r{place[a]}")
         two = F.col(f"r{place[b]}_{place[a]}" if a in gappy else f"r{place[b]}")
-        both = F.col(f"x{place[a]}").isNotNull() & F.col(f"x{place[b]}").isNotNull()
+        both = one.isNotNull() & two.isNotNull()
         middle = F.lit((min(moments[a].count, moments[b].count) + 1) / 2)
         da, db = F.when(both, one - middle), F.when(both, two - middle)
         exprs |= {(a, b, "n"): F.count(da), (a, b, "sa"): F.sum(da), (a, b, "sb"): F.sum(db),
                   (a, b, "qa"): F.sum(da * da), (a, b, "qb"): F.sum(db * db),
                   (a, b, "ab"): F.sum(da * db)}
-    # All in one pass, so that no rank table is joined twice.
+    # All in one pass, so that nothing is ranked twice.
     got = aggregate_once(ranked, exprs, at_once=len(exprs))
     for a, b in pairs:
         sums = {k: got[a, b, k] for k in ("n", "sa", "sb", "qa", "qb", "ab")}
@@ -177,51 +175,130 @@ def spearman_pairs(
     return out
 
 
-def _parity(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(2).cast("bigint"))
+def _cells(limits: list[np.ndarray], gappy: list[int], size: int):
+    """Rows to cells: for every block of rows, the values of each range, where they are, and a bit for
+    each column with gaps that has a value there."""
+    alone = [own_ranges(own) for own in limits]
+    kind = pa.schema([
+        ("block", pa.int64()), ("rows", pa.int32()), ("c", pa.int32()), ("b", pa.int32()), ("deal", pa.int64()),
+        ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64())), ("there", pa.binary()),
+    ])
+    width = -(-len(gappy) // 8)  # bytes of bits for each cell
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for number, block in enumerate(blocks(batches, size)):
+            cells = [numbers(c) for c in block.columns]
+            bits = np.zeros((len(block), 8 * width), bool)
+            for j, p in enumerate(gappy):
+                bits[:, j] = cells[p][1]
+            bits = np.packbits(bits, axis=1)
+            for k, (x, there) in enumerate(cells):
+                at = np.flatnonzero(there)
+                b = np.searchsorted(limits[k], x[at], "right")
+                order = np.argsort(b, kind="stable")
+                at, b = at[order], b[order]
+                starts = np.flatnonzero(np.diff(b, prepend=-1))
+                ends = np.append(starts, len(b)).astype(np.int32)
+                b = b[starts]
+                flags = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(b), [None, pa.py_buffer(ends * np.int32(width)), pa.py_buffer(bits[at].tobytes())]
+                )
+                columns = [
+                    np.full(len(b), first + number), np.full(len(b), len(block)), np.full(len(b), k), b,
+                    np.where(alone[k][b], first + number, -1),
+                ]
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(at, pa.int32()), pa.array(x[at]))]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(v, f.type) for v, f in zip(columns, kind)], *lists, flags], names=kind.names
+                )
+
+    return run
+
+
+def _ranked(limits: list[np.ndarray], partners: list[list[int]]):
+    """Cells of one range to twice their ranks inside the range, one for each partner of their column;
+    partner -1 stands for all rows, others for a bit."""
+    alone = [own_ranges(own) for own in limits]
+
+    def run(key: tuple, cells: pa.Table) -> pa.Table:
+        cells = cells.combine_chunks()
+        k, b = key[0].as_py(), key[1].as_py()
+        out = cells.select(["block", "rows", "c", "b", "at"])
+        if alone[k][b]:  # its ranks are known from the counts
+            none = pa.nulls(len(cells), pa.list_(pa.int64()))
+            return out.append_column("ranks", none)
+        lists = cells.column("x").combine_chunks()
+        x = lists.flatten().to_numpy()
+        bits = np.frombuffer(b"".join(cells.column("there").to_pylist()), np.uint8).reshape(len(x), -1)
+        order = np.argsort(x, kind="stable")
+        new = np.append(True, x[order[1:]] != x[order[:-1]])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        ranks = np.empty((len(x), len(partners[k])), np.int64)
+        for j, p in enumerate(partners[k]):
+            met = np.ones(len(x), np.int64) if p < 0 else bits[order, p // 8] >> (7 - p % 8) & 1
+            upto = np.append(0, np.cumsum(met, dtype=np.int64))
+            twice = upto[starts] + upto[np.append(starts[1:], len(x))] + 1
+            ranks[order, j] = twice[group]
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy())) * len(partners[k])
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ranks.reshape(-1)))
+        return out.append_column("ranks", listed)
+
+    return run
 
 
 def _with_ranks(
     df: DataFrame, place: dict[str, int], gappy: list[str], rows: int, bucket_rows: int
 ) -> DataFrame:
-    """The rows with x<k> and the ranks r<k>, r<k>_<b> of each column.
+    """The ranks r<k> of each column and r<k>_<b> among the rows where a column b with gaps has a value;
+    rows without any value are left out, and so is r<k> where no pair needs it.
 
-    On a table of more than ``bucket_rows`` rows, the ranks of values that many rows hold are
-    broadcast, and rows that hold one, or a gap, are spread by a hash of the row and its input task,
-    so that no task of the join gets all of them.
+    Rows are numbered in blocks. Only cells are shuffled, each once to the value range that ranks it and
+    once, with the ranks, to its block. Cells of a value that many rows hold are dealt by block, as the
+    counts of all ranges are known before. Rows are sorted inside their task before they are numbered, so
+    that a task that runs again numbers them alike whatever order they come in.
     """
-    # -0.0 and 0.0 are one value to a join but two to nobody else.
-    values = [(as_double(df, c) + 0.0).alias(f"x{k}") for c, k in place.items()]
-    data = df.select(*values)
-    large = rows > bucket_rows
-    ranked = data
-    if large:
-        spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"x{k}") for k in place.values()]), F.lit(1 << 20))
-        ranked = data.withColumn("spread", spread + 1)
-    for a, k in place.items():
-        partners = {str(place[b]): F.col(f"x{place[b]}").isNotNull() for b in gappy if b != a}
-        table = average_ranks(data, F.col(f"x{k}"), rows, bucket_rows, partners)
-        names = ["rank", *[f"rank_{b}" for b in partners]]
-        ends = {n: f"r{k}{n[4:]}" for n in names}
-        if not large:
-            own = table.select(F.col("x").alias(f"x{k}"), *[F.col(n).alias(e) for n, e in ends.items()])
-            ranked = ranked.join(own, f"x{k}", "left")
-            continue
-        most = rows * HOT_SHARE
-        hot, cold = (
-            table.where(f"n {sign} {most!r}").select(F.col("x").alias(f"{side}_x"), *[F.col(n).alias(f"{side}_{n}") for n in names])
-            for side, sign in (("hot", ">"), ("cold", "<="))
-        )
-        ranked = ranked.join(F.broadcast(hot), F.col(f"x{k}") == F.col("hot_x"), "left")
-        key = F.when(F.col("hot_x").isNull(), F.col(f"x{k}"))
-        # Not a constant for the other rows, or the join would be dealt by its key alone.
-        deal = F.when(key.isNull(), F.col("spread")).otherwise(_parity(key))
-        ranked = ranked.withColumn("key", key).withColumn("deal", deal)
-        cold = cold.withColumn("cold_deal", _parity(F.col("cold_x")))
-        ranked = ranked.join(cold, (F.col("key") == F.col("cold_x")) & (F.col("deal") == F.col("cold_deal")), "left")
-        kept = [c for c in ranked.columns if not c.startswith(("hot_", "cold_")) and c not in ("key", "deal")]
-        ranked = ranked.select(*kept, *[F.coalesce(f"hot_{n}", f"cold_{n}").alias(e) for n, e in ends.items()])
-    return ranked
+    names = [f"x{k}" for k in place.values()]
+    # -0.0 and 0.0 are one value.
+    data = df.select(*[(as_double(df, c) + 0.0).alias(n) for c, n in zip(place, names)])
+    position = {c: i for i, c in enumerate(place)}
+    gaps = [position[c] for c in gappy]
+    partners = []  # of each column: -1 for all rows, and places in `gaps`
+    for c in place:
+        everywhere = any(b != c and b not in gappy for b in place)
+        partners.append([-1] * everywhere + [j for j, b in enumerate(gappy) if b != c])
+    limits = range_limits(data, names, rows, bucket_rows)
+    counts = range_counts(data, names, limits, gaps)
+    size = max(1024, min(BLOCK_ROWS, (1 << 22) // len(place) ** 2))
+    cells = data.sortWithinPartitions(*names).mapInArrow(
+        _cells(limits, gaps, size),
+        "block long, rows int, c int, b int, deal long, at array<int>, x array<double>, there binary",
+    )
+    ranked = cells.groupBy("c", "b", "deal").applyInArrow(
+        _ranked(limits, partners), "block long, rows int, c int, b int, at array<int>, ranks array<long>"
+    )
+    wanted = [(i, j, p) for i, own in enumerate(partners) for j, p in enumerate(own)]
+    label = list(place.values())
+    ends = [f"r{label[i]}" + (f"_{place[gappy[p]]}" if p >= 0 else "") for i, _, p in wanted]
+    # Of every range twice the ranks before it, and of a single value's what its rank adds.
+    before = [2 * (np.cumsum(n, axis=0) - n) for n in counts]
+    single = [n + 1 for n in counts]
+    held = df.sparkSession.sparkContext.broadcast((before, single))
+
+    def joined(cells: pa.Table) -> pa.Table:
+        before, single = held.value
+        n = cells.column("rows")[0].as_py()
+        out = [[np.full(n, np.nan) for _ in own] for own in partners]
+        columns = [cells.column(c).combine_chunks() for c in ("c", "b", "at", "ranks")]
+        for k, b, at, ranks in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3]):
+            at, own = at.values.to_numpy(), partners[k]
+            inside = ranks.values.to_numpy().reshape(-1, len(own)) if ranks.is_valid else None
+            for j, p in enumerate(own):
+                twice = single[k][b, p + 1] if inside is None else inside[:, j]
+                out[k][j][at] = (before[k][b, p + 1] + twice) / 2
+        return pa.table([pa.array(out[i][j], from_pandas=True) for i, j, _ in wanted], ends)
+
+    return ranked.groupBy("block").applyInArrow(joined, ", ".join(f"{e} double" for e in ends))
 
 
 def vif_values(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lakeprofile.operators.sketch import quantiles_of, sketches
+from lakeprofile.operators.sketch import quantiles_of, sketched_quantiles, sketches
 
 # A window sorts one range of distinct values; ranges hold about this many rows.
 BUCKET_ROWS = 1_000_000
@@ -20,6 +20,8 @@ CUTS = 1024
 # Limits of all ranges of a table, 8 bytes each: beyond, ranges hold more rows.
 MOST_LIMITS = 2_000_000
 _SKETCH = 16_384
+# Rows of a task that are cut into ranges at once.
+BLOCK_ROWS = 1 << 16
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
@@ -138,3 +140,82 @@ def average_ranks(
         for end in ("", *[f"_{name}" for name in partners or {}])
     ]
     return counts.select("x", "n", *ranks)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS) -> Iterator[pa.Table]:
+    """The same rows in blocks of ``rows``, whatever the size of the batches."""
+    held, n = [], 0
+    for batch in batches:
+        while len(batch):
+            take = min(len(batch), rows - n)
+            held.append(batch.slice(0, take))
+            batch, n = batch.slice(take), n + take
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether present) of a column of doubles."""
+    there = column.is_valid().to_numpy()
+    return column.to_numpy(), there
+
+
+def range_limits(
+    wide: DataFrame, names: list[str], rows: int, bucket_rows: int = BUCKET_ROWS
+) -> list[np.ndarray]:
+    """Limits that cut each column of doubles into ranges of about ``bucket_rows`` rows, CUTS at most.
+
+    They come from one scan of sketches of fixed size, and any limits give exact results. A value that
+    takes more than about two in CUTS of the rows has a range of its own (`own_ranges`).
+    """
+    ranges = min(bucket_count(rows, bucket_rows), CUTS, max(1, MOST_LIMITS // len(names) ** 2))
+    if ranges == 1:
+        return [np.empty(0) for _ in names]
+    grid = [k / CUTS for k in range(1, CUTS)]
+    found = sketched_quantiles(wide, {n: (F.col(n), grid) for n in names}, _SKETCH)
+    limits = []
+    for n in names:
+        q = np.array(found[n], float)
+        hot = np.unique(q[1:][q[1:] == q[:-1]])
+        even = q[[k * CUTS // ranges - 1 for k in range(1, ranges)]] if len(q) else q
+        limits.append(np.unique(np.concatenate((even, hot, np.nextafter(hot, np.inf)))))
+    return limits
+
+
+def own_ranges(limits: np.ndarray) -> np.ndarray:
+    """Whether each range of a column, one more than its limits, holds a single value."""
+    alone = np.nextafter(limits[:-1], np.inf) == limits[1:]
+    return np.concatenate(([False], alone, [False]))[: len(limits) + 1]
+
+
+def range_counts(
+    wide: DataFrame, names: list[str], limits: list[np.ndarray], partners: list[int] | None = None
+) -> list[np.ndarray]:
+    """For each column an array (range, 1 + partners): its values, and those of rows where a partner,
+    given by its place, has one too.  Counted in the tasks, a row per range, column and task."""
+    partners = partners or []
+    held = wide.sparkSession.sparkContext.broadcast(limits)
+    kinds = [f"n{j}" for j in range(1 + len(partners))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros((len(kinds), len(own) + 1), np.int64) for own in held.value]
+        for block in blocks(batches):
+            cells = [numbers(c) for c in block.columns]
+            for (x, there), own, out in zip(cells, held.value, counts):
+                b = np.searchsorted(own, x[there], "right")
+                out[0] += np.bincount(b, minlength=len(own) + 1)
+                for j, p in enumerate(partners, 1):
+                    out[j] += np.bincount(b[cells[p][1][there]], minlength=len(own) + 1)
+        for k, out in enumerate(counts):
+            some = np.flatnonzero(out[0])
+            columns = [np.full(len(some), k, np.int32), some, *[out[j][some] for j in range(len(kinds))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["c", "b", *kinds])
+
+    cells = wide.select(*names).mapInArrow(run, ", ".join(["c int", "b long", *[f"{n} long" for n in kinds]]))
+    out = [np.zeros((len(own) + 1, len(kinds)), np.int64) for own in limits]
+    for c, b, *n in cells.groupBy("c", "b").agg(*[F.sum(n).alias(n) for n in kinds]).collect():
+        out[c][b] = n
+    return out

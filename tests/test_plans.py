@@ -141,6 +141,28 @@ def test_rank_joins_spread_gaps_and_hot_values(spark):
             spark.conf.set(k, v)
 
 
+def test_ranks_of_columns_with_gaps_shuffle_cells_twice(spark):
+    """However many columns, a cell goes to its range and back, and no row is joined to ranks."""
+    rng = np.random.default_rng(12)
+    n, names = 3000, list("abcd")
+    pdf = pd.DataFrame({c: rng.normal(size=n).round(k) for k, c in enumerate(names)})
+    pdf.loc[rng.random(n) < 0.7, "d"] = 0.25
+    for c in names:
+        pdf.loc[rng.random(n) < 0.2, c] = np.nan
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=3)).repartition(5)
+    ranked = correlate._with_ranks(df, {c: k for k, c in enumerate(names)}, names, n, 200)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    got = ranked.toPandas()
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            if a != b:
+                want = pdf[a][pdf[a].notna() & pdf[b].notna()].rank()
+                pair = got[[f"r{i}_{j}", f"r{j}_{i}"]].dropna()
+                assert np.array_equal(np.sort(pair.iloc[:, 0]), np.sort(want)), (a, b)
+                assert pair.corr().iloc[0, 1] == pytest.approx(pdf[[a, b]].corr("spearman").iloc[0, 1], abs=1e-12)
+
+
 @pytest.fixture
 def jobs(spark, request):
     """Number of Spark jobs a piece of work starts."""
