@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from lakeprofile.functions.columns import chunks
-from lakeprofile.operators.ranks import BUCKET_ROWS, bucket_count, in_ranges
+from lakeprofile.operators.ranks import BUCKET_ROWS, blocks, bucket_count, numbers, range_limits
 
 # A table of at most this many classes is broadcast.
 BROADCAST_CLASSES = 50_000
+# Classes times ranges that a block of rows counts in one array.
+MOST_COUNTS = 1 << 17
+# Ranges with a wanted rank, of all classes and columns, that may pass the driver.
+FEW_RANGES = 10_000
 
 
 @dataclass
@@ -76,6 +84,56 @@ def one_way(
     return out
 
 
+def _class_cells(
+    data: DataFrame, limits: list[np.ndarray], kept: list[np.ndarray] | None = None, values: bool = True
+) -> DataFrame:
+    """(key, c, b, x, n) from rows (key, columns of doubles): how often a class has a value, in range b of
+    its column; without ``values``, how many it has in the range.  Ranges that aren't ``kept`` are left
+    out.  A row without any value counts as one cell of column -1, for its class to be known."""
+    held = data.sparkSession.sparkContext.broadcast((limits, kept))
+    # Nothing is NULL but x: a NULL test inferred for a join would give its branch a scan of its own.
+    kinds = [("key", data.schema["key"].dataType), ("c", IntegerType()), ("b", LongType()), ("x", DoubleType()), ("n", LongType())]
+    schema = StructType([StructField(name, kind, name == "x") for name, kind in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits, kept = held.value
+        for block in blocks(batches):
+            keys = block.column(0).combine_chunks().dictionary_encode()
+            codes, named = keys.indices.to_numpy(), keys.dictionary
+            empty = np.ones(len(block), bool)
+            for k, own in enumerate(limits):
+                x, there = numbers(block.column(k + 1))
+                empty &= ~there
+                x, code = x[there], codes[there]
+                if kept:
+                    here = kept[k][np.searchsorted(own, x, "right")]
+                    x, code = x[here], code[here]
+                if values:
+                    order = np.lexsort((x, code))
+                    x, code = x[order], code[order]
+                    starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (x[1:] != x[:-1]))[: len(x)])
+                    n = np.diff(starts, append=len(x))
+                    x, code = x[starts], code[starts]
+                    b = np.searchsorted(own, x, "right")
+                else:
+                    both = code.astype(np.int64) * (len(own) + 1) + np.searchsorted(own, x, "right")
+                    if len(named) * (len(own) + 1) <= MOST_COUNTS:
+                        n = np.bincount(both)
+                        both = np.flatnonzero(n)
+                        n = n[both]
+                    else:
+                        both, n = np.unique(both, return_counts=True)
+                    code, b = np.divmod(both, len(own) + 1)
+                    x = None
+                columns = [named.take(pa.array(code)), np.full(len(n), k, np.int32), b, pa.nulls(len(n), pa.float64()) if x is None else x, n]
+                yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in columns], ["key", "c", "b", "x", "n"])
+            code, n = np.unique(codes[empty], return_counts=True)
+            none = [pa.array(np.full(len(n), -1, np.int32)), pa.array(np.full(len(n), -1)), pa.nulls(len(n), pa.float64())]
+            yield pa.RecordBatch.from_arrays([named.take(pa.array(code)), *none, pa.array(n)], ["key", "c", "b", "x", "n"])
+
+    return data.mapInArrow(run, schema)
+
+
 def class_quantiles(
     df: DataFrame,
     key: Column,
@@ -89,20 +147,12 @@ def class_quantiles(
     Up to ``bucket_rows`` rows, cells are merged by class, column and value and read off in one window.
     Beyond, value ranges of each column are shared by its classes.  Rows are counted by class, column
     and range; only ranges that hold a wanted rank are read again, merged by value and sorted, so no
-    task holds a large class and nothing is collected but the ranges' limits.
+    task holds a large class and nothing is collected but the limits and numbers of ranges.  Tasks count
+    and merge their cells a block of rows at a time, before Spark does.
     """
     names = [f"x{k}" for k in range(len(columns))]
-    data = df.select(key.alias("key"), *[(x + 0.0).alias(n) for n, x in zip(names, columns.values())])
+    data = df.select(key.alias("key"), *[(x + 0.0).cast("double").alias(n) for n, x in zip(names, columns.values())])
     data = data.where("key is not null")
-    cells = [
-        F.when(F.col(n).isNotNull(), F.struct(F.lit(k).alias("c"), F.col(n).alias("x")))
-        for k, n in enumerate(names)
-    ]
-    present = F.array_compact(F.array(*cells))
-    # A row without values stays, as one cell without column, for its class to be known.
-    nothing = F.array(F.lit(None).cast("struct<c:int,x:double>"))
-    melted = data.select("key", F.explode(F.when(F.size(present) > 0, present).otherwise(nothing)).alias("v"))
-    melted = melted.select("key", "v.*")
     group = Window.partitionBy("key", "c")
 
     def ranks_in(end: Column, n: Column) -> Column:
@@ -110,38 +160,50 @@ def class_quantiles(
             F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p))
             for p in probabilities
         ]))
-        return F.array_distinct(F.filter(wanted, lambda r: (r >= end - n) & (r < end)))
+        return F.when(F.col("c") >= 0, F.array_distinct(F.filter(wanted, lambda r: (r >= end - n) & (r < end))))
 
     def merged(rows_: DataFrame, *by: str) -> DataFrame:
-        return rows_.groupBy("key", "c", *by).agg(F.count(F.lit(1)).alias("n"))
+        return rows_.groupBy("key", "c", *by).agg(F.sum("n").alias("n"))
 
     def summed(counts: DataFrame, window: Window, order: str) -> Column:
         return F.sum("n").over(window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
     if bucket_count(rows, bucket_rows) == 1:
-        counts = merged(melted, "x")
+        counts = merged(_class_cells(data, [np.empty(0)] * len(names)), "x")
         placed = counts.select(
             "*", summed(counts, group, "x").alias("end"), F.sum("n").over(group).alias("total")
         )
         at = placed.select("key", "c", "total", "x", F.explode_outer(ranks_in(F.col("end"), F.col("n"))).alias("rank"))
-        at = at.where("rank is not null or c is null")
+        at = at.where("rank is not null or c < 0")
     else:
-        melted = in_ranges(melted, len(names), rows, bucket_rows)
-        ranges = merged(melted, "b")
+        limits = range_limits(data, names, rows, bucket_rows)
+        ranges = merged(_class_cells(data, limits, values=False), "b")
         ranges = ranges.select(
             "*", summed(ranges, group, "b").alias("end"), F.sum("n").over(group).alias("total")
         )
-        needed = ranges.where("c is not null").select(
+        needed = ranges.select(
             "key", "c", "b", (F.col("end") - F.col("n")).alias("before"),
             ranks_in(F.col("end"), F.col("n")).alias("ranks"), "total",
-        ).where(F.size("ranks") > 0)
-        counts = merged(melted.join(needed.select("key", "c", "b"), ["key", "c", "b"]), "b", "x")
+        ).where("ranks is null or size(ranks) > 0")
+        # A few ranges of each class and column; where that is little, rows are counted but once.
+        few = needed.limit(FEW_RANGES + 1).collect()
+        if len(few) <= FEW_RANGES:
+            needed, found = df.sparkSession.createDataFrame(few, needed.schema), few
+        else:
+            found = needed.select("c", "b").distinct().collect()  # at most all ranges
+        needed, empty = needed.where("c >= 0"), needed.where("c < 0")
+        kept = [np.zeros(len(own) + 1, bool) for own in limits]
+        for r in found:
+            if r["c"] >= 0:
+                kept[r["c"]][r["b"]] = True
+        cells = _class_cells(data, limits, kept)
+        counts = merged(cells.join(needed.select("key", "c", "b"), ["key", "c", "b"]), "b", "x")
         inside = Window.partitionBy("key", "c", "b")
         placed = counts.select("*", summed(counts, inside, "x").alias("upto")).join(needed, ["key", "c", "b"])
         end = F.col("before") + F.col("upto")
         here = F.filter("ranks", lambda r: (r >= end - F.col("n")) & (r < end))
         at = placed.select("key", "c", "total", "x", F.explode(here).alias("rank"))
-        empty = ranges.where("c is null").select("key", "c", "total", *[
+        empty = empty.select("key", "c", "total", *[
             F.lit(None).cast(kind).alias(n) for n, kind in (("x", "double"), ("rank", "bigint"))
         ])
         at = at.unionByName(empty)

@@ -201,6 +201,25 @@ def test_class_quantiles_take_as_many_jobs_for_any_number_of_classes(stored, job
     assert abs(found[0] - found[1]) <= 4  # adaptive execution cuts stages by size
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_class_quantiles_read_cells_of_wanted_ranges_only(spark, monkeypatch, few):
+    """Cells of other ranges don't leave the scan, whether the wanted ranges are few or many."""
+    monkeypatch.setattr(groups, "FEW_RANGES", few)
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"k": rng.choice(list("xyz"), 6000), "a": rng.normal(size=6000), "b": rng.integers(0, 5, 6000) + 0.5})
+    pdf.loc[rng.random(6000) < 0.3, "a"] = np.nan
+    df = spark.createDataFrame([*pdf.itertuples(index=False, name=None), ("none", float("nan"), float("nan"))], "k string, a double, b double")
+    df = df.select("k", *[F.nanvl(c, F.lit(None)).alias(c) for c in "ab"])
+    got = groups.class_quantiles(df, F.col("k"), {c: F.col(c) for c in "ab"}, [0.5, 0.9], 6001, 300)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode(CASE" not in plan and (not few or plan.count("MapInArrow") == 1)
+    got = {r["key"]: r for r in got.collect()}
+    assert got["none"]["a"] is None and got["none"]["b"] is None and len(got) == 4
+    for k, own in pdf.groupby("k"):
+        for c in "ab":
+            assert got[k][c] == pytest.approx(own[c].dropna().quantile([0.5, 0.9]).tolist(), abs=1e-12)
+
+
 def test_no_join_multiplies_rows(stored, executed):
     df = stored.drop("unused")
     p = Profile(df, checks=True)
