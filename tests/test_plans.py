@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import as_double
+from lakeprofile.functions.pvalues import shapiro_wilk
 from lakeprofile.operators import (
-    correlate, frequency, groups, ks, moments, quantiles, ranks, sketch,
+    correlate, frequency, groups, ks, moments, normality, quantiles, ranks, sketch,
 )
 from lakeprofile.plans import chartfeed, correlation, drift, health, missing, target
 from lakeprofile.plans.profile import Profile
@@ -220,6 +221,19 @@ def test_class_quantiles_read_cells_of_wanted_ranges_only(spark, monkeypatch, fe
             assert got[k][c] == pytest.approx(own[c].dropna().quantile([0.5, 0.9]).tolist(), abs=1e-12)
 
 
+def test_shapiro_shuffles_no_hot_values(stored, executed):
+    """Ranks are added up where the values of a range lie, without windows over melted rows."""
+    df = stored.selectExpr("a", "cast(pmod(hash(a), 3) as double) as three")
+    columns = ["a", "three"]
+    pdf = df.toPandas()
+    executed.clear()
+    rows, means = {c: int(pdf[c].count()) for c in columns}, {c: float(pdf[c].mean()) for c in columns}
+    got = normality.shapiro_w(df, columns, rows, means, 100, 50)
+    assert not any("Window" in plan or "Expand" in plan for plan in executed)
+    for c in columns:
+        assert got[c] == pytest.approx(shapiro_wilk(pdf[c].dropna().to_numpy())[0], abs=1e-10)
+
+
 def test_no_join_multiplies_rows(stored, executed):
     df = stored.drop("unused")
     p = Profile(df, checks=True)
