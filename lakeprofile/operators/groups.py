@@ -84,7 +84,7 @@ def one_way(
     return out
 
 
-def _class_cells(
+def class_cells(
     data: DataFrame, limits: list[np.ndarray], kept: list[np.ndarray] | None = None, values: bool = True
 ) -> DataFrame:
     """(key, c, b, x, n) from rows (key, columns of doubles): how often a class has a value, in range b of
@@ -169,7 +169,7 @@ def class_quantiles(
         return F.sum("n").over(window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
     if bucket_count(rows, bucket_rows) == 1:
-        counts = merged(_class_cells(data, [np.empty(0)] * len(names)), "x")
+        counts = merged(class_cells(data, [np.empty(0)] * len(names)), "x")
         placed = counts.select(
             "*", summed(counts, group, "x").alias("end"), F.sum("n").over(group).alias("total")
         )
@@ -177,7 +177,7 @@ def class_quantiles(
         at = at.where("rank is not null or c < 0")
     else:
         limits = range_limits(data, names, rows, bucket_rows)
-        ranges = merged(_class_cells(data, limits, values=False), "b")
+        ranges = merged(class_cells(data, limits, values=False), "b")
         ranges = ranges.select(
             "*", summed(ranges, group, "b").alias("end"), F.sum("n").over(group).alias("total")
         )
@@ -196,7 +196,7 @@ def class_quantiles(
         for r in found:
             if r["c"] >= 0:
                 kept[r["c"]][r["b"]] = True
-        cells = _class_cells(data, limits, kept)
+        cells = class_cells(data, limits, kept)
         counts = merged(cells.join(needed.select("key", "c", "b"), ["key", "c", "b"]), "b", "x")
         inside = Window.partitionBy("key", "c", "b")
         placed = counts.select("*", summed(counts, inside, "x").alias("upto")).join(needed, ["key", "c", "b"])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprofile.functions.columns import as_double
+from lakeprofile.operators.groups import class_cells
 from lakeprofile.operators.quantiles import group_number
-from lakeprofile.operators.ranks import BUCKET_ROWS, in_ranges
+from lakeprofile.operators.ranks import BUCKET_ROWS, range_limits
 
 
 def ks_distances(
@@ -20,7 +21,7 @@ def ks_distances(
 ) -> dict[str, float]:
     """Largest gap between the two empirical distribution functions of each column.
 
-    Both sides are merged by value, so a hot value is one row.  Running sums are taken inside value
+    Both sides are merged by value inside the scan, so a hot value is one row.  Running sums are taken inside value
     ranges and shifted by the totals of the ranges before; all columns share the sketch that sets
     the ranges and one job, whatever the data.
     """
@@ -34,9 +35,11 @@ def ks_distances(
     ]
     both = sides[0].unionByName(sides[1])
     rows = max(ref_rows[c] + cur_rows[c] for c in columns)
-    melted = both.unpivot(["r"], names, "c", "x").where("x is not null").select(group_number("c"), "x", "r")
-    counts = in_ranges(melted, len(names), rows, bucket_rows).groupBy("c", "b", "x").agg(
-        F.sum("r").alias("ref"), F.sum(1 - F.col("r")).alias("cur")
+    limits = range_limits(both, names, rows, bucket_rows)
+    cells = class_cells(both.select(F.col("r").alias("key"), *names), limits).where("c >= 0")
+    counts = cells.groupBy("c", "b", "x").agg(
+        F.sum(F.when(F.col("key") == 1, F.col("n")).otherwise(0)).alias("ref"),
+        F.sum(F.when(F.col("key") == 0, F.col("n")).otherwise(0)).alias("cur"),
     )
     upto = Window.partitionBy("c", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.select("c", "b", *[F.sum(s).over(upto).alias(s) for s in ("ref", "cur")])

@@ -234,6 +234,20 @@ def test_shapiro_shuffles_no_hot_values(stored, executed):
         assert got[c] == pytest.approx(shapiro_wilk(pdf[c].dropna().to_numpy())[0], abs=1e-10)
 
 
+def test_ks_does_not_melt_rows(stored, executed):
+    """Cells are merged by value where they are read."""
+    halves = [stored.where(f"b % 2 = {k}").selectExpr("a", "b div 5 as e") for k in (0, 1)]
+    pdfs = [h.toPandas() for h in halves]
+    rows = [{c: len(p) for c in ("a", "e")} for p in pdfs]
+    executed.clear()
+    got = ks.ks_distances(*halves, ["a", "e"], *rows, 100)
+    assert not any("Expand" in plan for plan in executed)
+    for c in ("a", "e"):
+        at = np.unique(np.concatenate([p[c] for p in pdfs]))
+        gaps = [np.searchsorted(np.sort(p[c]), at, "right") / len(p) for p in pdfs]
+        assert got[c] == pytest.approx(np.abs(gaps[0] - gaps[1]).max(), abs=1e-12)
+
+
 def test_no_join_multiplies_rows(stored, executed):
     df = stored.drop("unused")
     p = Profile(df, checks=True)
