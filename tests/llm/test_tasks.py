@@ -165,6 +165,40 @@ def test_words_are_forgotten_between_texts(monkeypatch):
     assert got == [e.ids for e in Tokenizer.from_str(text).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_texts_are_cut_as_the_tokenizer_cuts(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lakeprofile.llm import queries
+
+    monkeypatch.setattr(tokenfile, "PIECES", 60)
+    monkeypatch.setattr(tokenfile, "CHUNK", 7)
+    monkeypatch.setattr(tokenfile, "CHUNK_BYTES", 400)
+    text = queries.tokenizer_json()
+    words, whole = tokenfile.Words(text), Tokenizer.from_str(text)
+    rng = random.Random(8)
+    plain = list("'" * 4 + "sstremvld  \n\t\r.,!?09aAÉéßÑñ²½-<|>ΣσЙй漢字가’“—€🙂ŸĿ") + ["'LL", "don't", "''" + "'s", "it'stree", "<|EndOf"]
+    odd = ["\u0301", "\u00a0", "\x0b", "\u2028", "İ", "ſ", "K", "\x00", "<|endoftext|>", "<|STARTOFTEXT|>"]
+    mixed = ["".join(rng.choice(plain) for _ in range(rng.randrange(70))) for _ in range(300)]
+    assert words.pieces.plain(pa.array(mixed)).all()
+    want = [e.ids for e in whole.encode_batch(mixed, add_special_tokens=False)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in words.ids(mixed)]
+    assert got == want and len(words.pieces.slots) < 600
+    assert "tokenizer" not in vars(words)  # plain texts do not load the whole tokenizer
+    for i in range(0, 300, 3):
+        mixed[i] += rng.choice(odd) + rng.choice(plain)
+    got = [np.frombuffer(b, "<u4").tolist() for b in words.ids([*mixed, None, ""])]
+    assert got == [*(e.ids for e in whole.encode_batch(mixed, add_special_tokens=False)), [], []]
+
+
+def test_lanes_of_a_block_are_read_from_it(monkeypatch):
+    ids = np.random.default_rng(4).integers(0, 70_000, 40_003)
+    coded = rangecoder.encode(ids, 70_000)
+    monkeypatch.setattr(rangecoder, "LANES", 16)
+    assert (rangecoder.decode(coded) == ids).all()
+    assert (rangecoder.decode(rangecoder.encode(ids, 70_000)) == ids).all()
+
+
 @given(st.binary(max_size=50), st.binary(max_size=300))
 def test_crc_of_both(a, b):
     import zlib
