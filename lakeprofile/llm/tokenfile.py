@@ -43,6 +43,8 @@ BLOCK = 1 << 20
 EACH = 5000
 #: Words and cores remembered by a worker, and pieces, of which half are kept when there are more.
 REMEMBERED, PIECES = 150_000, 200_000
+#: Pieces that the model sees at once, which bounds what it holds of them.
+LEARNED = 4096
 #: Texts and bytes of text to a chunk, which is at least one text.
 CHUNK, CHUNK_BYTES = 1024, 1 << 22
 TAIL = ".,!?"
@@ -154,7 +156,8 @@ class Pieces:
         new = np.flatnonzero(at < 0)
         if len(new):
             at[new] = np.arange(len(self.slots), len(self.slots) + len(new))
-            self._learn([known[i] for i in new.tolist()])
+            for i in range(0, len(new), LEARNED):
+                self._learn([known[n] for n in new[i : i + LEARNED].tolist()])
         self.hits[at] += 1
         at = at[words.indices.to_numpy()]
         begin = self.starts[at]

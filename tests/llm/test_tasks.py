@@ -172,6 +172,7 @@ def test_plain_texts_are_cut_as_the_tokenizer_cuts(monkeypatch):
     from lakeprofile.llm import queries
 
     monkeypatch.setattr(tokenfile, "PIECES", 60)
+    monkeypatch.setattr(tokenfile, "LEARNED", 11)
     monkeypatch.setattr(tokenfile, "CHUNK", 7)
     monkeypatch.setattr(tokenfile, "CHUNK_BYTES", 400)
     text = queries.tokenizer_json()
